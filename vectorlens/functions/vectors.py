@@ -60,7 +60,7 @@ def prepare(vector: Column) -> Column:
     @F.arrow_udf(returnType=VECTOR)
     def prepare_vector(vectors: pa.Array) -> pa.Array:
         clean, lengths, norms, _ = _clean(vectors)
-        scaled = clean / np.repeat(np.maximum(norms, MIN_NORM), lengths)
+        scaled = clean / np.repeat(np.maximum(norms, MIN_NORM), lengths) + 0.0  # no negative zeros
         nulls = vectors.is_null().to_numpy(zero_copy_only=False)
         return as_list_array(scaled.astype(np.float32), lengths, nulls)
 

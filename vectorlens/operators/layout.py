@@ -73,7 +73,7 @@ def _cells(positions: DataFrame, half: float) -> np.ndarray:
 
 
 def _owned_edges(edges: DataFrame, weight: str) -> DataFrame:
-    """Each unordered pair once, kept by an end that lists the other among its k neighbours or by the lower id."""
+    """Each unordered pair once; its force acts on both ends."""
     return edges.filter(F.col("src") < F.col("dst")).select("src", "dst", F.col(weight).alias("w"))
 
 

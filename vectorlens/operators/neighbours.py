@@ -27,6 +27,10 @@ CHUNK = 256
 SLACK = 1e-9
 
 
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, dtype) for name, dtype in fields.items()])
+
+
 def umap_neighbours(n: int) -> int:
     return min(15, max(2, n - 1))
 
@@ -78,7 +82,7 @@ def _coarse_cells(points: DataFrame, n: int, block_rows: int, seed: int) -> np.n
     return np.array(model.clusterCenters())
 
 
-def _own_block(centers: np.ndarray, radii: np.ndarray, k: int, id_type: pa.DataType):
+def _own_block(centers: np.ndarray, radii: np.ndarray, k: int):
     """Within one block: neighbours of its queries, and the cells that may hold closer points."""
 
     def search(block: pa.Table) -> pa.Table:
@@ -103,7 +107,7 @@ def _own_block(centers: np.ndarray, radii: np.ndarray, k: int, id_type: pa.DataT
             vectors.as_list_array(cells.astype(np.int32), np.bincount(rows, minlength=len(queries))),
             pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum(per_query))).astype(np.int32)),
-                ids.take(pa.array(where.ravel())).cast(id_type),
+                ids.take(pa.array(where.ravel())),
             ),
             vectors.as_list_array(dist.ravel(), per_query),
         ]
@@ -161,9 +165,7 @@ def knn_graph(
     spark = df.sparkSession
     id_field = points.schema["id"].dataType
     if k < 1:
-        return spark.createDataFrame(
-            [], T.StructType([T.StructField("src", id_field), T.StructField("dst", id_field)]).add("rank", "int").add("dist", "double")
-        )
+        return spark.createDataFrame([], _schema(src=id_field, dst=id_field, rank=T.IntegerType(), dist=T.DoubleType()))
 
     # The rank limit runs before the shuffle as well, so a huge group of copies never meets in one task.
     copies = Window.partitionBy("h1", "h2").orderBy("id")
@@ -187,17 +189,20 @@ def knn_graph(
         "blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     )
 
-    id_type = T.StructType([T.StructField("id", id_field)])
-    own_schema = (
-        id_type.add("v", vectors.VECTOR).add("cell", "int").add("blk", "int").add("reach", "double")
-        .add("cells", T.ArrayType(T.IntegerType())).add("near_id", T.ArrayType(id_field))
-        .add("near_d2", T.ArrayType(T.DoubleType()))
-    )
-    arrow_id = _arrow_type(points)
+    own_schema = _schema(
+        id=id_field,
+        v=vectors.VECTOR,
+        cell=T.IntegerType(),
+        blk=T.IntegerType(),
+        reach=T.DoubleType(),
+        cells=T.ArrayType(T.IntegerType()),
+        near_id=T.ArrayType(id_field),
+        near_d2=T.ArrayType(T.DoubleType()),
+    )
     own = (
         in_blocks.select("id", "v", "cell", "blk", (F.col("copy") == 1).alias("is_query"))
         .groupBy("cell", "blk")
-        .applyInArrow(_own_block(centers, radii, k + 1, arrow_id), own_schema)
+        .applyInArrow(_own_block(centers, radii, k + 1), own_schema)
     )
     own = cut_lineage(own)
     near = own.select(F.col("id").alias("src"), F.explode(F.arrays_zip("near_id", "near_d2")).alias("e")).select(
@@ -218,12 +223,6 @@ def knn_graph(
     return edges
 
 
-def _arrow_type(points: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(points.schema["id"].dataType)
-
-
 def _search_other_blocks(
     own: DataFrame, in_blocks: DataFrame, blocks_of: dict[int, int], block_rows: int, k: int, id_field: T.DataType
 ) -> DataFrame:
@@ -249,7 +248,7 @@ def _search_other_blocks(
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("id", "v", "cell", "blk", "chunk")
     )
-    schema = T.StructType([T.StructField("src", id_field), T.StructField("dst", id_field)]).add("d2", "double")
+    schema = _schema(src=id_field, dst=id_field, d2=T.DoubleType())
     keys = ["cell", "blk", "chunk"]
     return requests.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_other_block(k + 1), schema)
 

@@ -28,6 +28,12 @@ def cluster_summary(df: DataFrame, label_col: str, vec_col: str = "emb") -> Data
     )
 
 
+def label_means(df: DataFrame, label_col: str, vec_col: str = "emb") -> DataFrame:
+    """``(label, mean)``: mean vector per label, combined map-side."""
+    means = df.groupBy(quoted(label_col)).agg(Summarizer.mean(array_to_vector(quoted(vec_col))).alias("mean"))
+    return means.withColumn("mean", vector_to_array("mean"))
+
+
 def with_center_distance(df: DataFrame, label_col: str, vec_col: str = "emb", name: str = "dist2") -> DataFrame:
     """Add each row's squared distance to the mean of its cluster.
 
