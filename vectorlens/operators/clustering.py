@@ -38,14 +38,13 @@ class Clusters:
 
     def label(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         """Add the int cluster id; row-wise, so metadata stays in place and no join is needed."""
-        ready = df if FEATURES in df.columns else with_features(df, self.vec_col, self.normalize)
-        out = self.model.transform(ready).withColumnRenamed("prediction", name)
-        return out if FEATURES in df.columns else out.drop(FEATURES)
+        ready = with_features(df, self.vec_col, self.normalize)
+        return self.model.transform(ready).withColumnRenamed("prediction", name).drop(FEATURES)
 
 
 def check_cluster_count(df: DataFrame, k: int) -> None:
-    if k < 1:
-        raise ValueError(f"k must be positive, got {k}")
+    if k < 2:
+        raise ValueError(f"k must be at least 2, got {k}")
     seen = len(df.select(F.lit(1)).take(k))
     if seen < k:
         raise ValueError(f"k={k} exceeds the number of rows ({seen})")
@@ -60,19 +59,18 @@ def kmeans(
     max_iter: int = 300,
     tol: float = 1e-4,
 ) -> Clusters:
-    """Fit Euclidean K-Means, by default on normalized vectors. A frame that already holds the feature
-    column is used as it is."""
+    """Fit Euclidean K-Means, by default on normalized vectors.
+
+    MLlib keeps the feature vectors for the length of the fit, spilling to disk.
+    """
     check_cluster_count(df, k)
-    ready = df if FEATURES in df.columns else with_features(df, vec_col, normalize)
     estimator = KMeans(
         k=k, maxIter=max_iter, tol=tol, featuresCol=FEATURES, initMode="k-means||", distanceMeasure="euclidean"
     )
     if seed is not None:
         estimator = estimator.setSeed(seed)
-    # With a single cluster MLlib rejects k=1; its center is the mean.
-    if k == 1:
-        raise ValueError("k must be at least 2")
-    return Clusters(estimator.fit(ready.select(FEATURES)), vec_col, normalize)
+    features = with_features(df.select(quoted(vec_col)), vec_col, normalize).select(FEATURES)
+    return Clusters(estimator.fit(features), vec_col, normalize)
 
 
 def kmeans_labels(df: DataFrame, k: int, id_col: str = "uuid", vec_col: str = "emb", seed: int | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ ITERATIONS = 20
 GRID = 32
 # Vertices with more than 1/1000 of all edges; there can be at most 1000.
 MAX_HEAVY = 1000
+HEAVY_DEGREE = 10_000
 # Curve of the UMAP paper for a minimum distance of 0.1, and its negative samples per edge.
 CURVE_A, CURVE_B = 1.577, 0.895
 NEGATIVES = 5.0
@@ -34,8 +35,8 @@ def _pull(method: str, d2: Column) -> Column:
 
 
 def _push(method: str, x: Column, y: Column, cells: np.ndarray) -> Column:
-    """``struct(fx, fy, z)``: repulsion from all cell means, weighted by their size, and the t-SNE norm term."""
-    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in ("fx", "fy", "z")])
+    """``struct(fx, fy)``: repulsion from all cell means, weighted by their size."""
+    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in ("fx", "fy")])
     mass, mx, my = cells[:, 0], cells[:, 1], cells[:, 2]
 
     @F.arrow_udf(returnType=schema)
@@ -45,31 +46,38 @@ def _push(method: str, x: Column, y: Column, cells: np.ndarray) -> Column:
         d2 = dx * dx + dy * dy
         if method == "TSNE":
             near = 1.0 / (1.0 + d2)
-            z = (mass * near).sum(axis=1)
             force = mass * near * near
         else:
-            z = np.zeros(len(px))
             force = mass * 2.0 * CURVE_B / ((0.001 + d2) * (1.0 + CURVE_A * d2**CURVE_B))
             force = np.minimum(force, mass * 4.0 / np.sqrt(d2 + 1e-12))
         return pa.StructArray.from_arrays(
-            [pa.array((force * dx).sum(axis=1)), pa.array((force * dy).sum(axis=1)), pa.array(z)],
-            names=["fx", "fy", "z"],
+            [pa.array((force * dx).sum(axis=1)), pa.array((force * dy).sum(axis=1))], names=["fx", "fy"]
         )
 
     return repulsion(x, y)
 
 
 def _cells(positions: DataFrame, half: float) -> np.ndarray:
-    """Size and mean of the occupied grid cells, at most GRID * GRID rows. Outliers count in edge cells."""
+    """Size, mean and extent of the occupied grid cells, at most GRID * GRID rows. Outliers count in edge cells."""
     width = 2.0 * half / GRID
 
     def index(c: str) -> Column:
         return F.least(F.greatest(F.floor((F.col(c) + F.lit(half)) / F.lit(width)), F.lit(0)), F.lit(GRID - 1))
 
     rows = positions.groupBy(index("x").alias("i"), index("y").alias("j")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")
+        F.count(F.lit(1)).alias("n"),
+        F.avg("x").alias("x"),
+        F.avg("y").alias("y"),
+        F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("extent"),
     )
-    return np.array([(r["n"], r["x"], r["y"]) for r in rows.collect()], dtype=np.float64)
+    return np.array([(r["n"], r["x"], r["y"], r["extent"]) for r in rows.collect()], dtype=np.float64)
+
+
+def _tsne_norm(cells: np.ndarray) -> float:
+    """Sum of ``1 / (1 + d2)`` over all ordered pairs of points, taken between cell means."""
+    mass, x, y = cells[:, 0], cells[:, 1], cells[:, 2]
+    d2 = (x[:, None] - x[None, :]) ** 2 + (y[:, None] - y[None, :]) ** 2
+    return float((mass[:, None] * mass[None, :] / (1.0 + d2)).sum() - mass.sum())
 
 
 def _owned_edges(edges: DataFrame, weight: str) -> DataFrame:
@@ -123,11 +131,14 @@ def neighbour_layout(
         weighted = _owned_edges(neighbours.perplexity_affinities(graph, n, perplexity), "p")
     edges = cut_lineage(weighted)
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    limit = max(10_000, 2 * edges.count() // MAX_HEAVY)
+    limit = max(HEAVY_DEGREE, 2 * edges.count() // MAX_HEAVY)
     heavy_ids = [r["id"] for r in ends.filter(F.col("degree") > limit).select("id").collect()]  # at most 1000
 
+    half = HALF_WIDTH
     for step in range(iterations):
-        positions = cut_lineage(_round(positions, edges, heavy_ids, method, n, step, iterations))
+        cells = _cells(positions, half)
+        positions = cut_lineage(_round(positions, edges, cells, heavy_ids, method, step, iterations))
+        half = float(cells[:, 3].max())
     return positions.withColumnRenamed("id", id_col)
 
 
@@ -142,10 +153,9 @@ def _with_end(edges: DataFrame, positions: DataFrame, end: str, heavy_ids: list)
 
 
 def _round(
-    positions: DataFrame, edges: DataFrame, heavy_ids: list, method: str, n: int, step: int, iterations: int
+    positions: DataFrame, edges: DataFrame, cells: np.ndarray, heavy_ids: list, method: str, step: int, iterations: int
 ) -> DataFrame:
-    half = positions.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 1.0
-    cells = _cells(positions, half)
+    n, half = float(cells[:, 0].sum()), float(cells[:, 3].max())
     placed = _with_end(_with_end(edges, positions, "src", heavy_ids), positions, "dst", heavy_ids)
     dx, dy = F.col("x_dst") - F.col("x_src"), F.col("y_dst") - F.col("y_src")
     pull = F.col("w") * _pull(method, dx * dx + dy * dy)
@@ -166,7 +176,7 @@ def _round(
     state = pushed.join(pulled, "id", "left").fillna(0.0, ["ax", "ay", "degree"])
     cool = 1.0 - step / max(iterations, 1)
     if method == "TSNE":
-        z = pushed.agg(F.sum("r.z")).first()[0] - n  # a point does not repel itself
+        z = _tsne_norm(cells)
         early = 12.0 if step < iterations // 4 else 1.0
         rate = max(n / 12.0, 10.0)
         move = [

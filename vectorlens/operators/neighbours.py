@@ -22,6 +22,8 @@ QUERY_BLOCKS_PER_TASK = 4
 # Upper bound of the coarse cells and of the separately treated heavy groups; both are broadcast.
 MAX_CELLS = 512
 MAX_HEAVY = 1000
+# Groups of copies below this size are never salted.
+HEAVY_ROWS = 10_000
 # Queries compared at once with their shortlisted candidates inside a task.
 CHUNK = 256
 SLACK = 1e-9
@@ -259,7 +261,7 @@ def _edges_of_copies(lists: DataFrame, points: DataFrame, placed: DataFrame, n:
     Groups above n / 1000 rows (there can be no more than 1000) are salted; the others are joined as they are.
     """
     spark = points.sparkSession
-    heavy_from = max(10_000, n // MAX_HEAVY)
+    heavy_from = max(HEAVY_ROWS, n // MAX_HEAVY)
     groups = points.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows"))
     heavy = F.broadcast(
         groups.filter(F.col("rows") > heavy_from).select(

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +22,6 @@ def with_features(df: DataFrame, vec_col: str, normalize: bool = True) -> DataFr
     return df.withColumn(FEATURES, array_to_vector(vector))
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep a frame that several fits read, spilling to disk, and release it afterwards."""
-    stored = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield stored
-    finally:
-        stored.unpersist()
-
-
 def report(df: DataFrame, vec_col: str = "emb") -> DataFrame:
     """Row count, width, replaced elements, near-zero norms and norm statistics, in one pass."""
     checked = df.select(quoted(vec_col).alias("v")).select(

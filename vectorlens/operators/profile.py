@@ -16,16 +16,12 @@ from vectorlens.operators.ordering import with_row_index
 RESERVED = {"uuid", "emb", "embedding", "embeddings", "vector"}
 MAX_CATEGORIES = 100
 
-# A HyperLogLog++ sketch at this error has 4096 registers. At most 100 distinct values fill at most 100 of
-# them, where the estimate is linear counting: 4096 * ln(4096 / 3996) = 101.2. An estimate above the cutoff
+# A HyperLogLog++ sketch at this error has 512 registers. At most 100 distinct values fill at most 100 of
+# them, where the estimate is linear counting: 512 * ln(512 / 412) = 111.3. An estimate above the cutoff
 # therefore proves more than 100 distinct values; only columns at or below it need an exact count, and
 # those have few values. High-cardinality text is never shuffled.
-SKETCH_ERROR = 0.02
-SKETCH_CUTOFF = 105
-
-PROFILE_SCHEMA = (
-    "position int, column string, type string, n_unique long, null_count long, total_count long, null_pct double"
-)
+SKETCH_ERROR = 0.05
+SKETCH_CUTOFF = 112
 
 
 @dataclass(frozen=True)

@@ -1,76 +1,135 @@
-"""Linear projection: mean vector, covariance and centred principal component scores."""
+"""Linear projection: mean vector, covariance and centred principal component scores.
+
+Second moments take one pass: each task multiplies its Arrow batches as matrices, and Spark adds up the rows
+of the partial matrices. The result is bounded by the vector width, so it is solved on the driver.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vectorlens.functions import vectors
+from vectorlens.functions.predicates import quoted
+
+# Widest vectors whose covariance the driver solves (a matrix of 512 MB).
+MAX_WIDTH = 8192
+
 
-from vectorlens.operators.preparation import FEATURES, with_features
+def prepared(vec_col: str, normalize: bool) -> Column:
+    vector = quoted(vec_col)
+    return vectors.prepare(vector) if normalize else vector.cast(vectors.VECTOR)
+
+
+@dataclass(frozen=True)
+class Moments:
+    n: int
+    mean: np.ndarray
+    covariance: np.ndarray
+
+
+def moments(df: DataFrame, vec_col: str = "emb", normalize: bool = True) -> Moments:
+    """Row count, mean and sample covariance of the vector elements.
+
+    Raw vectors are shifted by the first one before multiplying, so that a large offset does not cancel;
+    normalized vectors need no shift.
+    """
+    first = df.select(quoted(vec_col)).filter(quoted(vec_col).isNotNull()).take(1)
+    if not first:
+        raise ValueError("no vectors to project")
+    width = len(first[0][0])
+    if width > MAX_WIDTH:
+        raise ValueError(f"vectors of width {width} are wider than {MAX_WIDTH}")
+    pivot = np.zeros(width) if normalize else np.asarray(first[0][0], dtype=np.float64)
+
+    def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total, products = 0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            if batch.num_rows:
+                shifted = vectors.as_matrix(batch.column(0)) - pivot
+                rows += len(shifted)
+                total += shifted.sum(axis=0)
+                products += shifted.T @ shifted
+        if rows:
+            lines = np.vstack([products, total])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(width + 1, dtype=np.int32)),
+                    pa.array(np.full(width + 1, rows)),
+                    vectors.as_list_array(lines.ravel(), np.full(width + 1, width)),
+                ],
+                names=["line", "n", "sums"],
+            )
+
+    partial = df.select(prepared(vec_col, normalize).alias("v")).mapInArrow(
+        partial_sums, "line int, n long, sums array<double>"
+    )
+    summed = partial.groupBy("line").agg(
+        F.sum("n").alias("n"), Summarizer.sum(array_to_vector("sums")).alias("sums")
+    )
+    lines = sorted(summed.collect(), key=lambda r: r["line"])  # one row per vector element
+    n, total = lines[-1]["n"], lines[-1]["sums"].toArray()
+    products = np.array([r["sums"].toArray() for r in lines[:-1]])
+    spread = (products - np.outer(total, total) / n) / max(n - 1, 1)
+    return Moments(n, pivot + total / n, spread)
 
 
 @dataclass(frozen=True)
 class Projection:
-    """Fitted components, with the shift and signs that make the scores centred and reproducible."""
+    """Fitted components: loadings (one column each), their share of the variance, and the data mean."""
 
-    model: PCAModel
-    shift: np.ndarray
-    signs: np.ndarray
+    components: np.ndarray
+    explained: np.ndarray
+    mean: np.ndarray
     vec_col: str
     normalize: bool
 
-    @property
-    def components(self) -> np.ndarray:
-        """Loadings, one column per component."""
-        return self.model.pc.toArray() * self.signs
+    def project(self, df: DataFrame, names: list[str]) -> DataFrame:
+        """Add one centred score column per component; row-wise."""
+        loadings, shift = self.components, self.mean @ self.components
 
-    @property
-    def explained(self) -> np.ndarray:
-        return self.model.explainedVariance.toArray()
+        @F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
+        def scores(batch: pa.Array) -> pa.Array:
+            points = vectors.as_matrix(batch)
+            found = points @ loadings - shift if len(points) else np.empty((0, len(shift)))
+            return vectors.as_list_array(found.ravel(), np.full(len(found), len(shift)))
 
-    def project(self, df: DataFrame, names: list[str]) -> DataFrame:
-        """Add one score column per component; row-wise."""
-        ready = df if FEATURES in df.columns else with_features(df, self.vec_col, self.normalize)
-        scored = self.model.transform(ready).withColumn("__raw", vector_to_array(self.model.getOutputCol()))
-        columns = {
-            name: (F.col("__raw")[i] - F.lit(float(self.shift[i]))) * F.lit(float(self.signs[i]))
-            for i, name in enumerate(names)
-        }
-        out = scored.withColumns(columns).drop("__raw", self.model.getOutputCol())
-        return out if FEATURES in df.columns else out.drop(FEATURES)
+        scored = df.withColumn("__scores", scores(prepared(self.vec_col, self.normalize)))
+        return scored.withColumns({name: F.col("__scores")[i] for i, name in enumerate(names)}).drop("__scores")
 
 
 def pca(df: DataFrame, n_components: int = 2, vec_col: str = "emb", normalize: bool = True) -> Projection:
-    """Fit principal components. MLlib neither centres scores nor fixes signs, so both are added: the
-    entry of largest magnitude of each component is positive."""
-    ready = df if FEATURES in df.columns else with_features(df, vec_col, normalize)
-    model = PCA(k=n_components, inputCol=FEATURES, outputCol="__scores").fit(ready.select(FEATURES))
-    mean = ready.select(Summarizer.mean(F.col(FEATURES))).first()[0].toArray()
-    loadings = model.pc.toArray()
-    largest = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]
-    return Projection(model, mean @ loadings, np.where(largest < 0, -1.0, 1.0), vec_col, normalize)
+    """Principal components of the covariance. The entry of largest magnitude of each one is positive."""
+    found = moments(df, vec_col, normalize)
+    if not 1 <= n_components <= min(found.n, len(found.mean)):
+        raise ValueError(f"n_components={n_components} needs at least as many rows and elements")
+    values, axes = np.linalg.eigh(found.covariance)
+    order = np.argsort(values)[::-1][:n_components]
+    loadings = axes[:, order]
+    largest = loadings[np.abs(loadings).argmax(axis=0), np.arange(n_components)]
+    variance = max(values.sum(), np.finfo(float).tiny)
+    return Projection(
+        loadings * np.where(largest < 0, -1.0, 1.0), values[order] / variance, found.mean, vec_col, normalize
+    )
 
 
 def mean_vector(df: DataFrame, vec_col: str = "emb", normalize: bool = True) -> DataFrame:
     """``(pos, mean)`` per vector element."""
-    mean = with_features(df, vec_col, normalize).select(Summarizer.mean(F.col(FEATURES)).alias("m"))
+    mean = df.select(Summarizer.mean(array_to_vector(prepared(vec_col, normalize))).alias("m"))
     return mean.select(F.posexplode(vector_to_array("m")).alias("pos", "mean"))
 
 
 def covariance(df: DataFrame, vec_col: str = "emb", normalize: bool = True) -> DataFrame:
-    """``(i, j, cov)`` for i <= j: the sample covariance of vector elements.
-
-    The width of the vectors bounds the result; the sums are combined in a tree over the tasks.
-    """
-    features = with_features(df, vec_col, normalize).select(FEATURES)
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(features, FEATURES)).computeCovariance().toArray()
+    """``(i, j, cov)`` for i <= j: the sample covariance of vector elements."""
+    matrix = moments(df, vec_col, normalize).covariance
     i, j = np.triu_indices(len(matrix))
-    rows = list(zip(i.tolist(), j.tolist(), matrix[i, j].tolist()))
-    return df.sparkSession.createDataFrame(rows, "i int, j int, cov double")
+    upper = pa.table({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "cov": pa.array(matrix[i, j])})
+    return df.sparkSession.createDataFrame(upper)

@@ -97,34 +97,30 @@ def tree_lines(
 ) -> DataFrame:
     """``(line_no, line)``: the pruned tree as text.
 
-    Each level takes its prefix and sort key from the level above. Top-level names carry no connector.
+    Every node looks up its ancestors in one join and collects at most one entry per level: whether each is
+    the last of its siblings gives the prefix, their ranks give the order. Top-level names carry no connector.
     """
-    shown = len(levels) if max_depth is None else max_depth
-    nodes = cut_lineage(sibling_order(pruned(df, levels, shown, min_count), levels))
-    label = F.concat(F.col("name"), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
-    level = nodes.filter(F.col("depth") == 1).select(
-        "path", F.array("rank").alias("key"), F.lit("").alias("below"), label.alias("line")
+    nodes = cut_lineage(sibling_order(pruned(df, levels, max_depth, min_count), levels))
+    label = F.concat("name", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    wanted = nodes.select(
+        "path", label.alias("label"), F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("level")
+    ).withColumn("ancestor", F.slice("path", F.lit(1), F.col("level")))
+    known = nodes.select(F.col("path").alias("ancestor"), "rank", "is_last")
+    entry = F.struct("level", "rank", "is_last")
+    lines = (
+        wanted.join(known, "ancestor")
+        .groupBy("path")
+        .agg(F.first("label").alias("label"), F.array_sort(F.collect_list(entry)).alias("chain"))
     )
-    parts = [level]
-    for depth in range(2, shown + 1):
-        above = level.select(F.col("path").alias("parent"), F.col("key").alias("above_key"), "below")
-        last = F.col("is_last")
-        level = (
-            nodes.filter(F.col("depth") == depth)
-            .join(above, "parent")
-            .select(
-                "path",
-                F.concat("above_key", F.array("rank")).alias("key"),
-                F.concat("below", F.when(last, "    ").otherwise("│   ")).alias("next"),
-                F.concat("below", F.when(last, "└── ").otherwise("├── "), label).alias("line"),
-            )
-            .withColumnRenamed("next", "below")
-        )
-        parts.append(level)
-    lines = parts[0].select("key", "line")
-    for part in parts[1:]:
-        lines = lines.unionByName(part.select("key", "line"))
-    return with_row_index(lines, [F.col("key")], "line_no").select("line_no", "line")
+    depth = F.size("chain")
+    above = F.slice("chain", F.lit(2), F.greatest(depth - 2, F.lit(0)))
+    bars = F.array_join(F.transform(above, lambda e: F.when(e["is_last"], "    ").otherwise("│   ")), "")
+    own = F.element_at("chain", -1)["is_last"]
+    connector = F.when(depth == 1, "").when(own, "└── ").otherwise("├── ")
+    shown = lines.select(
+        F.col("chain.rank").alias("key"), F.concat(bars, connector, F.col("label")).alias("line")
+    )
+    return with_row_index(shown, [F.col("key")], "line_no").select("line_no", "line")
 
 
 def restrict_to_cluster(

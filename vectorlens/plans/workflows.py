@@ -11,7 +11,6 @@ from vectorlens.functions.predicates import quoted
 from vectorlens.functions.scalars import basename
 from vectorlens.operators import clustering, layout, projection
 from vectorlens.operators.ordering import with_row_index
-from vectorlens.operators.preparation import FEATURES, kept, with_features
 from vectorlens.sources.sinks import write_labelled
 from vectorlens.sources.tables import load_embeddings
 
@@ -55,16 +54,12 @@ def cluster_and_project(
     """K-Means in the full space, then two coordinates for display.
 
     Output: id, ``x, y, cluster`` (text), and with a path column ``image_path, file_name``; ``idx`` on
-    request. Both fits read one kept copy of the prepared vectors; labels and linear scores are added row by
-    row to the same scan.
+    request. Labels and linear scores are added row by row to one scan, so no join is needed.
     """
     name = checked_method(method)
-    with kept(with_features(df.select(quoted(vec_col)), vec_col).select(FEATURES)) as features:
-        clusters = clustering.kmeans(features, k, vec_col, seed)
-        linear = projection.pca(features, 2, vec_col) if name == "PCA" else None
-    labelled = clusters.label(with_features(df, vec_col), "__label")
-    if linear is not None:
-        scored = linear.project(labelled, ["x", "y"])
+    labelled = clustering.kmeans(df, k, vec_col, seed).label(df, "__label")
+    if name == "PCA":
+        scored = projection.pca(df, 2, vec_col).project(labelled, ["x", "y"])
     else:
         scored = labelled.join(layout.neighbour_layout(df, name, id_col, vec_col, seed=seed or 0), id_col)
     columns = [quoted(id_col), F.col("x"), F.col("y"), F.col("__label").cast("string").alias("cluster")]
@@ -93,16 +88,13 @@ def batch_frame(
         raise ValueError("the neighbour layout has two components")
     dims = [f"dim_{i + 1}" for i in range(components)]
 
-    with kept(with_features(df.select(quoted(vec_col)), vec_col, normalize).select(FEATURES)) as features:
-        clusters = clustering.kmeans(features, k, vec_col, seed, normalize)
-        linear = projection.pca(features, components, vec_col, normalize) if method == "pca" else None
-    labelled = clusters.label(with_features(df, vec_col, normalize), "__label")
-    if linear is not None:
-        scored = linear.project(labelled, dims)
+    labelled = clustering.kmeans(df, k, vec_col, seed, normalize).label(df, "__label")
+    if method == "pca":
+        scored = projection.pca(df, components, vec_col, normalize).project(labelled, dims)
     else:
         placed = layout.neighbour_layout(df, "UMAP", id_col, vec_col, seed=seed)
         scored = labelled.join(placed.withColumnsRenamed({"x": "dim_1", "y": "dim_2"}), id_col)
-    taken = {FEATURES, vec_col, "__label", "cluster_label", *dims}
+    taken = {vec_col, "__label", "cluster_label", *dims}
     metadata = [quoted(c) for c in df.columns if c not in taken]
     return scored.select(*metadata, *dims, F.col("__label").cast("string").alias("cluster_label"))
 
