@@ -1,8 +1,10 @@
 import os
+import sys
 
 import numpy as np
 import pytest
 from conftest import values
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from vectorlens.sources import images, sinks, tables
@@ -63,7 +65,7 @@ def folder(tmp_path):
     (root / "sub").mkdir(parents=True)
     (root / "a.JPG").write_bytes(b"aaa")
     (root / "b.txt").write_bytes(b"text")
-    (root / "broken.png").write_bytes(b"")
+    (root / "broken.png").write_bytes(b"?")
     (root / "sub" / "c.png").write_bytes(b"cc")
     return str(root)
 
@@ -78,10 +80,13 @@ def test_list_image_files(spark, folder):
     assert names(images.list_image_files(spark, folder, (".txt",))) == ["b.txt"]
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def byte_encoder():
     def encode(contents):
         assert len(contents) <= 2
-        return [np.array([len(c), c[0]]) if c else None for c in contents]
+        return [np.array([len(c), c[0]]) if c != b"?" else None for c in contents]
 
     return encode
 

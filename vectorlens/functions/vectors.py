@@ -19,17 +19,17 @@ MIN_NORM = 1e-10
 VECTOR = T.ArrayType(T.FloatType())
 
 
-def flat_values(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenated float32 elements of a list array and the length of each row (null row = 0)."""
+def flat_values(vectors: pa.Array, stored: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenated elements of a list array, in the stored precision, and the length of each row (null row = 0)."""
     lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     with np.errstate(over="ignore"):
-        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(stored)
     return values, lengths
 
 
-def as_matrix(vectors: pa.Array) -> np.ndarray:
+def as_matrix(vectors: pa.Array, stored: type = np.float32) -> np.ndarray:
     """Rows as a double matrix. Ragged or null rows are an error."""
-    values, lengths = flat_values(vectors)
+    values, lengths = flat_values(vectors, stored)
     if len(lengths) == 0:
         return np.empty((0, 0))
     if vectors.null_count or lengths.min() != lengths.max():
@@ -127,12 +127,12 @@ def distance2_to_own(vector: Column, label: Column, labels: list[str], centers:
     return distance(vector, label.cast("string"))
 
 
-def distance2(left: Column, right: Column) -> Column:
-    """Squared distance of two vector columns of equal width."""
+def distance2(vector: Column, center: Column) -> Column:
+    """Squared distance of a vector column to a column of double centers of equal width."""
 
     @F.arrow_udf(returnType=T.DoubleType())
-    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = as_matrix(a), as_matrix(b)
+    def distance(points: pa.Array, centers: pa.Array) -> pa.Array:
+        x, y = as_matrix(points), as_matrix(centers, np.float64)
         return pa.array(((x - y) ** 2).sum(axis=1) if len(x) else np.empty(0))
 
-    return distance(left, right)
+    return distance(vector, center)

@@ -50,7 +50,7 @@ def with_center_distance(df: DataFrame, label_col: str, vec_col: str = "emb", na
         centers = np.array([r["__mean"].toArray() for r in found])
         distance = vectors.distance2_to_own(quoted(vec_col), label, [r["__name"] for r in found], centers)
         return df.filter(label.isNotNull()).withColumn(name, distance)
-    arrays = means.withColumn("__mean", vector_to_array("__mean", "float32"))
+    arrays = means.withColumn("__mean", vector_to_array("__mean"))
     joined = df.withColumn("__name", label).join(arrays, "__name")
     return joined.withColumn(name, vectors.distance2(quoted(vec_col), F.col("__mean"))).drop("__name", "__mean")
 

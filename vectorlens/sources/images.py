@@ -37,6 +37,7 @@ def image_files(
     """``(path, content)`` of the image files. Content is read only by plans that use it.
 
     Spark lists the tree either way; without ``recursive`` only files directly in the folder are kept.
+    Files of length zero are skipped by Spark's file sources; they hold no image.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     files = files.filter(has_extension("path", extensions)).select("path", "content")
