@@ -56,7 +56,7 @@ def purity_entropy(spark, sf):
 
 
 def composition(spark, sf):
-    return _rounded(evaluation.composition(_embeddings(spark, sf), "cluster", "kind"), "pct")
+    return _rounded(evaluation.composition(_embeddings(spark, sf), "cluster", "kind").drop("is_last"), "pct")
 
 
 def composition_tree(spark, sf):
@@ -129,5 +129,34 @@ QUERIES = {
         FROM cells
         """,
     ),
-    "composition_tree": (composition_tree, None),
+    "composition_tree": (
+        composition_tree,
+        f"""
+        WITH {_EMBEDDINGS}, {_CELLS},
+        totals AS (
+          SELECT cluster, CAST(sum(n) AS BIGINT) AS total, max(n) AS top, CAST(cluster AS BIGINT) AS number FROM cells GROUP BY cluster
+        ),
+        r AS (
+          SELECT *, n::DOUBLE / total AS p, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, category) AS place,
+                 count(*) OVER (PARTITION BY cluster) AS size, number = (SELECT max(number) FROM totals) AS last
+          FROM cells JOIN totals USING (cluster)
+        ),
+        heads AS (
+          SELECT number, 0 AS place, CASE WHEN any_value(last) THEN '└── ' ELSE '├── ' END || printf(
+                   'Cluster %s  [%d pts]  purity: %.0f%%  entropy: %.2f', any_value(cluster), any_value(total),
+                   max(p) * 100, log2(any_value(total)) - sum(n * log2(n)) / any_value(total)) AS line
+          FROM r GROUP BY number
+        ),
+        entries AS (
+          SELECT number, place, CASE WHEN last THEN '    ' ELSE '│   ' END || CASE WHEN place = size THEN '└─ ' ELSE '├─ ' END
+                 || printf('%-20s %4d  %5.1f%%', category, n, p * 100) AS line FROM r
+        ),
+        title AS (
+          SELECT -3 AS number, 0 AS place, printf('KMeans Clustering Summary (%d points, %d clusters)', CAST(sum(total) AS BIGINT), count(*)) AS line FROM totals
+          UNION ALL SELECT -2, 0, 'Compared against: kind' UNION ALL SELECT -1, 0, ''
+        )
+        SELECT row_number() OVER (ORDER BY number, place) - 1 AS line_no, line
+        FROM (SELECT * FROM title UNION ALL SELECT * FROM heads UNION ALL SELECT * FROM entries)
+        """,
+    ),
 }

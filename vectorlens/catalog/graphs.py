@@ -26,7 +26,7 @@ def knn_graph_blocks(spark, sf):
 
 
 def _with_copies(spark, sf):
-    """Vectors by label only up to an offset: many exact copies."""
+    """Every third vector replaced by the first one of its label: many exact copies."""
     rows = table(spark, sf, "embeddings")
     firsts = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("shared"))
     return rows.join(firsts, "label").select(
@@ -39,7 +39,8 @@ def knn_graph_copies(spark, sf):
 
 
 def fuzzy_weights(spark, sf):
-    return neighbours.fuzzy_weights(neighbours.knn_graph(_embeddings(spark, sf), 15, "vec_id", "embedding"))
+    weights = neighbours.fuzzy_weights(neighbours.knn_graph(_embeddings(spark, sf), 15, "vec_id", "embedding"))
+    return weights.withColumn("w", F.round("w", 6))
 
 
 def perplexity_affinity(spark, sf):
@@ -47,7 +48,8 @@ def perplexity_affinity(spark, sf):
     n = rows.count()
     perplexity = neighbours.tsne_perplexity(n)
     graph = neighbours.knn_graph(rows, min(n - 1, 3 * perplexity), "vec_id", "embedding")
-    return neighbours.perplexity_affinities(graph, n, perplexity)
+    affinities = neighbours.perplexity_affinities(graph, n, perplexity)
+    return affinities.withColumn("p", F.round(F.col("p") * n, 6))
 
 
 def neighbor_layout_umap(spark, sf):
@@ -58,9 +60,9 @@ def neighbor_layout_tsne(spark, sf):
     return layout.neighbour_layout(_embeddings(spark, sf), "TSNE", "vec_id", "embedding", iterations=5)
 
 
-def _knn(source: str, k: int) -> str:
+def _edges(source: str, k: str) -> str:
     return f"""
-    WITH {source},
+    {source},
     long AS (SELECT vec_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM rows),
     norms AS (SELECT vec_id, greatest(sqrt(sum(x * x)), 1e-10) AS norm FROM long GROUP BY vec_id),
     v AS (
@@ -68,11 +70,69 @@ def _knn(source: str, k: int) -> str:
       FROM long JOIN norms USING (vec_id) GROUP BY vec_id
     ),
     d AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.v, b.v) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d)
-    SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM r WHERE rank <= {k}
+    r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d),
+    edges AS (SELECT src, dst, rank, dist FROM r WHERE rank <= {k})
+    """
+
+
+def _knn(source: str, k: int) -> str:
+    return f"""
+    WITH {_edges(source, str(k))}
+    SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM edges
+    """
+
+
+def _bisected(level: str, target: str) -> str:
+    """Find per row the scale ``s`` where the rising ``level`` of the list ``g`` meets the target, by halving."""
+    return f"""
+    steps AS (
+      SELECT src, g, target, 0.0::DOUBLE AS lo, 'inf'::DOUBLE AS hi, 1.0::DOUBLE AS s, 0 AS step FROM lists
+      UNION ALL
+      SELECT src, g, target, lo, hi, CASE WHEN isinf(hi) THEN least(s * 2, 1e30) ELSE (lo + hi) / 2 END, step + 1
+      FROM (
+        SELECT src, g, target, s, step, CASE WHEN {level} > {target} THEN lo ELSE s END AS lo,
+               CASE WHEN {level} > {target} THEN s ELSE hi END AS hi
+        FROM steps WHERE step < 100
+      )
+    ),
+    scales AS (SELECT src, s FROM steps WHERE step = 100)
     """
 
 
+_FUZZY = f"""
+WITH RECURSIVE {_edges("rows AS (SELECT vec_id, embedding FROM embeddings)", "15")},
+rho AS (SELECT src, coalesce(min(dist) FILTER (dist > 0), 0) AS rho FROM edges GROUP BY src),
+gaps AS (SELECT src, dst, rank, greatest(dist - rho, 0) AS gap FROM edges JOIN rho USING (src)),
+lists AS (SELECT src, list(gap ORDER BY rank) AS g, log2(count(*)) AS target FROM gaps GROUP BY src),
+{_bisected("list_sum(list_transform(g, lambda x: exp(-x / s)))", "target")},
+w AS (SELECT src, dst, exp(-gap / s) AS w FROM gaps JOIN scales USING (src)),
+pairs AS (SELECT src, dst, w FROM w UNION ALL SELECT dst, src, w FROM w)
+SELECT src, dst, round(sum(w) - CASE WHEN count(*) = 2 THEN min(w) * max(w) ELSE 0 END, 6) AS w FROM pairs GROUP BY src, dst
+"""
+
+# With p proportional to exp(-x / s), the entropy is ln(sum exp(-x / s)) + mean of x / s under p.
+_ENTROPY = """(
+  ln(list_sum(list_transform(g, lambda x: exp(-x / s))))
+  + list_sum(list_transform(g, lambda x: x / s * exp(-x / s))) / list_sum(list_transform(g, lambda x: exp(-x / s)))
+)"""
+_PERPLEXITY = f"""
+WITH RECURSIVE {_edges(
+    "rows AS (SELECT vec_id, embedding FROM embeddings), "
+    "size AS (SELECT count(*) AS n, least(30, greatest(5, count(*) // 3)) AS perplexity FROM rows)",
+    "(SELECT least(n - 1, 3 * perplexity) FROM size)",
+)},
+gaps AS (SELECT src, dst, rank, dist * dist - min(dist * dist) OVER (PARTITION BY src) AS gap FROM edges),
+lists AS (
+  SELECT src, list(gap ORDER BY rank) AS g, ln(least((SELECT perplexity FROM size), count(*))) AS target FROM gaps GROUP BY src
+),
+{_bisected(_ENTROPY, "target")},
+raw AS (SELECT src, dst, exp(-gap / s) AS e FROM gaps JOIN scales USING (src)),
+w AS (SELECT src, dst, e / sum(e) OVER (PARTITION BY src) AS w FROM raw),
+pairs AS (SELECT src, dst, w FROM w UNION ALL SELECT dst, src, w FROM w)
+SELECT src, dst, round(sum(w) / 2, 6) AS p FROM pairs GROUP BY src, dst
+"""
+
+
 _ROWS = "rows AS (SELECT vec_id, embedding FROM embeddings)"
 _COPIES = """
 firsts AS (SELECT label, arg_min(embedding, vec_id) AS shared FROM embeddings GROUP BY label),
@@ -85,8 +145,8 @@ QUERIES = {
     "knn_graph": (knn_graph, _knn(_ROWS, 15)),
     "knn_graph_blocks": (knn_graph_blocks, _knn(_ROWS, 15)),
     "knn_graph_copies": (knn_graph_copies, _knn(_COPIES, 5)),
-    "fuzzy_weights": (fuzzy_weights, None),
-    "perplexity_affinity": (perplexity_affinity, None),
+    "fuzzy_weights": (fuzzy_weights, _FUZZY),
+    "perplexity_affinity": (perplexity_affinity, _PERPLEXITY),
     "neighbor_layout_umap": (neighbor_layout_umap, None),
     "neighbor_layout_tsne": (neighbor_layout_tsne, None),
 }

@@ -55,6 +55,10 @@ def profile_embeddings(spark, sf):
     return _rounded(profile.profile(table(spark, sf, "embeddings")))
 
 
+def class_counts(spark, sf):
+    return profile.class_counts(_documents(spark, sf))
+
+
 def value_counts(spark, sf):
     return profile.value_counts(_documents(spark, sf))
 
@@ -184,6 +188,7 @@ QUERIES = {
         profile_embeddings,
         _facts("embeddings", [(0, "vec_id", "numeric", "vec_id"), (1, "label", "numeric", "label")]),
     ),
+    "class_counts": (class_counts, f"SELECT type, count(*) AS n FROM ({_DOCUMENT_FACTS}) GROUP BY type"),
     "value_counts": (
         value_counts,
         """

@@ -107,7 +107,7 @@ def _nodes(condition: str = "TRUE") -> str:
     listed AS (SELECT list_filter([l1, l2, l3, l4, l5, l6, l7], lambda x: x IS NOT NULL) AS p, n FROM rolled),
     nodes AS (
       SELECT CAST(len(p) AS INTEGER) AS depth, array_to_string(p, ' > ') AS path,
-             array_to_string(p[1:len(p) - 1], ' > ') AS parent, p[len(p)] AS name, n FROM listed
+             array_to_string(p[1:len(p) - 1], ' > ') AS parent, p[len(p)] AS name, p, n FROM listed
     )
     """
 
@@ -172,5 +172,29 @@ QUERIES = {
         FROM (SELECT DISTINCT substr(o_orderpriority, 1, 1) AS c FROM orders)
         """,
     ),
-    "tax_tree_lines": (tax_tree_lines, None),
+    "tax_tree_lines": (
+        tax_tree_lines,
+        f"""
+        WITH {_pruned(MIN_COUNT)},
+        ranked AS (
+          SELECT *, CASE WHEN depth = 7 THEN -n ELSE 0 END AS weight,
+                 row_number() OVER (PARTITION BY depth, parent ORDER BY CASE WHEN depth = 7 THEN -n ELSE 0 END DESC, name DESC) = 1 AS last
+          FROM pruned
+        ),
+        places AS (
+          SELECT path, level, array_to_string(p[1:level], ' > ') AS place
+          FROM (SELECT path, p, unnest(generate_series(1, depth)) AS level FROM ranked)
+        ),
+        bars AS (
+          SELECT places.path, string_agg(CASE WHEN level = 1 OR level = own.depth THEN ''
+                   WHEN up.last THEN '    ' ELSE '│   ' END, '' ORDER BY level) AS bar
+          FROM places JOIN ranked up ON up.path = places.place JOIN ranked own ON own.path = places.path GROUP BY places.path
+        )
+        SELECT row_number() OVER (ORDER BY p[1], p[2] NULLS FIRST, p[3] NULLS FIRST, p[4] NULLS FIRST, p[5] NULLS FIRST,
+                 p[6] NULLS FIRST, CASE WHEN depth = 7 THEN weight END NULLS FIRST, p[7] NULLS FIRST) - 1 AS line_no,
+               bar || CASE WHEN depth = 1 THEN '' WHEN last THEN '└── ' ELSE '├── ' END
+               || name || ' (' || CAST(n AS VARCHAR) || ')' AS line
+        FROM ranked JOIN bars USING (path)
+        """,
+    ),
 }

@@ -24,3 +24,9 @@ def nan_to_null(column: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(column), column)
     return column
+
+
+def fixed(number: Column, digits: int) -> Column:
+    """Number with a fixed count of decimals, rounded half-even on its binary value, without grouping."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", number.cast("double"), F.lit(pattern))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorlens.functions.predicates import quoted
-from vectorlens.functions.scalars import MISSING, category
+from vectorlens.functions.scalars import MISSING, category, fixed
+from vectorlens.operators.ordering import with_group_rank, with_row_index
 
 # Fixed value: double rounding unit, below which mutual information counts as zero.
 EPSILON = 2.220446049250313e-16
@@ -26,26 +27,31 @@ def row_counts(df: DataFrame, category_col: str) -> DataFrame:
 
 
 def _margins(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
-    """One row of sums over the contingency table, its margins and its total, without joining them.
+    """One row of sums over the contingency table, its margins and its totals, from a single scan.
 
-    Grouping sets over the small table give cell, row, column and grand counts at once.
+    Grouping sets over the small table give cell, row, column and grand counts at once, without a join.
     """
-    cells = contingency(df, label_col, category_col).filter(F.col("category") != MISSING)
+    cells = contingency(df, label_col, category_col).withColumn("known", F.col("category") != MISSING)
     grouped = cells.groupingSets(
-        [["cluster", "category"], ["cluster"], ["category"], []], "cluster", "category"
-    ).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
-    names = {0: "cell", 1: "row", 2: "col", 3: "all"}
+        [["known", "cluster", "category"], ["known", "cluster"], ["known", "category"], ["known"]],
+        "known", "cluster", "category",
+    ).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    names = {0: "cell", 1: "row", 2: "col"}
+    square = F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")
     sums: list[Column] = []
     for level, name in names.items():
-        at = F.col("level") == level
-        square = F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")
+        at = F.col("known") & (F.col("level") == level)
         sums += [
             F.sum(F.when(at, square)).cast("double").alias(f"{name}_sq"),
             F.sum(F.when(at, F.col("n") * F.log(F.col("n").cast("double")))).alias(f"{name}_log"),
-            F.count_if(at & (F.col("n") > 0)).alias(f"{name}_groups"),
+            F.count_if(at).alias(f"{name}_groups"),
         ]
-    total = F.coalesce(F.max(F.when(F.col("level") == 3, F.col("n"))), F.lit(0)).alias("n")
-    return grouped.agg(total, *sums)
+    total = F.col("level") == 3
+    return grouped.agg(
+        F.coalesce(F.sum(F.when(total & F.col("known"), F.col("n"))), F.lit(0)).alias("evaluated"),
+        F.coalesce(F.sum(F.when(total & ~F.col("known"), F.col("n"))), F.lit(0)).alias("excluded"),
+        *sums,
+    )
 
 
 def agreement(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
@@ -53,7 +59,7 @@ def agreement(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
 
     ARI is the pair-count form; NMI normalizes by the mean of both entropies.
     """
-    n = F.col("n").cast("double")
+    n = F.col("evaluated").cast("double")
     tp = F.col("cell_sq") - n
     fp = F.col("col_sq") - F.col("cell_sq")
     fn = F.col("row_sq") - F.col("cell_sq")
@@ -73,14 +79,10 @@ def agreement(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
         .when(shared <= noise, F.lit(0.0))
         .otherwise(F.try_divide(shared, (h_row + h_col) / 2.0))
     )
-    known = F.col("n") > 0
-    metrics = _margins(df, label_col, category_col).select(
-        F.when(known, ari).alias("ari"), F.when(known, nmi).alias("nmi")
+    known = F.col("evaluated") > 0
+    return _margins(df, label_col, category_col).select(
+        "evaluated", "excluded", F.when(known, ari).alias("ari"), F.when(known, nmi).alias("nmi")
     )
-    # Both sides are single aggregate rows.
-    return row_counts(df, category_col).withColumn("__one", F.lit(1)).join(
-        metrics.withColumn("__one", F.lit(1)), "__one"
-    ).drop("__one")
 
 
 def purity_entropy(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
@@ -98,18 +100,22 @@ def purity_entropy(df: DataFrame, label_col: str, category_col: str) -> DataFram
 
 
 def composition(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
-    """``(cluster, category, n, pct, rank)``: categories by descending count, ties by name."""
+    """``(cluster, category, n, pct, rank, is_last)``: categories by descending count, ties by name."""
     cells = contingency(df, label_col, category_col)
-    by_cluster = Window.partitionBy("cluster")
-    rank = F.row_number().over(by_cluster.orderBy(F.desc("n"), "category"))
-    share = F.col("n") * 100.0 / F.sum("n").over(by_cluster)
-    return cells.select("cluster", "category", "n", share.alias("pct"), rank.alias("rank"))
+    ranked = with_group_rank(cells, "cluster", [F.desc("n"), F.col("category")])
+    totals = cells.groupBy("cluster").agg(F.sum("n").alias("total"))
+    return ranked.join(totals, "cluster").select(
+        "cluster",
+        "category",
+        "n",
+        (F.col("n") / F.col("total") * 100.0).alias("pct"),
+        F.col("rank").cast("int").alias("rank"),
+        (F.col("rank") == F.col("size")).alias("is_last"),
+    )
 
 
 def composition_tree(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
     """``(line_no, line)``: the composition rendered as a tree, one block per cluster in numeric order."""
-    from vectorlens.operators.ordering import with_row_index
-
     rows = composition(df, label_col, category_col)
     stats = purity_entropy(df, label_col, category_col).withColumn("number", F.col("cluster").cast("long"))
     facts = stats.agg(
@@ -119,22 +125,21 @@ def composition_tree(df: DataFrame, label_col: str, category_col: str) -> DataFr
         return df.sparkSession.createDataFrame([], "line_no long, line string")
     last_cluster = F.col("number") == F.lit(facts["last"])
     headline = F.format_string(
-        "Cluster %s  [%d pts]  purity: %.0f%%  entropy: %.2f",
-        "cluster", "n", F.bround(F.col("purity") * 100), F.col("entropy"),
+        "Cluster %s  [%d pts]  purity: %s%%  entropy: %s",
+        "cluster", "n", fixed(F.col("purity") * 100, 0), fixed(F.col("entropy"), 2),
     )
     blocks = stats.select(
         F.col("number").alias("block"),
         F.lit(0).alias("row"),
         F.concat(F.when(last_cluster, "└── ").otherwise("├── "), headline).alias("line"),
     )
-    last_row = F.col("rank") == F.count(F.lit(1)).over(Window.partitionBy("cluster"))
     details = rows.withColumn("number", F.col("cluster").cast("long")).select(
         F.col("number").alias("block"),
         F.col("rank").alias("row"),
         F.concat(
             F.when(last_cluster, "    ").otherwise("│   "),
-            F.when(last_row, "└─ ").otherwise("├─ "),
-            F.format_string("%-20s %4d  %5.1f%%", "category", "n", "pct"),
+            F.when(F.col("is_last"), "└─ ").otherwise("├─ "),
+            F.format_string("%-20s %4d  %5s%%", F.col("category"), F.col("n"), fixed(F.col("pct"), 1)),
         ).alias("line"),
     )
     title = [

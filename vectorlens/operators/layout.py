@@ -24,6 +24,8 @@ NEGATIVES = 5.0
 # Largest move of a point in one round, as a share of the layout's half width.
 MAX_STEP = 0.25
 HALF_WIDTH = 10.0
+# Points compared with all cells at once inside a task.
+CHUNK = 512
 
 
 def _pull(method: str, d2: Column) -> Column:
@@ -39,20 +41,24 @@ def _push(method: str, x: Column, y: Column, cells: np.ndarray) -> Column:
     schema = T.StructType([T.StructField(n, T.DoubleType()) for n in ("fx", "fy")])
     mass, mx, my = cells[:, 0], cells[:, 1], cells[:, 2]
 
-    @F.arrow_udf(returnType=schema)
-    def repulsion(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        px, py = xs.to_numpy(zero_copy_only=False), ys.to_numpy(zero_copy_only=False)
+    def push(px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         dx, dy = px[:, None] - mx[None, :], py[:, None] - my[None, :]
         d2 = dx * dx + dy * dy
         if method == "TSNE":
-            near = 1.0 / (1.0 + d2)
-            force = mass * near * near
+            force = mass / (1.0 + d2) ** 2
         else:
             force = mass * 2.0 * CURVE_B / ((0.001 + d2) * (1.0 + CURVE_A * d2**CURVE_B))
             force = np.minimum(force, mass * 4.0 / np.sqrt(d2 + 1e-12))
-        return pa.StructArray.from_arrays(
-            [pa.array((force * dx).sum(axis=1)), pa.array((force * dy).sum(axis=1))], names=["fx", "fy"]
-        )
+        return (force * dx).sum(axis=1), (force * dy).sum(axis=1)
+
+    @F.arrow_udf(returnType=schema)
+    def repulsion(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        px, py = xs.to_numpy(zero_copy_only=False), ys.to_numpy(zero_copy_only=False)
+        fx, fy = np.empty(len(px)), np.empty(len(px))
+        for start in range(0, len(px), CHUNK):
+            part = slice(start, start + CHUNK)
+            fx[part], fy[part] = push(px[part], py[part])
+        return pa.StructArray.from_arrays([pa.array(fx), pa.array(fy)], names=["fx", "fy"])
 
     return repulsion(x, y)
 

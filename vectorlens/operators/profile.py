@@ -111,6 +111,11 @@ def profile(df: DataFrame, reserved: set[str] = RESERVED) -> DataFrame:
     )
 
 
+def class_counts(df: DataFrame, reserved: set[str] = RESERVED) -> DataFrame:
+    """``(type, n)``: how many columns of each class a loaded table has."""
+    return profile(df, reserved).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def value_counts(df: DataFrame, reserved: set[str] = RESERVED) -> DataFrame:
     """``(column, value, n)`` of every categorical column, nulls left out."""
     facts = column_facts(df, reserved)

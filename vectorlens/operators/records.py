@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectorlens.functions.predicates import quoted
-from vectorlens.functions.scalars import MISSING, basename, nan_to_null
+from vectorlens.functions.scalars import MISSING, basename, fixed, nan_to_null
 from vectorlens.operators.ordering import with_row_index
 from vectorlens.operators.profile import RESERVED
 
@@ -74,7 +74,7 @@ def record_detail(df: DataFrame, id_col: str) -> DataFrame:
             continue
         column = nan_to_null(quoted(field.name), field.dataType)
         if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-            text = F.when(column.isNotNull(), F.format_string("%.4f", column))
+            text = fixed(column, 4)
         elif isinstance(field.dataType, T.ArrayType):
             text = F.when(column.isNotNull(), F.format_string("[%d items]", F.size(column)))
         else:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorlens.functions.predicates import quoted
-from vectorlens.operators.ordering import with_row_index
+from vectorlens.operators.ordering import with_group_rank, with_row_index
 from vectorlens.session import cut_lineage
 
 # The seven levels, and the name of a missing one.
@@ -80,15 +80,23 @@ def pruned(
     return merged.filter((tested >= min_count) & (F.col("depth") <= shown)).select("depth", "path", "n")
 
 
+def _own_order(levels: list[str]) -> Column:
+    """Sort key among siblings: by name, the lowest level by descending count and then name."""
+    by_count = F.when(F.col("depth") == len(levels), -F.col("n")).otherwise(F.lit(0).cast("long"))
+    return F.struct(by_count.alias("by_count"), F.element_at("path", -1).alias("name"))
+
+
 def sibling_order(nodes: DataFrame, levels: list[str] = LEVELS) -> DataFrame:
-    """Add ``parent, name, rank, is_last``: by name, the lowest level by descending count and then name."""
-    family = Window.partitionBy("parent")
-    by_count = F.when(F.col("depth") == len(levels), -F.col("n")).otherwise(F.lit(0))
-    return (
-        nodes.withColumn("parent", F.slice("path", F.lit(1), F.col("depth") - 1))
-        .withColumn("name", F.element_at("path", -1))
-        .withColumn("rank", F.row_number().over(family.orderBy(by_count, "name")))
-        .withColumn("is_last", F.col("rank") == F.count(F.lit(1)).over(family))
+    """Add ``name, rank, is_last``: the place of each node among the children of its parent."""
+    keyed = nodes.withColumn("parent", F.array_join(F.slice("path", F.lit(1), F.col("depth") - 1), "\u0000")).withColumn(
+        "own", _own_order(levels)
+    )
+    ranked = with_group_rank(keyed, "parent", [F.col("own")])
+    return ranked.select(
+        *nodes.columns,
+        F.col("own.name").alias("name"),
+        F.col("rank").cast("int").alias("rank"),
+        (F.col("rank") == F.col("size")).alias("is_last"),
     )
 
 
@@ -97,28 +105,35 @@ def tree_lines(
 ) -> DataFrame:
     """``(line_no, line)``: the pruned tree as text.
 
-    Every node looks up its ancestors in one join and collects at most one entry per level: whether each is
-    the last of its siblings gives the prefix, their ranks give the order. Top-level names carry no connector.
+    The last child of every parent is found by one grouping. Each node then looks up itself and its ancestors
+    among these (at most one entry per level), which gives its prefix. Top-level names carry no connector.
     """
-    nodes = cut_lineage(sibling_order(pruned(df, levels, max_depth, min_count), levels))
-    label = F.concat("name", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
-    wanted = nodes.select(
-        "path", label.alias("label"), F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("level")
-    ).withColumn("ancestor", F.slice("path", F.lit(1), F.col("level")))
-    known = nodes.select(F.col("path").alias("ancestor"), "rank", "is_last")
-    entry = F.struct("level", "rank", "is_last")
+    nodes = cut_lineage(pruned(df, levels, max_depth, min_count))
+    parent = F.slice("path", F.lit(1), F.col("depth") - 1)
+    lasts = (
+        nodes.groupBy(parent.alias("parent")).agg(F.max_by("path", _own_order(levels)).alias("place"))
+    ).select("place", F.lit(True).alias("is_last"))
+    label = F.concat(F.element_at("path", -1), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    places = nodes.select(
+        "path", "depth", "n", label.alias("label"), F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("level")
+    ).withColumn("place", F.slice("path", F.lit(1), F.col("level")))
+    entry = F.struct("level", F.coalesce("is_last", F.lit(False)).alias("is_last"))
     lines = (
-        wanted.join(known, "ancestor")
-        .groupBy("path")
-        .agg(F.first("label").alias("label"), F.array_sort(F.collect_list(entry)).alias("chain"))
+        places.join(lasts, "place", "left")
+        .groupBy("path", "depth", "n", "label")
+        .agg(F.array_sort(F.collect_list(entry)).alias("chain"))
     )
-    depth = F.size("chain")
+    depth = F.col("depth")
     above = F.slice("chain", F.lit(2), F.greatest(depth - 2, F.lit(0)))
     bars = F.array_join(F.transform(above, lambda e: F.when(e["is_last"], "    ").otherwise("│   ")), "")
-    own = F.element_at("chain", -1)["is_last"]
-    connector = F.when(depth == 1, "").when(own, "└── ").otherwise("├── ")
+    connector = F.when(depth == 1, "").when(F.element_at("chain", -1)["is_last"], "└── ").otherwise("├── ")
+    ancestors = F.transform(
+        F.slice("path", F.lit(1), depth - 1),
+        lambda name: F.struct(F.lit(0).cast("long").alias("by_count"), name.alias("name")),
+    )
     shown = lines.select(
-        F.col("chain.rank").alias("key"), F.concat(bars, connector, F.col("label")).alias("line")
+        F.concat(ancestors, F.array(_own_order(levels))).alias("key"),
+        F.concat(bars, connector, F.col("label")).alias("line"),
     )
     return with_row_index(shown, [F.col("key")], "line_no").select("line_no", "line")
 
