@@ -24,6 +24,9 @@ MAX_CELLS = 512
 MAX_HEAVY = 1000
 # Groups of copies below this size are never salted.
 HEAVY_ROWS = 10_000
+# Most partitions of the comparison stages. Their number is given, because a block is small but costly and
+# adaptive execution would merge blocks by size.
+MAX_PARTITIONS = 16_384
 # Queries compared at once with their shortlisted candidates inside a task.
 CHUNK = 256
 SLACK = 1e-9
@@ -118,6 +121,36 @@ def _own_block(centers: np.ndarray, radii: np.ndarray, k: int):
     return search
 
 
+def _within_reach(queries: np.ndarray, reach: np.ndarray, points: np.ndarray, k: int):
+    """Row and position of the points within each query's reach, at most the k nearest, with squared distances.
+
+    A query that has found close neighbours already meets few points in reach; those are picked by one
+    comparison with the product matrix. Only queries with more than k hits need a ranking.
+    """
+    rows, cols, dist = [], [], []
+    half_norms = (points * points).sum(axis=1) / 2.0
+    limit = ((queries * queries).sum(axis=1) - reach * reach) / 2.0 - SLACK
+    for start in range(0, len(queries), CHUNK):
+        part = queries[start : start + CHUNK]
+        product = part @ points.T
+        product -= half_norms
+        near = product >= limit[start : start + CHUNK, None]
+        crowded = near.sum(axis=1) > k
+        if crowded.any():
+            near[crowded] = False
+            found, value = _closest(part[crowded], points, k)
+            rows.append(np.repeat(np.flatnonzero(crowded) + start, found.shape[1]))
+            cols.append(found.ravel())
+            dist.append(value.ravel())
+        row, col = np.nonzero(near)
+        rows.append(row + start)
+        cols.append(col)
+        dist.append(((points[col] - part[row]) ** 2).sum(axis=1))
+    row, col, d2 = np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+    kept = np.sqrt(d2) <= reach[row] + SLACK
+    return row[kept], col[kept], d2[kept]
+
+
 def _other_block(k: int):
     """Queries from elsewhere against one block: the points within each query's present reach."""
 
@@ -127,16 +160,17 @@ def _other_block(k: int):
             return out.empty_table()
         block = block.sort_by("id").combine_chunks()
         queries = queries.combine_chunks()
-        where, dist = _closest(
-            vectors.as_matrix(queries["v"].combine_chunks()), vectors.as_matrix(block["v"].combine_chunks()), k
+        rows, cols, dist = _within_reach(
+            vectors.as_matrix(queries["v"].combine_chunks()),
+            queries["reach"].to_numpy(),
+            vectors.as_matrix(block["v"].combine_chunks()),
+            k,
         )
-        reach = queries["reach"].to_numpy()
-        rows, cols = np.nonzero(np.sqrt(dist) <= reach[:, None] + SLACK)
         return pa.table(
             [
                 queries["id"].combine_chunks().take(pa.array(rows)),
-                block["id"].combine_chunks().take(pa.array(where[rows, cols])),
-                pa.array(dist[rows, cols]),
+                block["id"].combine_chunks().take(pa.array(cols)),
+                pa.array(dist),
             ],
             schema=out,
         )
@@ -201,8 +235,10 @@ def knn_graph(
         near_id=T.ArrayType(id_field),
         near_d2=T.ArrayType(T.DoubleType()),
     )
+    n_blocks = sum(blocks_of.values())
     own = (
         in_blocks.select("id", "v", "cell", "blk", (F.col("copy") == 1).alias("is_query"))
+        .repartition(min(n_blocks, MAX_PARTITIONS), "cell", "blk")
         .groupBy("cell", "blk")
         .applyInArrow(_own_block(centers, radii, k + 1), own_schema)
     )
@@ -211,17 +247,20 @@ def knn_graph(
         "src", F.col("e.near_id").alias("dst"), F.col("e.near_d2").alias("d2")
     )
     found = near
-    if sum(blocks_of.values()) > 1:
+    if n_blocks > 1:
         found = near.unionByName(_search_other_blocks(own, in_blocks, blocks_of, block_rows, k, id_field))
 
     by_distance = Window.partitionBy("src").orderBy("d2", "dst")
     lists = found.withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= k + 1)
+    has_copies = any(cell["extra"] for cell in sizes)
+    if has_copies:
+        lists = cut_lineage(lists)
     # A query is the lowest id among its copies and so the first entry of its own list.
     edges = lists.filter(F.col("rank") > 1).select(
         "src", "dst", (F.col("rank") - 1).cast("int").alias("rank"), F.sqrt("d2").alias("dist")
     )
-    if any(cell["extra"] for cell in sizes):
-        edges = edges.unionByName(_edges_of_copies(cut_lineage(lists), points, placed, n, k))
+    if has_copies:
+        edges = edges.unionByName(_edges_of_copies(lists, points, placed, n, k))
     return edges
 
 
@@ -252,7 +291,9 @@ def _search_other_blocks(
     )
     schema = _schema(src=id_field, dst=id_field, d2=T.DoubleType())
     keys = ["cell", "blk", "chunk"]
-    return requests.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_other_block(k + 1), schema)
+    tasks = min(sum(blocks * chunks for _, blocks, chunks in plan), MAX_PARTITIONS)
+    asked, offered = (side.repartition(tasks, *keys).groupBy(*keys) for side in (requests, candidates))
+    return asked.cogroup(offered).applyInArrow(_other_block(k + 1), schema)
 
 
 def _edges_of_copies(lists: DataFrame, points: DataFrame, placed: DataFrame, n: int, k: int) -> DataFrame:

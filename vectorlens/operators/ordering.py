@@ -10,7 +10,10 @@ from vectorlens.session import cut_lineage
 
 def with_row_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     """Add ``0..n-1``: a range-partitioned sort plus per-partition offsets, all on the JVM side."""
-    return df.sort(*order).pandas_api().to_spark(index_col=name)
+    import pyspark.pandas as ps  # slow to import, and few operators need it
+
+    with ps.option_context("compute.default_index_type", "distributed-sequence"):
+        return df.sort(*order).pandas_api().to_spark(index_col=name)
 
 
 def with_group_rank(df: DataFrame, group: str, order: list[Column], rank: str = "rank", size: str = "size") -> DataFrame:

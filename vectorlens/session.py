@@ -24,13 +24,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and written tables: the one the cluster names, else a fresh local one.
+    """Folder for checkpoints and written tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The fallback is only reached where ``spark.checkpoint.dir`` is unset, i.e. in local tests.
+    Only a local session may go without; it gets a fresh folder of its own.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="vectorlens-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
