@@ -72,6 +72,12 @@ def test_missing_categories(spark):
     assert shares["0"]["entropy"] == pytest.approx(0.9182958)
 
 
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([("0", 1.0), ("0", float("nan")), ("1", None)], "k string, c double")
+    assert tuple(evaluation.row_counts(df, "c").first()) == (1, 2)
+    assert values(evaluation.contingency(df, "k", "c")) == [("0", "1.0", 1), ("0", "N/A", 1), ("1", "N/A", 1)]
+
+
 def test_nothing_to_evaluate(spark):
     row = evaluation.agreement(frame(spark, [("0", None), ("1", "N/A")]), "k", "c").first()
     assert tuple(row) == (0, 2, None, None)

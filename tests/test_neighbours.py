@@ -131,14 +131,17 @@ def test_layout_keeps_neighbours_better_than_its_start(vectors_frame, method):
     assert preserved(points, end) > preserved(points, start)
 
 
-def test_layout_with_heavy_vertices(vectors_frame, blobs, monkeypatch):
+def test_layout_joins_agree(vectors_frame, blobs, monkeypatch):
+    """Broadcast positions, joins by vertex, and separately joined heavy vertices give the same layout."""
     points, _ = blobs
     plain = layout.neighbour_layout(vectors_frame(points), iterations=2)
     expected = {r["uuid"]: (r["x"], r["y"]) for r in plain.collect()}
-    monkeypatch.setattr(layout, "HEAVY_DEGREE", 20)
-    monkeypatch.setattr(layout, "MAX_HEAVY", 100)
-    for r in layout.neighbour_layout(vectors_frame(points), iterations=2).collect():
-        assert (r["x"], r["y"]) == pytest.approx(expected[r["uuid"]])
+    monkeypatch.setattr(layout, "BROADCAST_ROWS", 0)
+    for degree in (20, 1000):
+        monkeypatch.setattr(layout, "HEAVY_DEGREE", degree)
+        monkeypatch.setattr(layout, "MAX_HEAVY", 100)
+        for r in layout.neighbour_layout(vectors_frame(points), iterations=2).collect():
+            assert (r["x"], r["y"]) == pytest.approx(expected[r["uuid"]])
 
 
 def test_layout_rejects_other_methods(vectors_frame, emb_10x32):

@@ -22,6 +22,17 @@ def test_project_keeps_metadata(vectors_frame, emb_10x32):
     assert workflows.reduce_vectors(df, "umap", iterations=1).columns == ["uuid", "emb", "tag", "x", "y"]
 
 
+@pytest.mark.parametrize("method", ["PCA", "UMAP"])
+def test_columns_named_like_results_are_replaced(vectors_frame, emb_10x32, method):
+    df = vectors_frame(emb_10x32).withColumns({c: F.lit("old") for c in ("x", "y", "cluster", "dim_1", "cluster_label")})
+    assert workflows.reduce_vectors(df, method, iterations=1).select("x").dtypes == [("x", "double")]
+    assert workflows.cluster_and_project(df, 2, "PCA").columns == ["uuid", "x", "y", "cluster"]
+    spec = {"method": method.lower(), "iterations": 1}
+    out = workflows.batch_frame(df, {"cluster_spec": {"n_clusters": 2}, "dim_reduction_spec": spec})
+    assert out.columns == ["uuid", "x", "y", "cluster", "dim_1", "dim_2", "cluster_label"]
+    assert out.select("dim_1").dtypes == [("dim_1", "double")]
+
+
 def test_unknown_method(vectors_frame, emb_10x32):
     for call in (workflows.reduce_vectors, lambda df, m: workflows.cluster_and_project(df, 2, m)):
         with pytest.raises(ValueError):

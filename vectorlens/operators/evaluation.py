@@ -6,23 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorlens.functions.predicates import quoted
-from vectorlens.functions.scalars import MISSING, category, fixed
+from vectorlens.functions.scalars import MISSING, category, fixed, nan_to_null
 from vectorlens.operators.ordering import with_group_rank, with_row_index
 
 # Fixed value: double rounding unit, below which mutual information counts as zero.
 EPSILON = 2.220446049250313e-16
 
 
+def _category(df: DataFrame, category_col: str) -> Column:
+    return category(nan_to_null(quoted(category_col), df.schema[category_col].dataType))
+
+
 def contingency(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
-    """``(cluster, category, n)``; missing metadata is the category ``N/A``."""
+    """``(cluster, category, n)``; missing metadata, NaN included, is the category ``N/A``."""
     return df.groupBy(
-        quoted(label_col).cast("string").alias("cluster"), category(quoted(category_col)).alias("category")
+        quoted(label_col).cast("string").alias("cluster"), _category(df, category_col).alias("category")
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def row_counts(df: DataFrame, category_col: str) -> DataFrame:
     """Rows that take part in the agreement metrics and rows left out as ``N/A``."""
-    known = category(quoted(category_col)) != MISSING
+    known = _category(df, category_col) != MISSING
     return df.agg(F.count_if(known).alias("evaluated"), F.count_if(~known).alias("excluded"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectorlens.functions.predicates import quoted
 from vectorlens.operators import neighbours
 from vectorlens.operators.projection import pca
 from vectorlens.session import cut_lineage
@@ -15,6 +16,8 @@ from vectorlens.session import cut_lineage
 ITERATIONS = 20
 # The repulsion grid has at most GRID * GRID occupied cells, the only thing a round sends to every task.
 GRID = 32
+# Tables up to this size (24 MB of positions) are joined by broadcast, larger ones by vertex.
+BROADCAST_ROWS = 1_000_000
 # Vertices with more than 1/1000 of all edges; there can be at most 1000.
 MAX_HEAVY = 1000
 HEAVY_DEGREE = 10_000
@@ -103,12 +106,13 @@ def neighbour_layout(
     """``(id, x, y)``. Starts from principal component scores; every round is two joins by vertex and one
     grouping, with positions checkpointed so that a lost executor costs one round.
 
-    Vertices that hold more than a thousandth of all edges are joined by broadcast (at most 1000 rows).
+    Up to a million points their positions are broadcast. Beyond, the joins shuffle, and only vertices that
+    hold more than a thousandth of all edges are joined by broadcast (at most 1000 rows).
     """
     method = method.upper()
     if method not in ("UMAP", "TSNE"):
         raise ValueError(f"unsupported layout {method!r}, choose UMAP or TSNE")
-    scores = pca(df, 2, vec_col).project(df, ["x", "y"]).select(F.col(id_col).alias("id"), "x", "y")
+    scores = pca(df, 2, vec_col).project(df, ["x", "y"]).select(quoted(id_col).alias("id"), "x", "y")
     stats = scores.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("reach")
     ).first()
@@ -136,10 +140,7 @@ def neighbour_layout(
         graph = neighbours.knn_graph(df, min(n - 1, 3 * perplexity), id_col, vec_col, block_rows, seed)
         weighted = _owned_edges(neighbours.perplexity_affinities(graph, n, perplexity), "p")
     edges = cut_lineage(weighted)
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    limit = max(HEAVY_DEGREE, 2 * edges.count() // MAX_HEAVY)
-    heavy_ids = [r["id"] for r in ends.filter(F.col("degree") > limit).select("id").collect()]  # at most 1000
-
+    heavy_ids = [] if n <= BROADCAST_ROWS else _heavy_ends(edges)
     half = HALF_WIDTH
     for step in range(iterations):
         cells = _cells(positions, half)
@@ -148,9 +149,18 @@ def neighbour_layout(
     return positions.withColumnRenamed("id", id_col)
 
 
-def _with_end(edges: DataFrame, positions: DataFrame, end: str, heavy_ids: list) -> DataFrame:
+def _heavy_ends(edges: DataFrame) -> list:
+    """Vertices with so many edges that there can be no more than MAX_HEAVY of them."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    limit = max(HEAVY_DEGREE, 2 * edges.count() // MAX_HEAVY)
+    return [r["id"] for r in ends.filter(F.col("degree") > limit).select("id").collect()]
+
+
+def _with_end(edges: DataFrame, positions: DataFrame, end: str, heavy_ids: list, small: bool) -> DataFrame:
     """Add the coordinates of one end of each edge."""
     place = positions.select(F.col("id").alias(end), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}"))
+    if small:
+        return edges.join(F.broadcast(place), end)
     if not heavy_ids:
         return edges.join(place, end)
     is_heavy = F.col(end).isin(heavy_ids)
@@ -162,7 +172,9 @@ def _round(
     positions: DataFrame, edges: DataFrame, cells: np.ndarray, heavy_ids: list, method: str, step: int, iterations: int
 ) -> DataFrame:
     n, half = float(cells[:, 0].sum()), float(cells[:, 3].max())
-    placed = _with_end(_with_end(edges, positions, "src", heavy_ids), positions, "dst", heavy_ids)
+    small = n <= BROADCAST_ROWS
+    placed = _with_end(edges, positions, "src", heavy_ids, small)
+    placed = _with_end(placed, positions, "dst", heavy_ids, small)
     dx, dy = F.col("x_dst") - F.col("x_src"), F.col("y_dst") - F.col("y_src")
     pull = F.col("w") * _pull(method, dx * dx + dy * dy)
     forces = placed.select("src", "dst", (pull * dx).alias("fx"), (pull * dy).alias("fy"), "w")

@@ -33,8 +33,12 @@ def reduce_vectors(
     normalize: bool = True,
     iterations: int = layout.ITERATIONS,
 ) -> DataFrame:
-    """Add ``x, y``: centred principal component scores, or a neighbour-preserving layout."""
+    """Add ``x, y``: centred principal component scores, or a neighbour-preserving layout.
+
+    Columns of these names are replaced.
+    """
     name = checked_method(method)
+    df = df.drop("x", "y")
     if name == "PCA":
         return projection.pca(df, 2, vec_col, normalize).project(df, ["x", "y"])
     placed = layout.neighbour_layout(df, name, id_col, vec_col, iterations=iterations, seed=seed or 0)
@@ -57,6 +61,8 @@ def cluster_and_project(
     request. Labels and linear scores are added row by row to one scan, so no join is needed.
     """
     name = checked_method(method)
+    needed = dict.fromkeys([id_col, vec_col] + ([path_col] if path_col else []))
+    df = df.select(*[quoted(c) for c in needed])
     labelled = clustering.kmeans(df, k, vec_col, seed).label(df, "__label")
     if name == "PCA":
         scored = projection.pca(df, 2, vec_col).project(labelled, ["x", "y"])
@@ -87,15 +93,16 @@ def batch_frame(
     if method == "umap" and components != 2:
         raise ValueError("the neighbour layout has two components")
     dims = [f"dim_{i + 1}" for i in range(components)]
+    df = df.drop(*dims, "cluster_label")
 
     labelled = clustering.kmeans(df, k, vec_col, seed, normalize).label(df, "__label")
     if method == "pca":
         scored = projection.pca(df, components, vec_col, normalize).project(labelled, dims)
     else:
-        placed = layout.neighbour_layout(df, "UMAP", id_col, vec_col, seed=seed)
+        rounds = int(reduction.get("iterations", layout.ITERATIONS))
+        placed = layout.neighbour_layout(df, "UMAP", id_col, vec_col, iterations=rounds, seed=seed)
         scored = labelled.join(placed.withColumnsRenamed({"x": "dim_1", "y": "dim_2"}), id_col)
-    taken = {vec_col, "__label", "cluster_label", *dims}
-    metadata = [quoted(c) for c in df.columns if c not in taken]
+    metadata = [quoted(c) for c in df.columns if c != vec_col]
     return scored.select(*metadata, *dims, F.col("__label").cast("string").alias("cluster_label"))
 
 
