@@ -29,7 +29,7 @@ def options(df: DataFrame, target: str, filters: Filters) -> DataFrame:
     if not others:
         kind = profile(df.select(column), reserved=set()).first()["type"]
         if kind != "categorical":
-            kept = kept.limit(0)
+            kept = kept.filter(F.lit(False))
     values = kept.filter(column.isNotNull()).select(column.alias("value")).distinct()
     return values.sort("value")
 

@@ -37,7 +37,7 @@ def cluster_manifest(
     made per (cluster, name) and joined back, so no group of rows has to meet in one window.
     """
     label = quoted(label_col).cast("string")
-    root = target_dir.rstrip("/")
+    root = target_dir.rstrip("/") if ":" in target_dir else os.path.abspath(target_dir)
     rows = df.select(
         quoted(path_col).alias("source"),
         basename(quoted(path_col)).alias("file_name"),
@@ -81,8 +81,8 @@ def copy_files(manifest: DataFrame) -> DataFrame:
             done = []
             for source, target in zip(batch["source"], batch["abs_path"]):
                 try:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    shutil.copy2(_local(source), target)
+                    os.makedirs(os.path.dirname(_local(target)), exist_ok=True)
+                    shutil.copy2(_local(source), _local(target))
                     done.append(True)
                 except OSError:
                     done.append(False)
