@@ -46,3 +46,11 @@ def test_matches_sql(spark, duck, name):
 def test_runs(spark, name):
     run, _ = QUERIES[name]
     assert run(spark, str(FOLDER)).count() > 0
+
+
+def test_entry_contract(spark):
+    import __spark_entry__ as contract
+
+    assert set(contract.oracle_sql()) < set(contract.queries())
+    frame = contract.entry(spark)
+    assert frame.columns == ["vec_id", "x", "y", "cluster"] and frame.count() > 0

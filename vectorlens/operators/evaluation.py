@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vectorlens.functions.predicates import quoted
 from vectorlens.functions.scalars import MISSING, category, fixed, nan_to_null
 from vectorlens.operators.ordering import with_group_rank, with_row_index
+from vectorlens.session import cut_lineage
 
 # Fixed value: double rounding unit, below which mutual information counts as zero.
 EPSILON = 2.220446049250313e-16
@@ -89,12 +90,7 @@ def agreement(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
     )
 
 
-def purity_entropy(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
-    """``(cluster, n, purity, entropy)``; ``N/A`` rows count here, unlike in the agreement metrics.
-
-    Entropy is in bits, from sums of ``n log n`` so that one aggregation of the contingency table is enough.
-    """
-    cells = contingency(df, label_col, category_col)
+def _purity_entropy(cells: DataFrame) -> DataFrame:
     n = F.sum("n")
     weighted = F.sum(F.col("n") * F.log2(F.col("n").cast("double")))
     entropy = F.greatest(F.log2(n.cast("double")) - weighted / n, F.lit(0.0))
@@ -103,12 +99,18 @@ def purity_entropy(df: DataFrame, label_col: str, category_col: str) -> DataFram
     )
 
 
-def composition(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
-    """``(cluster, category, n, pct, rank, is_last)``: categories by descending count, ties by name."""
-    cells = contingency(df, label_col, category_col)
-    ranked = with_group_rank(cells, "cluster", [F.desc("n"), F.col("category")])
-    totals = cells.groupBy("cluster").agg(F.sum("n").alias("total"))
-    return ranked.join(totals, "cluster").select(
+def purity_entropy(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
+    """``(cluster, n, purity, entropy)``; ``N/A`` rows count here, unlike in the agreement metrics.
+
+    Entropy is in bits, from sums of ``n log n`` so that one aggregation of the contingency table is enough.
+    """
+    return _purity_entropy(contingency(df, label_col, category_col))
+
+
+def _composition(cells: DataFrame) -> DataFrame:
+    order = [F.desc("n"), F.col("category")]
+    ranked = with_group_rank(cells, "cluster", order, [F.sum("n").alias("total")])
+    return ranked.select(
         "cluster",
         "category",
         "n",
@@ -118,10 +120,16 @@ def composition(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
     )
 
 
+def composition(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
+    """``(cluster, category, n, pct, rank, is_last)``: categories by descending count, ties by name."""
+    return _composition(contingency(df, label_col, category_col))
+
+
 def composition_tree(df: DataFrame, label_col: str, category_col: str) -> DataFrame:
     """``(line_no, line)``: the composition rendered as a tree, one block per cluster in numeric order."""
-    rows = composition(df, label_col, category_col)
-    stats = purity_entropy(df, label_col, category_col).withColumn("number", F.col("cluster").cast("long"))
+    cells = cut_lineage(contingency(df, label_col, category_col))
+    rows = _composition(cells)
+    stats = _purity_entropy(cells).withColumn("number", F.col("cluster").cast("long"))
     facts = stats.agg(
         F.sum("n").alias("points"), F.count(F.lit(1)).alias("clusters"), F.max("number").alias("last")
     ).first()

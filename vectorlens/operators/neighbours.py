@@ -194,7 +194,9 @@ def knn_graph(
     copies only the k + 1 lowest ids can be anyone's neighbour, and all copies share one result.
     """
     points = df.select(quoted(id_col).alias("id"), vectors.prepare(quoted(vec_col)).alias("v"))
-    hashes = [F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2")]
+    # Two differently seeded hashes, 128 bits, stand for the vector when copies are looked for. The constant
+    # comes first: Spark seeds each argument's hash with the one before.
+    hashes = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
     points = cut_lineage(points.select("id", "v", *hashes))
     n = points.count()
     k = umap_neighbours(n) if k is None else min(k, n - 1)

@@ -16,14 +16,16 @@ def with_row_index(df: DataFrame, order: list[Column], name: str = "idx") -> Dat
         return df.sort(*order).pandas_api().to_spark(index_col=name)
 
 
-def with_group_rank(df: DataFrame, group: str, order: list[Column], rank: str = "rank", size: str = "size") -> DataFrame:
-    """Add the 1-based rank inside each group and the group's row count.
+def with_group_rank(df: DataFrame, group: str, order: list[Column], totals: list[Column] | None = None) -> DataFrame:
+    """Add ``rank`` (1-based inside each group), ``size`` (rows of the group) and further group totals.
 
     A ranking window would sort a whole group in one task. Here one global sort, split by ranges, numbers all
     rows, and the number of a group's first row is subtracted. A group with many rows is spread over tasks in
     the sort and, as adaptive execution splits skewed joins, in the lookup of its first row as well.
     """
     numbered = cut_lineage(with_row_index(df, [F.col(group), *order], "__number"))
-    starts = numbered.groupBy(group).agg(F.min("__number").alias("__first"), F.count(F.lit(1)).alias(size))
+    starts = numbered.groupBy(group).agg(
+        F.min("__number").alias("__first"), F.count(F.lit(1)).alias("size"), *(totals or [])
+    )
     joined = numbered.join(starts, group)
-    return joined.withColumn(rank, F.col("__number") - F.col("__first") + 1).drop("__number", "__first")
+    return joined.withColumn("rank", F.col("__number") - F.col("__first") + 1).drop("__number", "__first")

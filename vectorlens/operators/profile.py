@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectorlens.functions.predicates import Filters, apply_filters, quoted
 from vectorlens.functions.scalars import MISSING, nan_to_null
 from vectorlens.operators.ordering import with_row_index
+from vectorlens.session import cut_lineage
 
 # Columns never offered as metadata (compared in lower case), and the category limit.
 RESERVED = {"uuid", "emb", "embedding", "embeddings", "vector"}
@@ -120,13 +121,10 @@ def value_counts(df: DataFrame, reserved: set[str] = RESERVED) -> DataFrame:
     """``(column, value, n)`` of every categorical column, nulls left out."""
     facts = column_facts(df, reserved)
     counts = _long_counts(df, [f.name for f in facts if f.kind == "countable"])
-    kept = (
-        counts.groupBy("column")
-        .agg(F.count(F.lit(1)).alias("distinct"))
-        .filter(F.col("distinct") <= MAX_CATEGORIES)
-        .select("column")
-    )
-    return counts.join(kept, "column", "left_semi").filter(F.col("value").isNotNull())
+    # The sketch has left only columns with few values, so a window over one column's values is small.
+    distinct = F.count(F.lit(1)).over(Window.partitionBy("column"))
+    kept = counts.withColumn("distinct", distinct).filter(F.col("distinct") <= MAX_CATEGORIES)
+    return kept.filter(F.col("value").isNotNull()).drop("distinct")
 
 
 def column_summary(df: DataFrame, reserved: set[str] = RESERVED) -> DataFrame:
@@ -199,7 +197,7 @@ def legend_order(df: DataFrame, column: str) -> DataFrame:
 
     Numeric order if every value parses as an integer, else text order.
     """
-    values = df.select(quoted(column).cast("string").alias("value")).distinct()
+    values = cut_lineage(df.select(quoted(column).cast("string").alias("value")).distinct())
     whole = F.coalesce(F.col("value").rlike(r"^\s*[+-]?\d+\s*$"), F.lit(False))
     numeric = values.agg(F.min(whole)).first()[0]
     keys = [F.trim("value").cast("decimal(38,0)"), F.col("value")] if numeric else [F.col("value")]

@@ -94,7 +94,7 @@ def copy_files(manifest: DataFrame) -> DataFrame:
 
 
 def write_manifest(copied: DataFrame, target_dir: str, name: str = REPARTITION_MANIFEST) -> DataFrame:
-    """Write the manifest as CSV and read it back, so that the copies run exactly once."""
+    """Write the manifest as a CSV dataset (a folder of parts) and read it back, so that the copies run once."""
     path = f"{target_dir.rstrip('/')}/{name}"
     copied.write.mode("overwrite").csv(path, header=True)
     return copied.sparkSession.read.csv(path, header=True, schema="abs_path string, file_name string, cluster string")
