@@ -53,6 +53,8 @@ def test_job(spark, vectors_frame, emb_100x512, tmp_path):
     written = spark.read.parquet(path)
     assert written.columns == ["uuid", "kind", "dim_1", "dim_2", "dim_3", "cluster_label"]
     assert dict(written.dtypes)["cluster_label"] == "string"
+    slim = workflows.batch_frame(source, {"cluster_spec": {"n_clusters": 2}}, keep_metadata=False)
+    assert slim.dtypes == [("uuid", "bigint"), ("dim_1", "double"), ("dim_2", "double"), ("cluster_label", "int")]
     rows = written.sort("uuid").collect()
     assert len(rows) == 60 and {r["cluster_label"] for r in rows} <= set("0123")
     raw = emb_100x512[:60].astype(np.float64)

@@ -19,8 +19,9 @@ from vectorlens.session import cut_lineage
 # Rows of one block; a task compares a few blocks of queries with one block of candidates.
 BLOCK_ROWS = 4096
 QUERY_BLOCKS_PER_TASK = 4
-# Upper bound of the coarse cells and of the separately treated heavy groups; both are broadcast.
-MAX_CELLS = 512
+# Upper bounds of the coarse cells and of the separately treated heavy groups; both are broadcast.
+MAX_CELLS = 2048
+MAX_CELL_BYTES = 64 * 1024 * 1024
 MAX_HEAVY = 1000
 # Groups of copies below this size are never salted.
 HEAVY_ROWS = 10_000
@@ -77,13 +78,14 @@ def _closest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarra
 
 def _coarse_cells(points: DataFrame, n: int, block_rows: int, seed: int) -> np.ndarray:
     """Cell centers from a sample. They steer how much is compared, never what is found."""
-    wanted = min(MAX_CELLS, n // block_rows)
+    width = len(points.select("v").head(1)[0][0])
+    wanted = min(MAX_CELLS, MAX_CELL_BYTES // (8 * width), n // block_rows)
     if wanted < 2:
-        return np.zeros((1, len(points.select("v").head(1)[0][0])))
+        return np.zeros((1, width))
     sample = points.select(array_to_vector("v").alias("features"))
     if n > 200 * wanted:
         sample = sample.sample(200 * wanted / n, seed)
-    model = KMeans(k=wanted, seed=seed, maxIter=5, tol=1e-3).fit(sample)
+    model = KMeans(k=wanted, seed=seed, maxIter=5, tol=1e-3, initMode="random").fit(sample)
     return np.array(model.clusterCenters())
 
 
@@ -98,9 +100,13 @@ def _own_block(centers: np.ndarray, radii: np.ndarray, k: int):
         queries = points[is_query]
         where, dist = _closest(queries, points, k)
         limit = np.sqrt(dist[:, -1]) if where.shape[1] == k else np.full(len(queries), np.inf)
-        lower = np.sqrt(vectors.squared_distances(queries, centers)) - radii[None, :]
-        needed = lower <= limit[:, None] + 1e-6
-        rows, cells = np.nonzero(needed)
+        hits = []
+        for start in range(0, len(queries), CHUNK):
+            part = slice(start, start + CHUNK)
+            lower = np.sqrt(vectors.squared_distances(queries[part], centers)) - radii[None, :]
+            row, cell = np.nonzero(lower <= limit[part, None] + 1e-6)
+            hits.append((row + start, cell))
+        rows, cells = (np.concatenate(side) for side in zip(*hits)) if hits else (np.empty(0, int), np.empty(0, int))
         per_query = np.full(len(queries), where.shape[1])
         position = np.flatnonzero(is_query)
         columns = [

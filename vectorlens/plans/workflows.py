@@ -76,10 +76,16 @@ def cluster_and_project(
 
 
 def batch_frame(
-    df: DataFrame, config: dict[str, Any], id_col: str = "uuid", vec_col: str = "emb", normalize: bool = False
+    df: DataFrame,
+    config: dict[str, Any],
+    id_col: str = "uuid",
+    vec_col: str = "emb",
+    normalize: bool = False,
+    keep_metadata: bool = True,
 ) -> DataFrame:
     """Metadata with ``dim_1..dim_c`` and ``cluster_label`` (text), as the batch job writes it.
 
+    Without metadata the result is the id, the coordinates and an int label, and only id and vector are read.
     The batch job clusters and projects the vectors as they are, without normalizing them.
     """
     cluster_spec = config.get("cluster_spec") or {}
@@ -93,7 +99,7 @@ def batch_frame(
     if method == "umap" and components != 2:
         raise ValueError("the neighbour layout has two components")
     dims = [f"dim_{i + 1}" for i in range(components)]
-    df = df.drop(*dims, "cluster_label")
+    df = df.drop(*dims, "cluster_label") if keep_metadata else df.select(quoted(id_col), quoted(vec_col))
 
     labelled = clustering.kmeans(df, k, vec_col, seed, normalize).label(df, "__label")
     if method == "pca":
@@ -103,12 +109,19 @@ def batch_frame(
         placed = layout.neighbour_layout(df, "UMAP", id_col, vec_col, iterations=rounds, seed=seed)
         scored = labelled.join(placed.withColumnsRenamed({"x": "dim_1", "y": "dim_2"}), id_col)
     metadata = [quoted(c) for c in df.columns if c != vec_col]
-    return scored.select(*metadata, *dims, F.col("__label").cast("string").alias("cluster_label"))
+    label = F.col("__label").cast("string" if keep_metadata else "int").alias("cluster_label")
+    return scored.select(*metadata, *dims, label)
 
 
 def run_job(
-    spark: SparkSession, config: dict[str, Any], id_col: str = "uuid", vec_col: str = "emb", normalize: bool = False
+    spark: SparkSession,
+    config: dict[str, Any],
+    id_col: str = "uuid",
+    vec_col: str = "emb",
+    normalize: bool = False,
+    keep_metadata: bool = True,
 ) -> str:
     """Load with filters, cluster, project, and write; returns the path of the dataset."""
     df = load_embeddings(spark, config["data_path"], id_col, vec_col, config.get("filters"))
-    return write_labelled(batch_frame(df, config, id_col, vec_col, normalize), config["output_dir"])
+    frame = batch_frame(df, config, id_col, vec_col, normalize, keep_metadata)
+    return write_labelled(frame, config["output_dir"])
