@@ -94,6 +94,19 @@ def test_center_table_is_size_checked(spark, monkeypatch):
         clustering.collect_centers(df, "k", "c")
 
 
+def test_split_centers_give_the_same_assignment(spark, vectors_frame, emb_100x512, monkeypatch):
+    points = emb_100x512[:, :6]
+    df = vectors_frame(points)
+    rows = [(k, [float(v) for v in points[k * 4]]) for k in range(20)] + [(30, [float(v) for v in points[0]])]
+    centers = spark.createDataFrame(rows, "k int, c array<double>")
+    whole = values(clustering.assign_to_table(df, centers, "uuid", "emb", "k", "c"), "uuid", "cluster", "dist2")
+    assert whole[0] == (0, 0, 0.0)
+    monkeypatch.setattr(clustering, "MAX_CENTER_BYTES", 200)
+    monkeypatch.setattr(clustering, "ROWS_PER_TASK", 30)
+    split = values(clustering.assign_to_table(df, centers, "uuid", "emb", "k", "c"), "uuid", "cluster", "dist2")
+    assert split == whole
+
+
 @pytest.mark.parametrize("normalize", [True, False])
 def test_pca_matches_numpy(vectors_frame, emb_10x32, normalize):
     points = emb_10x32.astype(np.float64) + (0 if normalize else 1000)

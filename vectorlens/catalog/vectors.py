@@ -48,8 +48,7 @@ def memory_estimate(spark, sf):
 def assign_nearest(spark, sf):
     rows = _embeddings(spark, sf)
     means = summary.label_means(rows, "label", "embedding")
-    ids, centers = clustering.collect_centers(means, "label", "mean")
-    near = clustering.assign_nearest(rows, ids, centers, "embedding")
+    near = clustering.assign_to_table(rows, means, "vec_id", "embedding", "label", "mean")
     return near.select("vec_id", "cluster", F.round("dist2", 6).alias("dist2"))
 
 

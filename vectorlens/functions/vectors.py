@@ -19,6 +19,11 @@ MIN_NORM = 1e-10
 
 VECTOR = T.ArrayType(T.FloatType())
 
+# Queries compared at once with all points of a task, and the room left for rounding in such comparisons,
+# relative to the squared norms.
+CHUNK = 256
+SLACK = 1e-9
+
 
 def flat_values(vectors: pa.Array, stored: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
     """Concatenated elements of a list array, in the stored precision, and the length of each row (null row = 0)."""
@@ -89,6 +94,38 @@ def squared_distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum(total, 0.0)
 
 
+def closest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and exact squared distances of the k nearest points, ties to the earlier position.
+
+    A matrix product makes a shortlist; distances within it are recomputed as differences, which makes
+    identical vectors exactly 0 apart. Where the shortlist could have missed a tie, the row is done in full.
+    """
+    k = min(k, len(points))
+    short = min(len(points), 2 * k + 16)
+    room = SLACK * (1.0 + (points * points).sum(axis=1).max(initial=0.0) + (queries * queries).sum(axis=1).max(initial=0.0))
+    where = np.empty((len(queries), k), dtype=np.int64)
+    dist = np.empty((len(queries), k))
+    for start in range(0, len(queries), CHUNK):
+        part = queries[start : start + CHUNK]
+        rough = squared_distances(part, points)
+        if short < len(points):
+            listed = np.argpartition(rough, short - 1, axis=1)[:, :short]
+            listed.sort(axis=1)
+        else:
+            listed = np.broadcast_to(np.arange(len(points)), rough.shape)
+        exact = ((points[listed] - part[:, None, :]) ** 2).sum(axis=2)
+        order = np.argsort(exact, axis=1, kind="stable")[:, :k]
+        found, value = np.take_along_axis(listed, order, 1), np.take_along_axis(exact, order, 1)
+        if short < len(points):
+            edge = np.take_along_axis(rough, listed, 1).max(axis=1)
+            for row in np.flatnonzero(edge <= value[:, -1] + room):
+                whole = ((points - part[row]) ** 2).sum(axis=1)
+                best = np.argsort(whole, kind="stable")[:k]
+                found[row], value[row] = best, whole[best]
+        where[start : start + CHUNK], dist[start : start + CHUNK] = found, value
+    return where, dist
+
+
 def nearest_center(vector: Column, ids: list[int], centers: np.ndarray) -> Column:
     """``struct(cluster, dist2)`` of the closest center; equal distances go to the first listed id."""
     names = np.asarray(ids, dtype=np.int32)

@@ -28,9 +28,6 @@ HEAVY_ROWS = 10_000
 # Most partitions of the comparison stages. Their number is given, because a block is small but costly and
 # adaptive execution would merge blocks by size.
 MAX_PARTITIONS = 16_384
-# Queries compared at once with their shortlisted candidates inside a task.
-CHUNK = 256
-SLACK = 1e-9
 
 
 def _schema(**fields: T.DataType) -> T.StructType:
@@ -45,37 +42,6 @@ def tsne_perplexity(n: int) -> int:
     return min(30, max(5, n // 3))
 
 
-def _closest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact squared distances of the k nearest points, ties to the earlier position.
-
-    A matrix product makes a shortlist; distances within it are recomputed as differences, which makes
-    identical vectors exactly 0 apart. Where the shortlist could have missed a tie, the row is done in full.
-    """
-    k = min(k, len(points))
-    short = min(len(points), 2 * k + 16)
-    where = np.empty((len(queries), k), dtype=np.int64)
-    dist = np.empty((len(queries), k))
-    for start in range(0, len(queries), CHUNK):
-        part = queries[start : start + CHUNK]
-        rough = vectors.squared_distances(part, points)
-        if short < len(points):
-            listed = np.argpartition(rough, short - 1, axis=1)[:, :short]
-            listed.sort(axis=1)
-        else:
-            listed = np.broadcast_to(np.arange(len(points)), rough.shape)
-        exact = ((points[listed] - part[:, None, :]) ** 2).sum(axis=2)
-        order = np.argsort(exact, axis=1, kind="stable")[:, :k]
-        found, value = np.take_along_axis(listed, order, 1), np.take_along_axis(exact, order, 1)
-        if short < len(points):
-            edge = np.take_along_axis(rough, listed, 1).max(axis=1)
-            for row in np.flatnonzero(edge <= value[:, -1] + SLACK):
-                whole = ((points - part[row]) ** 2).sum(axis=1)
-                best = np.argsort(whole, kind="stable")[:k]
-                found[row], value[row] = best, whole[best]
-        where[start : start + CHUNK], dist[start : start + CHUNK] = found, value
-    return where, dist
-
-
 def _coarse_cells(points: DataFrame, n: int, block_rows: int, seed: int) -> np.ndarray:
     """Cell centers from a sample. They steer how much is compared, never what is found."""
     width = len(points.select("v").head(1)[0][0])
@@ -98,11 +64,11 @@ def _own_block(centers: np.ndarray, radii: np.ndarray, k: int):
         is_query = block["is_query"].to_numpy(zero_copy_only=False)
         ids = block["id"].combine_chunks()
         queries = points[is_query]
-        where, dist = _closest(queries, points, k)
+        where, dist = vectors.closest(queries, points, k)
         limit = np.sqrt(dist[:, -1]) if where.shape[1] == k else np.full(len(queries), np.inf)
         hits = []
-        for start in range(0, len(queries), CHUNK):
-            part = slice(start, start + CHUNK)
+        for start in range(0, len(queries), vectors.CHUNK):
+            part = slice(start, start + vectors.CHUNK)
             lower = np.sqrt(vectors.squared_distances(queries[part], centers)) - radii[None, :]
             row, cell = np.nonzero(lower <= limit[part, None] + 1e-6)
             hits.append((row + start, cell))
@@ -135,16 +101,16 @@ def _within_reach(queries: np.ndarray, reach: np.ndarray, points: np.ndarray, k:
     """
     rows, cols, dist = [], [], []
     half_norms = (points * points).sum(axis=1) / 2.0
-    limit = ((queries * queries).sum(axis=1) - reach * reach) / 2.0 - SLACK
-    for start in range(0, len(queries), CHUNK):
-        part = queries[start : start + CHUNK]
+    limit = ((queries * queries).sum(axis=1) - reach * reach) / 2.0 - vectors.SLACK
+    for start in range(0, len(queries), vectors.CHUNK):
+        part = queries[start : start + vectors.CHUNK]
         product = part @ points.T
         product -= half_norms
-        near = product >= limit[start : start + CHUNK, None]
+        near = product >= limit[start : start + vectors.CHUNK, None]
         crowded = near.sum(axis=1) > k
         if crowded.any():
             near[crowded] = False
-            found, value = _closest(part[crowded], points, k)
+            found, value = vectors.closest(part[crowded], points, k)
             rows.append(np.repeat(np.flatnonzero(crowded) + start, found.shape[1]))
             cols.append(found.ravel())
             dist.append(value.ravel())
@@ -153,7 +119,7 @@ def _within_reach(queries: np.ndarray, reach: np.ndarray, points: np.ndarray, k:
         cols.append(col)
         dist.append(((points[col] - part[row]) ** 2).sum(axis=1))
     row, col, d2 = np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
-    kept = np.sqrt(d2) <= reach[row] + SLACK
+    kept = np.sqrt(d2) <= reach[row] + vectors.SLACK
     return row[kept], col[kept], d2[kept]
 
 
