@@ -46,6 +46,8 @@ def test_same_components_as_all_pairs(documents, corpus):
 def test_long_lists_and_heavy_tokens(documents, corpus, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL_LIST", 4)
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "WORDS_PER_TASK", 3000)
+    monkeypatch.setattr(ngram_join, "BROADCAST_TEXT_KEYS", 0)
     for percent in (85, 60, 95):
         assert result(documents(corpus), percent) == brute_force(corpus, percent)
 

@@ -39,6 +39,10 @@ VERIFY_COST = 8.0
 HEAVY_TOKENS = 65_536
 # A token is offered as heavy where this many texts of a piece hold it, and is heavy from this many texts in all.
 HEAVY_IN_PIECE, HEAVY_IN_ALL = 4, 32
+# Shingles whose prefixes, or whose texts, one task takes.
+WORDS_PER_TASK = 4_000_000
+# Texts to verify are found by broadcast up to so many keys (about 40 bytes each), by a shuffle join beyond.
+BROADCAST_TEXT_KEYS = 500_000
 
 
 @dataclass(frozen=True)
@@ -94,29 +98,49 @@ def choose_prefix(ordered_df: np.ndarray, n: int, percent: int) -> tuple[int, in
     return best[1], best[2]
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    """128 bits that name a set: the size and two sums of differently mixed tokens."""
+def signature(tokens: np.ndarray) -> int:
+    """64 bits that name a set: its size and two sums of differently mixed tokens."""
     size = np.uint64(len(tokens))
     with np.errstate(over="ignore"):
         one = mixed(np.array([tokens.sum(dtype=np.uint64) + size]))
-        two = mixed(np.array([mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) - size]))
-    return np.concatenate((one, two)).astype(">u8").tobytes()
+        two = mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+        return int(mixed(one + two).view(np.int64)[0])
 
 
-def _prefixes(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    schema = "doc_id long, text_key long, node binary, n long, need int, prefix array<long>"
+def _members(docs: DataFrame, width: int) -> DataFrame:
+    """Each row with the node and size of its set; no node for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                sets = shingle_sets(find_words(piece.column("text"), fold=True), width)
+                nodes = pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), nodes, sizes], ["doc_id", "text_key", "node", "n"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, node long, n long")
+
+
+def _shared_postings(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
+    """``(token, node, n, pos, need)`` of the prefix tokens that more than one node holds.
+
+    Copies inside a piece of input give one posting. Tasks that meet the postings of a range of tokens keep those
+    of repeated tokens. A heavy token is known to be repeated, so its postings are dealt out by node as well.
+    """
+    session = docs.sparkSession
+    shared = session.sparkContext.broadcast(heavy)
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-total // WORDS_PER_TASK))
+    fields = ["token", "node", "n", "pos", "need", "salt"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
         for batch in batches:
             for piece in pieces(batch):
-                nodes, sizes, needs, chosen = [], [], [], []
+                seen, out, sizes, needs, lengths = set(), [], [], [], []
                 for found in shingle_sets(find_words(piece.column("text"), fold=True), width):
                     n = len(found)
-                    sizes.append(n)
-                    if n == 0:
-                        nodes.append(None), needs.append(None), chosen.append(None)
+                    node = signature(found) if n else None
+                    if node is None or node in seen:
                         continue
                     df = np.ones(n)
                     if len(tokens):
@@ -124,51 +148,83 @@ def _prefixes(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray
                         df = np.where(tokens[at] == found, counts[at], 1.0)
                     order = np.argsort(df, kind="stable")
                     need, length = choose_prefix(df[order], n, percent)
-                    nodes.append(signature(found)), needs.append(need)
-                    chosen.append(found[order[:length]].view(np.int64))
-                columns = [piece.column("doc_id"), piece.column("text_key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64())]
-                columns += [pa.array(needs, pa.int32()), pa.array(chosen, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "need", "prefix"])
+                    seen.add(node)
+                    chosen = order[:length]
+                    salt = np.where(df[chosen] > 1.0, 1 + (node & 63), 0)
+                    out.append((found[chosen].view(np.int64), np.full(length, node), salt, np.arange(length)))
+                    sizes.append(n), needs.append(need), lengths.append(length)
+                if out:
+                    token, node, salt, pos = (np.concatenate(c) for c in zip(*out, strict=True))
+                    n, need = np.repeat(sizes, lengths), np.repeat(needs, lengths)
+                    kinds = [np.int64, np.int64, np.int32, np.int32, np.int8, np.int8]
+                    yield pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in zip((token, node, n, pos, need, salt), kinds, strict=True)], fields)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if rows is None or rows.num_rows == 0:
+            return
+        rows = rows.combine_chunks()
+        token, node, salt = (rows[c].to_numpy() for c in ("token", "node", "salt"))
+        order = np.lexsort((node, token))
+        token, node, salt = token[order], node[order], salt[order]
+        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))
+        order, token, salt = order[fresh], token[fresh], salt[fresh]
+        same = token[1:] == token[:-1]
+        repeated = np.concatenate(([False], same)) | np.concatenate((same, [False])) | (salt > 0)
+        yield from rows.select(fields[:5]).take(pa.array(order[repeated])).to_batches()
+
+    schema = "token long, node long, n int, pos int, need byte"
+    made = docs.select("text").mapInArrow(emit, schema + ", salt byte")
+    return made.repartition(parts, "token", "salt").mapInArrow(meet, schema)
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of nodes whose sets are similar enough, counted exactly.
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(node, tokens)`` of the wanted nodes, made again from one text of each class."""
-    texts = docs.join(
-        wanted.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "node"),
-        (F.col("k") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("doc_id")),
-    ).select("node", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    Nodes are dealt into blocks. A pair meets in the task of its two blocks, to which the text of each node goes
+    once; a task holds the texts of two blocks at most.
+    """
+    pairs = kept(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = kept(nodes.join(classes.select("node", "doc_id", "text_key", "n"), "node"), "wanted")
+    words, count = wanted.agg(F.sum("n"), F.count(F.lit(1))).first()
+    blocks = max(1, -(-(words or 0) // WORDS_PER_TASK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    placed = pairs.withColumn("i", F.least(block("a"), block("b"))).withColumn("j", F.greatest(block("a"), block("b")))
+    uses = placed.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sought = uses.join(wanted.select("node", F.col("doc_id").alias("d"), F.col("text_key").alias("k")), "node")
+    if count <= BROADCAST_TEXT_KEYS:
+        sought = F.broadcast(sought.groupBy("d", "k", "node").agg(F.collect_list(F.struct("i", "j")).alias("tasks")))
+    else:
+        sought = sought.groupBy("d", "k", "node").agg(F.collect_list(F.struct("i", "j")).alias("tasks"))
+    match = (F.col("k") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("doc_id"))
+    texts = docs.join(sought, match).select(F.explode("tasks").alias("t"), "node", "text").select("t.i", "t.j", "node", "text")
+
+    def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets: dict[int, np.ndarray] = {}
+        for batch in texts.to_batches():
             for piece in pieces(batch):
-                sets = shingle_sets(find_words(piece.column("text"), fold=True), width)
-                tokens = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([piece.column("node"), tokens], ["node", "tokens"])
+                sets.update(zip(piece.column("node").to_pylist(), shingle_sets(find_words(piece.column("text"), fold=True), width), strict=True))
+        pairs = pairs.select(["a", "b"]).combine_chunks()
+        keep = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            x, y = sets[a], sets[b]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(common * (100 + percent) >= (len(x) + len(y)) * percent)
+        return pairs.filter(pa.array(keep, pa.bool_()))
 
-    return texts.mapInArrow(run, "node binary, tokens array<long>").dropDuplicates(["node"])
+    return placed.groupBy("i", "j").cogroup(texts.groupBy("i", "j")).applyInArrow(verify, "a long, b long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of nodes whose sets are similar enough, counted exactly."""
-    pairs = kept(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = kept(_sets(docs, nodes.join(classes.select("node", "doc_id", "text_key"), "node"), width), "sets")
-    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
-    return joined.filter(F.col("c") * (100 + percent) >= F.col("s") * percent).select("a", "b")
+def _sizes_match(percent: int):
+    return 100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")
 
 
-def _may_match(percent: int):
-    """Size and position filters for two postings p and q of one token: at the first shared token, what is left of
-    either set bounds the overlap, so a true pair passes there."""
-    p, q = F.col("p"), F.col("q")
-    sizes = 100 * F.least(p.n, q.n) >= percent * F.greatest(p.n, q.n)
-    left = F.least(p.n - p.pos, q.n - q.pos)
-    return sizes & (left * (100 + percent) >= (p.n + q.n) * percent)
+def _rest_suffices(percent: int):
+    """At the first token that two sets share, what is left of either bounds their overlap: a true pair passes
+    there. Later shared tokens may fail, so they are still counted."""
+    left = F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos"))
+    return left * (100 + percent) >= (F.col("p.n") + F.col("q.n")) * percent
 
 
 def _ordered_pairs():
@@ -187,17 +243,18 @@ def _short_list_pairs(postings: DataFrame, percent: int) -> DataFrame:
     found = (
         lists.select("list", F.posexplode("list").alias("i", "p"))
         .select("p", F.explode(F.slice("list", F.col("i") + 2, F.greatest(F.size("list") - F.col("i") - 1, F.lit(0)))).alias("q"))
-        .filter(_may_match(percent))
-        .select(*_ordered_pairs(), F.least("p.need", "q.need").alias("need"), F.least("p.long", "q.long").alias("long"))
+        .filter(_sizes_match(percent))
+        .select(*_ordered_pairs(), _rest_suffices(percent).alias("first"), F.least("p.need", "q.need").alias("need"), F.least("p.long", "q.long").alias("long"))
     )
-    counted = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need"), F.first("long").alias("long"))
-    return counted.filter(F.col("c") + F.col("long") >= F.col("need")).select("a", "b")
+    totals = [F.count(F.lit(1)).alias("c"), F.bool_or("first").alias("first"), F.first("need").alias("need"), F.first("long").alias("long")]
+    counted = found.groupBy("a", "b").agg(*totals)
+    return counted.filter("first").filter(F.col("c") + F.col("long") >= F.col("need")).select("a", "b")
 
 
 def _leader_pairs(long_lists: DataFrame, percent: int) -> DataFrame:
     leaders = long_lists.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("q"))
     members = long_lists.select("token", F.struct("node", "n", "pos").alias("p"))
-    joined = members.join(leaders, "token").filter(F.col("p.node") != F.col("q.node")).filter(_may_match(percent))
+    joined = members.join(leaders, "token").filter(F.col("p.node") != F.col("q.node")).filter(_sizes_match(percent) & _rest_suffices(percent))
     return joined.select(*_ordered_pairs()).distinct()
 
 
@@ -217,7 +274,7 @@ def _cross_pairs(long_lists: DataFrame, labels: DataFrame, percent: int) -> Data
     left = dealt.filter(F.col("p.own") == F.col("i"))
     right = dealt.filter(F.col("p.own") == F.col("j")).withColumnRenamed("p", "q")
     met = left.join(right, ["token", "i", "j"]).filter("p.comp <> q.comp")
-    met = met.filter((F.col("i") < F.col("j")) | (F.col("p.node") < F.col("q.node"))).filter(_may_match(percent))
+    met = met.filter((F.col("i") < F.col("j")) | (F.col("p.node") < F.col("q.node"))).filter(_sizes_match(percent) & _rest_suffices(percent))
     return met.select(*_ordered_pairs()).distinct()
 
 
@@ -228,19 +285,16 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Join:
     common node. A null id is kept. An empty table gives empty results.
     """
     docs = with_text_key(docs)
-    rows = kept(_prefixes(docs, width, percent, _heavy_tokens(docs, width)), "prefixes")
-    classes = kept(
-        rows.filter("node is not null")
-        .groupBy("node")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("prefix").alias("prefix"))
-        .select("node", "rep.*", "n", "need", "prefix"),
-        "classes",
-    )
-    postings = classes.select("node", "n", "need", F.posexplode("prefix").alias("pos", "token"))
+    members = kept(_members(docs, width), "members")
+    nodes = members.filter("node is not null").groupBy("node")
+    classes = kept(nodes.agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n")).select("node", "rep.*", "n"), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    heavy = _heavy_tokens(docs, width)
+    postings = kept(_shared_postings(docs, width, percent, heavy, total), "postings")
     lengths = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     postings = postings.join(lengths, "token")
     long_tokens = postings.groupBy("node").agg(F.count_if(F.col("m") > SMALL_LIST).alias("long"))
-    postings = kept(postings.join(long_tokens, "node"), "postings")
+    postings = kept(postings.join(long_tokens, "node"), "lists")
     long_lists = postings.filter(F.col("m") > SMALL_LIST)
 
     first = _short_list_pairs(postings, percent).unionByName(_leader_pairs(long_lists, percent)).distinct()
@@ -251,7 +305,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Join:
         more = _verified(rest, classes, docs, width, percent)
         links = kept(links.unionByName(more).distinct(), "links")
         labels = kept(connected_components(links), "labels")
-    return Join(rows.select("doc_id", "text_key", "node", "n"), links, labels)
+    return Join(members, links, labels)
 
 
 def near_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
