@@ -8,9 +8,13 @@ tokens before it is verified. A pair is held to the smaller ``need`` of its two
 are long enough.
 
 Copies, and all texts with equal sets, are one class from the start. Posting lists of up to ``SMALL_LIST`` classes
-emit their pairs. A longer list, as a large group of near copies makes, first links every member to one leader;
-only pairs of members that still are in different components are emitted afterwards, block by block. No link
-between different components is missed, and no group emits all its pairs.
+emit their pairs. A longer list, as a large group of near copies makes, first links every member to one leader.
+Afterwards the members outside a list's largest component are compared, block by block, with members of other
+components. No link between different components is missed, and no group emits all its pairs.
+
+Before texts are moved to verify a pair, its parity sketches are compared: tokens fall into ``SKETCH_BITS`` cells, a
+bit says whether a cell holds an odd number of them, and two sketches never differ in more bits than the sets differ
+in tokens. So a pair is dropped only where it cannot be a link; all others are counted exactly.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ SMALL_LIST = 64
 BLOCK = 1024
 # Largest number of shared prefix tokens that a document may ask for.
 MAX_NEED = 4
+# Bits of a parity sketch.
+SKETCH_BITS = 2048
 # Cost of verifying a candidate against reading one posting, for the choice of a prefix.
 VERIFY_COST = 8.0
 # The token order moves at most so many heavy tokens to its end: 16 bytes each in every task, whatever the input.
@@ -107,8 +113,15 @@ def signature(tokens: np.ndarray) -> int:
         return int(mixed(one + two).view(np.int64)[0])
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Bits of the cells that hold an odd number of tokens, as 64-bit integers."""
+    cells = mixed(tokens + np.uint64(1)) % np.uint64(SKETCH_BITS)
+    odd = (np.bincount(cells.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _members(docs: DataFrame, width: int) -> DataFrame:
-    """Each row with the node and size of its set; no node for an empty set."""
+    """Each row with the node, size and sketch of its set; no node for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,9 +129,19 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(find_words(piece.column("text"), fold=True), width)
                 nodes = pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), nodes, sizes], ["doc_id", "text_key", "node", "n"])
+                sketches = pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
+                columns = [piece.column("doc_id"), piece.column("text_key"), nodes, sizes, sketches]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "sketch"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, node long, n long, sketch array<long>")
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, node long, n long")
+
+def _sketches_allow(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes whose sketches differ in no more bits than the sets of a link may differ in tokens."""
+    side = lambda name: classes.select(F.col("node").alias(name), F.struct("n", "sketch").alias(f"{name}_set"))
+    bits = F.aggregate(F.zip_with("a_set.sketch", "b_set.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.filter(bits * (100 + percent) <= (F.col("a_set.n") + F.col("b_set.n")) * (100 - percent)).select("a", "b")
 
 
 def _shared_postings(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
@@ -184,7 +207,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     Nodes are dealt into blocks. A pair meets in the task of its two blocks, to which the text of each node goes
     once; a task holds the texts of two blocks at most.
     """
-    pairs = kept(pairs, "pairs")
+    pairs = kept(_sketches_allow(pairs, classes, percent), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = kept(nodes.join(classes.select("node", "doc_id", "text_key", "n"), "node"), "wanted")
     words, count = wanted.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -258,24 +281,46 @@ def _leader_pairs(long_lists: DataFrame, percent: int) -> DataFrame:
     return joined.select(*_ordered_pairs()).distinct()
 
 
-def _cross_pairs(long_lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the longer lists whose members are still in different components, block against block."""
-    named = long_lists.join(labels.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed_lists = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    named = named.join(mixed_lists, "token")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = named.withColumn("blocks", blocks).withColumn("own", own)
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # Each member stands in every pair of blocks that holds its own; a row knows on which side it stands.
-    dealt = dealt.withColumn("o", F.explode(other)).select(
-        "token", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.struct("node", "n", "pos", "comp", "own").alias("p")
-    )
-    left = dealt.filter(F.col("p.own") == F.col("i"))
-    right = dealt.filter(F.col("p.own") == F.col("j")).withColumnRenamed("p", "q")
-    met = left.join(right, ["token", "i", "j"]).filter("p.comp <> q.comp")
-    met = met.filter((F.col("i") < F.col("j")) | (F.col("p.node") < F.col("q.node"))).filter(_sizes_match(percent) & _rest_suffices(percent))
-    return met.select(*_ordered_pairs()).distinct()
+def _cross_pairs(long_lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidates in the longer lists whose members are in different components.
+
+    Members outside a list's largest component (``left``) meet all its members (``right``). Both are dealt into
+    blocks; a task compares the sketches of one block of each and returns only pairs that may be links.
+    """
+    named = long_lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("token", "node", "comp")
+    sizes = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    lists = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("m")).filter("most.k < m")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    lists = lists.select("token", F.col("most.comp").alias("main"), blocks(F.col("m")).alias("rights"), blocks(F.col("m") - F.col("most.k")).alias("lefts"))
+    named = named.join(lists, "token").join(classes.select("node", "n", "sketch"), "node")
+    spot = F.xxhash64("node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    right = named.select("token", F.pmod(spot, "rights").cast("int").alias("j"), every(F.col("lefts")).alias("i"), "node", "comp", "n", "sketch")
+    left = named.filter("comp <> main").select("token", every(F.col("rights")).alias("j"), F.pmod(spot, "lefts").cast("int").alias("i"), "node", "comp", "n", "sketch", "main")
+    right = right.toDF(*right.columns)  # names of its own, since both sides come from one table
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        if left.num_rows == 0 or right.num_rows == 0:
+            return schema.empty_table()
+        x, y = ({c: t[c].to_numpy() for c in ("node", "comp", "n")} for t in (left, right))
+        bits_x, bits_y = (np.array(t["sketch"].combine_chunks().flatten()).reshape(t.num_rows, -1).view(np.uint64) for t in (left, right))
+        main = left["main"][0].as_py()
+        found = []
+        for i in range(left.num_rows):
+            ask = np.flatnonzero((y["comp"] != x["comp"][i]) & ((y["comp"] == main) | (y["node"] > x["node"][i])))
+            small, large = np.minimum(y["n"][ask], x["n"][i]), np.maximum(y["n"][ask], x["n"][i])
+            ask = ask[100 * small >= percent * large]
+            differ = np.bitwise_count(bits_y[ask] ^ bits_x[i]).sum(axis=1, dtype=np.int64)
+            ask = ask[differ * (100 + percent) <= (y["n"][ask] + x["n"][i]) * (100 - percent)]
+            found += [(min(x["node"][i], o), max(x["node"][i], o)) for o in y["node"][ask]]
+        if not found:
+            return schema.empty_table()
+        a, b = zip(*found, strict=True)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    met = left.groupBy("token", "i", "j").cogroup(right.groupBy("token", "i", "j")).applyInArrow(compare, "a long, b long")
+    return met.distinct()
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Join:
@@ -287,7 +332,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Join:
     docs = with_text_key(docs)
     members = kept(_members(docs, width), "members")
     nodes = members.filter("node is not null").groupBy("node")
-    classes = kept(nodes.agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n")).select("node", "rep.*", "n"), "classes")
+    classes = kept(nodes.agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "rep.*", "n", "sketch"), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     heavy = _heavy_tokens(docs, width)
     postings = kept(_shared_postings(docs, width, percent, heavy, total), "postings")
@@ -300,12 +345,12 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Join:
     first = _short_list_pairs(postings, percent).unionByName(_leader_pairs(long_lists, percent)).distinct()
     links = kept(_verified(first, classes, docs, width, percent), "links")
     labels = kept(connected_components(links), "labels")
-    rest = kept(_cross_pairs(long_lists, labels, percent), "rest")
+    rest = kept(_cross_pairs(long_lists, classes, labels, percent), "rest")
     if not rest.isEmpty():
         more = _verified(rest, classes, docs, width, percent)
         links = kept(links.unionByName(more).distinct(), "links")
         labels = kept(connected_components(links), "labels")
-    return Join(members, links, labels)
+    return Join(members.drop("sketch"), links, labels)
 
 
 def near_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
