@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorlens.llm import mixing, ngram_join, packing, token_files
+from vectorlens.llm import mixing, ngram_join, packing, substrings, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,27 @@ FROM p
 """
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup_digest(table(spark, folder, "documents"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS k FROM x),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM h) WHERE rn > 1),
+c AS (SELECT DISTINCT doc_id, i + o AS p FROM r, (SELECT unnest(range(0, 20)) AS o)),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+g AS (
+  SELECT p.doc_id, count(*) AS n_removed_not, string_agg(word, ' ' ORDER BY p.p) AS t
+  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.p WHERE c.p IS NULL GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(g.n_removed_not, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(g.t, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, folder, "documents")).select("doc_id", F.col("n_shingles"), "component_id")
 
@@ -89,6 +110,7 @@ def op10_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix": (op1_mix, OP1_SQL),
+    "op5_substring_dedup": (op5_substring_dedup, OP5_SQL),
     "op8_ngram_join": (op8_ngram_join, OP8_SQL),
     "op9_token_files": (op9_token_files, None),
     "op10_bin_packing": (op10_bin_packing, None),
