@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorlens.llm import mixing, ngram_join, packing, substrings, token_files
+from vectorlens.llm import language, mixing, ngram_join, packing, secrets, substrings, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,10 @@ FROM p
 """
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(table(spark, folder, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.dedup_digest(table(spark, folder, "documents"))
 
@@ -76,6 +80,10 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, folder, "documents")).select("doc_id", F.col("n_shingles"), "component_id")
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_report(table(spark, folder, "documents"))
+
+
 OP8_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -110,7 +118,9 @@ def op10_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix": (op1_mix, OP1_SQL),
+    "op2_secrets": (op2_secrets, None),
     "op5_substring_dedup": (op5_substring_dedup, OP5_SQL),
+    "op6_language": (op6_language, None),
     "op8_ngram_join": (op8_ngram_join, OP8_SQL),
     "op9_token_files": (op9_token_files, None),
     "op10_bin_packing": (op10_bin_packing, None),
