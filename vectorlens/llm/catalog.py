@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorlens.llm import language, mixing, neighbour_lists, ngram_join, packing, secrets, substrings, token_files
+from vectorlens.llm import decontaminate, language, mixing, neighbour_lists, ngram_join, packing, secrets, substrings, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(table(spark, folder, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leak_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_lists.nearest(table(spark, folder, "embeddings"))
 
@@ -123,6 +127,7 @@ def op10_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix": (op1_mix, OP1_SQL),
     "op2_secrets": (op2_secrets, None),
+    "op3_decontamination": (op3_decontamination, None),
     "op4_posting_lists": (op4_posting_lists, None),
     "op5_substring_dedup": (op5_substring_dedup, OP5_SQL),
     "op6_language": (op6_language, None),

@@ -27,6 +27,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_BARE = _FOLD.copy()
+_BARE[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
 _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,16 +102,17 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def find_words(texts: pa.Array, fold: bool = False) -> Words:
-    """Words of every text; a null text has none. ``fold`` lower-cases A to Z."""
+def find_words(texts: pa.Array, fold: bool = False, punctuation: bool = True) -> Words:
+    """Words of every text; a null text has none. ``fold`` lower-cases A to Z; without ``punctuation``, that of ASCII
+    separates words too, and A to Z are lower-cased."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     _, where, data = texts.buffers()
     offsets = np.frombuffer(where, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
     raw = raw[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    if fold:
-        raw = _FOLD[raw]
+    if fold or not punctuation:
+        raw = (_FOLD if punctuation else _BARE)[raw]
     if len(raw) == 0:
         none = np.empty(0, dtype=np.int64)
         return Words(raw, none, none, np.zeros(len(texts) + 1, dtype=np.int64))
