@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorlens.llm import decontaminate, language, mixing, neighbour_lists, ngram_join, packing, secrets, substrings, token_files
+from vectorlens.llm import decontaminate, language, mixing, neighbour_lists, ngram_join, packing, personal, secrets, substrings, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +92,10 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_report(table(spark, folder, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_report(table(spark, folder, "documents"))
+
+
 OP8_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -131,6 +135,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op4_posting_lists": (op4_posting_lists, None),
     "op5_substring_dedup": (op5_substring_dedup, OP5_SQL),
     "op6_language": (op6_language, None),
+    "op7_personal_data": (op7_personal_data, None),
     "op8_ngram_join": (op8_ngram_join, OP8_SQL),
     "op9_token_files": (op9_token_files, None),
     "op10_bin_packing": (op10_bin_packing, None),
