@@ -10,9 +10,9 @@ def fold(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def shingles(text):
+def shingles(text, width=4):
     words = re.findall(WORD, fold(text))
-    return {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
 def brute_force(rows, percent=85):

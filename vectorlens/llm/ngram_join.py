@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorlens.llm.components import connected_components
-from vectorlens.llm.tables import kept, with_text_key
+from vectorlens.llm.tables import kept, with_text_key, without
 from vectorlens.llm.words import find_words, mixed, pieces, shingle_sets
 
 # Posting lists up to this length emit all their pairs.
@@ -372,3 +372,24 @@ def near_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFram
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, all columns kept: the one with the smallest id, null ids last.
+
+    Rows without words are in no component and stay. Rows that repeat both an id and a text are copies of one another:
+    one of them stays.
+    """
+    found = ngram_join(docs, width, percent)
+    named = found.members.filter("node is not null").join(found.components, "node", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    rows = named.groupBy(F.coalesce("comp", "node").alias("comp"), order.alias("o")).agg(F.count(F.lit(1)).alias("copies"))
+    rows = kept(rows, "components")
+    firsts = rows.groupBy("comp").agg(F.min("o").alias("first"))
+    keys = rows.join(firsts, "comp").select("o.doc_id", "o.text_key", (F.col("o") == F.col("first")).alias("stays"), "copies")
+    left = without(docs, keys.filter("not stays"))
+    again = keys.filter("stays and copies > 1").select("doc_id", "text_key")
+    if again.isEmpty():
+        return left
+    copies = left.join(again.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")), (F.xxhash64("text") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_semi")
+    return without(left, again).unionByName(copies.dropDuplicates(["doc_id", "text"]))

@@ -9,6 +9,7 @@ from vectorlens.session import fresh_path
 
 # Rows that one task numbers in a window.
 ROWS_PER_BUCKET = 50_000
+BROADCAST_KEYS = 500_000
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -23,6 +24,19 @@ def with_text_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
 
 
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``(doc_id, text_key)`` is not among ``keys``, all columns kept.
+
+    Up to ``BROADCAST_KEYS`` keys are sent to every task (about 40 bytes each); beyond, texts move in a shuffle join.
+    """
+    gone = kept(keys.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct(), "gone")
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    rows = docs.select(F.struct("*").alias("row"))
+    same = (F.xxhash64("row.text") == F.col("__k")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("__d"))
+    return rows.join(gone, same, "left_anti").select("row.*")
+
+
 def bucket_count(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_BUCKET))
 
