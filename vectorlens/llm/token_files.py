@@ -42,34 +42,45 @@ LEVEL = 3
 # Text bytes of one file, about; the number of files grows with the input.
 BYTES_PER_FILE = 64 << 20
 # Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 400_000
 LARGEST_ID = (1 << 63) - 1
 
-_PLAIN = re.compile(r"[!-~]+\Z")
-# Fixed pattern: how the public word vocabulary splits printable ASCII words in lower case.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Letters that lower-case alone and stay as they are under composition: those of Latin-1.
+_LATIN = "".join(chr(i) for i in range(0xDF, 0x100) if chr(i).isalpha())
+_PLAIN = re.compile(rf"[!-~À-ÖØ-Þ{_LATIN}]+\Z")
+# Fixed pattern: how the public word vocabulary splits such words in lower case.
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+# Words given to the whole pipeline of the library at once.
+_WORDS_AT_ONCE = 2000
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer that never looks across white space, one distinct word at a time.
 
-    Words already seen are looked up by their 64-bit hash. A printable ASCII word is further cut into the parts
-    that this vocabulary treats alone, so that a word with other capitals or punctuation is not encoded again. All
-    other words, and those that may hold a special token, go to the library as they are.
+    Words already seen are looked up by their 64-bit hash. A word of printable ASCII and Latin-1 letters is further
+    cut into the parts that this vocabulary treats alone, and each part goes straight to the library's model: so a
+    word with other capitals or punctuation is not encoded again. All other words, and those that may hold a special
+    token, go through the library's whole pipeline as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mapped = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in _LATIN}
         self.splits = self._splits_like_parts()
         self._forget()
 
     def _splits_like_parts(self) -> bool:
-        """Whether this vocabulary lower-cases and splits as the fixed pattern says, tried on words that tell."""
-        tries = ["It's", "WE'LL!", "a1b22c", "x--y''z", "don't.", "'S", "(Q)'re"]
-        return all(self._library(w) == [i for p in _PARTS.findall(w.lower()) for i in self._library(p)] for w in tries)
+        """Whether this vocabulary lower-cases, splits and maps bytes as assumed, tried on words that tell."""
+        tries = ["It's", "WE'LL!", "a1b22c", "x--y''z", "don't.", "'S", "(Q)'re", "ÀÉîõüß,ÿ", "l'été2"]
+        return all(self._library(w) == [i for p in _PARTS.findall(w.lower()) for i in self._model(p)] for w in tries)
+
+    def _model(self, part: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(part.translate(self.mapped))]
 
     def _library(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -82,18 +93,29 @@ class WordEncoder:
         self.starts: list[int] = []
         self.sizes: list[int] = []
 
-    def _word_parts(self, word: str) -> list[str]:
+    def _word_parts(self, word: str) -> list[str] | None:
         if self.splits and _PLAIN.match(word) and not any(s in word for s in self.special):
             return _PARTS.findall(word.lower())
-        return [word]
+        return None
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
         cut = [self._word_parts(w) for w in words]
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.parts))
-        for part, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = found.ids
-        for key, parts in zip(keys, cut, strict=True):
-            ids = [i for p in parts for i in self.parts[p]]
+        whole = [w for w, parts in zip(words, cut, strict=True) if parts is None]
+        others = {}
+        for i in range(0, len(whole), _WORDS_AT_ONCE):
+            some = whole[i : i + _WORDS_AT_ONCE]
+            found = self.library.encode_batch_fast(some, add_special_tokens=False)
+            others.update(zip(some, (f.ids for f in found), strict=True))
+        model, known = self._model, self.parts
+        for key, word, parts in zip(keys, words, cut, strict=True):
+            if parts is None:
+                ids = others[word]
+            else:
+                ids = []
+                for part in parts:
+                    if part not in known:
+                        known[part] = tuple(model(part))
+                    ids.extend(known[part])
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), len(ids)), dtype=np.uint32)))
             self.ids[self.used : self.used + len(ids)] = ids
