@@ -57,7 +57,6 @@ def test_frequent_anchors_and_many_tasks(documents, repeating, monkeypatch):
     monkeypatch.setattr(substrings, "FREQUENT_IN_PIECE", 2)
     monkeypatch.setattr(substrings, "FREQUENT_IN_ALL", 2)
     monkeypatch.setattr(substrings, "ROWS_PER_TASK", 50)
-    monkeypatch.setattr(substrings, "BROADCAST_STRETCHES", 0)
     assert result(documents(repeating)) == brute_force(repeating)
 
 

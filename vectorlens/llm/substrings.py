@@ -34,8 +34,6 @@ ROWS_PER_TASK = 1_500_000
 # Frequent anchors held by every task: at most so many, 8 bytes each. Which ones they are changes cost, not results.
 FREQUENT_ANCHORS = 65_536
 FREQUENT_IN_PIECE, FREQUENT_IN_ALL = 8, 2_000
-# Stretches looked up by broadcast (about 40 bytes each); beyond, texts are moved in a shuffle join.
-BROADCAST_STRETCHES = 500_000
 LAST = (1 << 63) - 1
 
 _UNITS = "key long, ctx long, doc long, tag int, start int, n int"
@@ -177,14 +175,13 @@ def _stretches(units: DataFrame) -> DataFrame:
     return units.groupBy(F.col("doc").alias("d"), F.col("tag").alias("t")).agg(F.collect_list(F.struct("start", "n")).alias("stretches"))
 
 
-def _found_again(docs: DataFrame, stretches: DataFrame, how: str, small: bool) -> DataFrame:
-    other = F.broadcast(stretches) if small else stretches
-    return docs.join(other, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")), how)
+def _found_again(docs: DataFrame, stretches: DataFrame, how: str) -> DataFrame:
+    return docs.join(stretches, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")), how)
 
 
 def _windows(docs: DataFrame, units: DataFrame) -> DataFrame:
     """One unit for each window of the given units, keyed by its content."""
-    texts = _found_again(docs, _stretches(units), "inner", units.count() <= BROADCAST_STRETCHES).select("doc", "tag", "stretches", "text")
+    texts = _found_again(docs, _stretches(units), "inner").select("doc", "tag", "stretches", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +222,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gives an empty kept text, as does a text of which nothing is left. Other columns are ignored.
     """
     docs = _identified(docs)
-    joined = _found_again(docs, _stretches(repeats(docs)), "left", False).select("doc_id", "stretches", "text")
+    joined = _found_again(docs, _stretches(repeats(docs)), "left").select("doc_id", "stretches", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
