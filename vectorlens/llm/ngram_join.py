@@ -8,9 +8,10 @@ tokens before it is verified. A pair is held to the smaller ``need`` of its two
 are long enough.
 
 Copies, and all texts with equal sets, are one class from the start. Posting lists of up to ``SMALL_LIST`` classes
-emit their pairs. A longer list, as a large group of near copies makes, first links every member to one leader.
-Afterwards the members outside a list's largest component are compared, block by block, with members of other
-components. No link between different components is missed, and no group emits all its pairs.
+emit their pairs. In a longer list, as a large group of near copies makes, the members outside the list's largest
+component are compared, block by block, with members of other components. In the first rounds a task returns only a
+forest of the candidates it sees, which joins them with one pair per member; the last round returns all candidates
+that still lie between components. No link between different components is missed, and no group emits all its pairs.
 
 Before texts are moved to verify a pair, its parity sketches are compared: tokens fall into ``SKETCH_BITS`` cells, a
 bit says whether a cell holds an odd number of them, and two sketches never differ in more bits than the sets differ
@@ -33,8 +34,8 @@ from vectorlens.llm.words import find_words, mixed, pieces, shingle_sets
 
 # Posting lists up to this length emit all their pairs.
 SMALL_LIST = 64
-# Members of a block of a longer list.
-BLOCK = 1024
+# Members of a block of a longer list, and rounds in which its tasks return a forest.
+BLOCK, FOREST_ROUNDS = 1024, 2
 # Largest number of shared prefix tokens that a document may ask for.
 MAX_NEED = 4
 # Bits of a parity sketch.
@@ -274,18 +275,12 @@ def _short_list_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return counted.filter("first").filter(F.col("c") + F.col("long") >= F.col("need")).select("a", "b")
 
 
-def _leader_pairs(long_lists: DataFrame, percent: int) -> DataFrame:
-    leaders = long_lists.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("q"))
-    members = long_lists.select("token", F.struct("node", "n", "pos").alias("p"))
-    joined = members.join(leaders, "token").filter(F.col("p.node") != F.col("q.node")).filter(_sizes_match(percent) & _rest_suffices(percent))
-    return joined.select(*_ordered_pairs()).distinct()
-
-
-def _cross_pairs(long_lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(long_lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Candidates in the longer lists whose members are in different components.
 
     Members outside a list's largest component (``left``) meet all its members (``right``). Both are dealt into
-    blocks; a task compares the sketches of one block of each and returns only pairs that may be links.
+    blocks; a task compares the sketches of one block of each and returns only pairs that may be links: all of them,
+    or a ``forest`` that joins the components it sees as far as all would.
     """
     named = long_lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("token", "node", "comp")
     sizes = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
@@ -307,12 +302,22 @@ def _cross_pairs(long_lists: DataFrame, classes: DataFrame, labels: DataFrame, p
         bits_x, bits_y = (np.array(t["sketch"].combine_chunks().flatten()).reshape(t.num_rows, -1).view(np.uint64) for t in (left, right))
         main = left["main"][0].as_py()
         found = []
+        # Components joined so far, as numbers that change together.
+        _, now = np.unique(np.concatenate((x["comp"], y["comp"])), return_inverse=True)
+        now_x, now_y = now[: left.num_rows], now[left.num_rows :]
         for i in range(left.num_rows):
             ask = np.flatnonzero((y["comp"] != x["comp"][i]) & ((y["comp"] == main) | (y["node"] > x["node"][i])))
             small, large = np.minimum(y["n"][ask], x["n"][i]), np.maximum(y["n"][ask], x["n"][i])
             ask = ask[100 * small >= percent * large]
             differ = np.bitwise_count(bits_y[ask] ^ bits_x[i]).sum(axis=1, dtype=np.int64)
             ask = ask[differ * (100 + percent) <= (y["n"][ask] + x["n"][i]) * (100 - percent)]
+            if forest:
+                ask = ask[now_y[ask] != now_x[i]]
+                others, first = np.unique(now_y[ask], return_index=True)
+                ask = ask[first]
+                own = now_x[i]
+                now_x[np.isin(now_x, others)] = own
+                now_y[np.isin(now_y, others)] = own
             found += [(min(x["node"][i], o), max(x["node"][i], o)) for o in y["node"][ask]]
         if not found:
             return schema.empty_table()
@@ -342,11 +347,12 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Join:
     postings = kept(postings.join(long_tokens, "node"), "lists")
     long_lists = postings.filter(F.col("m") > SMALL_LIST)
 
-    first = _short_list_pairs(postings, percent).unionByName(_leader_pairs(long_lists, percent)).distinct()
-    links = kept(_verified(first, classes, docs, width, percent), "links")
+    links = kept(_verified(_short_list_pairs(postings, percent), classes, docs, width, percent), "links")
     labels = kept(connected_components(links), "labels")
-    rest = kept(_cross_pairs(long_lists, classes, labels, percent), "rest")
-    if not rest.isEmpty():
+    for round_no in range(FOREST_ROUNDS + 1):
+        rest = kept(_cross_pairs(long_lists, classes, labels, percent, round_no < FOREST_ROUNDS), "rest")
+        if rest.isEmpty():
+            break
         more = _verified(rest, classes, docs, width, percent)
         links = kept(links.unionByName(more).distinct(), "links")
         labels = kept(connected_components(links), "labels")
