@@ -102,7 +102,6 @@ def test_split_centers_give_the_same_assignment(spark, vectors_frame, emb_100x51
     whole = values(clustering.assign_to_table(df, centers, "uuid", "emb", "k", "c"), "uuid", "cluster", "dist2")
     assert whole[0] == (0, 0, 0.0)
     monkeypatch.setattr(clustering, "MAX_CENTER_BYTES", 200)
-    monkeypatch.setattr(clustering, "ROWS_PER_TASK", 30)
     split = values(clustering.assign_to_table(df, centers, "uuid", "emb", "k", "c"), "uuid", "cluster", "dist2")
     assert split == whole
 

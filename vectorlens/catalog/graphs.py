@@ -53,11 +53,11 @@ def perplexity_affinity(spark, sf):
 
 
 def neighbor_layout_umap(spark, sf):
-    return layout.neighbour_layout(_embeddings(spark, sf), "UMAP", "vec_id", "embedding", iterations=5)
+    return layout.neighbour_layout(_embeddings(spark, sf), "UMAP", "vec_id", "embedding")
 
 
 def neighbor_layout_tsne(spark, sf):
-    return layout.neighbour_layout(_embeddings(spark, sf), "TSNE", "vec_id", "embedding", iterations=5)
+    return layout.neighbour_layout(_embeddings(spark, sf), "TSNE", "vec_id", "embedding")
 
 
 def _edges(source: str, k: str) -> str:

@@ -139,8 +139,8 @@ def nearest_center(vector: Column, ids: list[int], centers: np.ndarray) -> Colum
         if len(points) == 0:
             best, exact = np.empty(0, dtype=np.int64), np.empty(0)
         else:
-            best = squared_distances(points, centers).argmin(axis=1)
-            exact = ((points - centers[best]) ** 2).sum(axis=1)
+            where, distances = closest(points, centers, 1)
+            best, exact = where[:, 0], distances[:, 0]
         return pa.StructArray.from_arrays(
             [pa.array(names[best]), pa.array(exact)], names=["cluster", "dist2"]
         )

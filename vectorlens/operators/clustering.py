@@ -5,13 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vectorlens.functions import vectors
 from vectorlens.functions.predicates import quoted
@@ -20,8 +18,6 @@ from vectorlens.operators.profile import LABEL_PREFIX, label_columns
 
 # Largest center table held by every task. Clustering itself goes to 100 clusters.
 MAX_CENTER_BYTES = 64 * 1024 * 1024
-# Rows of one task when the centers are split instead.
-ROWS_PER_TASK = 65_536
 
 
 @dataclass(frozen=True)
@@ -118,41 +114,24 @@ def assign_to_table(
 ) -> DataFrame:
     """Add ``cluster`` and ``dist2`` of the nearest row of a center table (ties to the lowest id).
 
-    A small table goes to every task. A larger one is split into blocks of that size; rows meet each block in
-    tasks of bounded size, and the nearest of the block winners is kept per id.
+    Centers are taken in blocks of at most ``MAX_CENTER_BYTES``, one after the other, each held by every task. The best
+    of all blocks is kept row by row, so no row is moved or joined, and ``id_col`` may repeat or be null.
     """
-    size = _center_bytes(centers, center_vec)
-    if size <= MAX_CENTER_BYTES:
-        return assign_nearest(df, *collect_centers(centers, center_id, center_vec), vec_col)
-    blocks = -(-size // MAX_CENTER_BYTES)
-    chunks = max(1, -(-df.count() // ROWS_PER_TASK))
-    asked = (
-        df.select(quoted(id_col).alias("id"), quoted(vec_col).cast(vectors.VECTOR).alias("v"))
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-        .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
-    offered = (
-        centers.select(quoted(center_id).cast("int").alias("k"), quoted(center_vec).cast("array<double>").alias("c"))
-        .withColumn("blk", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    )
-
-    def best_of_block(rows: pa.Table, block: pa.Table) -> pa.Table:
-        out = pa.schema([("id", rows.schema.field("id").type), ("dist2", pa.float64()), ("k", pa.int32())])
-        if rows.num_rows == 0 or block.num_rows == 0:
-            return out.empty_table()
-        block = block.sort_by("k").combine_chunks()
-        points = vectors.as_matrix(rows["v"].combine_chunks())
-        where, dist = vectors.closest(points, vectors.as_matrix(block["c"].combine_chunks(), np.float64), 1)
-        winners = block["k"].combine_chunks().take(pa.array(where[:, 0]))
-        return pa.table([rows["id"].combine_chunks(), pa.array(dist[:, 0]), winners], schema=out)
-
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType)]).add("dist2", T.DoubleType())
-    schema = schema.add("k", T.IntegerType())
-    met = asked.groupBy("blk", "chunk").cogroup(offered.groupBy("blk", "chunk")).applyInArrow(best_of_block, schema)
-    nearest = met.groupBy("id").agg(F.min(F.struct("dist2", "k")).alias("b"))
-    chosen = nearest.select(F.col("id").alias(id_col), F.col("b.k").alias("cluster"), F.col("b.dist2").alias("dist2"))
-    return df.join(chosen, id_col)
+    blocks = max(1, -(-_center_bytes(centers, center_vec) // MAX_CENTER_BYTES))
+    hits = []
+    for block in range(blocks):
+        part = centers.filter(F.pmod(F.xxhash64(quoted(center_id)), F.lit(blocks)) == block)
+        found = sorted(tuple(r) for r in part.select(quoted(center_id), quoted(center_vec)).collect())
+        if found:
+            ids, points = [int(r[0]) for r in found], np.array([r[1] for r in found], dtype=np.float64)
+            hit = vectors.nearest_center(quoted(vec_col), ids, points)
+            hits.append(hit.alias(f"__hit{len(hits)}"))
+    if not hits:
+        raise ValueError("no centers given")
+    offers = [F.struct(F.col(f"__hit{i}.dist2").alias("dist2"), F.col(f"__hit{i}.cluster").alias("cluster")) for i in range(len(hits))]
+    best = F.least(*offers) if len(offers) > 1 else offers[0]
+    found = df.select("*", *hits).withColumn("__best", best)
+    return found.select(*[quoted(c) for c in df.columns], F.col("__best.cluster").alias("cluster"), F.col("__best.dist2").alias("dist2"))
 
 
 def assign_nearest(df: DataFrame, ids: list[int], centers: np.ndarray, vec_col: str = "emb") -> DataFrame:

@@ -107,6 +107,10 @@ def purity_entropy(df: DataFrame, label_col: str, category_col: str) -> DataFram
     return _purity_entropy(contingency(df, label_col, category_col))
 
 
+# Place of the rows without a cluster in a rendered tree.
+NO_CLUSTER = (1 << 63) - 1
+
+
 def _composition(cells: DataFrame) -> DataFrame:
     order = [F.desc("n"), F.col("category")]
     ranked = with_group_rank(cells, "cluster", order, [F.sum("n").alias("total")])
@@ -135,18 +139,21 @@ def composition_tree(df: DataFrame, label_col: str, category_col: str) -> DataFr
     ).first()
     if not facts["clusters"]:
         return df.sparkSession.createDataFrame([], "line_no long, line string")
-    last_cluster = F.col("number") == F.lit(facts["last"])
+    # Rows without a cluster form the last block.
+    unnamed = facts["clusters"] > stats.filter("number is not null").count()
+    block = F.coalesce("number", F.lit(NO_CLUSTER))
+    last_cluster = block == F.lit(NO_CLUSTER if unnamed else facts["last"])
     headline = F.format_string(
         "Cluster %s  [%d pts]  purity: %s%%  entropy: %s",
-        "cluster", "n", fixed(F.col("purity") * 100, 0), fixed(F.col("entropy"), 2),
+        F.coalesce(F.col("cluster").cast("string"), F.lit("none")), "n", fixed(F.col("purity") * 100, 0), fixed(F.col("entropy"), 2),
     )
     blocks = stats.select(
-        F.col("number").alias("block"),
+        block.alias("block"),
         F.lit(0).alias("row"),
         F.concat(F.when(last_cluster, "└── ").otherwise("├── "), headline).alias("line"),
     )
     details = rows.withColumn("number", F.col("cluster").cast("long")).select(
-        F.col("number").alias("block"),
+        block.alias("block"),
         F.col("rank").alias("row"),
         F.concat(
             F.when(last_cluster, "    ").otherwise("│   "),

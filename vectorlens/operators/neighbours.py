@@ -44,7 +44,10 @@ def tsne_perplexity(n: int) -> int:
 
 def _coarse_cells(points: DataFrame, n: int, block_rows: int, seed: int) -> np.ndarray:
     """Cell centers from a sample. They steer how much is compared, never what is found."""
-    width = len(points.select("v").head(1)[0][0])
+    first = points.select("v").head(1)
+    if not first:
+        return np.zeros((1, 1))
+    width = len(first[0][0])
     wanted = min(MAX_CELLS, MAX_CELL_BYTES // (8 * width), n // block_rows)
     if wanted < 2:
         return np.zeros((1, width))

@@ -27,5 +27,6 @@ def with_group_rank(df: DataFrame, group: str, order: list[Column], totals: list
     starts = numbered.groupBy(group).agg(
         F.min("__number").alias("__first"), F.count(F.lit(1)).alias("size"), *(totals or [])
     )
-    joined = numbered.join(starts, group)
-    return joined.withColumn("rank", F.col("__number") - F.col("__first") + 1).drop("__number", "__first")
+    # A null group is a group like the others.
+    joined = numbered.join(starts.withColumnRenamed(group, "__group"), F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn("rank", F.col("__number") - F.col("__first") + 1).drop("__number", "__first", "__group")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,14 +97,11 @@ def with_image_url(df: DataFrame, name: str = "resolved_url") -> DataFrame:
     return df.withColumn(name, resolved)
 
 
-def tooltip_columns(columns: list[str], colour: str | None = None, file_names: bool = False) -> list[str]:
-    """Colour column first, then the first 15 remaining metadata columns; file name leads when asked for."""
-    skip = set(NOT_TOOLTIP)
-    lead = []
-    if file_names and "file_name" in columns:
-        lead.append("file_name")
-        skip.add("file_name")
-    if colour and colour not in skip:
-        lead.append(colour)
-        skip.add(colour)
-    return lead + [c for c in columns if c not in skip][:TOOLTIP_LIMIT]
+def tooltip_columns(
+    columns: list[str], colour: str | None = None, file_names: bool = False, limit: int = TOOLTIP_LIMIT
+) -> list[str]:
+    """File name (if asked for), then the colour column, then up to ``limit`` other metadata columns in table order."""
+    head = [c for c in (["file_name"] if file_names and "file_name" in columns else []) + [colour] if c and c not in NOT_TOOLTIP]
+    head = list(dict.fromkeys(head))
+    others = (c for c in columns if c not in NOT_TOOLTIP and c not in head)
+    return [*head, *islice(others, limit)]

@@ -43,7 +43,8 @@ def with_center_distance(df: DataFrame, label_col: str, vec_col: str = "emb", na
         Summarizer.mean(array_to_vector(quoted(vec_col))).alias("__mean")
     )
     label = quoted(label_col).cast("string")
-    width = len(df.select(quoted(vec_col)).filter(quoted(vec_col).isNotNull()).head(1)[0][0])
+    first = df.select(quoted(vec_col)).filter(quoted(vec_col).isNotNull()).head(1)
+    width = max(1, len(first[0][0])) if first else 1
     allowed = MAX_CENTER_BYTES // (8 * width)
     found = means.filter(F.col("__name").isNotNull()).take(allowed + 1)
     if len(found) <= allowed:
