@@ -45,6 +45,9 @@ HEADLINE = [
     "knn_graph",
     "fuzzy_weights",
     "perplexity_affinity",
+    "knn_graph_blocks",
+    "neighbor_layout_umap",
+    "neighbor_layout_tsne",
 ]
 
 

@@ -136,7 +136,7 @@ def test_layout_joins_agree(vectors_frame, blobs, monkeypatch):
     points, _ = blobs
     plain = layout.neighbour_layout(vectors_frame(points), iterations=2)
     expected = {r["uuid"]: (r["x"], r["y"]) for r in plain.collect()}
-    monkeypatch.setattr(layout, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(layout, "BROADCAST_BYTES", 0)
     for degree in (20, 1000):
         monkeypatch.setattr(layout, "HEAVY_DEGREE", degree)
         monkeypatch.setattr(layout, "MAX_HEAVY", 100)
@@ -144,6 +144,6 @@ def test_layout_joins_agree(vectors_frame, blobs, monkeypatch):
             assert (r["x"], r["y"]) == pytest.approx(expected[r["uuid"]])
 
 
-def test_layout_rejects_other_methods(vectors_frame, emb_10x32):
+def test_layout_rejects_other_methods(vectors_frame, few_points):
     with pytest.raises(ValueError):
-        layout.neighbour_layout(vectors_frame(emb_10x32), "ISOMAP")
+        layout.neighbour_layout(vectors_frame(few_points), "ISOMAP")

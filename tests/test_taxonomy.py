@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from vectorlens.operators import taxonomy
 
-CAT = ("Animalia", "Chordata", "Mammalia", "Carnivora", "Felidae", "Felis", "F. catus")
-ROSE = ("Plantae", "Tracheophyta", "Magnoliopsida", "Rosales", "Rosaceae", "Rosa", "R. gallica")
+OWL = ("Animalia", "Chordata", "Aves", "Strigiformes", "Strigidae", "Strix", "S. aluco")
+FERN = ("Plantae", "Tracheophyta", "Polypodiopsida", "Polypodiales", "Athyriaceae", "Athyrium", "A. filix-femina")
 SCHEMA = ", ".join(f"`{level}` string" for level in taxonomy.LEVELS)
 
 
@@ -18,23 +18,23 @@ def lines(df, **options):
 
 
 def test_leaves_fill_unknown(spark):
-    rows = [CAT, CAT, (None, *CAT[1:]), ("", "p", None, "", None, None, None)]
+    rows = [OWL, OWL, (None, *OWL[1:]), ("", "p", None, "", None, None, None)]
     unknown = taxonomy.UNKNOWN
     assert values(taxonomy.leaf_counts(frame(spark, rows))) == [
-        (*CAT, 2),
+        (*OWL, 2),
         (unknown, "p", *[unknown] * 5, 1),
     ]
 
 
 def test_missing_columns(spark):
-    df = frame(spark, [CAT]).select("kingdom", "species")
-    assert tuple(taxonomy.leaf_counts(df).first())[1:7] == (*[taxonomy.UNKNOWN] * 5, "F. catus")
+    df = frame(spark, [OWL]).select("kingdom", "species")
+    assert tuple(taxonomy.leaf_counts(df).first())[1:7] == (*[taxonomy.UNKNOWN] * 5, "S. aluco")
     with pytest.raises(ValueError):
         taxonomy.leaf_counts(df.drop("kingdom"))
 
 
 def test_statistics_count_paths(spark):
-    rows = [CAT, ROSE, (*ROSE[:2], *[None] * 5), (*CAT[:1], *[None] * 6)]
+    rows = [OWL, FERN, (*FERN[:2], *[None] * 5), (*OWL[:1], *[None] * 6)]
     found = dict(values(taxonomy.statistics(frame(spark, rows))))
     assert found == {
         "total_records": 4, "kingdom": 2, "phylum": 3, "class": 4, "order": 4, "family": 4, "genus": 4, "species": 4,
@@ -48,59 +48,56 @@ def test_empty(spark):
 
 
 def test_subtree_totals(spark):
-    totals = taxonomy.subtree_totals(frame(spark, [CAT, CAT, ROSE]))
+    totals = taxonomy.subtree_totals(frame(spark, [OWL, OWL, FERN]))
     by_path = {tuple(r["path"]): r["n"] for r in totals.collect()}
-    assert by_path[()] == 3 and by_path[("Animalia",)] == 2 and by_path[ROSE] == 1
+    assert by_path[()] == 3 and by_path[("Animalia",)] == 2 and by_path[FERN] == 1
     assert len(by_path) == 15
 
 
 def test_tree_text(spark):
-    puma = (*CAT[:5], "Puma", "P. concolor")
-    dog = (*CAT[:4], "Canidae", "Canis", "C. lupus")
-    wild = (*CAT[:6], "F. silvestris")
-    found = lines(frame(spark, [CAT, wild, wild, puma, dog, ROSE]), min_count=1)
+    eagle_owl = (*OWL[:5], "Bubo", "B. bubo")
+    barn_owl = (*OWL[:4], "Tytonidae", "Tyto", "T. alba")
+    great_grey = (*OWL[:6], "S. nebulosa")
+    found = lines(frame(spark, [OWL, OWL, *[great_grey] * 3, eagle_owl, barn_owl, barn_owl, FERN]), min_count=1)
     assert found == [
-        "Animalia (5)",
-        "└── Chordata (5)",
-        "    └── Mammalia (5)",
-        "        └── Carnivora (5)",
-        "            ├── Canidae (1)",
-        "            │   └── Canis (1)",
-        "            │       └── C. lupus (1)",
-        "            └── Felidae (4)",
-        "                ├── Felis (3)",
-        "                │   ├── F. silvestris (2)",
-        "                │   └── F. catus (1)",
-        "                └── Puma (1)",
-        "                    └── P. concolor (1)",
+        "Animalia (8)",
+        "└── Chordata (8)",
+        "    └── Aves (8)",
+        "        └── Strigiformes (8)",
+        "            ├── Strigidae (6)",
+        "            │   ├── Bubo (1)",
+        "            │   │   └── B. bubo (1)",
+        "            │   └── Strix (5)",
+        "            │       ├── S. nebulosa (3)",
+        "            │       └── S. aluco (2)",
+        "            └── Tytonidae (2)",
+        "                └── Tyto (2)",
+        "                    └── T. alba (2)",
         "Plantae (1)",
         "└── Tracheophyta (1)",
-        "    └── Magnoliopsida (1)",
-        "        └── Rosales (1)",
-        "            └── Rosaceae (1)",
-        "                └── Rosa (1)",
-        "                    └── R. gallica (1)",
+        "    └── Polypodiopsida (1)",
+        "        └── Polypodiales (1)",
+        "            └── Athyriaceae (1)",
+        "                └── Athyrium (1)",
+        "                    └── A. filix-femina (1)",
     ]
 
 
 def test_min_count_and_depth(spark):
-    df = frame(spark, [CAT, CAT, ROSE])
-    shown = lines(df, min_count=2)
-    assert shown[0] == "Animalia (2)" and not any("Plantae" in line for line in shown)
-    assert lines(df, min_count=1, max_depth=2) == [
-        "Animalia (2)", "└── Chordata (2)", "Plantae (1)", "└── Tracheophyta (1)",
-    ]
+    df = frame(spark, [*[OWL] * 4, *[FERN] * 3])
+    assert [line.split()[-2] for line in lines(df, min_count=4, max_depth=3)] == ["Animalia", "Chordata", "Aves"]
+    assert lines(df, min_count=3, max_depth=1) == ["Animalia (4)", "Plantae (3)"]
 
 
 def test_inner_node_needs_a_large_child(spark):
-    """A kingdom of six in two phyla of three is not shown at five."""
-    rows = [CAT] * 3 + [("Animalia", "Arthropoda", *CAT[2:])] * 3
-    assert lines(frame(spark, rows), min_count=5) == []
-    assert lines(frame(spark, rows), min_count=3)[0] == "Animalia (6)"
+    """A kingdom of eight in two phyla of four is not shown at six."""
+    rows = [OWL] * 4 + [("Animalia", "Mollusca", *OWL[2:])] * 4
+    assert lines(frame(spark, rows), min_count=6) == []
+    assert lines(frame(spark, rows), min_count=4)[0] == "Animalia (8)"
 
 
 def test_restrict_to_cluster(spark):
-    df = frame(spark, [CAT, ROSE]).withColumn("uuid", F.when(F.col("kingdom") == "Plantae", 1).otherwise(0))
+    df = frame(spark, [OWL, FERN]).withColumn("uuid", F.when(F.col("kingdom") == "Plantae", 1).otherwise(0))
     plot = spark.createDataFrame([(0, "10"), (0, "10"), (1, "9")], "uuid int, label string")
     assert taxonomy.restrict_to_cluster(df, plot, "label", "10").count() == 1
     assert taxonomy.restrict_to_cluster(df, plot, "label", "All").count() == 2

@@ -11,11 +11,11 @@ def matrix(df, column="emb", order="uuid"):
     return np.array([r[0] for r in df.sort(order).select(column).collect()])
 
 
-def test_prepare_normalizes(vectors_frame, emb_100x512):
-    df = preparation.with_prepared(vectors_frame(emb_100x512))
+def test_prepare_normalizes(vectors_frame, many_points):
+    df = preparation.with_prepared(vectors_frame(many_points))
     assert df.schema["emb"].dataType == vectors.VECTOR
     found = matrix(df)
-    assert found.shape == (100, 512)
+    assert found.shape == (96, 180)
     np.testing.assert_allclose(np.linalg.norm(found, axis=1), 1.0, atol=1e-5)
 
 
@@ -57,15 +57,15 @@ def test_kmeans_finds_groups(vectors_frame, blobs):
     assert len({(truth[i], label) for i, label in first.items()}) == 3
 
 
-def test_kmeans_rejects_bad_k(vectors_frame, emb_10x32):
-    df = vectors_frame(emb_10x32)
+def test_kmeans_rejects_bad_k(vectors_frame, few_points):
+    df = vectors_frame(few_points)
     for k in (11, 1, 0):
         with pytest.raises(ValueError):
             clustering.kmeans(df, k)
 
 
-def test_label_columns_side_by_side(vectors_frame, emb_10x32):
-    df = vectors_frame(emb_10x32)
+def test_label_columns_side_by_side(vectors_frame, few_points):
+    df = vectors_frame(few_points)
     for k in (3, 2, 3):
         df = clustering.add_label_column(df, clustering.kmeans(df, k, seed=1), k)
     assert df.columns == ["uuid", "emb", "KMeans (k=3)", "KMeans (k=2)"]
@@ -94,8 +94,8 @@ def test_center_table_is_size_checked(spark, monkeypatch):
         clustering.collect_centers(df, "k", "c")
 
 
-def test_split_centers_give_the_same_assignment(spark, vectors_frame, emb_100x512, monkeypatch):
-    points = emb_100x512[:, :6]
+def test_split_centers_give_the_same_assignment(spark, vectors_frame, many_points, monkeypatch):
+    points = many_points[:, :6]
     df = vectors_frame(points)
     rows = [(k, [float(v) for v in points[k * 4]]) for k in range(20)] + [(30, [float(v) for v in points[0]])]
     centers = spark.createDataFrame(rows, "k int, c array<double>")
@@ -107,8 +107,8 @@ def test_split_centers_give_the_same_assignment(spark, vectors_frame, emb_100x51
 
 
 @pytest.mark.parametrize("normalize", [True, False])
-def test_pca_matches_numpy(vectors_frame, emb_10x32, normalize):
-    points = emb_10x32.astype(np.float64) + (0 if normalize else 1000)
+def test_pca_matches_numpy(vectors_frame, few_points, normalize):
+    points = few_points.astype(np.float64) + (0 if normalize else 1000)
     points = points.astype(np.float32).astype(np.float64)
     df = vectors_frame(points)
     fitted = projection.pca(df, 3, normalize=normalize)
@@ -124,19 +124,19 @@ def test_pca_matches_numpy(vectors_frame, emb_10x32, normalize):
     assert (fitted.components[np.abs(fitted.components).argmax(axis=0), range(3)] > 0).all()
 
 
-def test_pca_limits(vectors_frame, emb_10x32):
+def test_pca_limits(vectors_frame, few_points):
     with pytest.raises(ValueError):
-        projection.pca(vectors_frame(emb_10x32), 11)
+        projection.pca(vectors_frame(few_points), 11)
     with pytest.raises(ValueError):
-        projection.pca(vectors_frame(emb_10x32).filter("false"), 2)
+        projection.pca(vectors_frame(few_points).filter("false"), 2)
 
 
-def test_cluster_summary_and_representatives(vectors_frame, emb_10x32):
-    df = vectors_frame(emb_10x32).withColumn("label", F.col("uuid") % 3)
+def test_cluster_summary_and_representatives(vectors_frame, few_points):
+    df = vectors_frame(few_points).withColumn("label", F.col("uuid") % 3)
     rows = {r["Cluster"]: r for r in summary.cluster_summary(df, "label").collect()}
     assert sum(r["Count"] for r in rows.values()) == 10
     for label, row in rows.items():
-        members = emb_10x32[np.arange(10) % 3 == label].astype(np.float64)
+        members = few_points[np.arange(10) % 3 == label].astype(np.float64)
         spread = ((members - members.mean(axis=0)) ** 2).sum(axis=1)
         assert row["Variance"] == pytest.approx(spread.mean(), abs=6e-4)
         chosen = summary.representatives(df, "label").filter(F.col("cluster") == label).sort("rank").collect()
@@ -149,9 +149,9 @@ def test_singletons_have_no_variance(vectors_frame):
     assert [r["Variance"] for r in summary.cluster_summary(df, "label").collect()] == [0.0, 0.0, 0.0]
 
 
-def test_representatives_without_small_centers(vectors_frame, emb_10x32, monkeypatch):
+def test_representatives_without_small_centers(vectors_frame, few_points, monkeypatch):
     """A label column with too many values for every task is joined; the result is the same."""
-    df = vectors_frame(emb_10x32).withColumn("label", F.col("uuid") % 4)
+    df = vectors_frame(few_points).withColumn("label", F.col("uuid") % 4)
     small = values(summary.representatives(df, "label"), "cluster", "rank", "uuid")
     monkeypatch.setattr(summary, "MAX_CENTER_BYTES", 8)
     assert values(summary.representatives(df, "label"), "cluster", "rank", "uuid") == small

@@ -107,6 +107,38 @@ def batch_job(spark, sf):
     return workflows.batch_frame(_embeddings(spark, sf), config, "vec_id", "embedding")
 
 
+def batch_job_umap(spark, sf):
+    """Three coordinates of the neighbour layout on raw vectors; SQL states which rows come and that all are placed."""
+    config = {"cluster_spec": {"n_clusters": 5, "rnd_state": 42}, "dim_reduction_spec": {"method": "umap", "n_components": 3}}
+    frame = workflows.batch_frame(_embeddings(spark, sf), config, "vec_id", "embedding")
+    size = F.abs("dim_1") + F.abs("dim_2") + F.abs("dim_3")
+    return frame.select("vec_id", "label", (size < float("inf")).alias("placed"), F.col("cluster_label").isin(list("01234")).alias("labelled"))
+
+
+def kmeans_checks(spark, sf):
+    """Facts about a fit: labels in range, and rows whose label is not that of their nearest center."""
+    rows = preparation.with_prepared(_embeddings(spark, sf), "embedding").select("embedding")
+    fitted = clustering.kmeans(rows, 10, "embedding", SEED, normalize=False)
+    near = clustering.assign_nearest(fitted.label(rows, "given"), list(range(fitted.k)), fitted.centers, "embedding")
+    return near.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.col("given").between(0, 9)).alias("out_of_range"),
+        F.count_if(F.col("given") != F.col("cluster")).alias("not_nearest"),
+    )
+
+
+def pca_checks(spark, sf):
+    """Facts about the scores: centred, uncorrelated, the first with the larger variance."""
+    scores = pca_2d(spark, sf)
+    return scores.agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.abs(F.avg("x")) < 1e-6).alias("centred_x"),
+        (F.abs(F.avg("y")) < 1e-6).alias("centred_y"),
+        (F.abs(F.covar_samp("x", "y")) < 1e-6).alias("uncorrelated"),
+        (F.variance("x") >= F.variance("y")).alias("ordered"),
+    )
+
+
 def cluster_summary(spark, sf):
     return summary.cluster_summary(_embeddings(spark, sf), "label", "embedding")
 
@@ -237,6 +269,12 @@ QUERIES = {
     "cluster_workflow": (cluster_workflow, None),
     "projection_workflow": (projection_workflow, None),
     "batch_job": (batch_job, None),
+    "batch_job_umap": (batch_job_umap, "SELECT vec_id, label, true AS placed, true AS labelled FROM embeddings"),
+    "kmeans_checks": (kmeans_checks, "SELECT count(*) AS n, 0::BIGINT AS out_of_range, 0::BIGINT AS not_nearest FROM embeddings"),
+    "pca_checks": (
+        pca_checks,
+        "SELECT count(*) AS n, true AS centred_x, true AS centred_y, true AS uncorrelated, true AS ordered FROM embeddings",
+    ),
     "cluster_summary": (
         cluster_summary,
         f"""

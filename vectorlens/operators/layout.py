@@ -1,4 +1,4 @@
-"""Two-dimensional neighbour layout: a few rounds of attraction along graph edges and repulsion between cells."""
+"""Neighbour layout in two or more dimensions: a few rounds of attraction along graph edges and repulsion between cells."""
 
 from __future__ import annotations
 
@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectorlens.functions import vectors
 from vectorlens.functions.predicates import quoted
 from vectorlens.operators import neighbours
 from vectorlens.operators.projection import pca
 from vectorlens.session import cut_lineage
 
 ITERATIONS = 20
-# The repulsion grid has at most GRID * GRID occupied cells, the only thing a round sends to every task.
-GRID = 32
-# Tables up to this size (24 MB of positions) are joined by broadcast, larger ones by vertex.
-BROADCAST_ROWS = 1_000_000
+# The layout stops once points move less than this on average, as a share of its half width.
+TOLERANCE = 1e-3
+# The repulsion grid has at most so many cells, the only thing a round sends to every task. Beyond
+# GRID_AXES dimensions cells are told apart along the first ones only.
+GRID_CELLS, GRID_AXES = 1024, 10
+# Positions up to this size are joined by broadcast, larger ones by vertex.
+BROADCAST_BYTES = 48 * 1024 * 1024
 # Vertices with more than 1/1000 of all edges; there can be at most 1000.
 MAX_HEAVY = 1000
 HEAVY_DEGREE = 10_000
@@ -39,53 +43,56 @@ def _pull(method: str, d2: Column) -> Column:
     return 2.0 * CURVE_A * CURVE_B * power / (1.0 + CURVE_A * F.pow(F.greatest(d2, F.lit(1e-12)), CURVE_B))
 
 
-def _push(method: str, x: Column, y: Column, cells: np.ndarray) -> Column:
-    """``struct(fx, fy)``: repulsion from all cell means, weighted by their size."""
-    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in ("fx", "fy")])
-    mass, mx, my = cells[:, 0], cells[:, 1], cells[:, 2]
+def _push(method: str, axes: list[str], cells: np.ndarray) -> Column:
+    """Repulsion from all cell means, weighted by their size: one element per axis."""
+    mass, means = cells[:, 0], cells[:, 3:]
 
-    def push(px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        dx, dy = px[:, None] - mx[None, :], py[:, None] - my[None, :]
-        d2 = dx * dx + dy * dy
+    def push(points: np.ndarray) -> np.ndarray:
+        gap = points[:, None, :] - means[None, :, :]
+        d2 = (gap * gap).sum(axis=2)
         if method == "TSNE":
             force = mass / (1.0 + d2) ** 2
         else:
             force = mass * 2.0 * CURVE_B / ((0.001 + d2) * (1.0 + CURVE_A * d2**CURVE_B))
             force = np.minimum(force, mass * 4.0 / np.sqrt(d2 + 1e-12))
-        return (force * dx).sum(axis=1), (force * dy).sum(axis=1)
+        return np.einsum("pc,pca->pa", force, gap)
 
-    @F.arrow_udf(returnType=schema)
-    def repulsion(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        px, py = xs.to_numpy(zero_copy_only=False), ys.to_numpy(zero_copy_only=False)
-        fx, fy = np.empty(len(px)), np.empty(len(px))
-        for start in range(0, len(px), CHUNK):
-            part = slice(start, start + CHUNK)
-            fx[part], fy[part] = push(px[part], py[part])
-        return pa.StructArray.from_arrays([pa.array(fx), pa.array(fy)], names=["fx", "fy"])
+    @F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
+    def repulsion(batch: pa.Array) -> pa.Array:
+        points = vectors.as_matrix(batch, np.float64)
+        parts = [push(points[start : start + CHUNK]).ravel() for start in range(0, len(points), CHUNK)]
+        return vectors.as_list_array(np.concatenate([np.empty(0), *parts]), np.full(len(batch), len(axes)))
 
-    return repulsion(x, y)
+    return repulsion(F.array(*axes))
 
 
-def _cells(positions: DataFrame, half: float) -> np.ndarray:
-    """Size, mean and extent of the occupied grid cells, at most GRID * GRID rows. Outliers count in edge cells."""
-    width = 2.0 * half / GRID
+def _cells(positions: DataFrame, axes: list[str], half: float) -> np.ndarray:
+    """Size, extent, movement and mean of the occupied grid cells. Outliers count in edge cells."""
+    on_grid = axes[:GRID_AXES]
+    side = int(GRID_CELLS ** (1.0 / len(on_grid)) + 1e-9)
+    width = 2.0 * half / side
 
     def index(c: str) -> Column:
-        return F.least(F.greatest(F.floor((F.col(c) + F.lit(half)) / F.lit(width)), F.lit(0)), F.lit(GRID - 1))
+        return F.least(F.greatest(F.floor((F.col(c) + F.lit(half)) / F.lit(width)), F.lit(0)), F.lit(side - 1))
 
-    rows = positions.groupBy(index("x").alias("i"), index("y").alias("j")).agg(
+    rows = positions.groupBy(*[index(c).alias(f"i_{c}") for c in on_grid]).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("x").alias("x"),
-        F.avg("y").alias("y"),
-        F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("extent"),
+        F.max(_extent(axes)).alias("extent"),
+        F.sum("moved").alias("moved"),
+        *[F.avg(c).alias(c) for c in axes],
     )
-    return np.array([(r["n"], r["x"], r["y"], r["extent"]) for r in rows.collect()], dtype=np.float64)
+    return np.array([tuple(r)[len(on_grid) :] for r in rows.collect()], dtype=np.float64)
+
+
+def _extent(axes: list[str]) -> Column:
+    sizes = [F.abs(c) for c in axes]
+    return F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
 
 
 def _tsne_norm(cells: np.ndarray) -> float:
     """Sum of ``1 / (1 + d2)`` over all ordered pairs of points, taken between cell means."""
-    mass, x, y = cells[:, 0], cells[:, 1], cells[:, 2]
-    d2 = (x[:, None] - x[None, :]) ** 2 + (y[:, None] - y[None, :]) ** 2
+    mass, means = cells[:, 0], cells[:, 3:]
+    d2 = ((means[:, None, :] - means[None, :, :]) ** 2).sum(axis=2)
     return float((mass[:, None] * mass[None, :] / (1.0 + d2)).sum() - mass.sum())
 
 
@@ -102,51 +109,57 @@ def neighbour_layout(
     iterations: int = ITERATIONS,
     seed: int = 0,
     block_rows: int = neighbours.BLOCK_ROWS,
+    normalize: bool = True,
+    names: list[str] | tuple[str, ...] = ("x", "y"),
 ) -> DataFrame:
-    """``(id, x, y)``. Starts from principal component scores; every round is two joins by vertex and one
-    grouping, with positions checkpointed so that a lost executor costs one round.
+    """``(id, *names)``, one coordinate per name. Starts from principal component scores; every round is two joins
+    by vertex and one grouping, with positions checkpointed so that a lost executor costs one round.
 
-    Up to a million points their positions are broadcast. Beyond, the joins shuffle, and only vertices that
-    hold more than a thousandth of all edges are joined by broadcast (at most 1000 rows).
+    At most ``iterations`` rounds are run, fewer if the points hardly move any more. Positions of up to
+    ``BROADCAST_BYTES`` are broadcast. Beyond, the joins shuffle, and only vertices that hold more than a
+    thousandth of all edges are joined by broadcast (at most 1000 rows).
     """
     method = method.upper()
     if method not in ("UMAP", "TSNE"):
         raise ValueError(f"unsupported layout {method!r}, choose UMAP or TSNE")
-    scores = pca(df, 2, vec_col).project(df, ["x", "y"]).select(quoted(id_col).alias("id"), "x", "y")
+    axes = [f"__p{i}" for i in range(len(names))]
+    scores = pca(df, len(axes), vec_col, normalize).project(df, axes).select(quoted(id_col).alias("id"), *axes)
     stats = scores.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("reach")
+        F.count(F.lit(1)).alias("n"),
+        F.max(_extent(axes)).alias("reach"),
+        F.max(F.octet_length(F.col("id").cast("string"))).alias("id_bytes"),
     ).first()
     n, reach = stats["n"], stats["reach"] or 1.0
+    small = n * (8 * len(axes) + 16 + (stats["id_bytes"] or 0)) <= BROADCAST_BYTES
     # Copies of a vector start a little apart; the shift depends on the id only.
     jitter = [
         (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(axis)), F.lit(1_000_003)) / 1_000_003.0 - 0.5) * 1e-3
-        for axis in (0, 1)
+        for axis in range(len(axes))
     ]
-    positions = cut_lineage(
-        scores.select(
-            "id",
-            (F.col("x") / F.lit(reach) * HALF_WIDTH + jitter[0]).alias("x"),
-            (F.col("y") / F.lit(reach) * HALF_WIDTH + jitter[1]).alias("y"),
-        )
-    )
+    start = [(F.col(c) / F.lit(reach) * HALF_WIDTH + j).alias(c) for c, j in zip(axes, jitter, strict=True)]
+    positions = cut_lineage(scores.select("id", *start, F.lit(0.0).alias("moved")))
+    named = [F.col("id").alias(id_col), *[F.col(c).alias(name) for c, name in zip(axes, names, strict=True)]]
     if n < 3:
-        return positions.withColumnRenamed("id", id_col)
+        return positions.select(*named)
 
     if method == "UMAP":
-        graph = neighbours.knn_graph(df, None, id_col, vec_col, block_rows, seed)
+        graph = neighbours.knn_graph(df, None, id_col, vec_col, block_rows, seed, normalize)
         weighted = _owned_edges(neighbours.fuzzy_weights(graph), "w")
     else:
         perplexity = neighbours.tsne_perplexity(n)
-        graph = neighbours.knn_graph(df, min(n - 1, 3 * perplexity), id_col, vec_col, block_rows, seed)
+        graph = neighbours.knn_graph(df, min(n - 1, 3 * perplexity), id_col, vec_col, block_rows, seed, normalize)
         weighted = _owned_edges(neighbours.perplexity_affinities(graph, n, perplexity), "p")
     edges = cut_lineage(weighted)
-    heavy_ids = [] if n <= BROADCAST_ROWS else _heavy_ends(edges)
+    heavy_ids = [] if small else _heavy_ends(edges)
     half = HALF_WIDTH
     for step in range(iterations):
-        cells = _cells(positions, half)
-        positions = cut_lineage(_round(positions, edges, cells, heavy_ids, method, step, iterations))
-        half = float(cells[:, 3].max())
-    return positions.withColumnRenamed("id", id_col)
+        cells = _cells(positions, axes, half)
+        half = float(cells[:, 1].max())
+        # Early rounds of t-SNE pull harder; they do not end the layout.
+        if step > iterations // 4 and cells[:, 2].sum() < TOLERANCE * half * n:
+            break
+        positions = cut_lineage(_round(positions, edges, axes, cells, heavy_ids, small, method, step, iterations))
+    return positions.select(*named)
 
 
 def _heavy_ends(edges: DataFrame) -> list:
@@ -156,9 +169,9 @@ def _heavy_ends(edges: DataFrame) -> list:
     return [r["id"] for r in ends.filter(F.col("degree") > limit).select("id").collect()]
 
 
-def _with_end(edges: DataFrame, positions: DataFrame, end: str, heavy_ids: list, small: bool) -> DataFrame:
+def _with_end(edges: DataFrame, positions: DataFrame, axes: list[str], end: str, heavy_ids: list, small: bool) -> DataFrame:
     """Add the coordinates of one end of each edge."""
-    place = positions.select(F.col("id").alias(end), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}"))
+    place = positions.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in axes])
     if small:
         return edges.join(F.broadcast(place), end)
     if not heavy_ids:
@@ -168,44 +181,53 @@ def _with_end(edges: DataFrame, positions: DataFrame, end: str, heavy_ids: list,
     return light.unionByName(edges.filter(is_heavy).join(F.broadcast(place.filter(is_heavy)), end))
 
 
+def _squares(columns: list[Column]) -> Column:
+    total = columns[0] * columns[0]
+    for column in columns[1:]:
+        total = total + column * column
+    return total
+
+
 def _round(
-    positions: DataFrame, edges: DataFrame, cells: np.ndarray, heavy_ids: list, method: str, step: int, iterations: int
+    positions: DataFrame,
+    edges: DataFrame,
+    axes: list[str],
+    cells: np.ndarray,
+    heavy_ids: list,
+    small: bool,
+    method: str,
+    step: int,
+    iterations: int,
 ) -> DataFrame:
-    n, half = float(cells[:, 0].sum()), float(cells[:, 3].max())
-    small = n <= BROADCAST_ROWS
-    placed = _with_end(edges, positions, "src", heavy_ids, small)
-    placed = _with_end(placed, positions, "dst", heavy_ids, small)
-    dx, dy = F.col("x_dst") - F.col("x_src"), F.col("y_dst") - F.col("y_src")
-    pull = F.col("w") * _pull(method, dx * dx + dy * dy)
-    forces = placed.select("src", "dst", (pull * dx).alias("fx"), (pull * dy).alias("fy"), "w")
-    both = forces.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("src").alias("id"), "fx", "fy", "w"),
-                F.struct(F.col("dst").alias("id"), (-F.col("fx")).alias("fx"), (-F.col("fy")).alias("fy"), "w"),
-            )
-        ).alias("f")
-    )
+    n, half = float(cells[:, 0].sum()), float(cells[:, 1].max())
+    placed = _with_end(edges, positions, axes, "src", heavy_ids, small)
+    placed = _with_end(placed, positions, axes, "dst", heavy_ids, small)
+    gaps = [F.col(f"dst_{c}") - F.col(f"src_{c}") for c in axes]
+    pull = F.col("w") * _pull(method, _squares(gaps))
+    forces = placed.select("src", "dst", *[(pull * gap).alias(f"f_{c}") for c, gap in zip(axes, gaps, strict=True)], "w")
+    ahead = [F.col(f"f_{c}") for c in axes]
+    back = [(-F.col(f"f_{c}")).alias(f"f_{c}") for c in axes]
+    ends = F.array(F.struct(F.col("src").alias("id"), *ahead, "w"), F.struct(F.col("dst").alias("id"), *back, "w"))
+    both = forces.select(F.explode(ends).alias("f"))
     # Sums are combined before the shuffle, so a vertex with many edges is no hot spot here.
     pulled = both.groupBy(F.col("f.id").alias("id")).agg(
-        F.sum("f.fx").alias("ax"), F.sum("f.fy").alias("ay"), F.sum("f.w").alias("degree")
+        *[F.sum(f"f.f_{c}").alias(f"a_{c}") for c in axes], F.sum("f.w").alias("degree")
     )
-    pushed = positions.withColumn("r", _push(method, F.col("x"), F.col("y"), cells))
-    state = pushed.join(pulled, "id", "left").fillna(0.0, ["ax", "ay", "degree"])
+    pushed = positions.drop("moved").withColumn("r", _push(method, axes, cells))
+    state = pushed.join(pulled, "id", "left").fillna(0.0, [*[f"a_{c}" for c in axes], "degree"])
     cool = 1.0 - step / max(iterations, 1)
+    drawn = [(F.col(f"a_{c}"), F.col("r")[i]) for i, c in enumerate(axes)]
     if method == "TSNE":
         z = _tsne_norm(cells)
         early = 12.0 if step < iterations // 4 else 1.0
         rate = max(n / 12.0, 10.0)
-        move = [
-            F.lit(4.0 * rate) * (F.lit(early) * F.col(f"a{c}") - F.col(f"r.f{c}") / F.lit(max(z, 1e-9)))
-            for c in ("x", "y")
-        ]
+        move = [F.lit(4.0 * rate) * (F.lit(early) * a - r / F.lit(max(z, 1e-9))) for a, r in drawn]
     else:
         # Expected repulsion of NEGATIVES uniform samples per unit of edge weight.
         share = F.col("degree") * F.lit(NEGATIVES / n)
-        move = [F.lit(cool) * (F.col(f"a{c}") + share * F.col(f"r.f{c}")) for c in ("x", "y")]
-    length = F.sqrt(move[0] * move[0] + move[1] * move[1])
+        move = [F.lit(cool) * (a + share * r) for a, r in drawn]
+    length = F.sqrt(_squares(move))
     bound = F.lit(MAX_STEP * half * (0.2 + 0.8 * cool))
     scale = F.when(length > bound, bound / length).otherwise(1.0)
-    return state.select("id", (F.col("x") + move[0] * scale).alias("x"), (F.col("y") + move[1] * scale).alias("y"))
+    moved = [(F.col(c) + m * scale).alias(c) for c, m in zip(axes, move, strict=True)]
+    return state.select("id", *moved, (length * scale).alias("moved"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from vectorlens.functions import vectors
 from vectorlens.functions.predicates import quoted
+from vectorlens.operators.projection import prepared
 from vectorlens.session import cut_lineage
 
 # Rows of one block; a task compares a few blocks of queries with one block of candidates.
@@ -70,10 +71,12 @@ def _own_block(centers: np.ndarray, radii: np.ndarray, k: int):
         where, dist = vectors.closest(queries, points, k)
         limit = np.sqrt(dist[:, -1]) if where.shape[1] == k else np.full(len(queries), np.inf)
         hits = []
+        # Room for rounding, which grows with the length of the vectors.
+        room = 1e-6 * (1.0 + math.sqrt(max((points * points).sum(axis=1).max(initial=0.0), (centers * centers).sum(axis=1).max(initial=0.0))))
         for start in range(0, len(queries), vectors.CHUNK):
             part = slice(start, start + vectors.CHUNK)
             lower = np.sqrt(vectors.squared_distances(queries[part], centers)) - radii[None, :]
-            row, cell = np.nonzero(lower <= limit[part, None] + 1e-6)
+            row, cell = np.nonzero(lower <= limit[part, None] + room)
             hits.append((row + start, cell))
         rows, cells = (np.concatenate(side) for side in zip(*hits)) if hits else (np.empty(0, int), np.empty(0, int))
         per_query = np.full(len(queries), where.shape[1])
@@ -104,7 +107,9 @@ def _within_reach(queries: np.ndarray, reach: np.ndarray, points: np.ndarray, k:
     """
     rows, cols, dist = [], [], []
     half_norms = (points * points).sum(axis=1) / 2.0
-    limit = ((queries * queries).sum(axis=1) - reach * reach) / 2.0 - vectors.SLACK
+    norms = (queries * queries).sum(axis=1)
+    room = vectors.SLACK * (1.0 + 2.0 * half_norms.max(initial=0.0) + norms.max(initial=0.0))
+    limit = (norms - reach * reach) / 2.0 - room
     for start in range(0, len(queries), vectors.CHUNK):
         part = queries[start : start + vectors.CHUNK]
         product = part @ points.T
@@ -122,7 +127,7 @@ def _within_reach(queries: np.ndarray, reach: np.ndarray, points: np.ndarray, k:
         cols.append(col)
         dist.append(((points[col] - part[row]) ** 2).sum(axis=1))
     row, col, d2 = np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
-    kept = np.sqrt(d2) <= reach[row] + vectors.SLACK
+    kept = np.sqrt(d2) <= reach[row] * (1.0 + vectors.SLACK) + vectors.SLACK
     return row[kept], col[kept], d2[kept]
 
 
@@ -160,15 +165,18 @@ def knn_graph(
     vec_col: str = "emb",
     block_rows: int = BLOCK_ROWS,
     seed: int = 0,
+    normalize: bool = True,
 ) -> DataFrame:
     """``(src, dst, rank, dist)``: the k nearest other rows of each row on prepared vectors, ties by id.
 
+    Without ``normalize`` the vectors are compared as they are.
+
     Exact. Rows are grouped into coarse cells, cells split into blocks of bounded size. A first pass inside
     each block gives every query a reach; by the triangle inequality only cells within that reach are then
     compared, block by block, in tasks of bounded size. Identical vectors are searched once: of a group of
     copies only the k + 1 lowest ids can be anyone's neighbour, and all copies share one result.
     """
-    points = df.select(quoted(id_col).alias("id"), vectors.prepare(quoted(vec_col)).alias("v"))
+    points = df.select(quoted(id_col).alias("id"), prepared(vec_col, normalize).alias("v"))
     # Two differently seeded hashes, 128 bits, stand for the vector when copies are looked for. The constant
     # comes first: Spark seeds each argument's hash with the one before.
     hashes = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]

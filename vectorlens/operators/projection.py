@@ -20,9 +20,6 @@ from pyspark.sql import types as T
 from vectorlens.functions import vectors
 from vectorlens.functions.predicates import quoted
 
-# Widest vectors whose covariance the driver solves (a matrix of 512 MB).
-MAX_WIDTH = 8192
-
 
 def prepared(vec_col: str, normalize: bool) -> Column:
     vector = quoted(vec_col)
@@ -40,14 +37,12 @@ def moments(df: DataFrame, vec_col: str = "emb", normalize: bool = True) -> Mome
     """Row count, mean and sample covariance of the vector elements.
 
     Raw vectors are shifted by the first one before multiplying, so that a large offset does not cancel;
-    normalized vectors need no shift.
+    normalized vectors need no shift. Tasks and driver hold a matrix of width by width doubles: 5 MB at 768.
     """
     first = df.select(quoted(vec_col)).filter(quoted(vec_col).isNotNull()).take(1)
     if not first:
         raise ValueError("no vectors to project")
     width = len(first[0][0])
-    if width > MAX_WIDTH:
-        raise ValueError(f"vectors of width {width} are wider than {MAX_WIDTH}")
     pivot = np.zeros(width) if normalize else np.asarray(first[0][0], dtype=np.float64)
 
     def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

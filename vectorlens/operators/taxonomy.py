@@ -12,6 +12,8 @@ from vectorlens.session import cut_lineage
 # The seven levels, and the name of a missing one.
 LEVELS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
 UNKNOWN = "Unknown"
+# Lookups of the upper levels, whose few names lie on the paths of many nodes, are spread over this many keys.
+SALTED_LEVELS, SALTS = 3, 16
 
 
 def leaf_counts(df: DataFrame, levels: list[str] = LEVELS) -> DataFrame:
@@ -100,31 +102,42 @@ def sibling_order(nodes: DataFrame, levels: list[str] = LEVELS) -> DataFrame:
     )
 
 
+def _salts(level: Column) -> Column:
+    return F.when(level <= SALTED_LEVELS, F.lit(SALTS)).otherwise(F.lit(1))
+
+
 def tree_lines(
     df: DataFrame, levels: list[str] = LEVELS, max_depth: int | None = None, min_count: int = 5
 ) -> DataFrame:
     """``(line_no, line)``: the pruned tree as text.
 
     The last child of every parent is found by one grouping. Each node then looks up itself and its ancestors
-    among these (at most one entry per level), which gives its prefix. Top-level names carry no connector.
+    among these (at most one entry per level below the top), which gives its prefix. Top-level names carry no
+    connector. Many nodes look up the same upper levels, so these entries are salted.
     """
     nodes = cut_lineage(pruned(df, levels, max_depth, min_count))
-    parent = F.slice("path", F.lit(1), F.col("depth") - 1)
+    depth = F.col("depth")
+    parent = F.slice("path", F.lit(1), depth - 1)
     lasts = (
-        nodes.groupBy(parent.alias("parent")).agg(F.max_by("path", _own_order(levels)).alias("place"))
-    ).select("place", F.lit(True).alias("is_last"))
+        nodes.groupBy(parent.alias("parent"))
+        .agg(F.max_by("path", _own_order(levels)).alias("place"))
+        .select("place", F.explode(F.sequence(F.lit(0), _salts(F.size("place")) - 1)).alias("salt"), F.lit(True).alias("is_last"))
+    )
     label = F.concat(F.element_at("path", -1), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
-    places = nodes.select(
-        "path", "depth", "n", label.alias("label"), F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("level")
-    ).withColumn("place", F.slice("path", F.lit(1), F.col("level")))
+    looked_up = F.when(depth > 1, F.sequence(F.lit(2), F.greatest(depth, F.lit(2))))
+    places = nodes.select("path", "depth", "n", label.alias("label"), F.explode_outer(looked_up).alias("level")).withColumns(
+        {
+            "place": F.slice("path", F.lit(1), F.col("level")),
+            "salt": F.pmod(F.xxhash64("path"), _salts(F.col("level"))).cast("int"),
+        }
+    )
     entry = F.struct("level", F.coalesce("is_last", F.lit(False)).alias("is_last"))
     lines = (
-        places.join(lasts, "place", "left")
+        places.join(lasts, ["place", "salt"], "left")
         .groupBy("path", "depth", "n", "label")
         .agg(F.array_sort(F.collect_list(entry)).alias("chain"))
     )
-    depth = F.col("depth")
-    above = F.slice("chain", F.lit(2), F.greatest(depth - 2, F.lit(0)))
+    above = F.slice("chain", F.lit(1), F.greatest(depth - 2, F.lit(0)))
     bars = F.array_join(F.transform(above, lambda e: F.when(e["is_last"], "    ").otherwise("│   ")), "")
     connector = F.when(depth == 1, "").when(F.element_at("chain", -1)["is_last"], "└── ").otherwise("├── ")
     ancestors = F.transform(

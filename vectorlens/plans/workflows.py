@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from vectorlens.functions.predicates import quoted
 from vectorlens.functions.scalars import basename
 from vectorlens.operators import clustering, layout, projection
 from vectorlens.operators.ordering import with_row_index
+from vectorlens.operators.preparation import with_prepared
 from vectorlens.sources.sinks import write_labelled
 from vectorlens.sources.tables import load_embeddings
 
@@ -41,7 +43,7 @@ def reduce_vectors(
     df = df.drop("x", "y")
     if name == "PCA":
         return projection.pca(df, 2, vec_col, normalize).project(df, ["x", "y"])
-    placed = layout.neighbour_layout(df, name, id_col, vec_col, iterations=iterations, seed=seed or 0)
+    placed = layout.neighbour_layout(df, name, id_col, vec_col, iterations=iterations, seed=seed or 0, normalize=normalize)
     return df.join(placed, id_col)
 
 
@@ -58,14 +60,16 @@ def cluster_and_project(
     """K-Means in the full space, then two coordinates for display.
 
     Output: id, ``x, y, cluster`` (text), and with a path column ``image_path, file_name``; ``idx`` on
-    request. Labels and linear scores are added row by row to one scan, so no join is needed.
+    request. Labels and linear scores are added row by row to one scan, so no join is needed. Vectors are prepared
+    once per scan and used as they are from there on.
     """
     name = checked_method(method)
     needed = dict.fromkeys([id_col, vec_col] + ([path_col] if path_col else []))
     df = df.select(*[quoted(c) for c in needed])
-    labelled = clustering.kmeans(df, k, vec_col, seed).label(df, "__label")
+    ready = with_prepared(df, vec_col)
+    labelled = clustering.kmeans(ready, k, vec_col, seed, normalize=False).label(ready, "__label")
     if name == "PCA":
-        scored = projection.pca(df, 2, vec_col).project(labelled, ["x", "y"])
+        scored = projection.pca(ready, 2, vec_col, normalize=False).project(labelled, ["x", "y"])
     else:
         scored = labelled.join(layout.neighbour_layout(df, name, id_col, vec_col, seed=seed or 0), id_col)
     columns = [quoted(id_col), F.col("x"), F.col("y"), F.col("__label").cast("string").alias("cluster")]
@@ -96,8 +100,6 @@ def batch_frame(
     method = str(reduction.get("method") or reduction.get("model") or "pca").lower()
     if method not in ("pca", "umap"):
         raise ValueError(f"unsupported reduction {method!r}, choose pca or umap")
-    if method == "umap" and components != 2:
-        raise ValueError("the neighbour layout has two components")
     dims = [f"dim_{i + 1}" for i in range(components)]
     df = df.drop(*dims, "cluster_label") if keep_metadata else df.select(quoted(id_col), quoted(vec_col))
 
@@ -106,8 +108,8 @@ def batch_frame(
         scored = projection.pca(df, components, vec_col, normalize).project(labelled, dims)
     else:
         rounds = int(reduction.get("iterations", layout.ITERATIONS))
-        placed = layout.neighbour_layout(df, "UMAP", id_col, vec_col, iterations=rounds, seed=seed)
-        scored = labelled.join(placed.withColumnsRenamed({"x": "dim_1", "y": "dim_2"}), id_col)
+        placed = layout.neighbour_layout(df, "UMAP", id_col, vec_col, rounds, seed, normalize=normalize, names=dims)
+        scored = labelled.join(placed, id_col)
     metadata = [quoted(c) for c in df.columns if c != vec_col]
     label = F.col("__label").cast("string" if keep_metadata else "int").alias("cluster_label")
     return scored.select(*metadata, *dims, label)
@@ -115,13 +117,18 @@ def batch_frame(
 
 def run_job(
     spark: SparkSession,
-    config: dict[str, Any],
+    config: dict[str, Any] | str,
     id_col: str = "uuid",
     vec_col: str = "emb",
     normalize: bool = False,
     keep_metadata: bool = True,
 ) -> str:
-    """Load with filters, cluster, project, and write; returns the path of the dataset."""
+    """Load with filters, cluster, project, and write; returns the path of the dataset.
+
+    ``config`` is a dict, or the path of a JSON file with one, on any storage that Spark reads.
+    """
+    if isinstance(config, str):
+        config = json.loads(spark.read.text(config, wholetext=True).first()[0])
     df = load_embeddings(spark, config["data_path"], id_col, vec_col, config.get("filters"))
     frame = batch_frame(df, config, id_col, vec_col, normalize, keep_metadata)
     return write_labelled(frame, config["output_dir"])
