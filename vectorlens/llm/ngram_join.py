@@ -205,24 +205,29 @@ def _shared_postings(docs: DataFrame, width: int, percent: int, heavy: tuple[np.
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs of nodes whose sets are similar enough, counted exactly.
 
-    Nodes are dealt into blocks. A pair meets in the task of its two blocks, to which the text of each node goes
-    once; a task holds the texts of two blocks at most.
+    The pairs of one component of candidates meet in one task, which takes small components up to about
+    ``WORDS_PER_TASK``, so each text moves once. The nodes of a component with more words are dealt into blocks, and a
+    pair meets in the task of its two blocks; a task holds the texts of two blocks at most.
     """
     pairs = kept(_sketches_allow(pairs, classes, percent), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = kept(nodes.join(classes.select("node", "doc_id", "text_key", "n"), "node"), "wanted")
+    labels = connected_components(pairs)
+    wanted = kept(labels.join(classes.select("node", "doc_id", "text_key", "n"), "node"), "wanted")
     words, count = wanted.agg(F.sum("n"), F.count(F.lit(1))).first()
-    blocks = max(1, -(-(words or 0) // WORDS_PER_TASK))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    placed = pairs.withColumn("i", F.least(block("a"), block("b"))).withColumn("j", F.greatest(block("a"), block("b")))
-    uses = placed.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
-    sought = uses.join(wanted.select("node", F.col("doc_id").alias("d"), F.col("text_key").alias("k")), "node")
+    tasks = max(1, -(-(words or 0) // WORDS_PER_TASK))
+    blocks = F.ceil(F.sum("n") / F.lit(WORDS_PER_TASK)).cast("int").alias("blocks")
+    large = wanted.groupBy("comp").agg(blocks).filter("blocks > 1")
+    home = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("comp"), F.lit(tasks))).otherwise(F.col("comp")).alias("home")
+    block = F.when(F.col("blocks").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), "blocks")).cast("int").alias("block")
+    homes = kept(wanted.join(large, "comp", "left").select("node", home, block, F.col("doc_id").alias("d"), F.col("text_key").alias("k")), "homes")
+    placed = pairs.join(homes.select(F.col("node").alias("a"), "home", F.col("block").alias("x")), "a").join(homes.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    placed = placed.select("a", "b", "home", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    uses = placed.select("home", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sought = uses.join(homes.select("node", "d", "k"), "node")
+    sought = sought.groupBy("d", "k", "node").agg(F.collect_list(F.struct("home", "i", "j")).alias("tasks"))
     if count <= BROADCAST_TEXT_KEYS:
-        sought = F.broadcast(sought.groupBy("d", "k", "node").agg(F.collect_list(F.struct("i", "j")).alias("tasks")))
-    else:
-        sought = sought.groupBy("d", "k", "node").agg(F.collect_list(F.struct("i", "j")).alias("tasks"))
+        sought = F.broadcast(sought)
     match = (F.col("k") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("doc_id"))
-    texts = docs.join(sought, match).select(F.explode("tasks").alias("t"), "node", "text").select("t.i", "t.j", "node", "text")
+    texts = docs.join(sought, match).select(F.explode("tasks").alias("t"), "node", "text").select("t.*", "node", "text")
 
     def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         sets: dict[int, np.ndarray] = {}
@@ -237,7 +242,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             keep.append(common * (100 + percent) >= (len(x) + len(y)) * percent)
         return pairs.filter(pa.array(keep, pa.bool_()))
 
-    return placed.groupBy("i", "j").cogroup(texts.groupBy("i", "j")).applyInArrow(verify, "a long, b long")
+    task = ["home", "i", "j"]
+    return placed.groupBy(*task).cogroup(texts.groupBy(*task)).applyInArrow(verify, "a long, b long")
 
 
 def _sizes_match(percent: int):
