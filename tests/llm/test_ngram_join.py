@@ -58,6 +58,32 @@ def test_pairs_inside_a_group_are_not_all_emitted(documents, corpus, monkeypatch
     assert found.links.count() < 90 * 89 / 4
 
 
+def numbers_of_links(rows, percent):
+    sets = {frozenset(shingles(r[1])) for r in rows} - {frozenset()}
+    linked = {x: sum(x != y and 100 * len(x & y) >= percent * len(x | y) for y in sets) for x in sets}
+    return sorted(((r[0], linked.get(frozenset(shingles(r[1])), 0)) for r in rows), key=repr)
+
+
+def test_every_link_of_a_group_is_counted(documents, corpus, monkeypatch):
+    rows = [*corpus, (60, corpus[60][1]), (7, corpus[3][1]), (None, corpus[4][1])]
+    # Blocks of the given size, and of a few nodes; all lists short, and all long.
+    for small, block, cells, percent in ((64, 512, 4_000_000, 85), (4, 16, 500, 85), (4, 16, 500, 60), (1, 512, 500, 60)):
+        monkeypatch.setattr(ngram_join, "SMALL_LIST", small)
+        monkeypatch.setattr(ngram_join, "COUNT_BLOCK", block)
+        monkeypatch.setattr(ngram_join, "COUNT_CELLS", cells)
+        found = ngram_join.near_classes(documents(rows), 4, percent).select("doc_id", "n_links").collect()
+        assert sorted((tuple(r) for r in found), key=repr) == numbers_of_links(rows, percent)
+
+
+def test_overlaps_against_sets(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNT_CELLS", 50)
+    random = np.random.RandomState(6)
+    draw = lambda: np.unique(np.concatenate((np.arange(5), random.randint(0, 4000, random.randint(1, 300))))).astype(np.uint64)
+    left, right = [draw() for _ in range(30)], [draw() for _ in range(40)]
+    assert ngram_join.overlaps(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert ngram_join.overlaps(left, []).shape == (30, 0)
+
+
 def test_empty_table(documents):
     assert result(documents([])) == []
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vectorlens.llm import decontaminate, language, mixing, neighbour_lists, ngram_join, packing, personal, secrets, substrings, token_files
 
@@ -85,7 +84,11 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 
 
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.near_classes(table(spark, folder, "documents")).select("doc_id", F.col("n_shingles"), "component_id")
+    return ngram_join.near_components(table(spark, folder, "documents")).drop("text_key")
+
+
+def op8_link_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, folder, "documents")).drop("text_key")
 
 
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,6 +122,20 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.v) AS component_
 FROM s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, s.sh
 """
 
+OP8_LINKS_SQL = OP8_SQL.replace(
+    """SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.v) AS component_id
+FROM s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, s.sh
+""",
+    """, c AS (
+  SELECT e.u, count(DISTINCT list_sort(b.sh)) AS n_links
+  FROM e JOIN s a ON a.doc_id = e.u JOIN s b ON b.doc_id = e.v WHERE list_sort(a.sh) <> list_sort(b.sh) GROUP BY e.u
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, CAST(coalesce(any_value(c.n_links), 0) AS BIGINT) AS n_links,
+       min(r.v) AS component_id
+FROM s JOIN reach r ON r.u = s.doc_id LEFT JOIN c ON c.u = s.doc_id GROUP BY s.doc_id, s.sh
+""",
+)
+
 
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_digest(table(spark, folder, "documents"), token_files.vocabulary("word_bpe_49k.json"))
@@ -137,6 +154,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op6_language": (op6_language, None),
     "op7_personal_data": (op7_personal_data, None),
     "op8_ngram_join": (op8_ngram_join, OP8_SQL),
+    "op8_link_counts": (op8_link_counts, OP8_LINKS_SQL),
     "op9_token_files": (op9_token_files, None),
     "op10_bin_packing": (op10_bin_packing, None),
 }

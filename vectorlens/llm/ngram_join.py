@@ -13,6 +13,10 @@ component are compared, block by block, with members of other components. In the
 forest of the candidates it sees, which joins them with one pair per member; the last round returns all candidates
 that still lie between components. No link between different components is missed, and no group emits all its pairs.
 
+Numbers of links are exact all the same. Only two nodes that both stand in longer lists can have a link that was not
+verified, and it lies inside a component. Such nodes of a component meet once more, block by block, all with all, and
+a task returns how many links each of its nodes has, never the pairs.
+
 Before texts are moved to verify a pair, its parity sketches are compared: tokens fall into ``SKETCH_BITS`` cells, a
 bit says whether a cell holds an odd number of them, and two sketches never differ in more bits than the sets differ
 in tokens. So a pair is dropped only where it cannot be a link; all others are counted exactly.
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from vectorlens.llm.components import connected_components
 from vectorlens.llm.tables import kept, with_text_key, without
-from vectorlens.llm.words import find_words, mixed, pieces, shingle_sets
+from vectorlens.llm.words import find_words, mixed, pieces, ranges, shingle_sets
 
 # Posting lists up to this length emit all their pairs.
 SMALL_LIST = 64
@@ -42,6 +46,8 @@ MAX_NEED = 4
 SKETCH_BITS = 2048
 # Cost of verifying a candidate against reading one posting, for the choice of a prefix.
 VERIFY_COST = 8.0
+# Nodes and shingles of a block in which links are counted, and cells of a block pair that are added up at once.
+COUNT_BLOCK, COUNT_WORDS, COUNT_CELLS = 512, 1_000_000, 4_000_000
 # The token order moves at most so many heavy tokens to its end: 16 bytes each in every task, whatever the input.
 HEAVY_TOKENS = 65_536
 # A token is offered as heavy where this many texts of a piece hold it, and is heavy from this many texts in all.
@@ -54,12 +60,15 @@ BROADCAST_TEXT_KEYS = 500_000
 
 @dataclass(frozen=True)
 class Join:
-    """``members``: one row per input row (row columns, ``node``, ``n``); ``links``: verified pairs of nodes;
-    ``components``: node to component for linked nodes. A node is the signature of a set."""
+    """``members``: one row per input row (row columns, ``node``, ``n``); ``links``: verified pairs of nodes, all but
+    those between two ``hot`` nodes, of which enough stand here to connect them; ``components``: node to component for
+    linked nodes; ``hot``: nodes in longer lists, with size and a row that holds the text. A node is the signature of
+    a set."""
 
     members: DataFrame
     links: DataFrame
     components: DataFrame
+    hot: DataFrame
 
 
 def required(n: np.ndarray | int, percent: int):
@@ -362,21 +371,110 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Join:
         more = _verified(rest, classes, docs, width, percent)
         links = kept(links.unionByName(more).distinct(), "links")
         labels = kept(connected_components(links), "labels")
-    return Join(members.drop("sketch"), links, labels)
+    hot = long_tokens.filter("long > 0").join(classes, "node").select("node", "doc_id", "text_key", "n")
+    return Join(members.drop("sketch"), links, labels, hot)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, exactly.
+
+    Tokens that few sets hold add their pairs one by one, the others as products of matrices.
+    """
+    out = np.zeros((len(left), len(right)))
+    if not left or not right:
+        return out
+    sides = []
+    for sets in (left, right):
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        sides.append((tokens[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]))
+    (x, row_x), (y, row_y) = sides
+    both = np.intersect1d(x, y)
+    first_x, first_y = np.searchsorted(x, both), np.searchsorted(y, both)
+    many_x, many_y = np.searchsorted(x, both, side="right") - first_x, np.searchsorted(y, both, side="right") - first_y
+    dense = many_x * many_y * 200 > out.size
+    for at in np.array_split(np.flatnonzero(dense), max(1, -(-int(dense.sum()) // 2048))):
+        a, b = np.zeros((len(left), len(at)), dtype=np.float32), np.zeros((len(right), len(at)), dtype=np.float32)
+        a[row_x[ranges(first_x[at], many_x[at])], np.repeat(np.arange(len(at)), many_x[at])] = 1.0
+        b[row_y[ranges(first_y[at], many_y[at])], np.repeat(np.arange(len(at)), many_y[at])] = 1.0
+        out += a @ b.T
+    thin = np.flatnonzero(~dense)
+    cells = np.cumsum(many_x[thin] * many_y[thin])
+    for at in np.split(thin, np.searchsorted(cells, np.arange(COUNT_CELLS, cells[-1] if len(cells) else 0, COUNT_CELLS))):
+        held = ranges(first_x[at], many_x[at])
+        times = np.repeat(many_y[at], many_x[at])
+        cell = np.repeat(row_x[held], times) * len(right) + row_y[ranges(np.repeat(first_y[at], many_x[at]), times)]
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def link_counts(found: Join, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(node, n_links)``: to how many other nodes each linked node has a link, all links counted.
+
+    Pairs of which a node is not ``hot`` are all among the links. Hot nodes of a component are dealt into blocks, and
+    every two blocks meet in a task, which counts on the full sets; a text goes to as many tasks as its component has
+    blocks.
+    """
+    docs = with_text_key(docs)
+    hot = kept(found.hot.join(found.components, "node"), "hot")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(COUNT_BLOCK)), F.ceil(F.sum("n") / F.lit(COUNT_WORDS))).cast("int").alias("blocks")
+    groups = hot.groupBy("comp").agg(blocks, F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").drop("nodes")
+    seats = kept(hot.join(groups, "comp").select("node", "comp", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("doc_id").alias("d"), F.col("text_key").alias("k")), "seats")
+    mark = lambda name: hot.select(F.col("node").alias(name), F.lit(True).alias(f"{name}_hot"))
+    known = found.links.join(mark("a"), "a", "left").join(mark("b"), "b", "left").filter("a_hot is null or b_hot is null")
+    known = known.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n_links"))
+    # Rows that repeat an id and a text are one text here.
+    sought = F.broadcast(seats) if seats.count() <= BROADCAST_TEXT_KEYS else seats
+    match = (F.col("k") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("doc_id"))
+    task = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
+    texts = docs.join(sought, match).select("node", "comp", "block", task.alias("t"), "text").select("node", "comp", "block", "t.i", "t.j", "text")
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        sides: dict[int, dict[int, np.ndarray]] = {i: {}, j: {}}
+        for batch in rows.to_batches():
+            for piece in pieces(batch):
+                sets = shingle_sets(find_words(piece.column("text"), fold=True), width)
+                for node, block, tokens in zip(piece.column("node").to_pylist(), piece.column("block").to_pylist(), sets, strict=True):
+                    sides[block][node] = tokens
+        left, right = list(sides[i].values()), list(sides[j].values())
+        sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] if left and right else np.empty((len(left), len(right)))
+        linked = overlaps(left, right) * (100 + percent) >= sizes * percent
+        if i == j:
+            np.fill_diagonal(linked, False)
+            nodes, numbers = list(sides[i]), linked.sum(axis=1)
+        else:
+            nodes, numbers = [*sides[i], *sides[j]], np.concatenate((linked.sum(axis=1), linked.sum(axis=0)))
+        return pa.table([pa.array(nodes, pa.int64()), pa.array(numbers.astype(np.int64))], names=["node", "n_links"])
+
+    inside = texts.groupBy("comp", "i", "j").applyInArrow(count, "node long, n_links long")
+    return known.unionByName(inside).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def _with_components(found: Join) -> DataFrame:
+    """``(node, component_id)`` of every node."""
+    classes = found.members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    named = classes.join(found.components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    firsts = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    return named.join(firsts, "comp").select("node", "component_id")
+
+
+def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, component_id)``: ``near_classes`` without its numbers of links."""
+    found = ngram_join(docs, width, percent)
+    named = _with_components(found)
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return found.members.join(named, "node", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), component)
 
 
 def near_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """``(doc_id, text_key, n_shingles, n_links, component_id)``, one row per input row.
 
     ``component_id`` is the smallest doc_id reachable by links, the own one included; a text without words
-    keeps its own doc_id. ``n_links`` counts the verified links of a row's class to other classes.
+    keeps its own doc_id. ``n_links`` counts all links of a row's class to other classes.
     """
     found = ngram_join(docs, width, percent)
-    degree = found.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = found.members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    named = classes.join(found.components, "node", "left").join(degree, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    firsts = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = named.join(firsts, "comp").select("node", "n_links", "component_id")
+    named = _with_components(found).join(link_counts(found, docs, width, percent), "node", "left")
     return found.members.join(named, "node", "left").select(
         "doc_id",
         "text_key",
