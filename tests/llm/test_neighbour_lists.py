@@ -56,6 +56,19 @@ def test_recall_order_and_scores(spark, monkeypatch, kind):
         assert all(abs(s - by_id[q] @ by_id[i]) < 1e-9 for i, s in near)
 
 
+@pytest.mark.parametrize("n, per_list", [(1000, 40), (6000, 10), (9000, 10)])
+def test_recall_does_not_fall_with_the_table(spark, monkeypatch, n, per_list):
+    # No structure, and few vectors of the sample for a list; at the larger sizes a walk does not hold all centroids.
+    monkeypatch.setattr(lists, "ROWS_PER_LIST", per_list)
+    monkeypatch.setattr(lists, "BEAM", 64)
+    monkeypatch.setattr(lists, "SAMPLE_BYTES", 65 * 8 * 2000)
+    random = np.random.RandomState(8)
+    points = random.randn(n, 64)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = [(i, [float(x) for x in p], "x", "y", 0) for i, p in enumerate(points.astype(np.float32))]
+    assert recall(results(table(spark, rows), query_every=100), exact(rows, 20, 100)) >= 0.92
+
+
 def test_common_vector_blocks_and_bad_rows(spark, monkeypatch):
     monkeypatch.setattr(lists, "BLOCK", 16)
     rows = clustered(300, 8)

@@ -7,7 +7,9 @@ since a centroid with too many vectors of the sample is split at the cost of the
 into blocks.
 
 A query walks a graph over the centroids, held in memory, from near to nearer ones, and takes the lists whose centroid
-is at most a fixed ratio farther than the nearest. Lists are scored exactly, in double precision, on the original
+is at most a ratio farther than the nearest. The ratio grows with the table as needed: a bounded number of its queries is
+answered by brute force, and the ratio is the least with which they find ``AIM`` of their neighbours. A walk that is
+full before it reaches the ratio is replaced by the distances to all centroids. Lists are scored exactly, in double precision, on the original
 vectors, in tasks of one block of a list and one block of its queries.
 
 Of identical vectors only the ``k + 1`` least ids can be among the nearest k of any query, so others are left out
@@ -31,8 +33,10 @@ SAMPLE_BYTES, MAX_CENTROIDS = 32 << 20, 16_384
 ROWS_PER_LIST, ROUNDS = 256, 8
 # A vector goes to at most so many lists, with centroids at most this ratio farther (squared) than its nearest.
 REPLICAS, BOUNDARY_RATIO = 4, 1.10
-# A query reads lists whose centroids are at most this ratio farther (squared) than the nearest one.
+# A query reads lists whose centroids are at most this ratio farther (squared) than the nearest one, or the fitted one.
 LIST_RATIO = 1.3
+# Queries answered by brute force to fit the ratio, and the share of their neighbours to find: a margin over 0.9.
+TRIALS, AIM = 128, 0.96
 LINKS, LONG_LINKS, BEAM = 24, 4, 256
 BLOCK = 4096
 
@@ -135,10 +139,75 @@ def search_graph(query: np.ndarray, centers: np.ndarray, graph: np.ndarray, beam
     return sorted((-d, c) for d, c in best)
 
 
-def nearest(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", list_ratio: float = LIST_RATIO) -> DataFrame:
+def near_lists(query: np.ndarray, centers: np.ndarray, graph: np.ndarray | None, ratio: float, enough: int, sizes: np.ndarray) -> list[int]:
+    """Centroids at most ``ratio`` times (squared) as far from a query as the nearest one, and as many more as hold
+    ``enough`` vectors."""
+
+    def cut(far: np.ndarray) -> int:
+        held = np.concatenate(([0], np.cumsum(sizes[order])[:-1]))
+        return int(np.count_nonzero((held < enough) | (far <= far[0] * ratio)))
+
+    if graph is not None and len(centers) > BEAM:
+        found = search_graph(query, centers, graph, BEAM)
+        order = np.array([c for _, c in found])
+        many = cut(np.array([d for d, _ in found]))
+        if many < len(order):
+            return order[:many].tolist()
+    far = ((centers - query) ** 2).sum(axis=1)
+    order = np.argsort(far, kind="stable")
+    return order[: cut(far[order])].tolist()
+
+
+def list_members(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, list)``: the lists of every lifted point."""
+    far = distances(points, centers)
+    near = np.argsort(far, axis=1, kind="stable")[:, :REPLICAS]
+    value = np.take_along_axis(far, near, axis=1)
+    row, col = np.nonzero(value <= value[:, :1] * BOUNDARY_RATIO)
+    return row, near[row, col]
+
+
+def fitted_ratio(stored: DataFrame, queries: DataFrame, centers: np.ndarray, top: float, k: int) -> float:
+    """Least ratio with which ``TRIALS`` queries, the first in hash order, find ``AIM`` of their k neighbours.
+
+    The neighbours come from one scan of all stored vectors; k of them for every trial reach the driver.
+    """
+    trials = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).toArrow()
+    names, asked = trials["vec_id"].to_numpy(), matrix(trials["v"])
+    if len(names) == 0:
+        return 1.0
+    shared = stored.sparkSession.sparkContext.broadcast((names, asked))
+
+    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = shared.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids = batch.column("vec_id").to_numpy()
+            scores = np.where(ids[None, :] == names[:, None], -np.inf, asked @ matrix(batch.column("v")).T)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            trial, col = np.nonzero(np.isfinite(np.take_along_axis(scores, best, axis=1)))
+            at = best[trial, col]
+            yield pa.RecordBatch.from_arrays([pa.array(trial), batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(scores[trial, at])], ["trial", "vec_id", "v", "score"])
+
+    met = stored.mapInArrow(brute, "trial long, vec_id long, v binary, score double")
+    order = Window.partitionBy("trial").orderBy(F.desc("score"), "vec_id")
+    wanted = met.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("trial", "v").toArrow()
+    if wanted.num_rows == 0:
+        return 1.0
+    far = distances(np.hstack((asked, np.zeros((len(asked), 1)))), centers)
+    far = far / np.maximum(far.min(axis=1, keepdims=True), 1e-300)
+    row, of = list_members(lifted(matrix(wanted["v"]), top), centers)
+    reached = np.full(wanted.num_rows, np.inf)
+    np.minimum.at(reached, row, far[wanted["trial"].to_numpy()[row], of])
+    return float(np.quantile(reached, AIM, method="higher")) * (1 + 1e-9)
+
+
+def nearest(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", list_ratio: float | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k largest inner products found for every query, ties to smaller ids.
 
-    Queries are the usable rows whose id is divisible by ``query_every``. A repeated row counts once. An id with
+    Queries are the usable rows whose id is divisible by ``query_every``. They read lists up to ``list_ratio``; if
+    it is not given, up to the larger of ``LIST_RATIO`` and the one fitted to the table. A repeated row counts once. An id with
     several vectors asks with the least of them in byte order, and is found by its best. Queries without any other
     usable vector, and tables without usable vectors, give no rows.
     """
@@ -170,35 +239,28 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "ve
             points = lifted(matrix(batch.column("v")), top)
             if len(points) == 0:
                 continue
-            far = distances(points, centers)
-            near = np.argsort(far, axis=1, kind="stable")[:, :REPLICAS]
-            value = np.take_along_axis(far, near, axis=1)
-            row, col = np.nonzero(value <= value[:, :1] * BOUNDARY_RATIO)
+            row, of = list_members(points, centers)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), batch.column("vec_id").take(at), batch.column("v").take(at)], ["list", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), batch.column("vec_id").take(at), batch.column("v").take(at)], ["list", "vec_id", "v"])
 
     lists = kept(stored.mapInArrow(assign, "list int, vec_id long, v binary"), "lists")
     counts = {r[0]: r[1] for r in lists.groupBy("list").count().collect()}  # one row per centroid at most
     sizes = np.array([counts.get(i, 0) for i in range(len(centers))])
 
+    queries = vectors.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    ratio = max(LIST_RATIO, fitted_ratio(stored, queries, centers, top, k)) if list_ratio is None else list_ratio
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, graph = shared.value
         for batch in batches:
             row, chosen = [], []
             for i, query in enumerate(matrix(batch.column("v"))):
-                point = np.append(query, 0.0)
-                found = [(0.0, 0)] if graph is None else search_graph(point, centers, graph)
-                # The walk is exhaustive where the beam holds all centroids; else the beam bounds the lists read.
-                held = 0
-                for d, c in found:
-                    if held >= 4 * (k + 1) and d > found[0][0] * list_ratio:
-                        break
-                    held += sizes[c]
-                    row.append(i), chosen.append(c)
+                found = near_lists(np.append(query, 0.0), centers, graph, ratio, 4 * (k + 1), sizes)
+                row += [i] * len(found)
+                chosen += found
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int32()), batch.column("vec_id").take(at), batch.column("v").take(at)], ["list", "query_id", "q"])
 
-    queries = vectors.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = kept(queries.mapInArrow(route, "list int, query_id long, q binary"), "asked")
     plan = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     plan = plan.join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "list")
