@@ -76,6 +76,26 @@ def test_filter_keeps_columns_and_known_texts(documents):
     assert language.known_language(documents([])).collect() == []
 
 
+def test_filter_rejects_unknown_languages_and_random_texts(documents):
+    rows = made(300)
+    random.seed(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    more = {
+        "letters": lambda: " ".join("".join(random.choices(letters, k=random.randint(2, 9))) for _ in range(80)),
+        "base64": lambda: "".join(random.choices(letters + letters.upper() + "0123456789+/", k=500)),
+        "cyrillic": lambda: " ".join("".join(chr(random.randint(0x430, 0x44F)) for _ in range(6)) for _ in range(80)),
+        "han": lambda: "".join(chr(random.randint(0x4E00, 0x9FFF)) for _ in range(500)),
+        "unknown": lambda: " ".join("".join(random.choices(["zza", "llo", "nni", "pre", "mbu"], k=random.randint(1, 3))) for _ in range(80)),
+    }
+    odd = [(1000 + 100 * k + i, make(), None) for k, make in enumerate(more.values()) for i in range(40)]
+    short = [(5000 + i, text(lang, 4), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    kept = {r["doc_id"] for r in language.known_language(documents(rows + odd + short)).collect()}
+    clean = [r[0] for r in rows + short]
+    assert sum(i in kept for i in clean) >= 0.99 * len(clean)
+    for k in range(len(more)):
+        assert sum(1000 + 100 * k + i in kept for i in range(40)) <= 2
+
+
 def test_trigrams_do_not_cross_texts():
     row, code, has = language.trigrams(pa.array(["ab", None, "", "c", "-", "𝒳é"]))
     assert has.tolist() == [True, False, False, True, False, True]

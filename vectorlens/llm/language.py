@@ -27,9 +27,14 @@ LETTERS = 64
 UNKNOWN = "und"
 # Texts whose trigram counts stand in one dense matrix.
 TEXTS_AT_ONCE = 128
-# The filtering stage rejects a text as no known language if its cosine is below this, and the text long enough for
-# its cosine to tell.
-REJECT_BELOW, TELLING_LENGTH = 0.05, 200
+# The filtering stage compares texts of a like number of different trigrams, in classes that double. Bounds of the samples that
+# set the least cosine of a class: labelled texts of the held-out fold, pieces cut from each, and random texts.
+CLASSES = range(3, 13)
+SAMPLE_TEXTS, CUTS, NOISE_TEXTS = 2_000, 2, 200
+# Quantiles of whole texts, of pieces, and of random texts; fewest texts that stand for a class.
+LOW, LOW_OF_PIECES, HIGH, FEWEST = 0.001, 0.01, 0.99, 20
+# A class tells languages from noise if the low quantile is so many times the high one of noise.
+TELLING = 1.2
 
 
 @lru_cache
@@ -111,13 +116,18 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     ``score`` is the cosine with the best language, at least 0; ties go to the first name. A text that is null or has
     no letter is ``und`` with score 0, as is every text if no language was learned.
     """
+    return _scored(docs, model).drop("trigrams")
+
+
+def _scored(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """``predicted`` with the number of different trigrams of each text."""
     names, vectors = model
     shared = docs.sparkSession.sparkContext.broadcast((names, vectors.T.astype(np.float32)))
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, trigrams: long>")
     def best(texts: pa.Array) -> pa.Array:
         names, protos = shared.value
-        langs, scores = [], []
+        langs, scores, counted = [], [], []
         for piece in pieces(pa.RecordBatch.from_arrays([texts], ["text"])):
             row, code, has_letter = trigrams(piece.column("text"))
             distinct, at = np.unique(code, return_inverse=True)
@@ -127,6 +137,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
                 rows = min(TEXTS_AT_ONCE, len(has_letter) - i * TEXTS_AT_ONCE)
                 spot = (row[a:b] - i * TEXTS_AT_ONCE) * len(distinct) + at[a:b]
                 counts = np.bincount(spot, minlength=rows * len(distinct)).reshape(rows, -1).astype(np.float32)
+                counted += np.count_nonzero(counts, axis=1).tolist()
                 bundle = (counts @ vectors).astype(np.float64)
                 norm = np.linalg.norm(bundle, axis=1)
                 if names:
@@ -137,10 +148,10 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
                     known = bool(names) and has_letter[i * TEXTS_AT_ONCE + j]
                     langs.append(names[pick[j]] if known else UNKNOWN)
                     scores.append(float(value[j]) if known else 0.0)
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(counted, pa.int64())], names=["lang_pred", "score", "trigrams"])
 
     hit = best("text")
-    return docs.select("*", hit.alias("__hit")).select(*[F.col(f"`{c}`") for c in docs.columns], "__hit.lang_pred", "__hit.score")
+    return docs.select("*", hit.alias("__hit")).select(*[F.col(f"`{c}`") for c in docs.columns], "__hit.lang_pred", "__hit.score", "__hit.trigrams")
 
 
 def fold(doc_id: str = "doc_id"):
@@ -158,19 +169,57 @@ def language_report(docs: DataFrame) -> DataFrame:
     return predicted(rows.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
+def _noise(random: np.random.RandomState, size: int) -> str:
+    """Random letters in words of random lengths, about ``size`` characters."""
+    letters = "".join(chr(ord("a") + i) for i in random.randint(26, size=size))
+    ends = np.cumsum(random.randint(1, 14, size=size))
+    return " ".join(letters[a:b] for a, b in zip(np.concatenate(([0], ends)), ends, strict=False) if a < size)
+
+
+def least_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray]) -> list[tuple[int, float]]:
+    """``(trigrams, cosine)``: what texts of at least so many different trigrams must reach to count as a known language.
+
+    Labelled texts that the model has not seen score with their own likes; pieces of them stand in for a class with
+    few texts. Texts of random letters score as noise. The bound lies halfway between the low quantile of the former
+    and the high quantile of noise; a class in which these are not apart says too little to reject a text. Both samples
+    are bounded.
+    """
+    chosen = labelled.select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_TEXTS)
+    longs = F.explode(F.sequence(F.lit(CLASSES[0]), F.lit(CLASSES[-1])))
+    cuts = chosen.select("text", F.length("text").alias("l"), longs.alias("c")).withColumn("z", F.pow(F.lit(2), F.col("c")).cast("int"))
+    cuts = cuts.filter("l >= z").select("l", "z", "text", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))).alias("i"))
+    start = F.pmod(F.xxhash64("text", "z", "i"), F.col("l") - F.col("z") + 1).cast("int") + 1
+    pieces_of = cuts.select(F.substring("text", start, (F.col("z") * 1.4).cast("int")).alias("text")).withColumn("kind", F.lit("piece")).unionByName(chosen.withColumn("kind", F.lit("whole")))
+    random = np.random.RandomState(21)
+    noise = [(_noise(random, int(1.1 * 2**c)),) for c in CLASSES for _ in range(NOISE_TEXTS)]
+    noise = labelled.sparkSession.createDataFrame(noise, "text string")
+    both = pieces_of.unionByName(noise.withColumn("kind", F.lit("noise")))
+    level = F.least(F.floor(F.log2("trigrams")), F.lit(CLASSES[-1])).cast("int").alias("c")
+    scores = _scored(both, model).filter("trigrams > 0").select("kind", level, "score")
+    quantiles = {"whole": LOW, "piece": LOW_OF_PIECES, "noise": HIGH}
+    measures = [F.percentile("score", F.lit(q)).alias(kind) for kind, q in quantiles.items()]
+    rows = scores.groupBy("kind", "c").agg(F.count(F.lit(1)).alias("n"), *measures).filter(F.col("n") >= FEWEST).collect()
+    at = {(r["kind"], r["c"]): r[r["kind"]] for r in rows}
+    out = []
+    for c in CLASSES:
+        own, noisy = at.get(("whole", c), at.get(("piece", c))), at.get(("noise", c))
+        if own is not None and noisy is not None:
+            out.append((2**c, 0.5 * (own + noisy) if own > TELLING * noisy else 0.0))
+    return out
+
+
+def known_language(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` in a known language, all columns kept; others are rejected.
 
-    Rejected are texts without a letter, and texts of ``TELLING_LENGTH`` characters or more whose best cosine is below
-    ``reject_below``; a few words say too little to be rejected. With no labelled row
-    there is no language to know, and every text with a letter is kept.
+    Rejected are texts without a letter, and texts whose best cosine is below that of ``least_cosines`` for their
+    number of different trigrams: a word repeated many times says as little as the word. With no labelled row there is no language to know, and every text with a letter is kept.
     """
     model = prototypes(docs.filter(fold() != 1))
-    names = [f"__{c}" for c in ("lang_pred", "score")]
-    plain = docs.select(F.struct("*").alias("row"), "text")
-    found = predicted(plain, model).withColumnsRenamed(dict(zip(("lang_pred", "score"), names, strict=True)))
-    if model[0]:
-        found = found.filter((F.col(names[0]) != UNKNOWN) & ((F.col(names[1]) >= reject_below) | (F.length("text") < TELLING_LENGTH)))
-    else:
-        found = found.filter(F.regexp_like("text", F.lit(r"\p{L}")))
-    return found.select("row.*")
+    if not model[0]:
+        return docs.filter(F.regexp_like("text", F.lit(r"\p{L}")))
+    least = F.lit(0.0)
+    for size, cosine in least_cosines(docs.filter((fold() == 1) & F.expr("text is not null and lang is not null")), model):
+        least = F.when(F.col("hit.trigrams") >= size, F.lit(cosine)).otherwise(least)
+    found = _scored(docs.select(F.struct("*").alias("row"), "text"), model)
+    found = found.select("row", F.struct("lang_pred", "score", "trigrams").alias("hit"))
+    return found.filter((F.col("hit.lang_pred") != UNKNOWN) & (F.col("hit.score") >= least)).select("row.*")
