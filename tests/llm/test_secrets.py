@@ -66,5 +66,24 @@ def test_models_tell_random_strings_from_identifiers(spark, documents, corpus):
     assert sum(found[i] > 0 for i, _ in plain) == 0
 
 
+def test_short_letter_only_and_dotted_keys_are_scored(documents, corpus):
+    import random
+
+    random.seed(5)
+    letters = secrets.ALPHABET[:52]
+    key = lambda n, of: "".join(random.choice(of) for _ in range(n))
+    train = [(i, f"{r[1]}") for i, r in enumerate(corpus[:60])] + [(i + 500, f"a password={key(28, secrets.ALPHABET[:62])} b") for i in range(200)]
+    model = secrets.train(documents(train))
+    short = [(i, f"see {key(14, secrets.ALPHABET[:62])}, here") for i in range(100)]
+    plain = [(i + 100, f"see {''.join(r[1].split())[:14]} here.") for i, r in enumerate(corpus[60:150])]
+    only = [(i + 200, f"see {key(20, letters)}. here") for i in range(100)]
+    dotted = [(i + 300, f"see {key(9, letters)}.{key(9, letters)} here") for i in range(100)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(documents(short + plain + only + dotted), model).collect()}
+    assert sum(len(found[i]) > 0 for i, _ in short + only + dotted) >= 285
+    assert sum(len(found[i]) > 0 for i, _ in plain) == 0
+    assert {(s["start"], s["end"]) for i, _ in only for s in found[i]} == {(4, 24)}
+    assert {(s["start"], s["end"]) for i, _ in dotted for s in found[i]} == {(4, 23)}
+
+
 def test_empty(documents):
     assert secrets.secret_report(documents([])).collect() == []

@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 DataFrame functions only. Two first-order Markov chains over characters are counted from labelled samples: random
-strings (values that the fixed patterns find) and ordinary identifiers (words of other places). A long token that
-holds a digit and lies outside the pattern spans is reported when its mean log-likelihood ratio per transition is
-above a threshold. Patterns and scores run over whole texts in one pass without a shuffle.
+strings (values that the fixed patterns find) and ordinary identifiers (words of other places). Every run of at least
+``LEAST_TOKEN`` characters outside the pattern spans, with or without a digit, is reported when its mean log-likelihood
+ratio per transition is above a threshold, which is fitted on held-out samples and is higher for short runs. Patterns and scores run over whole texts in one pass without a shuffle.
 
 Positions are code points: the lengths of the gaps between matches and of the matches themselves, added up.
 """
@@ -11,10 +11,12 @@ Positions are code points: the lengths of the gaps between matches and of the ma
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectorlens.llm.tables import kept
 from vectorlens.llm.words import WORD
 
 # Kinds in their order, patterns, least lengths (of the value for assign, else of the match).
@@ -24,17 +26,32 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
-# Tokens offered to the models: whole runs with a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+# Tokens offered to the models: whole runs, with single dots inside.
+LEAST_TOKEN = 12
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?<![A-Za-z0-9+/_=-]\.)(?=[A-Za-z0-9+/_.=-]{12})[A-Za-z0-9+/_=-]++(?:\.[A-Za-z0-9+/_=-]++)*+"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 STATES = len(ALPHABET) + 1
 
 # Bounds of the training sample: random strings, and texts whose words are the ordinary identifiers.
 SAMPLE_STRINGS, SAMPLE_TEXTS = 5_000, 500
 # Weight, in transitions, of the plain character frequencies against the counts of a state.
 BACK_OFF = 50.0
-# Mean log-likelihood ratio per transition above which a token is reported.
-THRESHOLD = 1.0
+# One string in so many of either sample is held out of the counts, to fit the thresholds.
+HELD_OUT = 5
+# Standard deviations between the mean ratio of ordinary strings of a length and the least threshold.
+APART = 4.0
+
+
+@dataclass(frozen=True)
+class Model:
+    """Log-likelihood ratios of all transitions, row after row; the threshold of a long token; mean and deviation of
+    the ratio of one transition in ordinary strings."""
+
+    ratios: list[float]
+    middle: float
+    mean: float
+    deviation: float
+
 
 _SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
 
@@ -75,12 +92,15 @@ def _transitions(strings: DataFrame, name: str) -> DataFrame:
     return pairs.select(state(F.col("i")).alias("x"), state(F.col("i") + 1).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-def train(docs: DataFrame) -> list[float]:
+def train(docs: DataFrame) -> Model:
     """Log-likelihood ratios of all transitions (random against ordinary), row after row.
 
     The labelled samples are bounded: the ``SAMPLE_STRINGS`` pattern values first in hash order, and the words of the
     ``SAMPLE_TEXTS`` texts first in hash order, outside pattern spans. Only counts reach the driver, one per
     transition at most. Without samples all ratios are 0 and nothing is reported.
+
+    Strings held out of the counts give the mean and the deviation of the ratio in either sample. The threshold is as
+    many deviations from one mean as from the other but at least 0, and for short tokens ``APART`` deviations above ordinary strings.
     """
     texts = docs.select("text").filter("text is not null")
     marked = texts.filter(F.regexp_like("text", F.lit(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{16}}")))
@@ -89,16 +109,39 @@ def train(docs: DataFrame) -> list[float]:
     plain = texts.filter(~F.regexp_like("text", F.lit(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{16}}")))
     plain = plain.withColumn("h", F.xxhash64("text")).orderBy("h").limit(SAMPLE_TEXTS)
     ordinary = plain.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value"))
+    held = F.pmod(F.xxhash64(F.lit("held out"), "value"), F.lit(HELD_OUT)) == 0
+    random_strings, ordinary = kept(random_strings, "random_strings"), kept(ordinary, "ordinary")
     counts = []
     for strings in (random_strings, ordinary):
         table = [[0] * STATES for _ in range(STATES)]
-        for x, y, n in _transitions(strings, "value").collect():
+        for x, y, n in _transitions(strings.filter(~held), "value").collect():
             table[x][y] += n
         counts.append(table)
     if not all(sum(map(sum, t)) for t in counts):
-        return [0.0] * (STATES * STATES)
-    random, ordinary = map(_probabilities, counts)
-    return [math.log(random[x][y] / ordinary[x][y]) for x in range(STATES) for y in range(STATES)]
+        return Model([0.0] * (STATES * STATES), 0.0, 0.0, 0.0)
+    random, plain_counts = map(_probabilities, counts)
+    ratios = [math.log(random[x][y] / plain_counts[x][y]) for x in range(STATES) for y in range(STATES)]
+    (mean_r, dev_r), (mean_o, dev_o) = (_spread(strings, held, ratios) for strings in (random_strings, ordinary))
+    return Model(ratios, max((mean_o * dev_r + mean_r * dev_o) / max(dev_r + dev_o, 1e-9), 0.0), mean_o, dev_o)
+
+
+def _spread(strings: DataFrame, held: Column, ratios: list[float]) -> tuple[float, float]:
+    """Mean ratio of a transition and its deviation, from the sums of held-out strings (all, if none is held out)."""
+    n = F.length("value") - 1
+    total = likelihood_ratio(F.col("value"), _table(ratios)) * n
+    sums = [F.count(F.lit(1)), F.sum(n), F.sum(total), F.sum(n * n), F.sum(n * total), F.sum(total * total)]
+    usable = strings.filter(F.length("value") > 1)
+    found = usable.filter(held).agg(*sums).first()
+    if not found[0]:
+        found = usable.agg(*sums).first()
+    _, n1, t1, n2, nt, t2 = found
+    mean = t1 / n1
+    return mean, math.sqrt(max(t2 - 2 * mean * nt + mean * mean * n2, 0.0) / n1)
+
+
+def _table(ratios: list[float]) -> Column:
+    """One literal array, folded once when the plan is made."""
+    return F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
 
 
 def _probabilities(counts: list[list[int]]) -> list[list[float]]:
@@ -119,19 +162,19 @@ def likelihood_ratio(token: Column, ratios: Column) -> Column:
     return total / (F.length(token) - 1)
 
 
-def scan(docs: DataFrame, ratios: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per input row: doc_id, ``base`` and ``spans`` (arrays of start, rank, end, value).
 
     ``rank`` is the place of the kind in ``KINDS``; spans stand by start, then kind. A null text is empty. Null and
     repeated ids and repeated rows stay as they are; other columns are ignored. An empty table gives an empty result.
     """
-    ratios = train(docs) if ratios is None else ratios
-    # One literal array, folded once when the plan is made.
-    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
+    model = train(docs) if model is None else model
+    table = _table(model.ratios)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.select("doc_id", base_spans(F.col("text")).alias("base"), located(F.col("text"), TOKEN, 3, 0, 20).alias("tokens"))
+    found = texts.select("doc_id", base_spans(F.col("text")).alias("base"), located(F.col("text"), TOKEN, 3, 0, LEAST_TOKEN).alias("tokens"))
     apart = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b.start < t.end) & (t.start < b.end)))
-    random = F.filter(apart, lambda t: likelihood_ratio(t.value, table) > threshold)
+    least = lambda t: F.greatest(F.lit(model.middle), F.lit(model.mean) + F.lit(APART * model.deviation) / F.sqrt(F.length(t.value) - 1))
+    random = F.filter(apart, lambda t: likelihood_ratio(t.value, table) > least(t))
     return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", random)).alias("spans"))
 
 
