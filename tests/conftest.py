@@ -65,10 +65,3 @@ def blobs():
     centers = np.eye(12)[:3] * 10
     labels = np.repeat([0, 1, 2], 20)
     return (centers[labels] + random.randn(60, 12) * 0.4).astype(np.float32), labels
-
-
-def values(df, *columns):
-    """Rows as a sorted list of tuples."""
-    chosen = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in chosen.collect()), key=repr)
-

@@ -3,7 +3,7 @@ import math
 import random
 
 import pytest
-from conftest import values
+from frames import values
 
 from vectorlens.operators import evaluation
 

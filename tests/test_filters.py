@@ -2,7 +2,7 @@ import datetime
 import decimal
 
 import pytest
-from conftest import values
+from frames import values
 from pyspark.sql import functions as F
 
 from vectorlens.functions.predicates import apply_filters, apply_membership_filters

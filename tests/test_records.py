@@ -1,5 +1,5 @@
 import pytest
-from conftest import values
+from frames import values
 from pyspark.sql import functions as F
 
 from vectorlens.functions.bins import nice_bins

@@ -3,7 +3,7 @@ import sys
 
 import numpy as np
 import pytest
-from conftest import values
+from frames import values
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 

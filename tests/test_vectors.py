@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import values
+from frames import values
 from pyspark.sql import functions as F
 
 from vectorlens.functions import vectors
@@ -21,9 +21,9 @@ def test_prepare_normalizes(vectors_frame, many_points):
 
 def test_prepare_replaces_nonfinite_before_the_norm(vectors_frame):
     nan, inf = float("nan"), float("inf")
-    found = matrix(preparation.with_prepared(vectors_frame([[1, nan, 3], [1, inf, 3], [4, -inf, 6], [0, 0, 0]])))
-    np.testing.assert_allclose(found[0], np.array([1, 0, 3]) / np.sqrt(10), atol=1e-6)
-    np.testing.assert_allclose(found[2], np.array([4, 0, 6]) / np.sqrt(52), atol=1e-6)
+    found = matrix(preparation.with_prepared(vectors_frame([[2, nan, -6], [inf, 2, 5], [8, -inf, 15], [0, 0, 0]])))
+    np.testing.assert_allclose(found[0], np.array([2, 0, -6]) / np.sqrt(40), atol=1e-6)
+    np.testing.assert_allclose(found[2], np.array([8, 0, 15]) / 17, atol=1e-6)
     assert not found[3].any()
 
 
@@ -145,8 +145,8 @@ def test_cluster_summary_and_representatives(vectors_frame, few_points):
 
 
 def test_singletons_have_no_variance(vectors_frame):
-    df = vectors_frame([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]).withColumn("label", F.col("uuid").cast("string"))
-    assert [r["Variance"] for r in summary.cluster_summary(df, "label").collect()] == [0.0, 0.0, 0.0]
+    df = vectors_frame([[0.5, -2.0], [7.0, 1.5], [-3.0, 9.0], [2.0, 2.0]]).withColumn("label", F.col("uuid").cast("string"))
+    assert [r["Variance"] for r in summary.cluster_summary(df, "label").collect()] == [0.0] * 4
 
 
 def test_representatives_without_small_centers(vectors_frame, few_points, monkeypatch):
