@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorlens.llm import decontaminate, language, mixing, neighbour_lists, ngram_join, packing, personal, secrets, substrings, token_files
+from vectorlens.llm import (
+    decontaminate,
+    language,
+    merkle,
+    mixing,
+    neighbour_lists,
+    ngram_join,
+    packing,
+    personal,
+    secrets,
+    substrings,
+    token_files,
+    vector_codes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,6 +158,101 @@ def op10_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.shard_report(table(spark, folder, "documents"), 8)
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, folder, "embeddings"))
+
+
+def _codebook_round(r: int) -> str:
+    """Nearest entries under codebook ``c{r}``, and the codebook ``c{r + 1}`` of their floored means."""
+    return f"""
+    a{r} AS MATERIALIZED (
+      SELECT k, part, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d FROM (
+        SELECT p.k, p.part, c.e, list_sum(list_transform(list_zip(p.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM p JOIN c{r} c ON c.part = p.part
+      ) GROUP BY k, part
+    ), s{r} AS (
+      SELECT part, e, pos, sum(x)::BIGINT AS s, count(*) AS n
+      FROM (SELECT p.part, a.e, unnest(p.x) AS x, generate_subscripts(p.x, 1) AS pos FROM p JOIN a{r} a ON a.k = p.k AND a.part = p.part)
+      GROUP BY part, e, pos
+    ), m{r} AS (SELECT part, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS c FROM s{r} GROUP BY part, e),
+    c{r + 1} AS MATERIALIZED (
+      SELECT c.part, c.e, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.e = c.e
+    )"""
+
+
+OP11_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, len(embedding) // 4 AS w,
+         list_transform(embedding, lambda x: CAST(floor(1024::DOUBLE * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT k, vec_id, label, part, v[(part * w + 1):(part * w + w)] AS x FROM v, (SELECT unnest(range(4)) AS part)
+), c0 AS MATERIALIZED (SELECT part, k - 1 AS e, x AS c FROM p WHERE k <= 256),
+{",".join(_codebook_round(r) for r in range(5))},
+h AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, pos)) AS codebooks_sha256
+  FROM (SELECT part, e, unnest(c) AS x, generate_subscripts(c, 1) AS pos FROM c4)
+), f AS (SELECT k, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY k)
+SELECT v.vec_id, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, h.codebooks_sha256
+FROM f JOIN v USING (k) CROSS JOIN h
+"""
+
+
+def op12_merkle_log(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, folder, "documents"))
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({c}), ':', {c}), '-')" for c in fields) + "))"
+
+
+# The checksum goes bit by bit over the digits of the id, as the public CRC-32 polynomial is applied.
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('+' || lang, '') AS tree, {_leaf_sql("n_chars")} AS leaf,
+         {_leaf_sql("(n_chars + 1)")} AS changed,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+           range(1, len(CAST(doc_id AS VARCHAR)) + 1),
+           lambda i: [ascii(CAST(doc_id AS VARCHAR)[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) AS crc
+  FROM documents
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d
+), nodes AS (
+  SELECT tree, 0 AS h, i, leaf AS d, n FROM o
+  UNION ALL
+  SELECT tree, h + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY tree, h, i // 2, n
+), subs AS (
+  SELECT tree, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS h, i, subroot AS d, n FROM subs
+  UNION ALL
+  SELECT h + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY h, i // 2, n
+), steps AS (
+  SELECT o.k, l.h AS step, CAST((o.i >> l.h) & 1 AS INTEGER) AS odd, s.d
+  FROM o JOIN (SELECT DISTINCT tree, h FROM nodes WHERE n > 1) l ON l.tree = o.tree
+  LEFT JOIN nodes s ON s.tree = o.tree AND s.h = l.h AND s.i = xor(o.i >> l.h, 1)
+  UNION ALL
+  SELECT o.k, 1000 + l.h, CAST((u.i >> l.h) & 1 AS INTEGER), s.d
+  FROM o JOIN subs u ON u.tree = o.tree CROSS JOIN (SELECT DISTINCT h FROM tops WHERE n > 1) l
+  LEFT JOIN tops s ON s.h = l.h AND s.i = xor(u.i >> l.h, 1)
+), path AS (
+  SELECT k, list(struct_pack(odd := odd, d := d) ORDER BY step) AS p, sha256(coalesce(string_agg(d, '' ORDER BY step), '')) AS proof
+  FROM steps GROUP BY k
+), fold AS (
+  SELECT o.k, 1 AS pos, CASE WHEN crc % 7 = 0 THEN coalesce(changed, leaf) ELSE leaf END AS cur, p FROM o LEFT JOIN path USING (k)
+  UNION ALL
+  SELECT k, pos + 1,
+         sha256(CASE WHEN p[pos].d IS NULL THEN cur WHEN p[pos].odd = 1 THEN p[pos].d || cur ELSE cur || p[pos].d END), p
+  FROM fold WHERE pos <= len(p)
+), root AS (SELECT d AS root FROM tops WHERE n = 1)
+SELECT o.doc_id, o.leaf, u.subroot, r.root, coalesce(path.proof, sha256('')) AS proof_sha256, f.cur AS folded_root, f.cur = r.root AS verified
+FROM o JOIN subs u ON u.tree = o.tree CROSS JOIN root r LEFT JOIN path ON path.k = o.k
+JOIN (SELECT k, arg_max(cur, pos) AS cur FROM fold GROUP BY k) f ON f.k = o.k
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix": (op1_mix, OP1_SQL),
     "op2_secrets": (op2_secrets, None),
@@ -157,4 +265,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_link_counts": (op8_link_counts, OP8_LINKS_SQL),
     "op9_token_files": (op9_token_files, None),
     "op10_bin_packing": (op10_bin_packing, None),
+    "op11_vector_codes": (op11_vector_codes, OP11_SQL),
+    "op12_merkle_log": (op12_merkle_log, OP12_SQL),
 }
