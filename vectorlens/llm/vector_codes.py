@@ -267,7 +267,10 @@ def code_report(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Errors are summed per label before they meet the rows again, those of labels with many rows by broadcast.
     """
     width = vector_width(vectors)
-    books = fit_codebooks(vectors, width, rounds) if width >= 0 else np.zeros((PARTS, 0, 0), dtype=np.int64)
+    if width < 0:
+        schema = f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, code string, error long, label_error long, codebooks_sha256 string"
+        return vectors.sparkSession.createDataFrame([], schema)
+    books = fit_codebooks(vectors, width, rounds)
     coded = kept(encode(vectors, books, width), "codes")
     totals = kept(coded.groupBy("label").agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("n")), "label-errors")
     many = (totals.agg(F.sum("n")).first()[0] or 0) * HEAVY_SHARE
