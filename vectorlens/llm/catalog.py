@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vectorlens.llm import (
+    brown,
     decontaminate,
     language,
     merkle,
@@ -253,6 +254,10 @@ JOIN (SELECT k, arg_max(cur, pos) AS cur FROM fold GROUP BY k) f ON f.k = o.k
 """
 
 
+def op13_brown_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.score_report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_mix": (op1_mix, OP1_SQL),
     "op2_secrets": (op2_secrets, None),
@@ -267,4 +272,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op10_bin_packing": (op10_bin_packing, None),
     "op11_vector_codes": (op11_vector_codes, OP11_SQL),
     "op12_merkle_log": (op12_merkle_log, OP12_SQL),
+    "op13_brown_scores": (op13_brown_scores, None),
 }
