@@ -30,3 +30,11 @@ def with_group_rank(df: DataFrame, group: str, order: list[Column], totals: list
     # A null group is a group like the others.
     joined = numbered.join(starts.withColumnRenamed(group, "__group"), F.col(group).eqNullSafe(F.col("__group")))
     return joined.withColumn("rank", F.col("__number") - F.col("__first") + 1).drop("__number", "__first", "__group")
+
+
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """Add a long that no other row has, and checkpoint the rows, so that every later use sees the same keys.
+
+    Operators that bring results back to rows join by it: ids of the caller may repeat or be null.
+    """
+    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
