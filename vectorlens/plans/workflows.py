@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from vectorlens.functions.predicates import quoted
 from vectorlens.functions.scalars import basename
 from vectorlens.operators import clustering, layout, projection
-from vectorlens.operators.ordering import with_row_index
+from vectorlens.operators.ordering import with_row_index, with_row_key
 from vectorlens.operators.preparation import with_prepared
 from vectorlens.sources.sinks import write_labelled
 from vectorlens.sources.tables import load_embeddings
 
 METHODS = ("PCA", "TSNE", "UMAP")
+# Key of a row from the start of a job to its end; ids of the caller may repeat or be null.
+ROW_KEY = "__row_key"
 
 
 def checked_method(method: str) -> str:
@@ -34,17 +36,21 @@ def reduce_vectors(
     seed: int | None = None,
     normalize: bool = True,
     iterations: int = layout.ITERATIONS,
+    graph: str = "exact",
 ) -> DataFrame:
-    """Add ``x, y``: centred principal component scores, or a neighbour-preserving layout.
+    """Add ``x, y``: centred principal component scores, or a neighbour-preserving layout on the exact or refined graph.
 
-    Columns of these names are replaced.
+    Columns of these names are replaced. One row comes out for every row that goes in, whatever its id.
     """
     name = checked_method(method)
     df = df.drop("x", "y")
     if name == "PCA":
         return projection.pca(df, 2, vec_col, normalize).project(df, ["x", "y"])
-    placed = layout.neighbour_layout(df, name, id_col, vec_col, iterations=iterations, seed=seed or 0, normalize=normalize)
-    return df.join(placed, id_col)
+    keyed = with_row_key(df, ROW_KEY)
+    placed = layout.neighbour_layout(
+        keyed, name, vec_col=vec_col, iterations=iterations, seed=seed or 0, normalize=normalize, graph=graph, key_col=ROW_KEY
+    )
+    return keyed.join(placed, ROW_KEY).drop(ROW_KEY)
 
 
 def cluster_and_project(
@@ -56,6 +62,7 @@ def cluster_and_project(
     path_col: str | None = None,
     seed: int | None = None,
     index: bool = False,
+    graph: str = "exact",
 ) -> DataFrame:
     """K-Means in the full space, then two coordinates for display.
 
@@ -66,12 +73,15 @@ def cluster_and_project(
     name = checked_method(method)
     needed = dict.fromkeys([id_col, vec_col] + ([path_col] if path_col else []))
     df = df.select(*[quoted(c) for c in needed])
+    if name != "PCA":
+        df = with_row_key(df, ROW_KEY)
     ready = with_prepared(df, vec_col)
     labelled = clustering.kmeans(ready, k, vec_col, seed, normalize=False).label(ready, "__label")
     if name == "PCA":
         scored = projection.pca(ready, 2, vec_col, normalize=False).project(labelled, ["x", "y"])
     else:
-        scored = labelled.join(layout.neighbour_layout(df, name, id_col, vec_col, seed=seed or 0), id_col)
+        placed = layout.neighbour_layout(df, name, vec_col=vec_col, seed=seed or 0, graph=graph, key_col=ROW_KEY)
+        scored = labelled.join(placed, ROW_KEY)
     columns = [quoted(id_col), F.col("x"), F.col("y"), F.col("__label").cast("string").alias("cluster")]
     if path_col:
         columns += [quoted(path_col).alias("image_path"), basename(quoted(path_col)).alias("file_name")]
@@ -102,15 +112,21 @@ def batch_frame(
         raise ValueError(f"unsupported reduction {method!r}, choose pca or umap")
     dims = [f"dim_{i + 1}" for i in range(components)]
     df = df.drop(*dims, "cluster_label") if keep_metadata else df.select(quoted(id_col), quoted(vec_col))
+    kept_columns = [c for c in df.columns if c != vec_col]
+    if method == "umap":
+        df = with_row_key(df, ROW_KEY)
 
     labelled = clustering.kmeans(df, k, vec_col, seed, normalize).label(df, "__label")
     if method == "pca":
         scored = projection.pca(df, components, vec_col, normalize).project(labelled, dims)
     else:
         rounds = int(reduction.get("iterations", layout.ITERATIONS))
-        placed = layout.neighbour_layout(df, "UMAP", id_col, vec_col, rounds, seed, normalize=normalize, names=dims)
-        scored = labelled.join(placed, id_col)
-    metadata = [quoted(c) for c in df.columns if c != vec_col]
+        graph = str(reduction.get("graph", "exact"))
+        placed = layout.neighbour_layout(
+            df, "UMAP", vec_col=vec_col, iterations=rounds, seed=seed, normalize=normalize, names=dims, graph=graph, key_col=ROW_KEY
+        )
+        scored = labelled.join(placed, ROW_KEY)
+    metadata = [quoted(c) for c in kept_columns]
     label = F.col("__label").cast("string" if keep_metadata else "int").alias("cluster_label")
     return scored.select(*metadata, *dims, label)
 
