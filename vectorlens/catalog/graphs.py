@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectorlens.catalog import table
-from vectorlens.operators import layout, neighbours
+from vectorlens.operators import descent, layout, neighbours, projection
 
 
 def _embeddings(spark, sf):
@@ -60,6 +60,37 @@ def neighbor_layout_tsne(spark, sf):
     return layout.neighbour_layout(_embeddings(spark, sf), "TSNE", "vec_id", "embedding")
 
 
+def knn_descent_recall(spark, sf):
+    """The refined graph against the exact one: all lists full, ranks without gaps, nine tenths of the entries found."""
+    rows = _embeddings(spark, sf)
+    refined = descent.knn_descent(rows, 15, "vec_id", "embedding", block_rows=128)
+    exact = neighbours.knn_graph(rows, 15, "vec_id", "embedding").select("src", "dst", F.lit(1).alias("found"))
+    lists = refined.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"), F.count_if(F.col("src") == F.col("dst")).alias("own"))
+    whole = lists.agg(F.count_if((F.col("n") == 15) & (F.col("last") == 15) & (F.col("own") == 0)).alias("whole_lists"))
+    hits = refined.join(exact, ["src", "dst"], "left").agg(F.count(F.lit(1)).alias("edges"), F.count("found").alias("hits"))
+    return whole.join(hits, F.lit(True)).select("whole_lists", "edges", (F.col("hits") >= 0.9 * F.col("edges")).alias("nine_tenths"))
+
+
+def _kept(rows, axes, exact):
+    """Share of the exact neighbours that are among the nearest in a picture."""
+    picture = neighbours.knn_graph(rows.select("vec_id", F.array(*[F.col(c).cast("float") for c in axes]).alias("v")), 15, "vec_id", "v", normalize=False)
+    return exact.join(picture.select("src", "dst", F.lit(1).alias("found")), ["src", "dst"], "left").agg(F.avg(F.coalesce("found", F.lit(0)))).first()[0]
+
+
+def layout_facts(spark, sf):
+    """Each layout places every row, and keeps more neighbours than principal components do."""
+    rows = _embeddings(spark, sf)
+    exact = neighbours.knn_graph(rows, 15, "vec_id", "embedding").select("src", "dst")
+    scores = projection.pca(rows, 2, "embedding").project(rows, ["x", "y"])
+    linear = _kept(scores, ("x", "y"), exact)
+    facts = []
+    for method in ("UMAP", "TSNE"):
+        placed = layout.neighbour_layout(rows, method, "vec_id", "embedding")
+        finite = placed.filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+        facts.append((method, finite.select("vec_id").distinct().count(), _kept(placed, ("x", "y"), exact) > linear))
+    return spark.createDataFrame(facts, "method string, placed long, closer boolean")
+
+
 def _edges(source: str, k: str) -> str:
     return f"""
     {source},
@@ -147,6 +178,14 @@ QUERIES = {
     "knn_graph_copies": (knn_graph_copies, _knn(_COPIES, 5)),
     "fuzzy_weights": (fuzzy_weights, _FUZZY),
     "perplexity_affinity": (perplexity_affinity, _PERPLEXITY),
+    "knn_descent_recall": (
+        knn_descent_recall,
+        "SELECT count(*) AS whole_lists, CAST(15 * count(*) AS BIGINT) AS edges, true AS nine_tenths FROM embeddings",
+    ),
+    "layout_facts": (
+        layout_facts,
+        "SELECT method, count(*) AS placed, true AS closer FROM embeddings, (VALUES ('UMAP'), ('TSNE')) m(method) GROUP BY method",
+    ),
     "neighbor_layout_umap": (neighbor_layout_umap, None),
     "neighbor_layout_tsne": (neighbor_layout_tsne, None),
 }

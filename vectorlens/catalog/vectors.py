@@ -57,6 +57,29 @@ def lloyd_two_steps(spark, sf):
     return near.select("vec_id", "cluster", F.round("dist2", 6).alias("dist2"))
 
 
+def assign_nearest_blocks(spark, sf):
+    """Blocks of rows against blocks of centers; ids of rows repeat or are null, and so is one id of a center."""
+    rows = _embeddings(spark, sf)
+    centers = rows.filter("vec_id % 3 = 0").select(F.nullif("vec_id", F.lit(30)).alias("cid"), "embedding")
+    named = rows.select(F.nullif(F.pmod("vec_id", F.lit(50)), F.lit(7)).alias("id"), "embedding")
+    near = clustering.assign_to_table(named, centers, "id", "embedding", "cid", "embedding", 200, 60)
+    return near.select("id", "cluster", F.round("dist2", 6).alias("dist2"))
+
+
+def lloyd_labels(spark, sf):
+    """Lloyd to its fixed point from the ten lowest ids, with distance bounds."""
+    rows = _embeddings(spark, sf)
+    return clustering.lloyd_kmeans(rows, 10, "vec_id", "embedding", normalize=False).label(rows).select("vec_id", "prediction")
+
+
+def lloyd_columns(spark, sf):
+    """Label columns of several fits side by side, one of them with a single cluster."""
+    rows = _embeddings(spark, sf)
+    for k in (12, 3, 1):
+        rows = clustering.add_label_column(rows, clustering.lloyd_kmeans(rows, k, "vec_id", "embedding", normalize=False), k)
+    return rows.drop("embedding", "label")
+
+
 def kmeans_labels(spark, sf):
     return clustering.kmeans_labels(_embeddings(spark, sf), 10, "vec_id", "embedding", SEED)
 
@@ -78,6 +101,45 @@ def carry_labels(spark, sf):
     return clustering.carry_label_columns(new, previous)
 
 
+def carry_labels_repeated(spark, sf):
+    """Ids that repeat or are null on both sides: every new row once, and labels on which the earlier rows agree."""
+    new = table(spark, sf, "documents").select(F.nullif(F.pmod("doc_id", F.lit(60)), F.lit(5)).alias("uuid"), "doc_id")
+    previous = _embeddings(spark, sf).select(
+        F.nullif(F.pmod("vec_id", F.lit(80)), F.lit(9)).alias("uuid"),
+        F.col("label").cast("string").alias("KMeans (k=10)"),
+        F.pmod("vec_id", F.lit(2)).cast("string").alias("KMeans (k=2)"),
+    )
+    return clustering.carry_label_columns(new, previous)
+
+
+def _loose_ids(spark, sf):
+    """Embeddings under ids that repeat or are null."""
+    key = F.when(F.pmod("vec_id", F.lit(9)) == 0, F.lit(None)).otherwise(F.floor(F.col("vec_id") / 2))
+    return _embeddings(spark, sf).select(key.cast("long").alias("uuid"), "embedding", "label")
+
+
+def _placed_rows(frame, axes):
+    placed = [F.abs(c) < float("inf") for c in axes]
+    both = placed[0] & placed[1]
+    return frame.groupBy("uuid").agg(F.count(F.lit(1)).alias("n"), F.bool_and(both).alias("placed"))
+
+
+def projection_rows(spark, sf):
+    """Rows in are rows out of a layout, whatever their ids."""
+    return _placed_rows(workflows.reduce_vectors(_loose_ids(spark, sf), "TSNE", "uuid", "embedding", iterations=1), ("x", "y"))
+
+
+def cluster_rows(spark, sf):
+    frame = workflows.cluster_and_project(_loose_ids(spark, sf), 5, "PCA", "uuid", "embedding", seed=SEED)
+    return _placed_rows(frame, ("x", "y"))
+
+
+def batch_rows(spark, sf):
+    spec = {"method": "umap", "n_components": 2, "iterations": 1, "graph": "refined"}
+    frame = workflows.batch_frame(_loose_ids(spark, sf), {"cluster_spec": {"n_clusters": 4}, "dim_reduction_spec": spec}, "uuid", "embedding")
+    return _placed_rows(frame, ("dim_1", "dim_2"))
+
+
 def mean_vector(spark, sf):
     return projection.mean_vector(_embeddings(spark, sf), "embedding").withColumn("mean", F.round("mean", 6))
 
@@ -88,7 +150,15 @@ def covariance(spark, sf):
 
 def pca_2d(spark, sf):
     rows = _embeddings(spark, sf)
-    return projection.pca(rows, 2, "embedding").project(rows, ["x", "y"]).select("vec_id", "x", "y")
+    scores = projection.pca(rows, 2, "embedding").project(rows, ["x", "y"])
+    return scores.select("vec_id", *[F.round(c, 6).alias(c) for c in ("x", "y")])
+
+
+def pca_range_finder(spark, sf):
+    """The same scores without a covariance matrix, as very wide vectors take them."""
+    rows = _embeddings(spark, sf)
+    scores = projection.pca(rows, 2, "embedding", wide=1).project(rows, ["x", "y"])
+    return scores.select("vec_id", *[F.round(c, 3).alias(c) for c in ("x", "y")])
 
 
 def cluster_workflow(spark, sf):
@@ -129,7 +199,8 @@ def kmeans_checks(spark, sf):
 
 def pca_checks(spark, sf):
     """Facts about the scores: centred, uncorrelated, the first with the larger variance."""
-    scores = pca_2d(spark, sf)
+    rows = _embeddings(spark, sf)
+    scores = projection.pca(rows, 2, "embedding").project(rows, ["x", "y"])
     return scores.agg(
         F.count(F.lit(1)).alias("n"),
         (F.abs(F.avg("x")) < 1e-6).alias("centred_x"),
@@ -189,6 +260,66 @@ def _lloyd(source: str, target: str) -> str:
     """
 
 
+# Rounds of the recursion; the given tables reach the fixed point earlier, and stay there.
+_LLOYD_ROUNDS = 60
+
+
+def _lloyd_fixed(k: int, name: str) -> str:
+    """Nearest of the fixed point's centers as table ``name(vec_id, k)``, from the k lowest ids."""
+    return f"""
+    {name}_c AS (
+      SELECT 0 AS it, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS k, v AS c FROM (SELECT * FROM rows ORDER BY vec_id LIMIT {k})
+      UNION ALL
+      SELECT it, k, list(m ORDER BY pos) FROM (
+        SELECT it, k, pos, avg(x::DOUBLE) AS m FROM (
+          SELECT it + 1 AS it, vec_id, arg_min(k, struct_pack(d := list_distance(v, c), k := k)) AS k
+          FROM {name}_c, rows WHERE it < {_LLOYD_ROUNDS} GROUP BY it, vec_id
+        ) JOIN base USING (vec_id) GROUP BY it, k, pos
+      ) GROUP BY it, k
+    ),
+    {name} AS (
+      SELECT vec_id, arg_min(k, struct_pack(d := list_distance(v, c), k := k)) AS k
+      FROM {name}_c, rows WHERE it = {_LLOYD_ROUNDS} GROUP BY vec_id
+    )
+    """
+
+
+def _axis(source: str, name: str, squarings: int = 16) -> str:
+    """Leading eigenvector ``name(i, v)`` of the matrix ``source(i, j, v)``, which is squared again and again."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {source} WHERE i = j) AS v FROM {source})"]
+    for step in range(squarings):
+        steps.append(
+            f"{name}_s{step} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}_{step} a JOIN {name}_{step} b ON a.j = b.i GROUP BY a.i, b.j)"
+        )
+        steps.append(f"{name}_{step + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {name}_s{step} WHERE i = j) AS v FROM {name}_s{step})")
+    last = f"{name}_{squarings}"
+    steps.append(f"{name}_col AS (SELECT i, v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j))")
+    steps.append(
+        f"{name} AS MATERIALIZED (SELECT i, v * sign((SELECT arg_max(v, abs(v)) FROM {name}_col)) / (SELECT sqrt(sum(v * v)) FROM {name}_col) AS v FROM {name}_col)"
+    )
+    return ",\n".join(steps)
+
+
+def _scores(digits: int) -> str:
+    return f"""
+WITH {_PREPARED},
+means AS (SELECT pos, avg(z) AS m FROM prepared GROUP BY pos),
+cov AS MATERIALIZED (
+  SELECT a.pos AS i, b.pos AS j, covar_samp(a.z, b.z) AS v FROM prepared a JOIN prepared b ON a.vec_id = b.vec_id GROUP BY a.pos, b.pos
+),
+{_axis("cov", "first")},
+size AS (SELECT sum(a.v * c.v * b.v) AS l FROM cov c JOIN first a ON a.i = c.i JOIN first b ON b.i = c.j),
+rest AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT l FROM size) * a.v * b.v AS v FROM cov c JOIN first a ON a.i = c.i JOIN first b ON b.i = c.j),
+{_axis("rest", "second")}
+SELECT vec_id, round(sum((z - m) * f.v), {digits}) + 0.0 AS x, round(sum((z - m) * s.v), {digits}) + 0.0 AS y
+FROM prepared JOIN means USING (pos) JOIN first f ON f.i = pos JOIN second s ON s.i = pos GROUP BY vec_id
+"""
+
+
+_LOOSE_ROWS = """
+SELECT CASE WHEN vec_id % 9 = 0 THEN NULL ELSE vec_id // 2 END AS uuid, count(*) AS n, true AS placed FROM embeddings GROUP BY 1
+"""
+
 QUERIES = {
     "prep_normalize": (
         prep_normalize,
@@ -265,7 +396,50 @@ QUERIES = {
         FROM prepared a JOIN prepared b ON a.vec_id = b.vec_id AND a.pos <= b.pos GROUP BY a.pos, b.pos
         """,
     ),
-    "pca_2d": (pca_2d, None),
+    "pca_2d": (pca_2d, _scores(6)),
+    "pca_range_finder": (pca_range_finder, _scores(3)),
+    "projection_rows": (projection_rows, _LOOSE_ROWS),
+    "cluster_rows": (cluster_rows, _LOOSE_ROWS),
+    "batch_rows": (batch_rows, _LOOSE_ROWS),
+    "carry_labels_repeated": (
+        carry_labels_repeated,
+        """
+        WITH p AS (
+          SELECT nullif(vec_id % 80, 9) AS uuid, CAST(label AS VARCHAR) AS a, CAST(vec_id % 2 AS VARCHAR) AS b FROM embeddings
+        ), g AS (
+          SELECT uuid, CASE WHEN min(a) = max(a) THEN min(a) END AS a, CASE WHEN min(b) = max(b) THEN min(b) END AS b FROM p GROUP BY uuid
+        )
+        SELECT nullif(doc_id % 60, 5) AS uuid, doc_id, g.a AS "KMeans (k=10)", g.b AS "KMeans (k=2)"
+        FROM documents LEFT JOIN g ON nullif(doc_id % 60, 5) IS NOT DISTINCT FROM g.uuid
+        """,
+    ),
+    "assign_nearest_blocks": (
+        assign_nearest_blocks,
+        """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        d AS (
+          SELECT a.vec_id, nullif(b.vec_id, 30) AS cid, list_distance(a.v, b.v) AS d FROM v a, v b WHERE b.vec_id % 3 = 0
+        ), n AS (SELECT vec_id, arg_min(struct_pack(c := cid), d) AS hit, min(d) AS d FROM d GROUP BY vec_id)
+        SELECT nullif(vec_id % 50, 7) AS id, hit.c AS cluster, round(d * d, 6) AS dist2 FROM n
+        """,
+    ),
+    "lloyd_labels": (
+        lloyd_labels,
+        f"""
+        WITH RECURSIVE {_LONG}, rows AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        {_lloyd_fixed(10, "near")}
+        SELECT vec_id, k AS prediction FROM near
+        """,
+    ),
+    "lloyd_columns": (
+        lloyd_columns,
+        f"""
+        WITH RECURSIVE {_LONG}, rows AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        {_lloyd_fixed(12, "twelve")}, {_lloyd_fixed(3, "three")}
+        SELECT vec_id, CAST(a.k AS VARCHAR) AS "KMeans (k=12)", CAST(b.k AS VARCHAR) AS "KMeans (k=3)", '0' AS "KMeans (k=1)"
+        FROM twelve a JOIN three b USING (vec_id)
+        """,
+    ),
     "cluster_workflow": (cluster_workflow, None),
     "projection_workflow": (projection_workflow, None),
     "batch_job": (batch_job, None),

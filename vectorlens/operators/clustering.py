@@ -5,19 +5,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectorlens.functions import vectors
 from vectorlens.functions.predicates import quoted
+from vectorlens.operators import lloyd
+from vectorlens.operators.ordering import with_row_key
 from vectorlens.operators.preparation import FEATURES, with_features
 from vectorlens.operators.profile import LABEL_PREFIX, label_columns
 
 # Largest center table held by every task. Clustering itself goes to 100 clusters.
 MAX_CENTER_BYTES = 64 * 1024 * 1024
+# Rows and centers that meet in one task when neither side is small.
+ROWS_PER_BLOCK, CENTERS_PER_BLOCK = 16_384, 4096
 
 
 @dataclass(frozen=True)
@@ -43,8 +49,8 @@ class Clusters:
 
 
 def check_cluster_count(df: DataFrame, k: int) -> None:
-    if k < 2:
-        raise ValueError(f"k must be at least 2, got {k}")
+    if k < 1:
+        raise ValueError(f"k must be at least 1, got {k}")
     seen = len(df.select(F.lit(1)).take(k))
     if seen < k:
         raise ValueError(f"k={k} exceeds the number of rows ({seen})")
@@ -58,12 +64,15 @@ def kmeans(
     normalize: bool = True,
     max_iter: int = 300,
     tol: float = 1e-4,
-) -> Clusters:
+) -> Clusters | lloyd.Centers:
     """Fit Euclidean K-Means, by default on normalized vectors.
 
-    MLlib keeps the feature vectors for the length of the fit, spilling to disk.
+    MLlib keeps the feature vectors for the length of the fit, spilling to disk. It fits two clusters and more; the
+    center of a single one is the mean.
     """
     check_cluster_count(df, k)
+    if k == 1:
+        return lloyd.lloyd(df, np.zeros((1, vector_width(df, vec_col))), vec_col, normalize)
     estimator = KMeans(
         k=k, maxIter=max_iter, tol=tol, featuresCol=FEATURES, initMode="k-means||", distanceMeasure="euclidean"
     )
@@ -73,12 +82,25 @@ def kmeans(
     return Clusters(estimator.fit(features), vec_col, normalize)
 
 
+def vector_width(df: DataFrame, vec_col: str) -> int:
+    first = df.select(F.size(quoted(vec_col))).filter(quoted(vec_col).isNotNull()).first()
+    return 0 if first is None else first[0]
+
+
+def lloyd_kmeans(
+    df: DataFrame, k: int, id_col: str = "uuid", vec_col: str = "emb", normalize: bool = True, max_iter: int = 300
+) -> lloyd.Centers:
+    """Lloyd to its fixed point from the rows with the k lowest ids; determined by the data alone."""
+    check_cluster_count(df, k)
+    return lloyd.lloyd(df, lloyd.first_vectors(df, k, id_col, vec_col, normalize), vec_col, normalize, max_iter)
+
+
 def kmeans_labels(df: DataFrame, k: int, id_col: str = "uuid", vec_col: str = "emb", seed: int | None = None) -> DataFrame:
     """``(id, prediction)`` only."""
     return kmeans(df, k, vec_col, seed).label(df.select(id_col, vec_col)).select(id_col, "prediction")
 
 
-def add_label_column(df: DataFrame, clusters: Clusters, k: int) -> DataFrame:
+def add_label_column(df: DataFrame, clusters: Clusters | lloyd.Centers, k: int) -> DataFrame:
     """Add ``KMeans (k=N)`` as text. Several k stand side by side, the same k is replaced."""
     labelled = clusters.label(df, "__label")
     name = f"{LABEL_PREFIX}{k})"
@@ -86,12 +108,18 @@ def add_label_column(df: DataFrame, clusters: Clusters, k: int) -> DataFrame:
 
 
 def carry_label_columns(new: DataFrame, previous: DataFrame, id_col: str = "uuid") -> DataFrame:
-    """Copy the label columns of an earlier frame to a new one, matched by id."""
+    """Copy the label columns of an earlier frame to a new one, matched by id; every new row comes out once.
+
+    Null is an id like others. An id that repeats in the earlier frame carries a label on which its rows agree, and null
+    where they do not: frames whose ids repeat are matched by a row key instead (``ordering.with_row_key``).
+    """
     names = label_columns(previous.columns)
     if not names:
         return new
     kept = new.drop(*[n for n in names if n in new.columns])
-    return kept.join(previous.select(quoted(id_col), *[quoted(n) for n in names]), id_col, "left")
+    agreed = [F.when(F.min(quoted(n)) == F.max(quoted(n)), F.min(quoted(n))).alias(n) for n in names]
+    carried = previous.groupBy(quoted(id_col).alias("__id")).agg(*agreed)
+    return kept.join(carried, quoted(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
 
 
 def collect_centers(centers: DataFrame, id_col: str, vec_col: str) -> tuple[list[int], np.ndarray]:
@@ -109,29 +137,60 @@ def _center_bytes(centers: DataFrame, vec_col: str) -> int:
     return (width or 0) * rows * 8
 
 
+def _meet_centers(center_type: pa.DataType):
+    """A block of rows against a block of centers: the nearest one of each row, ties to the lowest id, null ids last."""
+
+    def run(rows: pa.Table, centers: pa.Table) -> pa.Table:
+        schema = pa.schema([("key", pa.int64()), ("dist2", pa.float64()), ("unnamed", pa.bool_()), ("cluster", center_type)])
+        if rows.num_rows == 0 or centers.num_rows == 0:
+            return schema.empty_table()
+        centers = centers.sort_by("id").combine_chunks()
+        points = vectors.as_matrix(rows["v"].combine_chunks())
+        where, dist = vectors.closest(points, vectors.as_matrix(centers["c"].combine_chunks(), np.float64), 1)
+        ids = centers["id"].combine_chunks().take(pa.array(where[:, 0]))
+        return pa.Table.from_arrays([rows["key"].combine_chunks(), pa.array(dist[:, 0]), ids.is_null(), ids], schema=schema)
+
+    return run
+
+
 def assign_to_table(
-    df: DataFrame, centers: DataFrame, id_col: str, vec_col: str, center_id: str, center_vec: str
+    df: DataFrame,
+    centers: DataFrame,
+    id_col: str,
+    vec_col: str,
+    center_id: str,
+    center_vec: str,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    centers_per_block: int = CENTERS_PER_BLOCK,
 ) -> DataFrame:
-    """Add ``cluster`` and ``dist2`` of the nearest row of a center table (ties to the lowest id).
+    """Add ``cluster`` and ``dist2`` of the nearest row of a center table (ties to the lowest id, a null id after all).
 
-    Centers are taken in blocks of at most ``MAX_CENTER_BYTES``, one after the other, each held by every task. The best
-    of all blocks is kept row by row, so no row is moved or joined, and ``id_col`` may repeat or be null.
+    Blocks of rows meet blocks of centers on the executors, and each row keeps its nearest center over all blocks.
+    Rows are told apart by a key of their own: ``id_col`` may repeat or be null and only names the column to keep. No
+    center reaches the driver. Rows without a vector get nulls.
     """
-    blocks = max(1, -(-_center_bytes(centers, center_vec) // MAX_CENTER_BYTES))
-    hits = []
-    for block in range(blocks):
-        part = centers.filter(F.pmod(F.xxhash64(quoted(center_id)), F.lit(blocks)) == block)
-        found = sorted(tuple(r) for r in part.select(quoted(center_id), quoted(center_vec)).collect())
-        if found:
-            ids, points = [int(r[0]) for r in found], np.array([r[1] for r in found], dtype=np.float64)
-            hit = vectors.nearest_center(quoted(vec_col), ids, points)
-            hits.append(hit.alias(f"__hit{len(hits)}"))
-    if not hits:
+    n_centers, n_rows = centers.count(), df.count()
+    if n_centers == 0:
         raise ValueError("no centers given")
-    offers = [F.struct(F.col(f"__hit{i}.dist2").alias("dist2"), F.col(f"__hit{i}.cluster").alias("cluster")) for i in range(len(hits))]
-    best = F.least(*offers) if len(offers) > 1 else offers[0]
-    found = df.select("*", *hits).withColumn("__best", best)
-    return found.select(*[quoted(c) for c in df.columns], F.col("__best.cluster").alias("cluster"), F.col("__best.dist2").alias("dist2"))
+    center_blocks, row_blocks = -(-n_centers // centers_per_block), max(1, -(-n_rows // rows_per_block))
+    keyed = with_row_key(df, "__key")
+    named = centers.select(quoted(center_id).alias("id"), quoted(center_vec).cast("array<double>").alias("c"))
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (center_blocks, row_blocks)]
+    rows = keyed.select(F.col("__key").alias("key"), quoted(vec_col).cast(vectors.VECTOR).alias("v")).filter("v IS NOT NULL")
+    rows = rows.withColumn("rb", F.pmod(F.xxhash64("key"), F.lit(row_blocks)).cast("int")).withColumn("cb", every[0])
+    dealt = named.withColumn("cb", F.pmod(F.xxhash64("id", "c"), F.lit(center_blocks)).cast("int")).withColumn("rb", every[1])
+    tasks = row_blocks * center_blocks
+    left, right = (side.repartition(tasks, "rb", "cb").groupBy("rb", "cb") for side in (rows, dealt))
+    id_type = named.schema["id"].dataType
+    schema = T.StructType(
+        [T.StructField("key", T.LongType()), T.StructField("dist2", T.DoubleType()), T.StructField("unnamed", T.BooleanType()), T.StructField("cluster", id_type)]
+    )
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    met = left.cogroup(right).applyInArrow(_meet_centers(to_arrow_type(id_type)), schema)
+    best = met.groupBy("key").agg(F.min(F.struct("dist2", "unnamed", "cluster")).alias("best"))
+    found = keyed.join(best, F.col("__key") == F.col("key"), "left")
+    return found.select(*[quoted(c) for c in df.columns], F.col("best.cluster").alias("cluster"), F.col("best.dist2").alias("dist2"))
 
 
 def assign_nearest(df: DataFrame, ids: list[int], centers: np.ndarray, vec_col: str = "emb") -> DataFrame:

@@ -1,7 +1,11 @@
 """Linear projection: mean vector, covariance and centred principal component scores.
 
 Second moments take one pass: each task multiplies its Arrow batches as matrices, and Spark adds up the rows
-of the partial matrices. The result is bounded by the vector width, so it is solved on the driver.
+of the partial matrices. The result is bounded by the vector width, so it is solved on the driver. Input partitions are
+first merged into as many as run side by side, without a shuffle, so that what is added up does not grow with them.
+
+Wide vectors never meet as a width-by-width matrix: a few random directions are multiplied by the covariance, pass by
+pass, until the space that they span no longer turns.
 """
 
 from __future__ import annotations
@@ -21,6 +25,18 @@ from vectorlens.functions import vectors
 from vectorlens.functions.predicates import quoted
 
 
+# Vectors wider than this are projected by the range finder: its square in doubles is 32 MB.
+WIDE = 2048
+# Directions kept beyond those asked for, most passes over the rows, and the turn of the space that ends them.
+SPARE_DIRECTIONS, PASSES, TURN = 16, 100, 1e-9
+
+
+def side_by_side(df: DataFrame) -> DataFrame:
+    """``df`` in at most as many partitions as the session runs or shuffles at once."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def prepared(vec_col: str, normalize: bool) -> Column:
     vector = quoted(vec_col)
     return vectors.prepare(vector) if normalize else vector.cast(vectors.VECTOR)
@@ -64,7 +80,7 @@ def moments(df: DataFrame, vec_col: str = "emb", normalize: bool = True) -> Mome
                 names=["line", "n", "sums"],
             )
 
-    partial = df.select(prepared(vec_col, normalize).alias("v")).mapInArrow(
+    partial = side_by_side(df.select(prepared(vec_col, normalize).alias("v"))).mapInArrow(
         partial_sums, "line int, n long, sums array<double>"
     )
     summed = partial.groupBy("line").agg(
@@ -101,8 +117,67 @@ class Projection:
         return scored.withColumns({name: F.col("__scores")[i] for i, name in enumerate(names)}).drop("__scores")
 
 
-def pca(df: DataFrame, n_components: int = 2, vec_col: str = "emb", normalize: bool = True) -> Projection:
-    """Principal components of the covariance. The entry of largest magnitude of each one is positive."""
+def _times_covariance(df: DataFrame, directions: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Sum of ``(x - mean) (x - mean)' directions`` over all vectors ``v``: one row of sums for each vector element."""
+    width, wanted = directions.shape
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((width, wanted)), 0
+        for batch in batches:
+            if batch.num_rows:
+                points = vectors.as_matrix(batch.column(0)) - mean
+                total += points.T @ (points @ directions)
+                rows += len(points)
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(width, dtype=np.int32)), vectors.as_list_array(total.ravel(), np.full(width, wanted))], names=["line", "sums"]
+            )
+
+    parts = side_by_side(df).mapInArrow(partial, "line int, sums array<double>")
+    out = np.zeros((width, wanted))
+    for line, sums in parts.groupBy("line").agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).collect():
+        out[line] = sums.toArray()
+    return out
+
+
+def range_finder(df: DataFrame, n_components: int, vec_col: str, normalize: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, float]:
+    """Loadings and variances of the leading components by randomised subspace iteration; the covariance is not formed.
+
+    Row count, mean and total variance come with them. Tasks and driver hold ``width`` rows of ``n_components + SPARE_DIRECTIONS`` doubles. Passes go on until the leading
+    directions turn by less than ``TURN``, ``PASSES`` at most.
+    """
+    rows = df.select(prepared(vec_col, normalize).alias("v"))
+    summary = rows.select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("v")).alias("s")).first()["s"]
+    n, mean = int(summary["count"]), summary["mean"].toArray()
+    wanted = min(len(mean), n_components + SPARE_DIRECTIONS)
+    space = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), wanted)))[0]
+    leading = space[:, :n_components]
+    for _ in range(PASSES):
+        product = _times_covariance(rows, space, mean) / max(n - 1, 1)
+        values, turn = np.linalg.eigh((space.T @ product + product.T @ space) / 2.0)
+        order = np.argsort(values)[::-1]
+        values, found = values[order], (space @ turn[:, order])[:, :n_components]
+        found = found * np.where((found * leading).sum(axis=0) < 0, -1.0, 1.0)
+        turned = np.sqrt(((found - leading) ** 2).sum(axis=0)).max()
+        leading = found
+        if turned < TURN or wanted == len(mean):
+            break
+        space = np.linalg.qr(product @ turn[:, order])[0]
+    return leading, values[:n_components], n, mean, float(summary["variance"].toArray().sum())
+
+
+def pca(df: DataFrame, n_components: int = 2, vec_col: str = "emb", normalize: bool = True, wide: int = WIDE) -> Projection:
+    """Principal components of the covariance. The entry of largest magnitude of each one is positive.
+
+    Vectors wider than ``wide`` go through :func:`range_finder`.
+    """
+    first = df.select(F.size(quoted(vec_col))).filter(quoted(vec_col).isNotNull()).first()
+    if first is not None and first[0] > wide:
+        loadings, values, n, mean, variance = range_finder(df, n_components, vec_col, normalize)
+        if not 1 <= n_components <= min(n, len(mean)):
+            raise ValueError(f"n_components={n_components} needs at least as many rows and elements")
+        largest = loadings[np.abs(loadings).argmax(axis=0), np.arange(n_components)]
+        return Projection(loadings * np.where(largest < 0, -1.0, 1.0), values / max(variance, np.finfo(float).tiny), mean, vec_col, normalize)
     found = moments(df, vec_col, normalize)
     if not 1 <= n_components <= min(found.n, len(found.mean)):
         raise ValueError(f"n_components={n_components} needs at least as many rows and elements")
