@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectorlens.operators import layout, neighbours
+from vectorlens.operators import descent, layout, neighbours
 
 
 def brute(points, ids, k):
@@ -131,17 +131,76 @@ def test_layout_keeps_neighbours_better_than_its_start(vectors_frame, method):
     assert preserved(points, end) > preserved(points, start)
 
 
-def test_layout_joins_agree(vectors_frame, blobs, monkeypatch):
-    """Broadcast positions, joins by vertex, and separately joined heavy vertices give the same layout."""
-    points, _ = blobs
-    plain = layout.neighbour_layout(vectors_frame(points), iterations=2)
-    expected = {r["uuid"]: (r["x"], r["y"]) for r in plain.collect()}
-    monkeypatch.setattr(layout, "BROADCAST_BYTES", 0)
-    for degree in (20, 1000):
-        monkeypatch.setattr(layout, "HEAVY_DEGREE", degree)
-        monkeypatch.setattr(layout, "MAX_HEAVY", 100)
-        for r in layout.neighbour_layout(vectors_frame(points), iterations=2).collect():
-            assert (r["x"], r["y"]) == pytest.approx(expected[r["uuid"]])
+@pytest.mark.parametrize("axes", [1, 2, 3, 4])
+def test_pyramid_covers_every_other_point_once(axes):
+    points = np.random.RandomState(axes).uniform(-4.0, 4.0, (250, axes))
+    levels, grid = layout.levels_for(axes), min(axes, layout.GRID_AXES)
+    cells = np.ravel_multi_index(tuple(layout.finest_cells(points, grid, 4.0, levels).T), (1 << levels,) * grid)
+    mass, sums = np.zeros((1 << levels) ** grid), np.zeros(((1 << levels) ** grid, axes))
+    np.add.at(mass, cells, 1.0)
+    np.add.at(sums, cells, points)
+    pyramid = layout.Pyramid(mass, sums, 4.0, levels)
+    groups = list(pyramid.near_and_far(points))
+    np.testing.assert_allclose(sum(m.sum(axis=1) for _, m in groups), 249.0)
+    # The mean of all gaps, weighted by the sizes, is exact whatever the cells.
+    total = sum((gap * m[:, :, None]).sum(axis=1) for gap, m in groups)
+    np.testing.assert_allclose(total, 250 * points - points.sum(axis=0), atol=1e-8)
+    assert pyramid.mass[0].sum() == 250
+
+
+@pytest.mark.parametrize("method, rows", [("UMAP", 20), ("TSNE", 20), ("UMAP", 7)])
+def test_blocks_exchange_places_and_forces(vectors_frame, blobs, method, rows):
+    """Points in many blocks still come apart by group: what one block knows of another reaches it."""
+    points, truth = blobs
+    placed = layout.neighbour_layout(vectors_frame(points), method, layout_rows=rows).sort("uuid").collect()
+    found = np.array([(r["x"], r["y"]) for r in placed])
+    assert found.shape == (60, 2) and np.isfinite(found).all()
+    apart = ((found[:, None] - found[None]) ** 2).sum(axis=2) + np.eye(60) * 1e9
+    assert np.mean(truth[apart.argmin(axis=1)] == truth) > 0.9
+
+
+def test_edges_belong_to_the_end_with_fewer(spark):
+    edges = spark.createDataFrame([(0, i, 1.0) for i in range(1, 30)] + [(1, 2, 0.5)], "src long, dst long, w double")
+    homes = spark.createDataFrame([(i, i // 10) for i in range(30)], "key long, block int")
+    fixed = {r["block"]: r for r in layout._fixed_parts(edges, homes).collect()}
+    owned = [(s, d, w) for r in fixed.values() for s, d, w in zip(r["src"], r["dst"], r["w"])]
+    assert len(owned) == 30 and all(s != 0 for s, _, _ in owned)
+    assert sorted(fixed[0]["asks"]) == [1, 2] and fixed[0]["asked"] == [0, 0]
+
+
+def test_layout_with_repeated_and_null_ids(spark, blobs):
+    rows = [(None if i % 7 == 0 else i // 2, [float(x) for x in p]) for i, p in enumerate(blobs[0])]
+    df = spark.createDataFrame(rows, "uuid long, emb array<float>")
+    for graph in ("exact", "refined"):
+        placed = layout.neighbour_layout(df, iterations=1, graph=graph).collect()
+        assert sorted(str(r["uuid"]) for r in placed) == sorted(str(i) for i, _ in rows)
+
+
+def test_refined_graph_finds_the_exact_one(spark, vectors_frame):
+    random = np.random.RandomState(4)
+    points = (random.randn(12, 8)[random.randint(12, size=700)] * 3 + random.randn(700, 8)).astype(np.float32)
+    df = vectors_frame(points)
+    refined = descent.refine(df, 8, block_rows=60)
+    found, expected = {}, brute(points, list(range(700)), 8)
+    for r in refined.graph.collect():
+        found.setdefault(r["src"], {})[r["rank"]] = (r["dst"], r["dist"])
+    assert all(sorted(found[i]) == list(range(1, 9)) for i in range(700))
+    assert np.mean([len({d for d, _ in found[i].values()} & set(expected[i])) / 8 for i in range(700)]) > 0.95
+    for i in (0, 99, 500):
+        for d, dist in found[i].values():
+            ready = points[[i, d]] / np.linalg.norm(points[[i, d]], axis=1, keepdims=True)
+            assert d != i and dist == pytest.approx(np.linalg.norm(ready[0] - ready[1]), abs=1e-5)
+    assert refined.comparisons < 700 * 4
+
+
+def test_refined_graph_of_copies_odd_ids_and_small_tables(spark):
+    rows = [(None if i % 5 == 0 else 1, [1.0, 2.0]) for i in range(40)] + [(7, [float(i), 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "uuid long, emb array<float>")
+    edges = descent.knn_descent(df, 3, block_rows=10, normalize=False).collect()
+    assert len(edges) == 70 * 3 and sum(r["dist"] == 0.0 for r in edges) >= 40 * 3
+    for few in (0, 1):
+        assert descent.knn_descent(df.limit(few), 3).collect() == []
+    assert len(descent.knn_descent(df.limit(2), 3).collect()) == 2
 
 
 def test_layout_rejects_other_methods(vectors_frame, few_points):

@@ -53,6 +53,25 @@ def test_load_rejects_bad_tables(spark, vectors_frame, tmp_path):
             tables.check_loaded(vectors_frame(bad))
 
 
+def test_bad_vectors_end_the_first_job_that_reads_them(spark, vectors_frame, tmp_path):
+    for name, bad, message in (("n", [[1.0], None], "no vector"), ("w", [[1.0], [1.0, 2.0]], "mixed widths")):
+        vectors_frame(bad).coalesce(1).sort("uuid").write.parquet(str(tmp_path / name))
+        df = tables.load_embeddings(spark, str(tmp_path / name))
+        assert df.select("uuid").count() == 2
+        with pytest.raises(Exception, match=message):
+            df.collect()
+        assert tables.load_embeddings(spark, str(tmp_path / name), validate=False).count() == 2
+    vectors_frame([[1.0]]).limit(0).write.parquet(str(tmp_path / "e"))
+    with pytest.raises(ValueError, match="no rows"):
+        tables.load_embeddings(spark, str(tmp_path / "e"))
+
+
+def test_load_checks_are_part_of_one_scan(spark, table_path):
+    df = tables.load_embeddings(spark, table_path)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "raise_error" in plan
+
+
 def test_union_of_unequal_parts(spark):
     a = spark.createDataFrame([(1, "x")], "id int, a string")
     b = spark.createDataFrame([("y", 2)], "b string, id int")
@@ -80,6 +99,22 @@ def test_list_image_files(spark, folder):
     assert names(images.list_image_files(spark, folder, (".txt",))) == ["b.txt"]
 
 
+def test_listing_stays_in_a_folder_and_sees_empty_files(spark, folder):
+    root = os.path.join(folder, "deep [a]")
+    os.makedirs(os.path.join(root, "x", "y", "z.png"))
+    for name in ("one.png", "TWO.Png", "x/three.png", "x/y/four.png"):
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(b"" if name == "one.png" else b"pp")
+    assert names(images.list_image_files(spark, root)) == ["TWO.Png", "one.png"]
+    assert names(images.list_image_files(spark, root, recursive=True)) == ["TWO.Png", "one.png", "three.png", "four.png"]
+    flat = {os.path.basename(r["path"]): bytes(r["content"]) for r in images.image_files(spark, root).collect()}
+    assert flat == {"one.png": b"", "TWO.Png": b"pp"}
+    assert images.image_files(spark, root, recursive=True).count() == 4
+    assert {r["length"] for r in images.list_files(spark, root).collect()} == {0, 2}
+    os.makedirs(os.path.join(root, "none"))
+    assert images.image_files(spark, os.path.join(root, "none")).collect() == []
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -121,6 +156,22 @@ def test_copy_by_cluster(spark, folder, tmp_path):
     assert not (tmp_path / "saved" / "cluster_4").exists()
 
 
+def test_copies_that_collide_fail_or_run_twice(spark, tmp_path):
+    for side in ("p", "q"):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "same.jpg").write_bytes(side.encode())
+    rows = [(str(tmp_path / "p" / "same.jpg"), "0"), (f"file:{tmp_path}/q/same.jpg", "0"), (str(tmp_path / "no.jpg"), "0")]
+    df = spark.createDataFrame(rows, "image_path string, cluster string")
+    target = str(tmp_path / "out")
+    for _ in range(2):  # the second run finds every file and leaves it whole
+        written = values(sinks.repartition_by_cluster(df, target), "abs_path", "file_name")
+        assert len({path for path, _ in written}) == 2 and {name for _, name in written} == {"same.jpg"}
+        assert sorted(open(path, "rb").read() for path, _ in written) == [b"p", b"q"]
+        assert sorted(os.listdir(f"{target}/cluster_0")) == sorted(os.path.basename(path) for path, _ in written)
+    failed = spark.read.csv(f"{target}/failed_{sinks.REPARTITION_MANIFEST}", header=True).collect()
+    assert [r["source"] for r in failed] == [rows[2][0]] and "FileNotFoundError" in failed[0]["reason"]
+
+
 def test_write_labelled(spark, tmp_path):
     df = spark.createDataFrame([(1, "0"), (2, "1")], "uuid int, cluster_label string")
     path = sinks.write_labelled(df, str(tmp_path), partition_by="cluster_label")

@@ -4,7 +4,7 @@ from frames import values
 from pyspark.sql import functions as F
 
 from vectorlens.functions import vectors
-from vectorlens.operators import clustering, preparation, projection, summary
+from vectorlens.operators import clustering, lloyd, preparation, projection, summary
 
 
 def matrix(df, column="emb", order="uuid"):
@@ -59,7 +59,7 @@ def test_kmeans_finds_groups(vectors_frame, blobs):
 
 def test_kmeans_rejects_bad_k(vectors_frame, few_points):
     df = vectors_frame(few_points)
-    for k in (11, 1, 0):
+    for k in (11, 0, -1):
         with pytest.raises(ValueError):
             clustering.kmeans(df, k)
 
@@ -101,11 +101,56 @@ def test_split_centers_give_the_same_assignment(spark, vectors_frame, many_point
     centers = spark.createDataFrame(rows, "k int, c array<double>")
     whole = values(clustering.assign_to_table(df, centers, "uuid", "emb", "k", "c"), "uuid", "cluster", "dist2")
     assert whole[0] == (0, 0, 0.0)
-    monkeypatch.setattr(clustering, "MAX_CENTER_BYTES", 200)
-    split = values(clustering.assign_to_table(df, centers, "uuid", "emb", "k", "c"), "uuid", "cluster", "dist2")
+    split = values(clustering.assign_to_table(df, centers, "uuid", "emb", "k", "c", 10, 4), "uuid", "cluster", "dist2")
     assert split == whole
 
 
+def plain_lloyd(points, k):
+    centers = points[:k].copy()
+    while True:
+        near = ((points[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        after = np.array([points[near == j].mean(axis=0) if (near == j).any() else centers[j] for j in range(k)])
+        if np.abs(after - centers).max() < 1e-12:
+            return near, after
+        centers = after
+
+
+@pytest.mark.parametrize("k, share", [(1, 0.4), (2, 0.4), (7, 0.4), (7, 0.01), (7, 1.0)])
+def test_lloyd_reaches_the_fixed_point(vectors_frame, monkeypatch, k, share):
+    monkeypatch.setattr(lloyd, "ANCHOR_SHARE", share)
+    random = np.random.RandomState(3)
+    points = (random.randn(7, 6)[random.randint(7, size=400)] * 4 + random.randn(400, 6)).astype(np.float32)
+    df = vectors_frame(points)
+    fitted = clustering.lloyd_kmeans(df, k, normalize=False)
+    near, centers = plain_lloyd(points.astype(np.float64), k)
+    np.testing.assert_allclose(fitted.centers, centers, atol=1e-6)
+    assert [r["prediction"] for r in fitted.label(df).sort("uuid").collect()] == near.tolist()
+    assert fitted.rows == 400 and ((k, share) != (7, 0.4) or fitted.searched < 0.8 * 400 * fitted.rounds)
+
+
+def test_lloyd_with_copies_empty_centers_and_null_vectors(vectors_frame):
+    df = vectors_frame([[1.0, 1.0]] * 5 + [[4.0, 4.0]] * 3 + [None])
+    fitted = clustering.lloyd_kmeans(df, 3, normalize=False)
+    # All start alike, so that the first takes every row; then the copies go back to the second, and the third stays empty.
+    np.testing.assert_allclose(fitted.centers, [[4.0, 4.0], [1.0, 1.0], [1.0, 1.0]])
+    assert fitted.rows == 8 and fitted.k == 3
+
+
+def test_one_cluster_is_the_mean(vectors_frame, few_points):
+    df = vectors_frame(few_points)
+    fitted = clustering.kmeans(df, 1, normalize=False)
+    np.testing.assert_allclose(fitted.centers[0], few_points.astype(np.float64).mean(axis=0), atol=1e-6)
+    assert {r["prediction"] for r in fitted.label(df).collect()} == {0}
+
+
+def test_range_finder_agrees_with_the_covariance(vectors_frame, many_points):
+    df = vectors_frame(many_points[:, :60]).repartition(5)
+    exact, found = projection.pca(df, 3, normalize=False), projection.pca(df, 3, normalize=False, wide=10)
+    np.testing.assert_allclose(found.components, exact.components, atol=1e-5)
+    np.testing.assert_allclose(found.explained, exact.explained, atol=1e-8)
+    np.testing.assert_allclose(found.mean, exact.mean, atol=1e-8)
+
+
 @pytest.mark.parametrize("normalize", [True, False])
 def test_pca_matches_numpy(vectors_frame, few_points, normalize):
     points = few_points.astype(np.float64) + (0 if normalize else 1000)

@@ -99,7 +99,17 @@ def _agreement(source: str) -> str:
 
 _CELLS = "cells AS (SELECT cluster, category, count(*) AS n FROM t GROUP BY ALL)"
 
+def agreement_nothing(spark, sf):
+    """No row has a known category: counts, and no metrics."""
+    rows = table(spark, sf, "documents").select("source", F.when(F.pmod("doc_id", F.lit(2)) == 0, F.lit("N/A")).alias("category"))
+    return evaluation.agreement(rows, "source", "category")
+
+
 QUERIES = {
+    "agreement_nothing": (
+        agreement_nothing,
+        "SELECT 0::BIGINT AS evaluated, count(*) AS excluded, NULL::DOUBLE AS ari, NULL::DOUBLE AS nmi FROM documents",
+    ),
     "contingency": (contingency, f"WITH {_EMBEDDINGS}, {_CELLS} SELECT * FROM cells"),
     "agreement": (agreement, _agreement(_EMBEDDINGS)),
     "agreement_documents": (agreement_documents, _agreement(_DOCUMENTS)),

@@ -83,7 +83,28 @@ def preview_retention(spark, sf):
     return shown.withColumn("retained_pct", F.round("retained_pct", 6))
 
 
+def text_search_columns(spark, sf):
+    """Which columns of a table can be searched as text, and how many rows a search keeps."""
+    rows = table(spark, sf, "customer")
+    facts = []
+    for column in rows.columns:
+        try:
+            found = apply_filters(rows, {column: "A"}).count()
+        except TypeError:
+            found = None
+        facts.append((column, found is None, found))
+    return spark.createDataFrame(facts, "name string, refused boolean, hits long")
+
+
 QUERIES = {
+    "text_search_columns": (
+        text_search_columns,
+        """
+        SELECT 'c_name' AS name, false AS refused, count(*) AS hits FROM customer WHERE lower(c_name) LIKE '%a%'
+        UNION ALL SELECT 'c_mktsegment', false, count(*) FROM customer WHERE lower(c_mktsegment) LIKE '%a%'
+        UNION ALL SELECT unnest(['c_custkey', 'c_nationkey', 'c_acctbal']), true, NULL
+        """,
+    ),
     "filter_categorical": (
         filter_categorical,
         f"SELECT {', '.join(ORDER_COLUMNS)} FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM')",

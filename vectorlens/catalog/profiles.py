@@ -137,7 +137,26 @@ _DOCUMENT_FACTS = _facts(
     ],
 )
 
+def label_columns_order(spark, sf):
+    """Label columns by their number, not as text, with the clusters in each."""
+    rows = table(spark, sf, "embeddings")
+    names = ["KMeans (k=12)", "KMeans (k=x)", "KMeans (k=3)", "other", "KMeans (k=100)"]
+    rows = rows.select(*[F.pmod("vec_id", F.lit(m)).cast("string").alias(n) for n, m in zip(names, (12, 5, 3, 7, 100), strict=True)])
+    ordered = profile.label_columns(rows.columns)
+    counts = rows.agg(*[F.countDistinct(F.col(f"`{n}`")).alias(n) for n in ordered])
+    pairs = [x for i, n in enumerate(ordered) for x in (F.lit(i), F.lit(n), F.col(f"`{n}`"))]
+    return counts.select(F.stack(F.lit(len(ordered)), *pairs).alias("place", "name", "clusters"))
+
+
 QUERIES = {
+    "label_columns_order": (
+        label_columns_order,
+        """
+        SELECT 0 AS place, 'KMeans (k=3)' AS name, count(DISTINCT vec_id % 3) AS clusters FROM embeddings
+        UNION ALL SELECT 1, 'KMeans (k=12)', count(DISTINCT vec_id % 12) FROM embeddings
+        UNION ALL SELECT 2, 'KMeans (k=100)', count(DISTINCT vec_id % 100) FROM embeddings
+        """,
+    ),
     "profile_documents": (profile_documents, _DOCUMENT_FACTS),
     "profile_events": (
         profile_events,

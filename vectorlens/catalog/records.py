@@ -89,7 +89,20 @@ def _grid(source: str, x: str, y: str, maxbins: int) -> str:
     """
 
 
+def record_first(spark, sf):
+    """The first of several records with one id."""
+    return records.lookup(table(spark, sf, "lineitem"), "l_orderkey", 1)
+
+
+def tooltip_fields(spark, sf):
+    """What a tooltip shows: the colour column, then other metadata in table order, without ids and vectors."""
+    rows = table(spark, sf, "customer").withColumnRenamed("c_custkey", "uuid")
+    return rows.select("uuid", *[F.col(c) for c in records.tooltip_columns(rows.columns, "c_mktsegment", limit=2)])
+
+
 QUERIES = {
+    "record_first": (record_first, "SELECT * FROM lineitem WHERE l_orderkey = 1 ORDER BY ALL LIMIT 1"),
+    "tooltip_fields": (tooltip_fields, "SELECT c_custkey AS uuid, c_mktsegment, c_name, c_nationkey FROM customer"),
     "plot_frame": (
         plot_frame,
         """

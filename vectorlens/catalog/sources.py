@@ -48,6 +48,23 @@ def union_parts(spark, sf):
     return tables.union_parts([customer, supplier])
 
 
+def listed_files(spark, sf):
+    """Texts written as one file per source: a deep listing finds them, a flat one only the empty marker beside them."""
+    path = fresh_path(spark, "listed")
+    texts = table(spark, sf, "documents").select("source", "text")
+    texts.repartition("source").write.option("maxRecordsPerFile", 0).partitionBy("source").text(path)
+    deep = images.list_files(spark, path, (".txt",), recursive=True).withColumn("source", F.regexp_extract("path", "source=([^/]*)/", 1))
+    flat = images.list_files(spark, path, (".txt", "_success")).select(F.lit("").alias("source"), "length")
+    found = deep.select("source", "length").unionByName(flat)
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("length") == 0).alias("empty"))
+
+
+def loaded_checked(spark, sf):
+    """A table loaded with its checks in the plan of the first job."""
+    rows = tables.load_embeddings(spark, f"{sf}/embeddings.parquet", "vec_id", "embedding", {"label": [1, 2, 3]})
+    return rows.select("vec_id", "label", F.size("embedding").alias("width"))
+
+
 def labelled_dataset(spark, sf):
     frame = table(spark, sf, "embeddings").select(
         "vec_id",
@@ -100,6 +117,17 @@ FROM r
 """
 
 QUERIES = {
+    "listed_files": (
+        listed_files,
+        """
+        SELECT source, count(DISTINCT source) AS files, 0::BIGINT AS empty FROM documents GROUP BY source
+        UNION ALL SELECT '', 1, 1
+        """,
+    ),
+    "loaded_checked": (
+        loaded_checked,
+        "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS width FROM embeddings WHERE label IN (1, 2, 3)",
+    ),
     "load_stats": (
         load_stats,
         """

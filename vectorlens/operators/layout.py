@@ -193,8 +193,9 @@ def _round(method: str, pyramid: Pyramid, n: int, first_step: int, steps: int, t
                 early = EXAGGERATION if step < total_steps // 4 else 1.0
                 move = n / 3.0 / EXAGGERATION * 4.0 * (early * drawn + pushed / norm) if step < total_steps // 4 else n * (drawn + pushed / norm)
             else:
-                # Expected repulsion of NEGATIVES uniform samples per unit of edge weight.
-                move = cool * (drawn + (degree * NEGATIVES / n)[:, None] * pushed)
+                # Per unit of edge weight, so that a step does not carry a point past its neighbours, and with the expected
+                # repulsion of NEGATIVES uniform samples.
+                move = cool * (drawn / np.maximum(degree, 1e-12)[:, None] + NEGATIVES / n * pushed)
             length = np.sqrt((move * move).sum(axis=1))
             bound = MAX_STEP * pyramid.half * (0.2 + 0.8 * cool)
             move *= np.minimum(1.0, bound / np.maximum(length, 1e-12))[:, None]

@@ -55,8 +55,9 @@ def with_file_name(df: DataFrame, path_col: str, name: str = "file_name") -> Dat
 
 
 def lookup(df: DataFrame, id_col: str, value: object) -> DataFrame:
-    """The first record with this id; the filter reaches the scan."""
-    return df.filter(quoted(id_col) == F.lit(value)).limit(1)
+    """The first record with this id, in the order of its columns; the filter reaches the scan."""
+    order = [quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.filter(quoted(id_col) == F.lit(value)).sort(*order).limit(1)
 
 
 def lookup_many(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:

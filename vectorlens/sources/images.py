@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator, Sequence
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +29,74 @@ def has_extension(path_col: str, extensions: Sequence[str]):
     return matched
 
 
+# Paths that the driver holds before it passes them on.
+LISTED_AT_ONCE = 20_000
+
+
+def list_files(spark: SparkSession, folder: str, extensions: Sequence[str] = IMAGE_EXTENSIONS, recursive: bool = False) -> DataFrame:
+    """``(path, length)`` of the files of a folder, empty ones included, on any file system that Hadoop knows.
+
+    Without ``recursive`` only the folder itself is read, however deep the tree below it. Names are streamed from the file
+    system and passed on in portions; like Spark's own listing, this runs on the driver. Names with a dot in front are
+    left out. Extensions are compared in lower case.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    endings = tuple(e.lower() for e in extensions)
+    # listStatusIterator stays in one folder; listFiles walks the tree.
+    entries = system.listFiles(root, True) if recursive else system.listStatusIterator(root)
+    parts, rows = [], []
+    schema = "path string, length long"
+    while entries.hasNext():
+        entry = entries.next()
+        name = entry.getPath().getName()
+        if entry.isFile() and not name.startswith(".") and name.lower().endswith(endings):
+            rows.append((entry.getPath().toString(), entry.getLen()))
+        if len(rows) >= LISTED_AT_ONCE:
+            parts.append(spark.createDataFrame(rows, schema))
+            rows = []
+    parts.append(spark.createDataFrame(rows, schema))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _plain(folder: str) -> str:
+    """A folder as a pattern in which special characters stand for themselves."""
+    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in folder.rstrip("/"))
+
+
+def _glob(folder: str, extensions: Sequence[str]) -> str:
+    """Pattern for the files of one folder by extension, in any case."""
+    endings = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+    return f"{_plain(folder)}/*{{{','.join(endings)}}}"
+
+
 def image_files(
     spark: SparkSession, folder: str, extensions: Sequence[str] = IMAGE_EXTENSIONS, recursive: bool = False
 ) -> DataFrame:
     """``(path, content)`` of the image files. Content is read only by plans that use it.
 
-    Spark lists the tree either way; without ``recursive`` only files directly in the folder are kept.
-    Files of length zero are skipped by Spark's file sources; they hold no image.
+    Files with content are read by Spark, from the folder alone unless ``recursive``; empty files, which its file
+    sources skip, come from the listing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.filter(has_extension("path", extensions)).select("path", "content")
-    if recursive:
-        return files
-    root = urlparse(folder).path if "://" in folder or folder.startswith("file:") else os.path.abspath(folder)
-    parent = F.regexp_replace(F.regexp_replace("path", "^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), "/[^/]*$", "")
-    return files.filter(parent == F.lit(root.rstrip("/")))
+    listed = list_files(spark, folder, extensions, recursive)
+    empty = listed.filter("length = 0").select("path", F.lit(b"").alias("content"))
+    if listed.filter("length > 0").isEmpty():
+        return empty
+    reader = spark.read.format("binaryFile")
+    files = reader.option("recursiveFileLookup", True).load(_plain(folder)) if recursive else reader.load(_glob(folder, extensions))
+    files = files.filter(has_extension("path", extensions) & (F.col("length") > 0)).select("path", "content")
+    return files.unionByName(empty)
 
 
 def list_image_files(
     spark: SparkSession, folder: str, extensions: Sequence[str] = IMAGE_EXTENSIONS, recursive: bool = False
 ) -> DataFrame:
     """Sorted full paths."""
-    return image_files(spark, folder, extensions, recursive).select("path").sort("path")
+    return list_files(spark, folder, extensions, recursive).select("path").sort("path")
 
 
 def embed_contents(

@@ -54,12 +54,28 @@ def check_loaded(df: DataFrame, id_col: str = "uuid", vec_col: str = "emb", uniq
     if stats["dim_min"] != stats["dim_max"]:
         raise ValueError(f"vectors have mixed widths {stats['dim_min']}..{stats['dim_max']}")
     if unique_ids:
-        repeated = df.groupBy(quoted(id_col)).count().filter("count > 1").take(1)
-        if repeated:
-            raise ValueError(f"id {repeated[0][0]!r} occurs {repeated[0][1]} times")
+        check_unique(df, id_col)
     return stats["dim_max"]
 
 
+def check_unique(df: DataFrame, id_col: str = "uuid") -> None:
+    repeated = df.groupBy(quoted(id_col)).count().filter("count > 1").take(1)
+    if repeated:
+        raise ValueError(f"id {repeated[0][0]!r} occurs {repeated[0][1]} times")
+
+
+def with_checked_vectors(df: DataFrame, vec_col: str, width: int) -> DataFrame:
+    """A missing vector, or one of another width, ends the first job that reads the vectors; no scan of its own."""
+    vector = quoted(vec_col)
+    wrong = F.concat(F.lit(f"vectors have mixed widths: {width} and "), F.size(vector).cast("string"))
+    checked = (
+        F.when(vector.isNull(), F.raise_error(F.lit("a row has no vector")))
+        .when(F.size(vector) != width, F.raise_error(wrong))
+        .otherwise(vector)
+    )
+    return df.withColumn(vec_col, checked)
+
+
 def load_embeddings(
     spark: SparkSession,
     path: str | list[str],
@@ -69,13 +85,25 @@ def load_embeddings(
     validate: bool = True,
     unique_ids: bool = False,
 ) -> DataFrame:
-    """Read a table of id, vector and metadata. ``filters`` are the batch kind: membership, strict names."""
+    """Read a table of id, vector and metadata. ``filters`` are the batch kind: membership, strict names.
+
+    With ``validate``, an empty table is refused here, and missing vectors or mixed widths by the first job that reads
+    the vectors: the check is part of its plan. Only one row is read before. Repeated ids are looked for on request, by a
+    job over the ids. :func:`check_loaded` checks everything at once.
+    """
     df = read_parquet(spark, path)
     require_columns(df, id_col, vec_col)
     df = apply_membership_filters(df, filters or {})
-    if validate:
-        check_loaded(df, id_col, vec_col, unique_ids)
-    return df
+    if not validate:
+        return df
+    first = df.select(F.size(quoted(vec_col)), quoted(vec_col).isNull()).take(1)
+    if not first:
+        raise ValueError("the table has no rows")
+    if first[0][1]:
+        raise ValueError("a row has no vector")
+    if unique_ids:
+        check_unique(df, id_col)
+    return with_checked_vectors(df, vec_col, first[0][0])
 
 
 def metadata_only(df: DataFrame, vec_col: str = "emb") -> DataFrame:
