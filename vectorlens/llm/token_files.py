@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,15 +42,19 @@ CHECKSUM_FLAG = 0x80
 LEVEL = 3
 # Text bytes of one file, about; the number of files grows with the input.
 BYTES_PER_FILE = 64 << 20
-# Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED_WORDS = 400_000
+# Words, and ids of words and of their parts, that a task remembers; the memory is emptied when one of them is full.
+REMEMBERED_WORDS, REMEMBERED_IDS = 300_000, 4_000_000
 LARGEST_ID = (1 << 63) - 1
+# Bytes of frames that a reader of whole files takes at once; a larger frame is taken alone.
+RUN_BYTES = 4 << 20
 
 # Letters that lower-case alone and stay as they are under composition: those of Latin-1.
 _LATIN = "".join(chr(i) for i in range(0xDF, 0x100) if chr(i).isalpha())
 _PLAIN = re.compile(rf"[!-~À-ÖØ-Þ{_LATIN}]+\Z")
 # Fixed pattern: how the public word vocabulary splits such words in lower case.
 _PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+# The same over many words, one in a line.
+_LINES = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}\n]+")
 # Words given to the whole pipeline of the library at once.
 _WORDS_AT_ONCE = 2000
 
@@ -80,68 +85,106 @@ class WordEncoder:
         return all(self._library(w) == [i for p in _PARTS.findall(w.lower()) for i in self._model(p)] for w in tries)
 
     def _model(self, part: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize(part.translate(self.mapped))]
+        return [t.id for t in self.library.model.tokenize(part if part.isascii() else part.translate(self.mapped))]
 
     def _library(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _forget(self) -> None:
         self.places: dict[int, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.ids = np.empty(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
+        self.words = _Lists()
+        self.parts: dict[str, int] = {}
+        self.part_ids = _Lists()
 
-    def _word_parts(self, word: str) -> list[str] | None:
-        if self.splits and _PLAIN.match(word) and not any(s in word for s in self.special):
-            return _PARTS.findall(word.lower())
-        return None
+    def _plain(self, word: str) -> bool:
+        return _PLAIN.match(word) is not None and not any(s in word for s in self.special)
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
-        cut = [self._word_parts(w) for w in words]
-        whole = [w for w, parts in zip(words, cut, strict=True) if parts is None]
-        others = {}
+        """Remember the ids of new words: those of printable letters through their parts, all at once."""
+        if self.splits and any(s in "\n".join(words) for s in self.special):
+            plain = [self._plain(w) for w in words]
+        else:
+            plain = [self.splits and _PLAIN.match(w) is not None for w in words]
+        chosen = [w for w, is_plain in zip(words, plain, strict=True) if is_plain]
+        if chosen:
+            cut = _LINES.findall("\n".join(chosen).lower())
+            cut.append("\n")
+            codes, distinct = pd.factorize(np.array(cut, dtype=object))
+            known, model = self.parts, self._model
+            fresh = [p for p in distinct if p not in known]
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            self.part_ids.add([model(p) if p != "\n" else [] for p in fresh])
+            at = np.fromiter((known[p] for p in distinct), dtype=np.int64, count=len(distinct))[codes]
+            ids, sizes = self.part_ids.take(at)
+            ends = np.flatnonzero(codes == codes[-1])
+            total = np.cumsum(sizes)[ends]
+            self.words.add_flat(ids, np.diff(total, prepend=0))
+        whole = [w for w, is_plain in zip(words, plain, strict=True) if not is_plain]
         for i in range(0, len(whole), _WORDS_AT_ONCE):
-            some = whole[i : i + _WORDS_AT_ONCE]
-            found = self.library.encode_batch_fast(some, add_special_tokens=False)
-            others.update(zip(some, (f.ids for f in found), strict=True))
-        model, known = self._model, self.parts
-        for key, word, parts in zip(keys, words, cut, strict=True):
-            if parts is None:
-                ids = others[word]
-            else:
-                ids = []
-                for part in parts:
-                    if part not in known:
-                        known[part] = tuple(model(part))
-                    ids.extend(known[part])
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), len(ids)), dtype=np.uint32)))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.places[key] = len(self.starts)
-            self.starts.append(self.used), self.sizes.append(len(ids))
-            self.used += len(ids)
+            found = self.library.encode_batch_fast(whole[i : i + _WORDS_AT_ONCE], add_special_tokens=False)
+            self.words.add([f.ids for f in found])
+        order = [k for k, is_plain in zip(keys, plain, strict=True) if is_plain]
+        order += [k for k, is_plain in zip(keys, plain, strict=True) if not is_plain]
+        self.places.update(zip(order, range(len(self.places), len(self.places) + len(order)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text; a null text has none."""
-        if len(self.starts) > REMEMBERED_WORDS:
+        if len(self.places) > REMEMBERED_WORDS or self.words.used + self.part_ids.used > REMEMBERED_IDS:
             self._forget()
         found = find_words(texts)
         codes, distinct = pd.factorize(found.hashes())
         keys = distinct.tolist()
-        unknown = [i for i, k in enumerate(keys) if k not in self.places]
+        known = self.places
+        unknown = [i for i, k in enumerate(keys) if k not in known]
         if unknown:
             first = np.full(len(keys), -1, dtype=np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            self._learn([keys[i] for i in unknown], [found.text(first[i]).decode() for i in unknown])
-        at = np.fromiter((self.places[k] for k in keys), dtype=np.int64, count=len(keys))[codes]
-        sizes = np.array(self.sizes, dtype=np.int64)[at]
-        ids = self.ids[ranges(np.array(self.starts, dtype=np.int64)[at], sizes)]
+            self._learn([keys[i] for i in unknown], _texts(found, first[unknown]))
+        at = np.fromiter((known[k] for k in keys), dtype=np.int64, count=len(keys))[codes]
+        ids, sizes = self.words.take(at)
         total = np.concatenate(([0], np.cumsum(sizes)))
         return ids, np.diff(total[found.rows])
 
 
+def _texts(found, which: np.ndarray) -> list[str]:
+    """Words as text: their bytes one after another, a line each, decoded once. No word holds a line end."""
+    sizes = found.ends[which] - found.starts[which]
+    raw = np.append(found.data, np.uint8(10))[ranges(found.starts[which], sizes + 1)]
+    raw[np.cumsum(sizes + 1) - 1] = 10
+    return raw.tobytes().decode().split("\n")[:-1]
+
+
+class _Lists:
+    """Id lists in one growing array."""
+
+    def __init__(self):
+        self.ids = np.empty(1 << 16, dtype=np.uint32)
+        self.starts, self.sizes = np.empty(1 << 12, dtype=np.int64), np.empty(1 << 12, dtype=np.int64)
+        self.used = self.count = 0
+
+    def add(self, lists: list) -> None:
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self.add_flat(np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes)
+
+    def add_flat(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids = self._room(self.ids, self.used, len(ids))
+        self.starts, self.sizes = self._room(self.starts, self.count, len(sizes)), self._room(self.sizes, self.count, len(sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.count : self.count + len(sizes)] = sizes
+        self.used, self.count = self.used + len(ids), self.count + len(sizes)
+
+    @staticmethod
+    def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+        if used + more <= len(array):
+            return array
+        return np.concatenate((array[:used], np.empty(max(used, more), dtype=array.dtype)))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[at]
+        return self.ids[ranges(self.starts[at], sizes)], sizes
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -195,7 +238,8 @@ class FrameReader:
         self.entries = np.frombuffer(self._bytes(table_at + 8, 12 * count), dtype="<u4").reshape(count, 3).astype(np.int64)
         self.places = np.concatenate(([0], np.cumsum(self.entries[:, 0])))
         ids_at = int(self.places[-1])
-        raw = zstandard.ZstdDecompressor().decompress(self._bytes(ids_at + 8, table_at - ids_at - 8))
+        self.decompressor = zstandard.ZstdDecompressor()
+        raw = self.decompressor.decompress(self._bytes(ids_at + 8, table_at - ids_at - 8))
         values = np.frombuffer(raw[: 8 * count], dtype="<i8").tolist()
         self.ids = [None if gone else v for v, gone in zip(values, raw[8 * count :], strict=True)]
 
@@ -205,8 +249,22 @@ class FrameReader:
 
     def tokens(self, i: int) -> np.ndarray:
         """Ids of the i-th document; a frame that does not fit its checksum is an error."""
+        return self._content(i, self._bytes(self.places[i], self.entries[i, 0]))
+
+    def every(self) -> Iterator[np.ndarray]:
+        """Ids of all documents in order; frames are read in runs of ``RUN_BYTES``."""
+        first = 0
+        while first < len(self.entries):
+            last = max(first + 1, int(np.searchsorted(self.places, self.places[first] + RUN_BYTES, side="right")) - 1)
+            run = memoryview(self._bytes(self.places[first], self.places[last] - self.places[first]))
+            for i in range(first, last):
+                at = int(self.places[i] - self.places[first])
+                yield self._content(i, run[at : at + int(self.entries[i, 0])])
+            first = last
+
+    def _content(self, i: int, frame: bytes | memoryview) -> np.ndarray:
         _, size, check = self.entries[i].tolist()
-        content = zstandard.ZstdDecompressor().decompress(self._bytes(self.places[i], self.entries[i, 0]), max_output_size=max(size, 1))
+        content = self.decompressor.decompress(frame, max_output_size=max(size, 1))
         if len(content) != size or xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != check:
             raise ValueError(f"damaged frame {i}")
         return np.frombuffer(content, dtype="<u4")
@@ -275,6 +333,8 @@ def write_token_files(docs: DataFrame, folder: str, path: Callable[[], str], end
         if writer is not None:
             writer.close()
             sink.close()
+            # The process goes on to other tasks; what this one has learnt need not stay.
+            encoder(path())._forget()
             row = [[TaskContext.get().partitionId()], [name], [len(writer.ids)], [n_tokens]]
             yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1]), *map(pa.array, row[2:])], ["part", "file", "n_docs", "n_tokens"])
 
@@ -299,7 +359,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     reader = FrameReader(source)
                     sizes = reader.entries[:, 1] // 4
                     starts = row["first"] + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                    checks = [zlib.crc32(reader.tokens(i).tobytes()) for i in range(len(sizes))]
+                    checks = [zlib.crc32(ids) for ids in reader.every()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(reader.ids, pa.int64()), pa.array(starts), pa.array(sizes), pa.array(checks, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
