@@ -54,7 +54,7 @@ def test_against_all_windows(documents, repeating):
 
 
 def test_frequent_anchors_and_many_tasks(documents, repeating, monkeypatch):
-    monkeypatch.setattr(substrings, "FREQUENT_IN_PIECE", 2)
+    monkeypatch.setattr(substrings, "FREQUENT_IN_TASK", 2)
     monkeypatch.setattr(substrings, "FREQUENT_IN_ALL", 2)
     monkeypatch.setattr(substrings, "ROWS_PER_TASK", 50)
     assert result(documents(repeating)) == brute_force(repeating)

@@ -30,10 +30,12 @@ from vectorlens.llm.words import Words, find_words, mixed, pieces, ranges, rolli
 
 WINDOW, SEED = 20, 8
 # Occurrences that one task takes.
-ROWS_PER_TASK = 1_500_000
+ROWS_PER_TASK = 500_000
 # Frequent anchors held by every task: at most so many, 8 bytes each. Which ones they are changes cost, not results.
 FREQUENT_ANCHORS = 65_536
-FREQUENT_IN_PIECE, FREQUENT_IN_ALL = 8, 2_000
+FREQUENT_IN_TASK, FREQUENT_IN_ALL = 8, 2_000
+# Different anchors that a task counts before it passes the frequent ones on.
+COUNTED = 2_000_000
 LAST = (1 << 63) - 1
 
 _UNITS = "key long, ctx long, doc long, tag int, start int, n int"
@@ -82,12 +84,25 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
+    def often(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+        chosen = n >= FREQUENT_IN_TASK
+        return pa.RecordBatch.from_arrays([pa.array(key[chosen].view(np.int64)), pa.array(n[chosen])], ["key", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Counted over all pieces of a task: pieces of small partitions may hold a common line a few times each.
+        keys, counts, held = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], 0
         for batch in batches:
             for piece in pieces(batch):
                 anchors, n = np.unique(anchor_units(find_words(piece.column("text")))[3], return_counts=True)
-                often = n >= FREQUENT_IN_PIECE
-                yield pa.RecordBatch.from_arrays([pa.array(anchors[often].view(np.int64)), pa.array(n[often])], ["key", "n"])
+                keys.append(anchors)
+                counts.append(n)
+                held += len(anchors)
+                if held > COUNTED:
+                    yield often(keys, counts)
+                    keys, counts, held = keys[:1], counts[:1], 0
+        yield often(keys, counts)
 
     seen = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     rows = seen.filter(F.col("n") >= FREQUENT_IN_ALL).orderBy(F.desc("n"), "key").limit(FREQUENT_ANCHORS).collect()
@@ -132,12 +147,18 @@ def _units(docs: DataFrame) -> DataFrame:
 
 def _meeting(taken: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of all units of some keys: repeats (key null), and first occurrences of contexts whose key has others."""
-    rows = pa.Table.from_batches(taken).combine_chunks() if taken else None
-    if rows is None or rows.num_rows == 0:
+    if not sum(batch.num_rows for batch in taken):
         return
-    key, ctx, doc, tag, start, n = (rows[c].to_numpy() for c in _FIELDS)
+    columns = []
+    for c in range(len(_FIELDS)):
+        columns.append(np.concatenate([batch.column(c).to_numpy() for batch in taken]))
+    taken.clear()
+    key, ctx, doc, tag, start, n = columns
     order = np.lexsort((start, doc, ctx, key))
-    key, ctx, doc, tag, start, n = (v[order] for v in (key, ctx, doc, tag, start, n))
+    # One column after the other, so that no two whole sets of columns exist at once.
+    for c in range(len(columns)):
+        columns[c] = columns[c][order]
+    key, ctx, doc, tag, start, n = columns
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
     new = new_key | np.concatenate(([True], ctx[1:] != ctx[:-1]))
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -162,6 +183,7 @@ def _meet(units: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             batch = batch.select(_FIELDS)
             known = pc.is_null(batch.column("key"))
+            # What is kept is copied out of the batch, which can then be given back.
             yield batch.filter(known)
             taken.append(batch.filter(pc.invert(known)))
         yield from _meeting(taken)
