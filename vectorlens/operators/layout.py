@@ -79,7 +79,8 @@ class Pyramid:
         return finest_cells(points, self.axes, self.half, self.levels)
 
     def near_and_far(self, points: np.ndarray):
-        """Per group of cells: gaps to their means and their sizes, which cover all other points exactly once.
+        """Per group of cells: the rows, their gaps to the means of cells that hold points, and the sizes of these. All
+        groups together cover all other points of each row exactly once.
 
         On each level these are the children of the cells around the parent that do not touch the point's own cell, and
         on the finest one also those that do. The point itself is taken out of its own cell.
@@ -100,18 +101,19 @@ class Pyramid:
         inside = ((cells >= 0) & (cells < side)).all(axis=2)
         if wanted is not None:
             inside &= wanted
-        index = tuple(np.clip(cells, 0, side - 1).transpose(2, 0, 1))
-        mass = np.where(inside, self.mass[level][index], 0.0)
-        sums = self.sums[level][index]
+        flat = np.ravel_multi_index(tuple(np.clip(cells, 0, side - 1).transpose(2, 0, 1)), (side,) * self.axes)
+        mass, sums = self.mass[level].ravel(), self.sums[level].reshape(side**self.axes, -1)
+        rows, places = np.nonzero(inside & (mass[flat] > 0.5))
+        flat = flat[rows, places]
+        mass, sums = mass[flat], sums[flat]
         if own is not None:
-            itself = (cells == own[:, None, :]).all(axis=2)
             # Cell sums are those before the steps of a round, so a point may have left its cell since.
-            itself &= mass >= 1.0
+            itself = (cells[rows, places] == own[rows]).all(axis=1)
             mass = mass - itself
-            sums = sums - itself[:, :, None] * points[:, None, :]
-        mean = sums / np.maximum(mass, 1e-12)[:, :, None]
-        gap = np.where(mass[:, :, None] > 0.5, points[:, None, :] - mean, 0.0)
-        return gap, np.where(mass > 0.5, mass, 0.0)
+            sums = sums - itself[:, None] * points[rows]
+            held = mass > 0.5
+            rows, mass, sums = rows[held], mass[held], sums[held]
+        return rows, points[rows] - sums / mass[:, None], mass
 
     def pair_sum(self) -> float:
         """Sum of ``1 / (1 + d2)`` over ordered pairs of points, taken between cell means."""
@@ -134,14 +136,15 @@ def _repulsion(method: str, points: np.ndarray, pyramid: Pyramid) -> np.ndarray:
     out = np.zeros_like(points)
     for start in range(0, len(points), CHUNK):
         part = slice(start, start + CHUNK)
-        for gap, mass in pyramid.near_and_far(points[part]):
-            d2 = (gap * gap).sum(axis=2)
+        for rows, gap, mass in pyramid.near_and_far(points[part]):
+            d2 = (gap * gap).sum(axis=1)
             if method == "TSNE":
                 force = mass / (1.0 + d2) ** 2
             else:
                 force = mass * 2.0 * CURVE_B / ((0.001 + d2) * (1.0 + CURVE_A * d2**CURVE_B))
                 force = np.minimum(force, mass * 4.0 / np.sqrt(d2 + 1e-12))
-            out[part] += np.einsum("pc,pca->pa", force, gap)
+            for axis in range(points.shape[1]):
+                out[part, axis] += np.bincount(rows, force * gap[:, axis], len(out[part]))
     return out
 
 
