@@ -8,10 +8,13 @@ tokens before it is verified. A pair is held to the smaller ``need`` of its two
 are long enough.
 
 Copies, and all texts with equal sets, are one class from the start. Posting lists of up to ``SMALL_LIST`` classes
-emit their pairs. In a longer list, as a large group of near copies makes, the members outside the list's largest
-component are compared, block by block, with members of other components. In the first rounds a task returns only a
-forest of the candidates it sees, which joins them with one pair per member; the last round returns all candidates
-that still lie between components. No link between different components is missed, and no group emits all its pairs.
+emit their pairs. Longer lists, as a large group of near copies makes, first go through rounds whose cost is linear:
+each node stands in its longest list only, the list is dealt into blocks, anew in every round, and a block is compared
+with itself. So a group of near copies becomes one component without one block meeting another. Then the members outside
+a list's largest component are compared, block by block, with members of other components; lists with the same members
+are one. A task returns only a forest of the candidates it sees, which joins them with one pair per member; the last round
+returns all candidates that still lie between components. No link between different components is missed, and no group
+emits all its pairs.
 
 Numbers of links are exact all the same. Only two nodes that both stand in longer lists can have a link that was not
 verified, and it lies inside a component. Such nodes of a component meet once more, block by block, all with all, and
@@ -38,8 +41,10 @@ from vectorlens.llm.words import find_words, mixed, pieces, ranges, shingle_sets
 
 # Posting lists up to this length emit all their pairs.
 SMALL_LIST = 64
-# Members of a block of a longer list, and rounds in which its tasks return a forest.
-BLOCK, FOREST_ROUNDS = 1024, 2
+# Members of a block of a longer list that is compared with itself, and rounds of this.
+OWN_BLOCK, OWN_ROUNDS = 1024, 2
+# Members of a block of a longer list that meets other blocks, and rounds in which its tasks return a forest.
+BLOCK, FOREST_ROUNDS = 4096, 1
 # Largest number of shared prefix tokens that a document may ask for.
 MAX_NEED = 4
 # Bits of a parity sketch.
@@ -212,13 +217,12 @@ def _shared_postings(docs: DataFrame, width: int, percent: int, heavy: tuple[np.
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of nodes whose sets are similar enough, counted exactly.
+    """Written ``pairs`` of nodes whose sets are similar enough, counted exactly.
 
     The pairs of one component of candidates meet in one task, which takes small components up to about
     ``WORDS_PER_TASK``, so each text moves once. The nodes of a component with more words are dealt into blocks, and a
     pair meets in the task of its two blocks; a task holds the texts of two blocks at most.
     """
-    pairs = kept(_sketches_allow(pairs, classes, percent), "pairs")
     labels = connected_components(pairs)
     wanted = kept(labels.join(classes.select("node", "doc_id", "text_key", "n"), "node"), "wanted")
     words, count = wanted.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -290,6 +294,58 @@ def _short_list_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return counted.filter("first").filter(F.col("c") + F.col("long") >= F.col("need")).select("a", "b")
 
 
+def _compared(left: pa.Table, right: pa.Table, main: int | None, percent: int, forest: bool) -> pa.Table:
+    """Pairs of a left and a right node (``node``, ``comp``, ``n``, ``sketch``) in different components that may be links.
+
+    Nodes outside the component ``main`` stand on both sides and are asked once. All pairs are returned, or a ``forest``
+    that joins the components seen here as far as all would.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if left.num_rows == 0 or right.num_rows == 0:
+        return schema.empty_table()
+    x, y = ({c: t[c].to_numpy() for c in ("node", "comp", "n")} for t in (left, right))
+    bits_x, bits_y = (np.array(t["sketch"].combine_chunks().flatten()).reshape(t.num_rows, -1).view(np.uint64) for t in (left, right))
+    in_main = np.zeros(right.num_rows, dtype=bool) if main is None else y["comp"] == main
+    found = []
+    # Components joined so far, as numbers that change together.
+    _, now = np.unique(np.concatenate((x["comp"], y["comp"])), return_inverse=True)
+    now_x, now_y = now[: left.num_rows], now[left.num_rows :]
+    for i in range(left.num_rows):
+        apart = now_y != now_x[i] if forest else y["comp"] != x["comp"][i]
+        ask = np.flatnonzero(apart & (in_main | (y["node"] > x["node"][i])))
+        small, large = np.minimum(y["n"][ask], x["n"][i]), np.maximum(y["n"][ask], x["n"][i])
+        ask = ask[100 * small >= percent * large]
+        differ = np.bitwise_count(bits_y[ask] ^ bits_x[i]).sum(axis=1, dtype=np.int64)
+        ask = ask[differ * (100 + percent) <= (y["n"][ask] + x["n"][i]) * (100 - percent)]
+        if forest and len(ask):
+            others, first = np.unique(now_y[ask], return_index=True)
+            ask = ask[first]
+            own = now_x[i]
+            now_x[np.isin(now_x, others)] = own
+            now_y[np.isin(now_y, others)] = own
+        found += [(min(x["node"][i], o), max(x["node"][i], o)) for o in y["node"][ask]]
+    if not found:
+        return schema.empty_table()
+    a, b = zip(*found, strict=True)
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+
+def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    return lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("token", "node", "comp")
+
+
+def _own_pairs(firsts: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
+    """A forest of the candidates inside the blocks of each list; ``firsts`` names one list per node.
+
+    Each turn deals the members anew, so what one turn joins inside its blocks the next one joins across them.
+    """
+    named = _named(firsts, labels)
+    lists = firsts.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(OWN_BLOCK)).cast("int").alias("blocks"))
+    dealt = named.join(lists, "token").withColumn("i", F.pmod(F.xxhash64(F.lit(turn), "node"), "blocks").cast("int"))
+    rows = dealt.join(classes.select("node", "n", "sketch"), "node").select("token", "i", "node", "comp", "n", "sketch")
+    return rows.groupBy("token", "i").applyInArrow(lambda t: _compared(t, t, None, percent, True), "a long, b long").distinct()
+
+
 def _cross_pairs(long_lists: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Candidates in the longer lists whose members are in different components.
 
@@ -297,7 +353,7 @@ def _cross_pairs(long_lists: DataFrame, classes: DataFrame, labels: DataFrame, p
     blocks; a task compares the sketches of one block of each and returns only pairs that may be links: all of them,
     or a ``forest`` that joins the components it sees as far as all would.
     """
-    named = long_lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("token", "node", "comp")
+    named = _named(long_lists, labels)
     sizes = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     lists = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("m")).filter("most.k < m")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
@@ -310,39 +366,22 @@ def _cross_pairs(long_lists: DataFrame, classes: DataFrame, labels: DataFrame, p
     right = right.toDF(*right.columns)  # names of its own, since both sides come from one table
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        x, y = ({c: t[c].to_numpy() for c in ("node", "comp", "n")} for t in (left, right))
-        bits_x, bits_y = (np.array(t["sketch"].combine_chunks().flatten()).reshape(t.num_rows, -1).view(np.uint64) for t in (left, right))
-        main = left["main"][0].as_py()
-        found = []
-        # Components joined so far, as numbers that change together.
-        _, now = np.unique(np.concatenate((x["comp"], y["comp"])), return_inverse=True)
-        now_x, now_y = now[: left.num_rows], now[left.num_rows :]
-        for i in range(left.num_rows):
-            ask = np.flatnonzero((y["comp"] != x["comp"][i]) & ((y["comp"] == main) | (y["node"] > x["node"][i])))
-            small, large = np.minimum(y["n"][ask], x["n"][i]), np.maximum(y["n"][ask], x["n"][i])
-            ask = ask[100 * small >= percent * large]
-            differ = np.bitwise_count(bits_y[ask] ^ bits_x[i]).sum(axis=1, dtype=np.int64)
-            ask = ask[differ * (100 + percent) <= (y["n"][ask] + x["n"][i]) * (100 - percent)]
-            if forest:
-                ask = ask[now_y[ask] != now_x[i]]
-                others, first = np.unique(now_y[ask], return_index=True)
-                ask = ask[first]
-                own = now_x[i]
-                now_x[np.isin(now_x, others)] = own
-                now_y[np.isin(now_y, others)] = own
-            found += [(min(x["node"][i], o), max(x["node"][i], o)) for o in y["node"][ask]]
-        if not found:
-            return schema.empty_table()
-        a, b = zip(*found, strict=True)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        main = left["main"][0].as_py() if left.num_rows else None
+        return _compared(left, right, main, percent, forest)
 
     met = left.groupBy("token", "i", "j").cogroup(right.groupBy("token", "i", "j")).applyInArrow(compare, "a long, b long")
     return met.distinct()
 
 
+def _distinct_lists(long_lists: DataFrame) -> DataFrame:
+    """``(token, node)`` of the longer lists, one list for each set of members: two lists are the same where their
+    lengths and two sums of differently mixed nodes agree."""
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), "node").cast("decimal(38,0)"))
+    named = long_lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), total(1).alias("s"), total(2).alias("t"))
+    tokens = named.groupBy("m", "s", "t").agg(F.min("token").alias("token")).select("token")
+    return long_lists.select("token", "node").join(tokens, "token")
+
+
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Join:
     """Join the texts of ``docs`` (``doc_id``, ``text``; other columns are ignored) on shingle similarity.
 
@@ -362,11 +401,22 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> Join:
     postings = kept(postings.join(long_tokens, "node"), "lists")
     long_lists = postings.filter(F.col("m") > SMALL_LIST)
 
-    links = kept(_verified(_short_list_pairs(postings, percent), classes, docs, width, percent), "links")
+    # Pairs of longer lists have passed the sketches where they were found.
+    pairs = kept(_sketches_allow(_short_list_pairs(postings, percent), classes, percent), "pairs")
+    links = kept(_verified(pairs, classes, docs, width, percent), "links")
     labels = kept(connected_components(links), "labels")
-    for round_no in range(FOREST_ROUNDS + 1):
-        rest = kept(_cross_pairs(long_lists, classes, labels, percent, round_no < FOREST_ROUNDS), "rest")
+    firsts = kept(long_lists.groupBy("node").agg(F.max(F.struct("m", "token")).alias("f")).select("f.token", "node"), "firsts")
+    each = kept(_distinct_lists(long_lists), "long-lists")
+    for round_no in range(OWN_ROUNDS + FOREST_ROUNDS + 1):
+        own = round_no < OWN_ROUNDS
+        if own:
+            rest = _own_pairs(firsts, classes, labels, percent, round_no)
+        else:
+            rest = _cross_pairs(each, classes, labels, percent, round_no < OWN_ROUNDS + FOREST_ROUNDS)
+        rest = kept(rest, "rest")
         if rest.isEmpty():
+            if own:
+                continue
             break
         more = _verified(rest, classes, docs, width, percent)
         links = kept(links.unionByName(more).distinct(), "links")
