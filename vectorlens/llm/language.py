@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectorlens.llm.tables import first_by_hash, kept
 from vectorlens.llm.words import pieces
 
 WIDTH = 512
@@ -184,7 +185,7 @@ def least_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray]) -> l
     and the high quantile of noise; a class in which these are not apart says too little to reject a text. Both samples
     are bounded.
     """
-    chosen = labelled.select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_TEXTS)
+    chosen = kept(first_by_hash(labelled, "text", SAMPLE_TEXTS), "labelled")
     longs = F.explode(F.sequence(F.lit(CLASSES[0]), F.lit(CLASSES[-1])))
     cuts = chosen.select("text", F.length("text").alias("l"), longs.alias("c")).withColumn("z", F.pow(F.lit(2), F.col("c")).cast("int"))
     cuts = cuts.filter("l >= z").select("l", "z", "text", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))).alias("i"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectorlens.llm.tables import first_by_hash
 from vectorlens.llm.words import pieces
 
 # Kinds in their order, and patterns. Lookbehinds and possessive runs only spare repeated attempts.
@@ -39,8 +40,9 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 WINDOW, STRIDE = 64, 32
 TAGS = 1 + 2 * len(KINDS)
 CHARS, EMBED, HIDDEN = 98, 12, 16
-# Bounds of the training sample: texts with spans, texts with a trigger but no span, and windows in all.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 600, 1500
+# Bounds of the training sample: texts with spans, texts with a trigger but no span, windows in all, and characters of
+# a text that may be in the sample.
+SAMPLE_TEXTS, SAMPLE_WINDOWS, SAMPLE_LENGTH = 600, 1500, 20_000
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 # A span of the network needs this mean probability per character.
 CONFIDENCE = 0.9
@@ -231,16 +233,16 @@ def tag_windows(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarra
 def train(docs: DataFrame) -> Tagger:
     """Fit the tagger on windows of a bounded, hash-ordered sample of texts, labelled by the patterns.
 
-    At most ``SAMPLE_TEXTS`` texts with an at sign, plus or long number and as many without, and of them
-    ``SAMPLE_WINDOWS`` windows. Without any window the fresh network is returned and finds nothing.
+    At most ``SAMPLE_TEXTS`` different texts with an at sign, plus or long number and as many without, none longer than
+    ``SAMPLE_LENGTH``, and of them ``SAMPLE_WINDOWS`` windows. Without any window the fresh network is returned and finds nothing.
     """
-    some = docs.select("text").filter(F.length("text") <= 20_000).withColumn("h", F.xxhash64("text"))
+    some = docs.select("text").filter(F.length("text") <= SAMPLE_LENGTH)
     likely = some.filter(F.regexp_like("text", F.lit(r"@|\+[0-9]|[0-9][0-9. -]{11}")))
     other = some.filter(F.regexp_like("text", F.lit("[0-9]")) & ~F.regexp_like("text", F.lit(r"@|\+[0-9]|[0-9][0-9. -]{11}")))
     rng = np.random.RandomState(6)
     windows = []
     for rows, share in ((likely, 0.8), (other, 0.2)):
-        made = [tag_windows(r[0], base_spans(r[0])) for r in rows.orderBy("h").limit(SAMPLE_TEXTS).select("text").collect()]
+        made = [tag_windows(r[0], base_spans(r[0])) for r in sorted(first_by_hash(rows, "text", SAMPLE_TEXTS).collect())]
         if made:
             codes, tags = np.concatenate([m[1] for m in made]), np.concatenate([m[2] for m in made])
             pick = rng.permutation(len(codes))[: int(SAMPLE_WINDOWS * share)]

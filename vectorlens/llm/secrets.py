@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorlens.llm.tables import kept
+from vectorlens.llm.tables import first_by_hash, kept
 from vectorlens.llm.words import WORD
 
 # Kinds in their order, patterns, least lengths (of the value for assign, else of the match).
@@ -96,7 +96,7 @@ def train(docs: DataFrame) -> Model:
     """Log-likelihood ratios of all transitions (random against ordinary), row after row.
 
     The labelled samples are bounded: the ``SAMPLE_STRINGS`` pattern values first in hash order, and the words of the
-    ``SAMPLE_TEXTS`` texts first in hash order, outside pattern spans. Only counts reach the driver, one per
+    ``SAMPLE_TEXTS`` different texts first in hash order among those without a pattern span. Only counts reach the driver, one per
     transition at most. Without samples all ratios are 0 and nothing is reported.
 
     Strings held out of the counts give the mean and the deviation of the ratio in either sample. The threshold is as
@@ -105,10 +105,9 @@ def train(docs: DataFrame) -> Model:
     texts = docs.select("text").filter("text is not null")
     marked = texts.filter(F.regexp_like("text", F.lit(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{16}}")))
     values = marked.select(F.explode(base_spans(F.col("text"))).alias("s")).select("s.value").distinct()
-    random_strings = values.orderBy(F.xxhash64("value"), "value").limit(SAMPLE_STRINGS)
+    random_strings = first_by_hash(values, "value", SAMPLE_STRINGS)
     plain = texts.filter(~F.regexp_like("text", F.lit(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{16}}")))
-    plain = plain.withColumn("h", F.xxhash64("text")).orderBy("h").limit(SAMPLE_TEXTS)
-    ordinary = plain.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value"))
+    ordinary = first_by_hash(plain, "text", SAMPLE_TEXTS).select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value"))
     held = F.pmod(F.xxhash64(F.lit("held out"), "value"), F.lit(HELD_OUT)) == 0
     random_strings, ordinary = kept(random_strings, "random_strings"), kept(ordinary, "ordinary")
     counts = []

@@ -37,6 +37,17 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(gone, same, "left_anti").select("row.*")
 
 
+def first_by_hash(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """``(column)``: at most ``most`` distinct strings of a column, those first in hash order, nulls left out.
+
+    Tasks hand on hashes only; the strings themselves are fetched for the hashes chosen.
+    """
+    named = rows.select(column, F.xxhash64(column).alias("h")).filter(F.col(column).isNotNull())
+    chosen = named.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    # No string at all: the test is null and nothing is kept.
+    return named.filter(F.col("h") <= F.lit(chosen)).dropDuplicates(["h"]).select(column)
+
+
 def bucket_count(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_BUCKET))
 
