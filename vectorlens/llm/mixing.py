@@ -74,8 +74,7 @@ def _taken(start: Column) -> Column:
     return F.least(F.greatest(F.floor("target") - start, F.lit(0)), F.col("size"))
 
 
-def _entries(docs: DataFrame, whole_only: bool, passes: int, **shares) -> DataFrame:
-    dealt = dealt_documents(docs, passes=passes, **shares)
+def _entries(dealt: DataFrame, whole_only: bool, passes: int) -> DataFrame:
     entries = dealt.withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     start = F.col("before") + F.col("pass_no") * F.col("source_size")
     entries = entries.withColumn("taken", _taken(start)).withColumn("finish", (start + F.col("size")) / F.col("target"))
@@ -87,13 +86,28 @@ def _delivery(prefix: str = "") -> list[Column]:
     return [at("finish"), at("source").isNull(), at("source"), at("pass_no"), at("shuffle"), at("text_key")]
 
 
+def _delivered(dealt: DataFrame, whole_only: bool, passes: int) -> DataFrame:
+    """Entries of written ``dealt`` rows by virtual finish time, cut where the total budget is given out.
+
+    ``given`` is the words of all sources that stand before an entry. Each of the buckets of finish times is numbered
+    on its own.
+    """
+    entries = _entries(dealt, whole_only, passes)
+    buckets = bucket_count(dealt.count() * passes)
+    bucket = F.least(F.floor(F.col("finish") * buckets), F.lit(buckets)).alias("bucket")
+    entries = numbered(entries.select("*", bucket), [], "bucket", _delivery(), {"given": F.col("taken")}).drop("bucket")
+    total = dealt.select("source", F.floor("target").alias("t")).distinct().agg(F.sum("t")).first()[0] or 0
+    taken = F.least("taken", F.lit(total) - F.col("given"))
+    return entries.withColumn("taken", taken).filter("taken > 0").orderBy(*_delivery())
+
+
 def mixed_documents(docs: DataFrame, whole_only: bool = False, passes: int = PASSES, **shares) -> DataFrame:
     """The mix in delivery order: one row per document and pass, range-sorted by virtual finish time.
 
-    The columns of :func:`dealt_documents` with ``pass_no``, ``finish`` (1 is the cut) and ``taken`` (words given).
-    Rows past the cut are not there. Documents without words take no part.
+    The columns of :func:`dealt_documents` with ``pass_no``, ``finish`` (1 is the cut), ``taken`` (words given) and
+    ``given`` (words given before). Rows past the cut are not there. Documents without words take no part.
     """
-    return _entries(docs, whole_only, passes, **shares).orderBy(*_delivery())
+    return _delivered(kept(dealt_documents(docs, passes=passes, **shares), "mix-dealt"), whole_only, passes)
 
 
 def mixed_rows(docs: DataFrame, passes: int = PASSES, **shares) -> DataFrame:
@@ -106,7 +120,7 @@ def mixed_rows(docs: DataFrame, passes: int = PASSES, **shares) -> DataFrame:
     repeated = docs.groupBy(docs_key.alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not repeated.isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    entries = kept(_entries(docs, True, passes, **shares), "mix-entries")
+    entries = kept(_entries(dealt_documents(docs, passes=passes, **shares), True, passes), "mix-entries")
     small = entries.count() <= BROADCAST_ENTRIES
     rows = docs.select(F.struct("*").alias("row"))
     same = F.col("row.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.xxhash64("row.text") == F.col("e.text_key"))
@@ -117,9 +131,12 @@ def mixed_rows(docs: DataFrame, passes: int = PASSES, **shares) -> DataFrame:
 def mix_report(docs: DataFrame, passes: int = PASSES, **shares) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words over all passes), and its first finish time.
 
-    These are the entries of :func:`mixed_documents`, one row per document, those not taken included.
+    The mix is written in delivery order, and each document adds up its entries there; documents not taken are
+    included. A document with words is known by its source and the words before it.
     """
-    dealt = dealt_documents(docs, passes=passes, **shares)
-    taken = sum((_taken(F.col("before") + i * F.col("source_size")) for i in range(passes)), F.lit(0))
-    finish = F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target"))
-    return dealt.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish"))
+    dealt = kept(dealt_documents(docs, passes=passes, **shares), "mix-dealt")
+    mix = kept(_delivered(dealt, False, passes), "mix")
+    given = mix.groupBy("source", "before").agg(F.sum("taken").alias("taken"), F.min("finish").alias("finish"))
+    same = F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.before") == F.col("g.before")) & (F.col("d.size") > 0)
+    taken = F.coalesce("g.taken", F.lit(0)).cast("long").alias("taken")
+    return dealt.alias("d").join(given.alias("g"), same, "left").select("d.doc_id", "d.size", "d.source_size", "d.target", taken, "g.finish")
