@@ -10,7 +10,11 @@ A query walks a graph over the centroids, held in memory, from near to nearer on
 is at most a ratio farther than the nearest. The ratio grows with the table as needed: a bounded number of its queries is
 answered by brute force, and the ratio is the least with which they find ``AIM`` of their neighbours. A walk that is
 full before it reaches the ratio is replaced by the distances to all centroids. Lists are scored exactly, in double precision, on the original
-vectors, in tasks of one block of a list and one block of its queries.
+vectors, in tasks of one block of a list and one block of its queries. A query's first lists are scored before the
+others, and its k-th score so far goes with it to the rest: they return only what reaches it.
+
+Lists grow with the square root of the table, so that a query asks for few of them and none of the steps is held by a
+number of lists that grows with the rows.
 
 Of identical vectors only the ``k + 1`` least ids can be among the nearest k of any query, so others are left out
 before lists are made; a vector that a third of all rows share is one short run in its list.
@@ -31,14 +35,20 @@ from vectorlens.llm.tables import kept
 # Bounds of the fit: bytes of the sample, and centroids held by every task.
 SAMPLE_BYTES, MAX_CENTROIDS = 32 << 20, 16_384
 ROWS_PER_LIST, ROUNDS = 256, 8
+# Lists hold so many vectors in tables of up to this size, and more by the square root of the growth beyond it.
+SMALL_TABLE = 16_384
 # A vector goes to at most so many lists, with centroids at most this ratio farther (squared) than its nearest.
-REPLICAS, BOUNDARY_RATIO = 4, 1.10
+REPLICAS, BOUNDARY_RATIO = 2, 1.05
 # A query reads lists whose centroids are at most this ratio farther (squared) than the nearest one, or the fitted one.
-LIST_RATIO = 1.3
+LIST_RATIO = 1.1
+# Lists that are scored before the others, to bound what those return.
+FIRST_LISTS = 4
 # Queries answered by brute force to fit the ratio, and the share of their neighbours to find: a margin over 0.9.
-TRIALS, AIM = 128, 0.96
+TRIALS, AIM = 128, 0.94
 LINKS, LONG_LINKS, BEAM = 24, 4, 256
 BLOCK = 4096
+# Distances that a task holds at once.
+HELD_DISTANCES = 1 << 22
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -82,13 +92,25 @@ def distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((points * points).sum(1)[:, None] + (centers * centers).sum(1)[None, :] - 2.0 * cross, 0.0)
 
 
+def by_rows(points: np.ndarray, centers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Distances of bounded blocks of points: ``(first row, distances)``."""
+    step = max(1, HELD_DISTANCES // max(len(centers), 1))
+    for start in range(0, len(points), step):
+        yield start, distances(points[start : start + step], centers)
+
+
+def list_count(n: int) -> int:
+    per_list = ROWS_PER_LIST * max(1.0, (n / SMALL_TABLE) ** 0.5)
+    return max(1, min(MAX_CENTROIDS, int(n / per_list)))
+
+
 def fit_centroids(points: np.ndarray, lists: int) -> np.ndarray:
     """K-Means rounds in which the smallest cluster moves into the largest while that has over twice the mean."""
     random = np.random.RandomState(4)
     lists = min(lists, len(points))
     centers = points[random.choice(len(points), lists, replace=False)].copy()
     for _ in range(ROUNDS):
-        nearest = np.concatenate([distances(points[i : i + 4096], centers).argmin(axis=1) for i in range(0, len(points), 4096)])
+        nearest = np.concatenate([far.argmin(axis=1) for _, far in by_rows(points, centers)])
         sizes = np.bincount(nearest, minlength=lists)
         sums = np.zeros_like(centers)
         np.add.at(sums, nearest, points)
@@ -107,7 +129,7 @@ def centroid_graph(centers: np.ndarray) -> np.ndarray:
     """Neighbours of every centroid: the nearest ones, and a few at random so that no part is cut off."""
     random = np.random.RandomState(5)
     near = min(LINKS, len(centers) - 1)
-    rows = [np.argsort(distances(centers[i : i + 1024], centers), axis=1, kind="stable")[:, 1 : near + 1] for i in range(0, len(centers), 1024)]
+    rows = [np.argsort(far, axis=1, kind="stable")[:, 1 : near + 1] for _, far in by_rows(centers, centers)]
     return np.hstack((np.vstack(rows), random.randint(len(centers), size=(len(centers), LONG_LINKS))))
 
 
@@ -160,11 +182,14 @@ def near_lists(query: np.ndarray, centers: np.ndarray, graph: np.ndarray | None,
 
 def list_members(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(row, list)``: the lists of every lifted point."""
-    far = distances(points, centers)
-    near = np.argsort(far, axis=1, kind="stable")[:, :REPLICAS]
-    value = np.take_along_axis(far, near, axis=1)
-    row, col = np.nonzero(value <= value[:, :1] * BOUNDARY_RATIO)
-    return row, near[row, col]
+    rows, found = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for start, far in by_rows(points, centers):
+        near = np.argsort(far, axis=1, kind="stable")[:, :REPLICAS]
+        value = np.take_along_axis(far, near, axis=1)
+        row, col = np.nonzero(value <= value[:, :1] * BOUNDARY_RATIO)
+        rows.append(row + start)
+        found.append(near[row, col])
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def fitted_ratio(stored: DataFrame, queries: DataFrame, centers: np.ndarray, top: float, k: int) -> float:
@@ -230,7 +255,7 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "ve
     top = stored.mapInArrow(lengths, "top double").agg(F.max("top")).first()[0]
     rows = max(1024, SAMPLE_BYTES // (8 * (width + 1)))
     sample = stored.select("v").orderBy(F.xxhash64("v"), "vec_id").limit(rows).toArrow()["v"]
-    centers = fit_centroids(lifted(matrix(sample), top), max(1, min(MAX_CENTROIDS, stored.count() // ROWS_PER_LIST)))
+    centers = fit_centroids(lifted(matrix(sample), top), list_count(stored.count()))
     shared = session.sparkContext.broadcast((centers, centroid_graph(centers) if len(centers) > 1 else None))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,20 +278,40 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "ve
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, graph = shared.value
         for batch in batches:
-            row, chosen = [], []
+            row, chosen, early = [], [], []
             for i, query in enumerate(matrix(batch.column("v"))):
                 found = near_lists(np.append(query, 0.0), centers, graph, ratio, 4 * (k + 1), sizes)
                 row += [i] * len(found)
                 chosen += found
+                early += [at < FIRST_LISTS for at in range(len(found))]
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int32()), batch.column("vec_id").take(at), batch.column("v").take(at)], ["list", "query_id", "q"])
+            columns = [pa.array(chosen, pa.int32()), pa.array(early, pa.bool_()), batch.column("vec_id").take(at), batch.column("v").take(at)]
+            yield pa.RecordBatch.from_arrays(columns, ["list", "early", "query_id", "q"])
+
+    asked = kept(queries.mapInArrow(route, "list int, early boolean, query_id long, q binary"), "asked")
+    first = kept(answers(asked.filter("early").withColumn("least", F.lit(float("-inf"))), lists, k, top), "first")
+    least = ranked(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    rest = asked.filter("not early").join(least, "query_id", "left").fillna(float("-inf"), ["least"])
+    return ranked(first.union(answers(rest, lists, k, top)), k)
 
-    asked = kept(queries.mapInArrow(route, "list int, query_id long, q binary"), "asked")
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k best of every query, a vector found in several lists once."""
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def answers(asked: DataFrame, lists: DataFrame, k: int, top: float) -> DataFrame:
+    """``(query_id, vec_id, score)``: of every asked list, the k best vectors whose score is at least ``least``.
+
+    Long lists and lists with many queries are dealt to blocks; a task holds one block of either.
+    """
     plan = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     plan = plan.join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "list")
     plan = kept(plan, "plan")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(plan, "list").select("list", every("blocks").alias("b"), F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("p"), "query_id", "q")
+    left = asked.join(plan, "list").select("list", every("blocks").alias("b"), F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("p"), "query_id", "q", "least")
     right = lists.join(plan, "list").select("list", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("b"), every("parts").alias("p"), "vec_id", "v")
 
     def score(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -275,22 +320,20 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "ve
             return schema.empty_table()
         ids, points = held["vec_id"].to_numpy(), matrix(held["v"])
         out = []
-        names, queries = asked["query_id"].to_numpy(), matrix(asked["q"])
+        names, queries, least = asked["query_id"].to_numpy(), matrix(asked["q"]), asked["least"].to_numpy()
         room = 1e-9 * top
         for start in range(0, len(names), 256):
             rough = queries[start : start + 256] @ points.T
             for i, query in enumerate(queries[start : start + 256], start):
-                own = ids == names[i]
-                line = np.where(own, -np.inf, rough[i - start])
-                kth = np.partition(line, -k)[-k] if len(line) > k else -np.inf
-                some = np.flatnonzero((line >= kth - room) & ~own)
+                line = np.where(ids == names[i], -np.inf, rough[i - start])
+                some = np.flatnonzero((line >= least[i] - room) & (line > -np.inf))
+                if len(some) > k:
+                    some = some[line[some] >= np.partition(line[some], -k)[-k] - room]
                 exact = (points[some] * query).sum(axis=1)
                 order = np.lexsort((ids[some], -exact))[:k]
+                order = order[exact[order] >= least[i]]
                 out.append((np.full(len(order), names[i]), ids[some][order], exact[order]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table([pa.array(c) for c in columns], schema=schema)
 
-    met = left.groupBy("list", "b", "p").cogroup(right.groupBy("list", "b", "p")).applyInArrow(score, "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("list", "b", "p").cogroup(right.groupBy("list", "b", "p")).applyInArrow(score, "query_id long, vec_id long, score double")
