@@ -87,3 +87,38 @@ def test_short_letter_only_and_dotted_keys_are_scored(documents, corpus):
 
 def test_empty(documents):
     assert secrets.secret_report(documents([])).collect() == []
+
+
+def test_held_out_labelled_strings(spark, documents, corpus):
+    """Labelled strings that the model has not seen, with words of the corpus' syllables: share found, and share that is right."""
+    import random
+
+    random.seed(9)
+    word = lambda: "".join(random.choice(["ka", "lo", "mi", "ru", "te", "so"]) for _ in range(random.randint(2, 3)))
+    number = lambda n: random.randrange(n)
+    ordinary = [
+        lambda: f"src/main/java/com/{word()}/{word().title()}.java",
+        lambda: f"//www.{word()}.com/{word()}/to/page",
+        lambda: f"20{number(25):02}-{number(12) + 1:02}-{number(28) + 1:02}T{number(24):02}",
+        lambda: f"1{number(99):02}.{number(256)}.{number(256)}.1{number(99):02}",
+        lambda: f"{word()}_{word()}_{word()}_id",
+        lambda: f"get{word().title()}{word().title()}ById",
+        lambda: word() + word() + word(),
+    ]
+    key = lambda n, of: "".join(random.choice(of) for _ in range(n))
+    letters = secrets.ALPHABET
+    keys = [lambda: key(random.randint(12, 40), letters[:62]), lambda: key(random.randint(16, 40), letters[:64]), lambda: key(24, letters[26:62]), lambda: key(15, letters[:62])]
+    plain = [(i, f"see {random.choice(ordinary)()} here") for i in range(700)]
+    hidden = [(i + 1000, f"see {random.choice(keys)()} here") for i in range(400)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(documents(plain + hidden), secrets.train(documents([r[:2] for r in corpus]))).collect()}
+    hits = sum(any(s["rank"] == 3 for s in found[i]) for i, _ in hidden)
+    false = sum(any(s["rank"] == 3 for s in found[i]) for i, _ in plain)
+    assert hits >= 0.9 * len(hidden), hits
+    assert hits >= 0.97 * (hits + false), (hits, false, [t for i, t in plain if found[i]][:20])
+
+
+def test_many_matches_in_one_text(documents):
+    text = " ".join(f"token={i:016x} word{i:05}with7long.tail AKIA{i:016}" for i in range(6000))
+    row = secrets.scan(documents([(1, text), (2, "x" + " " * 9000 + "deadbeef" * 2)])).orderBy("doc_id").collect()
+    assert [(s["start"], s["rank"], s["end"]) for s in row[0]["base"]] == [s[:3] for s in base(text)]
+    assert [(s["start"], s["end"]) for s in row[1]["base"]] == [(9001, 9017)]

@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
-DataFrame functions only. Two first-order Markov chains over characters are counted from labelled samples: random
-strings (values that the fixed patterns find) and ordinary identifiers (words of other places). Every run of at least
-``LEAST_TOKEN`` characters outside the pattern spans, with or without a digit, is reported when its mean log-likelihood
-ratio per transition is above a threshold, which is fitted on held-out samples and is higher for short runs. Patterns and scores run over whole texts in one pass without a shuffle.
+DataFrame functions only. Two first-order Markov chains over characters are counted from labelled samples. Random
+strings are the values that the fixed patterns find, and digests in the usual alphabets of keys. Ordinary ones are words
+of other places, and paths, addresses of pages and hosts, dates and identifiers put together from such words. Every run
+of at least ``LEAST_TOKEN`` characters outside the pattern spans, with or without a digit, is reported when its mean
+log-likelihood ratio per transition is above the threshold of its length, which is fitted on held-out samples. Patterns and
+scores run over whole texts in one pass without a shuffle.
 
 Positions are code points: the lengths of the gaps between matches and of the matches themselves, added up.
 """
@@ -11,6 +13,7 @@ Positions are code points: the lengths of the gaps between matches and of the ma
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,37 +35,44 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])(?<![A-Za-z0-9+/_=-]\.)(?=[A-Za-z0-9+/_.=-]{12})[
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 STATES = len(ALPHABET) + 1
 
-# Bounds of the training sample: random strings, and texts whose words are the ordinary identifiers.
-SAMPLE_STRINGS, SAMPLE_TEXTS = 5_000, 500
+# Bounds of the training sample: random strings of either origin, texts whose words are ordinary, and strings put
+# together from those words.
+SAMPLE_STRINGS, SAMPLE_TEXTS, SAMPLE_SHAPED = 5_000, 500, 12_000
 # Weight, in transitions, of the plain character frequencies against the counts of a state.
 BACK_OFF = 50.0
 # One string in so many of either sample is held out of the counts, to fit the thresholds.
 HELD_OUT = 5
-# Standard deviations between the mean ratio of ordinary strings of a length and the least threshold.
-APART = 4.0
+# Least lengths of the classes that have a threshold of their own. It is put halfway between the ratio that this share of
+# held-out ordinary strings stays below and the median of random ones.
+CLASSES = (12, 16, 20, 28)
+ORDINARY_BELOW = 0.999
+# Matches, and characters, that are taken together: the work within a text stays near its length.
+MATCHES, CELL = 256, 4096
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratios of all transitions, row after row; the threshold of a long token; mean and deviation of
-    the ratio of one transition in ordinary strings."""
+    """Log-likelihood ratios of all transitions, row after row, and the threshold of every class of lengths."""
 
     ratios: list[float]
-    middle: float
-    mean: float
-    deviation: float
+    thresholds: list[float]
 
 
 _SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def located(text: Column, pattern: str, rank: int, group: int, least: int) -> Column:
     """Matches of a pattern, leftmost and non-overlapping, whose ``group`` has at least ``least`` characters."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
     matches = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPANS).alias("out"))
+    start = lambda at, kind: F.struct(at.alias("at"), F.lit(None).cast(kind).alias("out"))
 
     def step(done: Column, m: Column) -> Column:
         begin = done.at + F.length(m.gap)
@@ -71,9 +81,40 @@ def located(text: Column, pattern: str, rank: int, group: int, least: int) -> Co
         found = F.coalesce(done.out, F.array().cast(_SPANS))
         return F.struct(end.alias("at"), F.when(F.length(m.value) >= least, F.array_append(found, span)).otherwise(found).alias("out"))
 
+    def begin(done: Column, size: Column) -> Column:
+        found = F.coalesce(done.out, F.array().cast("array<int>"))
+        return F.struct((done.at + size).alias("at"), F.array_append(found, done.at).alias("out"))
+
+    def spans(blocks: Column) -> Column:
+        # An array is copied when it grows, so spans are collected block by block.
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, m: n + F.length(m.gap) + F.length(m.whole)))
+        starts = F.aggregate(sizes, start(F.lit(0), "array<int>"), begin).out
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), starts.alias("at")), lambda b: F.aggregate(b.block, start(b.at, _SPANS), step).out))
+
+    def in_blocks(m: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / MATCHES).cast("int")), lambda b: F.slice(m, b * MATCHES + 1, MATCHES))
+
     # The last gap has no match.
-    spans = F.aggregate(F.filter(matches, lambda m: m.whole.isNotNull()), start, step).out
-    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast(_SPANS))
+    found = bound(bound(F.filter(matches, lambda m: m.whole.isNotNull()), in_blocks), spans)
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(_SPANS))
+
+
+def apart(tokens: Column, base: Column, length: Column) -> Column:
+    """The tokens that overlap no span of ``base``; each is held against the spans near it only."""
+
+    def of_cell(cell: Column, tokens: Column, base: Column) -> Column:
+        mine = F.filter(tokens, lambda t: (t.start >= cell * CELL) & (t.start < (cell + 1) * CELL))
+
+        def among(mine: Column) -> Column:
+            end = F.try_element_at(mine, F.lit(-1)).end
+            near = F.filter(base, lambda b: (b.end > cell * CELL) & (b.start < end))
+            return bound(near, lambda near: F.filter(mine, lambda t: ~F.exists(near, lambda b: (b.start < t.end) & (t.start < b.end))))
+
+        return bound(mine, among)
+
+    cells = F.sequence(F.lit(0), F.floor(length / CELL).cast("int"))
+    each = bound(tokens, lambda t: bound(base, lambda b: F.flatten(F.transform(cells, lambda cell: of_cell(cell, t, b)))))
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(each)
 
 
 def base_spans(text: Column) -> Column:
@@ -92,24 +133,66 @@ def _transitions(strings: DataFrame, name: str) -> DataFrame:
     return pairs.select(state(F.col("i")).alias("x"), state(F.col("i") + 1).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def shaped(words: DataFrame) -> DataFrame:
+    """``(value)``: paths, page and host addresses, dates and identifiers from an array column ``words`` of letter words."""
+    at = F.explode(F.when(F.size("words") > 3, F.sequence(F.lit(1), F.size("words") - 2, F.lit(3))))
+    three = words.select("words", at.alias("i")).select(F.slice("words", F.col("i"), 3).alias("w"))
+    three = three.select(*[F.col("w")[k].alias(f"w{k}") for k in range(3)], F.xxhash64("w").alias("h"))
+    lower = [F.lower(f"w{k}") for k in range(3)]
+    title = [F.initcap(f"w{k}") for k in range(3)]
+    number = lambda shift, below: F.pmod(F.shiftright("h", shift), F.lit(below)).cast("int")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), number(3, 25_000))
+    shapes = [
+        F.concat_ws("/", F.lit("src"), lower[0], lower[1], F.concat(title[2], F.lit(".java"))),
+        F.concat(F.lit("/"), F.concat_ws("/", *lower)),
+        F.concat(F.lit("//www."), lower[0], F.lit(".com/"), lower[1], F.lit("/"), lower[2]),
+        F.concat(lower[0], number(5, 100).cast("string"), F.lit("."), lower[1], F.lit(".org")),
+        F.concat_ws("_", *lower),
+        F.concat_ws("_", *map(F.upper, lower)),
+        F.concat_ws("-", *lower),
+        F.concat_ws(".", *lower),
+        F.concat(lower[0], title[1], title[2]),
+        F.concat(*title, number(7, 100).cast("string")),
+        F.concat_ws(".", *[number(8 * k, 256).cast("string") for k in range(4)]),
+        F.concat(F.date_format(day, "yyyy-MM-dd'T'"), F.lpad(number(9, 24).cast("string"), 2, "0")),
+        F.concat(F.date_format(day, "yyyy/MM/dd/"), lower[0]),
+        F.concat(lower[0], F.date_format(day, "-yyyy-MM-dd")),
+    ]
+    return three.select(F.explode(F.array(*shapes)).alias("value")).filter(F.length("value").between(LEAST_TOKEN, 60))
+
+
+def digests(seeds: DataFrame) -> DataFrame:
+    """``(value)``: a digest of every value, cut to 12 to 40 characters, in one of the usual alphabets of keys."""
+    h = F.xxhash64(F.lit("key"), "value")
+    text = F.base64(F.unhex(F.sha2(F.concat(F.lit("key "), "value"), 256)))
+    text = F.regexp_replace(text, "=", "")
+    bare = F.regexp_replace(text, "[+/]", "")
+    forms = F.array(text, bare, bare, F.upper(bare), F.lower(bare), F.regexp_replace(text, "[^A-Za-z]", ""), F.concat(F.substring(bare, 1, 9), F.lit("."), F.substring(bare, 10, 20)))
+    form = F.element_at(forms, F.pmod(h, F.lit(7)).cast("int") + 1)
+    return seeds.select(F.substring(form, F.lit(1), F.pmod(F.shiftright(h, 8), F.lit(29)).cast("int") + 12).alias("value"))
+
+
 def train(docs: DataFrame) -> Model:
-    """Log-likelihood ratios of all transitions (random against ordinary), row after row.
+    """Log-likelihood ratios of all transitions (random against ordinary), row after row, and thresholds.
 
-    The labelled samples are bounded: the ``SAMPLE_STRINGS`` pattern values first in hash order, and the words of the
-    ``SAMPLE_TEXTS`` different texts first in hash order among those without a pattern span. Only counts reach the driver, one per
-    transition at most. Without samples all ratios are 0 and nothing is reported.
+    The labelled samples are bounded. Random are the ``SAMPLE_STRINGS`` pattern values first in hash order and as many
+    digests. Ordinary are the words of the ``SAMPLE_TEXTS`` different texts first in hash order among those without a
+    pattern span, and the ``SAMPLE_SHAPED`` strings first in hash order of those put together from these words. Only
+    counts reach the driver, one per transition at most. Without ordinary strings all ratios are 0 and nothing is reported.
 
-    Strings held out of the counts give the mean and the deviation of the ratio in either sample. The threshold is as
-    many deviations from one mean as from the other but at least 0, and for short tokens ``APART`` deviations above ordinary strings.
+    Strings held out of the counts give the thresholds: for every class of lengths, halfway between the quantile that
+    ordinary strings stay below and the median of random ones, or the former where the two overlap.
     """
     texts = docs.select("text").filter("text is not null")
     marked = texts.filter(F.regexp_like("text", F.lit(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{16}}")))
     values = marked.select(F.explode(base_spans(F.col("text"))).alias("s")).select("s.value").distinct()
-    random_strings = first_by_hash(values, "value", SAMPLE_STRINGS)
     plain = texts.filter(~F.regexp_like("text", F.lit(f"{ASSIGN}|{ACCESS}|[0-9a-f]{{16}}")))
-    ordinary = first_by_hash(plain, "text", SAMPLE_TEXTS).select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value"))
+    plain = kept(first_by_hash(plain, "text", SAMPLE_TEXTS), "plain")
+    words = plain.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value"))
+    made = kept(first_by_hash(shaped(plain.select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("words"))), "value", SAMPLE_SHAPED), "shaped")
+    random_strings = first_by_hash(values, "value", SAMPLE_STRINGS).union(digests(first_by_hash(made, "value", SAMPLE_STRINGS)))
     held = F.pmod(F.xxhash64(F.lit("held out"), "value"), F.lit(HELD_OUT)) == 0
-    random_strings, ordinary = kept(random_strings, "random_strings"), kept(ordinary, "ordinary")
+    random_strings, ordinary = kept(random_strings, "random_strings"), kept(words.union(made), "ordinary")
     counts = []
     for strings in (random_strings, ordinary):
         table = [[0] * STATES for _ in range(STATES)]
@@ -117,25 +200,29 @@ def train(docs: DataFrame) -> Model:
             table[x][y] += n
         counts.append(table)
     if not all(sum(map(sum, t)) for t in counts):
-        return Model([0.0] * (STATES * STATES), 0.0, 0.0, 0.0)
+        return Model([0.0] * (STATES * STATES), [0.0] * len(CLASSES))
     random, plain_counts = map(_probabilities, counts)
     ratios = [math.log(random[x][y] / plain_counts[x][y]) for x in range(STATES) for y in range(STATES)]
-    (mean_r, dev_r), (mean_o, dev_o) = (_spread(strings, held, ratios) for strings in (random_strings, ordinary))
-    return Model(ratios, max((mean_o * dev_r + mean_r * dev_o) / max(dev_r + dev_o, 1e-9), 0.0), mean_o, dev_o)
+    low, high = _quantiles(ordinary.filter(held), ratios, ORDINARY_BELOW), _quantiles(random_strings.filter(held), ratios, 0.5)
+    return Model(ratios, [_between(low.get(c), high.get(c)) for c in range(len(CLASSES))])
+
+
+def length_class(value: Column) -> Column:
+    """Place of the length of a token in ``CLASSES``."""
+    return sum((F.length(value) >= c).cast("int") for c in CLASSES[1:])
+
+
+def _quantiles(strings: DataFrame, ratios: list[float], share: float) -> dict[int, float]:
+    """The quantile of the ratios of the strings of each class of lengths."""
+    scored = strings.filter(F.length("value") >= LEAST_TOKEN).select(length_class(F.col("value")).alias("c"), likelihood_ratio(F.col("value"), _table(ratios)).alias("r"))
+    return {r["c"]: r["q"] for r in scored.groupBy("c").agg(F.percentile("r", share).alias("q")).collect()}
 
 
-def _spread(strings: DataFrame, held: Column, ratios: list[float]) -> tuple[float, float]:
-    """Mean ratio of a transition and its deviation, from the sums of held-out strings (all, if none is held out)."""
-    n = F.length("value") - 1
-    total = likelihood_ratio(F.col("value"), _table(ratios)) * n
-    sums = [F.count(F.lit(1)), F.sum(n), F.sum(total), F.sum(n * n), F.sum(n * total), F.sum(total * total)]
-    usable = strings.filter(F.length("value") > 1)
-    found = usable.filter(held).agg(*sums).first()
-    if not found[0]:
-        found = usable.agg(*sums).first()
-    _, n1, t1, n2, nt, t2 = found
-    mean = t1 / n1
-    return mean, math.sqrt(max(t2 - 2 * mean * nt + mean * mean * n2, 0.0) / n1)
+def _between(low: float | None, high: float | None) -> float:
+    """Threshold between the ordinary strings up to ``low`` and the random ones around ``high``; 0 without strings."""
+    if low is None or high is None:
+        return max(low or 0.0, 0.0)
+    return max((low + high) / 2, low)
 
 
 def _table(ratios: list[float]) -> Column:
@@ -170,10 +257,10 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = train(docs) if model is None else model
     table = _table(model.ratios)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.select("doc_id", base_spans(F.col("text")).alias("base"), located(F.col("text"), TOKEN, 3, 0, LEAST_TOKEN).alias("tokens"))
-    apart = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b.start < t.end) & (t.start < b.end)))
-    least = lambda t: F.greatest(F.lit(model.middle), F.lit(model.mean) + F.lit(APART * model.deviation) / F.sqrt(F.length(t.value) - 1))
-    random = F.filter(apart, lambda t: likelihood_ratio(t.value, table) > least(t))
+    length = F.length("text")
+    found = texts.select("doc_id", length.alias("length"), base_spans(F.col("text")).alias("base"), located(F.col("text"), TOKEN, 3, 0, LEAST_TOKEN).alias("tokens"))
+    least = lambda t: F.element_at(F.array(*map(F.lit, model.thresholds)), length_class(t.value) + 1)
+    random = F.filter(apart(F.col("tokens"), F.col("base"), F.col("length")), lambda t: likelihood_ratio(t.value, table) > least(t))
     return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", random)).alias("spans"))
 
 
