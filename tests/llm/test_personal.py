@@ -149,3 +149,52 @@ def test_digest_and_empty(documents):
     assert by[2]["base_sha256"] == personal.digest("") and by[2]["spans"] == "" and by[2]["n_email"] == 0
     assert by[1]["n_email"] == sum(s[0] == 0 for s in plain(TEXTS[2]))
     assert personal.personal_report(documents([])).collect() == []
+
+
+def card(rng):
+    head = [rng.randrange(10) for _ in range(15)]
+    total = sum(sum(divmod(d * (2 - i % 2), 10)) for i, d in enumerate(head))
+    return "".join(map(str, [*head, -total % 10]))
+
+
+FORMS = [
+    lambda r, w, d: (0, f"{w()}.{w()} [at] {w()}.org"),
+    lambda r, w, d: (0, f"{w()}{d(2)}(at){w()}.{w()}.com"),
+    lambda r, w, d: (0, f"{w()}@{w()}host"),
+    lambda r, w, d: (1, "[.]".join(str(r.randint(1, 255)) for _ in range(4))),
+    lambda r, w, d: (2, "/".join(re.findall("....", card(r)))),
+    lambda r, w, d: (3, f"({d(3)}) {d(3)} {d(4)}"),
+    lambda r, w, d: (3, f"{d(3)}-{d(3)}-{d(4)}"),
+    lambda r, w, d: (3, f"{d(3)}.{d(3)}.{d(4)}"),
+]
+
+
+def test_held_out_reworded_spans_and_clean_texts(spark, documents):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ru"]) for _ in range(rng.randint(1, 3)))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    line = lambda: " ".join(word() for _ in range(rng.randint(3, 25)))
+    learn = [r[:2] for r in sentences(400, 1)] + [(1000 + i, f"{line()} {card(rng)} {line()}") for i in range(100)]
+    rows, true = [], {}
+    for i in range(400):
+        before, (kind, made) = line(), FORMS[i % len(FORMS)](rng, word, digits)
+        rows.append((i, f"{before} {made} {line()}"))
+        true[i] = (kind, len(before) + 1, len(before) + 1 + len(made))
+    clean = [f"in {digits(4)} there were {digits(2)}", f"on 20{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)} at 10:45", f"version 3.{digits(1)}.{digits(2)}", f"for 1,{digits(3)}.50", "look at them"]
+    rows += [(1000 + i, f"{line()} {clean[i % len(clean)]} {line()}") for i in range(300)]
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in personal.scan(documents(rows), personal.train(documents(learn))).collect()}
+    hits = [sum(true[i][0] == k and any(s[0] == k and s[1] < true[i][2] and true[i][1] < s[2] for s in found[i]) for i in true) for k in range(4)]
+    whole = sum(true[i] in found[i] for i in true)
+    left = sum(not found[1000 + i] for i in range(300))
+    assert whole >= 0.8 * len(true) and left >= 0.99 * 300, (hits, whole, left, [rows[400 + i][1] for i in range(300) if found[1000 + i]][:5])
+
+
+def test_spans_cross_windows():
+    text = "x" * 40 + "a" * 100 + "@b " + "y" * 200
+    starts = np.arange(0, len(text), 32)
+    tags, sure = np.zeros((len(starts), 64), dtype=int), np.ones((len(starts), 64))
+    for i, start in enumerate(starts):
+        at = np.arange(start, start + 64)
+        tags[i] = np.where((at >= 40) & (at < 142), 2, 0)
+        tags[i, (at == 40) | ((at == start) & (at > 40) & (at < 142))] = 1
+    assert personal.reconciled(starts, tags, sure, text) == [(0, 40, 142)]

@@ -2,11 +2,13 @@
 
 The network reads windows of characters in both directions; a linear-chain CRF over begin/inside tags of the four
 kinds makes the tags of a window fit each other. It is trained on windows of a bounded sample of texts, labelled by the
-spans of the patterns, by plain gradient descent on the CRF likelihood with momentum-free Adam steps and a fixed seed.
+spans of the patterns, and of the same texts with these spans reworded into forms that no pattern takes (masked at
+signs, other separators, numbers without a plus) or replaced by ordinary numbers, by gradient descent on the CRF
+likelihood with Adam steps and a fixed seed.
 
-At work, windows of a fixed grid overlap by half. Only windows with a character that every kind needs (a digit or
-an at sign) are decoded; all others can hold no span. Every span is seen by up to two windows; the reading in which it
-lies farther from the window's edges wins, and a text's spans are reconciled over all its windows. The network adds
+At work, windows of a fixed grid overlap by half. Only windows near a digit, an at sign or a masked one are decoded; all
+others can hold no span. Every character takes its tag from the window in which it lies farthest from the edges, and
+spans are read from these tags over the whole text, so that a span of any length may cross windows. The network adds
 spans that the patterns miss; pattern spans always stay.
 
 Patterns are matched as they stand, but in time linear in the text. Positions are code points.
@@ -35,14 +37,20 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}", re.ASCII)
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+", re.ASCII)
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]", re.ASCII)
 _TRIGGER = re.compile(r"[0-9@]")
+# At signs in words. Bounded runs keep the search linear.
+_MASKED = re.compile(r"[\[({<]\x20?at\x20?[\])}>]|\x20at\x20(?=[A-Za-z0-9-]{1,63}\x20dot\x20)", re.ASCII | re.I)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 WINDOW, STRIDE = 64, 32
 TAGS = 1 + 2 * len(KINDS)
 CHARS, EMBED, HIDDEN = 98, 12, 16
-# Bounds of the training sample: texts with spans, texts with a trigger but no span, windows in all, and characters of
-# a text that may be in the sample.
-SAMPLE_TEXTS, SAMPLE_WINDOWS, SAMPLE_LENGTH = 600, 1500, 20_000
+# Bounds of the training sample: texts with spans, texts with a digit but no span, windows in all, and characters of
+# a text that may be in the sample (longer texts are scanned like all others). Windows are taken in these shares: as they
+# stand, reworded, with ordinary numbers, and of texts without spans.
+SAMPLE_TEXTS, SAMPLE_WINDOWS, SAMPLE_LENGTH = 600, 3000, 20_000
+SHARES = (0.25, 0.45, 0.15, 0.15)
+# Versions made of a text with spans.
+VERSIONS = 8
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 # A span of the network needs this mean probability per character.
 CONFIDENCE = 0.9
@@ -223,29 +231,91 @@ def tag_windows(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarra
         tags[start:end] = 2 + 2 * kind
         tags[start] = 1 + 2 * kind
     at = np.flatnonzero(((codes >= ord("0") - 31) & (codes <= ord("9") - 31)) | (codes == ord("@") - 31))
-    grid = np.unique(np.concatenate((at // STRIDE, np.maximum(at // STRIDE - 1, 0)))) * STRIDE
+    masked = np.array([m.start() for m in _MASKED.finditer(text)], dtype=np.int64)
+    cells = np.unique(np.concatenate((at, masked)) // STRIDE)
+    last = max(len(codes) - 1, 0) // STRIDE
+    grid = np.unique(np.clip(np.concatenate((cells - 1, cells, cells + 1)), 0, last)) * STRIDE
     reach = grid[:, None] + np.arange(WINDOW)
     inside = reach < len(codes)
     reach = np.minimum(reach, max(len(codes) - 1, 0))
     return grid, np.where(inside, codes[reach], 0), np.where(inside, tags[reach], 0)
 
 
+def _digits(rng: np.random.RandomState, n: int) -> str:
+    return "".join(map(str, rng.randint(0, 10, n)))
+
+
+def reworded(kind: int, piece: str, rng: np.random.RandomState) -> str:
+    """A span of a kind in a form that its pattern does not take."""
+    one = lambda *forms: forms[rng.randint(len(forms))]
+    if kind == 0:
+        local, domain = piece.split("@", 1)
+        form = rng.randint(4)
+        if form == 0:
+            return f"{local}@{domain.split('.')[0]}"
+        if form == 1:
+            return f"{local} at {domain.replace('.', ' dot ')}"
+        return local + one(" [at] ", "[at]", " (at) ", "(at)") + domain.replace(".", one(".", ".", "[dot]", " [dot] ", " (dot) "))
+    if kind == 1:
+        return piece.replace(".", one("[.]", "(.)", " . ", "[dot]"))
+    digits = "".join(c for c in piece if "0" <= c <= "9")
+    if kind == 2:
+        return one(".", "/", "_", " - ", ", ").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
+    return one(f"({a}) {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{a[:2]} {b} {a}{c}", f"{a}/{b}{c}")
+
+
+def ordinary(rng: np.random.RandomState) -> str:
+    """Numbers and phrases that are no personal data."""
+    n = rng.randint(1, 10_000)
+    date = f"{rng.randint(1900, 2100)}-{rng.randint(1, 13):02}-{rng.randint(1, 29):02}"
+    clock = f"{rng.randint(24):02}:{rng.randint(60):02}"
+    forms = (str(n), f"{n}.{n % 100:02}", date, f"{date}T{clock}", f"{date} {clock}:07", clock, f"{n % 9}.{n % 17}.{n % 23}", f"{n},{_digits(rng, 3)}.50")
+    forms += (f"{1900 + n % 99}-{2000 + n % 99}", f"{n % 31}/{n % 12}/{1990 + n % 40}", _digits(rng, 6), _digits(rng, rng.randint(5, 9)), f"A{n}-{_digits(rng, 3)}", f"at {n}", f"{n} dot {n % 7}")
+    return forms[rng.randint(len(forms))]
+
+
+def rewritten(text: str, spans: list[tuple[int, int, int]], rng: np.random.RandomState, same: bool) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its spans reworded, and where they are now; or (not ``same``) with ordinary numbers in their place."""
+    parts, marks, done, length = [], [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda s: s[1]):
+        if a < done:
+            continue
+        piece = reworded(kind, text[a:b], rng) if same else ordinary(rng)
+        parts += [text[done:a], piece]
+        length += a - done
+        if same:
+            marks.append((kind, length, length + len(piece)))
+        length, done = length + len(piece), b
+    return "".join([*parts, text[done:]]), marks
+
+
 def train(docs: DataFrame) -> Tagger:
     """Fit the tagger on windows of a bounded, hash-ordered sample of texts, labelled by the patterns.
 
     At most ``SAMPLE_TEXTS`` different texts with an at sign, plus or long number and as many without, none longer than
-    ``SAMPLE_LENGTH``, and of them ``SAMPLE_WINDOWS`` windows. Without any window the fresh network is returned and finds nothing.
+    ``SAMPLE_LENGTH``, and of them ``SAMPLE_WINDOWS`` windows. Windows of a text as it stands, reworded and with ordinary numbers are
+    drawn in ``SHARES``. Without any window the fresh network is returned and finds nothing.
     """
     some = docs.select("text").filter(F.length("text") <= SAMPLE_LENGTH)
     likely = some.filter(F.regexp_like("text", F.lit(r"@|\+[0-9]|[0-9][0-9. -]{11}")))
     other = some.filter(F.regexp_like("text", F.lit("[0-9]")) & ~F.regexp_like("text", F.lit(r"@|\+[0-9]|[0-9][0-9. -]{11}")))
     rng = np.random.RandomState(6)
+    first = [(t, base_spans(t)) for t in sorted(r[0] for r in first_by_hash(likely, "text", SAMPLE_TEXTS).collect())]
+    marked = [(t, s) for t, s in first if s]
+    without = [tag_windows(r[0], []) for r in sorted(first_by_hash(other, "text", SAMPLE_TEXTS).collect())]
+    near = lambda made: [(c[k], t[k]) for _, c, t in made for k in [t.any(axis=1)] if k.any()]
+    versions = lambda same: [rewritten(t, s, rng, same) for t, s in marked for _ in range(VERSIONS if same else 1)]
+    plain = lambda made: [(c, t) for _, c, t in made if len(c)]
+    sets = [plain(tag_windows(t, s) for t, s in first), near(tag_windows(t, s) for t, s in versions(True)), plain(tag_windows(t, []) for t, _ in versions(False)), plain(without)]
     windows = []
-    for rows, share in ((likely, 0.8), (other, 0.2)):
-        made = [tag_windows(r[0], base_spans(r[0])) for r in sorted(first_by_hash(rows, "text", SAMPLE_TEXTS).collect())]
+    for made, share in zip(sets, SHARES, strict=True):
         if made:
-            codes, tags = np.concatenate([m[1] for m in made]), np.concatenate([m[2] for m in made])
-            pick = rng.permutation(len(codes))[: int(SAMPLE_WINDOWS * share)]
+            codes, tags = (np.concatenate(p) for p in zip(*made, strict=True))
+            # Windows with a span come first where there are many without.
+            pick = rng.permutation(len(codes))
+            pick = pick[np.argsort(~tags[pick].any(axis=1), kind="stable")] if made is sets[0] else pick
+            pick = pick[: int(SAMPLE_WINDOWS * share)]
             windows.append((codes[pick], tags[pick]))
     tagger = Tagger.fresh()
     if not windows:
@@ -268,35 +338,54 @@ def train(docs: DataFrame) -> Tagger:
     return tagger
 
 
+# What a span of the network must hold. Numbers of digits: (least, most) by kind.
+_AT = re.compile(r"@|\bat\b", re.ASCII | re.I)
+DIGITS = {1: (4, 12), 2: (13, 19), 3: (7, 15)}
+
+
+def plausible(kind: int, part: str) -> bool:
+    """An email holds an at sign or its name, every other kind its digits; those of a card pass Luhn's test."""
+    if kind == 0:
+        return bool(_AT.search(part))
+    digits = "".join(c for c in part if "0" <= c <= "9")
+    least, most = DIGITS[kind]
+    return least <= len(digits) <= most and (kind != 2 or luhn(digits))
+
+
 def reconciled(starts: np.ndarray, tags: np.ndarray, sure: np.ndarray, text: str) -> list[tuple[int, int, int]]:
     """Spans of one text from the tags of its windows, without overlaps, by start.
 
-    A span counts where it is confident and whole. Of readings that overlap, the one farthest from its window's edges
-    stays; the ends of a text are no edges.
+    Every character takes its tag from the window in which it lies farthest from the edges; the ends of a text are no edges.
+    A span runs from a begin tag over the inside tags that follow; where another window takes over, a begin tag of the
+    same kind goes on with the span. A span counts where it is confident and plausible.
     """
-    found = {}
-    for start, row, value in zip(starts.tolist(), tags, sure, strict=True):
-        at = 0
-        while at < WINDOW:
-            kind = (int(row[at]) - 1) // 2
-            if row[at] == 0 or row[at] % 2 == 0:
-                at += 1
-                continue
-            end = at + 1
-            while end < WINDOW and row[end] == 2 + 2 * kind:
-                end += 1
-            left, right = (at if start else WINDOW), (WINDOW - end if start + WINDOW < len(text) else WINDOW)
-            if min(left, right) > 0 and value[at:end].mean() >= CONFIDENCE and start + end <= len(text):
-                span = (kind, start + at, start + end)
-                found[span] = max(found.get(span, 0), min(left, right))
-            at = end
+    size = len(text)
+    tag, value = np.zeros(size, dtype=np.int8), np.zeros(size, dtype=np.float32)
+    source, inside = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int16)
+    step = np.arange(WINDOW)
+    for parity in (0, 1):  # windows of one parity do not overlap
+        pick = np.flatnonzero((starts // STRIDE) % 2 == parity)
+        left = np.where(starts[pick, None] == 0, WINDOW, step + 1)
+        depth = np.minimum(left, np.where(starts[pick, None] + WINDOW >= size, WINDOW, WINDOW - step))
+        place = starts[pick, None] + step
+        better = (place < size) & (depth > inside[np.minimum(place, size - 1)])
+        at = place[better]
+        tag[at], value[at], inside[at] = tags[pick][better], sure[pick][better], depth[better]
+        source[at] = np.broadcast_to(pick[:, None], place.shape)[better]
+    some = np.flatnonzero(tag)
+    if len(some) == 0:
+        return []
+    kind = (tag[some].astype(np.int64) - 1) // 2
+    follows = np.concatenate(([False], (np.diff(some) == 1) & (kind[1:] == kind[:-1])))
+    seam = np.concatenate(([False], source[some[1:]] != source[some[:-1]]))
+    first = np.flatnonzero(~follows | ((tag[some] % 2 == 1) & ~seam))
+    last = np.append(first[1:], len(some)) - 1
     chosen = []
-    for (kind, a, b), _ in sorted(found.items(), key=lambda f: (-f[1], f[0][1], f[0])):
-        part = text[a:b]
-        # Each kind needs an at sign or some digits; without them a reading is no such span.
-        if ("@" in part if kind == 0 else sum("0" <= c <= "9" for c in part) >= 7) and all(b <= c[1] or c[2] <= a for c in chosen):
-            chosen.append((kind, a, b))
-    return sorted(chosen, key=lambda s: s[1])
+    for i, j in zip(first.tolist(), last.tolist(), strict=True):
+        a, b = int(some[i]), int(some[j]) + 1
+        if tag[a] % 2 == 1 and value[a:b].mean() >= CONFIDENCE and plausible(int(kind[i]), text[a:b]):
+            chosen.append((int(kind[i]), a, b))
+    return chosen
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -319,7 +408,7 @@ def scan(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 base = [base_spans(t) for t in texts]
                 places, starts, codes = [], [], []
                 for i, text in enumerate(texts):
-                    if text and _TRIGGER.search(text):
+                    if text and (_TRIGGER.search(text) or _MASKED.search(text)):
                         grid, window, _ = tag_windows(text, [])
                         places.append((i, len(grid))), starts.append(grid), codes.append(window)
                 every = [list(b) for b in base]
