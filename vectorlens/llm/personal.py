@@ -47,13 +47,13 @@ CHARS, EMBED, HIDDEN = 98, 12, 16
 # Bounds of the training sample: texts with spans, texts with a digit but no span, windows in all, and characters of
 # a text that may be in the sample (longer texts are scanned like all others). Windows are taken in these shares: as they
 # stand, reworded, with ordinary numbers, and of texts without spans.
-SAMPLE_TEXTS, SAMPLE_WINDOWS, SAMPLE_LENGTH = 600, 3000, 20_000
+SAMPLE_TEXTS, SAMPLE_WINDOWS, SAMPLE_LENGTH = 600, 4500, 20_000
 SHARES = (0.25, 0.45, 0.15, 0.15)
 # Versions made of a text with spans.
 VERSIONS = 8
-EPOCHS, BATCH, RATE = 6, 32, 0.01
+EPOCHS, BATCH, RATE = 8, 64, 0.015
 # A span of the network needs this mean probability per character.
-CONFIDENCE = 0.9
+CONFIDENCE = 0.8
 _DECODE = 256
 
 
@@ -241,15 +241,28 @@ def tag_windows(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarra
     return grid, np.where(inside, codes[reach], 0), np.where(inside, tags[reach], 0)
 
 
+_NAME = re.compile(r"(?<![A-Za-z])[A-Za-z]{2,10}(?![A-Za-z])", re.ASCII)
+
+
+def short_context(text: str, spans: list[tuple[int, int, int]], rng: np.random.RandomState) -> tuple[str, list[tuple[int, int, int]]]:
+    """One of the spans with up to 40 characters on either side, as a text of its own."""
+    kind, a, b = spans[rng.randint(len(spans))]
+    start, end = max(0, a - rng.randint(41)), b + rng.randint(41)
+    inside = [(k, max(x, start) - start, min(y, end) - start) for k, x, y in spans if x < end and y > start]
+    return text[start:end], inside
+
+
 def _digits(rng: np.random.RandomState, n: int) -> str:
     return "".join(map(str, rng.randint(0, 10, n)))
 
 
-def reworded(kind: int, piece: str, rng: np.random.RandomState) -> str:
-    """A span of a kind in a form that its pattern does not take."""
+def reworded(kind: int, piece: str, words: list[str], rng: np.random.RandomState) -> str:
+    """A span of a kind in a form that its pattern does not take; half of the emails are made of ``words``."""
     one = lambda *forms: forms[rng.randint(len(forms))]
     if kind == 0:
         local, domain = piece.split("@", 1)
+        if words and rng.randint(2):
+            local, domain = one(one(*words), f"{one(*words)}.{one(*words)}", f"{one(*words)}{rng.randint(100)}"), f"{one(*words)}.{one('com', 'org', 'net', 'de', 'co.uk')}"
         form = rng.randint(4)
         if form == 0:
             return f"{local}@{domain.split('.')[0]}"
@@ -278,10 +291,11 @@ def ordinary(rng: np.random.RandomState) -> str:
 def rewritten(text: str, spans: list[tuple[int, int, int]], rng: np.random.RandomState, same: bool) -> tuple[str, list[tuple[int, int, int]]]:
     """The text with its spans reworded, and where they are now; or (not ``same``) with ordinary numbers in their place."""
     parts, marks, done, length = [], [], 0, 0
+    words = sorted(set(_NAME.findall(text)))
     for kind, a, b in sorted(spans, key=lambda s: s[1]):
         if a < done:
             continue
-        piece = reworded(kind, text[a:b], rng) if same else ordinary(rng)
+        piece = reworded(kind, text[a:b], words, rng) if same else ordinary(rng)
         parts += [text[done:a], piece]
         length += a - done
         if same:
@@ -306,8 +320,9 @@ def train(docs: DataFrame) -> Tagger:
     without = [tag_windows(r[0], []) for r in sorted(first_by_hash(other, "text", SAMPLE_TEXTS).collect())]
     near = lambda made: [(c[k], t[k]) for _, c, t in made for k in [t.any(axis=1)] if k.any()]
     versions = lambda same: [rewritten(t, s, rng, same) for t, s in marked for _ in range(VERSIONS if same else 1)]
+    cut = lambda made: [short_context(t, s, rng) if i % 2 and s else (t, s) for i, (t, s) in enumerate(made)]
     plain = lambda made: [(c, t) for _, c, t in made if len(c)]
-    sets = [plain(tag_windows(t, s) for t, s in first), near(tag_windows(t, s) for t, s in versions(True)), plain(tag_windows(t, []) for t, _ in versions(False)), plain(without)]
+    sets = [plain(tag_windows(t, s) for t, s in first), near(tag_windows(t, s) for t, s in cut(versions(True))), plain(tag_windows(t, []) for t, _ in versions(False)), plain(without)]
     windows = []
     for made, share in zip(sets, SHARES, strict=True):
         if made:
