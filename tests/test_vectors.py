@@ -200,3 +200,33 @@ def test_representatives_without_small_centers(vectors_frame, few_points, monkey
     small = values(summary.representatives(df, "label"), "cluster", "rank", "uuid")
     monkeypatch.setattr(summary, "MAX_CENTER_BYTES", 8)
     assert values(summary.representatives(df, "label"), "cluster", "rank", "uuid") == small
+
+
+def test_many_small_blocks_make_few_tasks(spark, vectors_frame, many_points, monkeypatch):
+    """Blocks share tasks: a row travels once to each task that needs it, not once to every block of centers."""
+    rows, centers = clustering._parts(100_000, 34_000, 64, 200, 60)
+    assert centers == 1 and rows == clustering.TASKS
+    rows, centers = clustering._parts(600_000, 200_000, 64, 200, 60)
+    assert centers <= 4 and rows <= 12
+    points = many_points[:, :6]
+    df = vectors_frame(points)
+    table = spark.createDataFrame([(k, [float(v) for v in points[k * 3]]) for k in range(30)], "k int, c array<double>")
+    near = ((points[:, None].astype(float) - points[None, :90:3].astype(float)) ** 2).sum(axis=2)
+    # Parts of several blocks on both sides.
+    monkeypatch.setattr(clustering, "TASK_BYTES", 20 * 8 * 6)
+    assert clustering._parts(96, 30, 6, 7, 4) == (12, 2)
+    found = clustering.assign_to_table(df, table, "uuid", "emb", "k", "c", 7, 4).collect()
+    assert {r["uuid"]: r["cluster"] for r in found} == dict(enumerate(near.argmin(axis=1).tolist()))
+
+
+def test_nearest_with_ties_and_elements_that_are_not_finite():
+    random = np.random.RandomState(5)
+    for turn in range(6):
+        points, centers = (random.randint(-2, 3, (n, 3)).astype(float) for n in (300, 50))
+        if turn % 2:
+            points[::9, 0], points[1::9, 1], centers[::7, 2] = np.nan, np.inf, np.nan
+        with np.errstate(all="ignore"):
+            where, dist = clustering._nearest(points, centers, 7 + turn)
+            all_of = ((points[:, None] - centers[None]) ** 2).sum(axis=2)
+        best = np.argsort(all_of, axis=1, kind="stable")[:, 0]
+        assert (where == best).all() and np.array_equal(dist, all_of[np.arange(300), best], equal_nan=True)
