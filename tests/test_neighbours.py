@@ -208,3 +208,27 @@ def test_refined_graph_of_copies_odd_ids_and_small_tables(spark):
 def test_layout_rejects_other_methods(vectors_frame, few_points):
     with pytest.raises(ValueError):
         layout.neighbour_layout(vectors_frame(few_points), "ISOMAP")
+
+
+def test_small_cells_share_a_region():
+    """A query travels once to every region it visits, however many cells and blocks the region holds."""
+    centers = np.random.RandomState(8).randn(800, 16)
+    regions_of, regions = neighbours._regions(centers, dict.fromkeys(range(800), 128), 131_072)
+    assert regions == 1 and set(regions_of.values()) == {(0, 1)}
+    rows_of = {cell: 50 + cell for cell in range(100)} | {100: 1000}
+    regions_of, regions = neighbours._regions(centers[:101], rows_of, 300)
+    held = np.zeros(regions)
+    for cell, (first, parts) in regions_of.items():
+        held[first : first + parts] += rows_of[cell] / parts
+    assert regions_of[100][1] == 4 and (held > 0).all() and (held <= 300).all()
+
+
+@pytest.mark.parametrize("block_rows", [40, 7])
+def test_exact_graph_in_several_regions_and_parts(vectors_frame, monkeypatch, block_rows):
+    monkeypatch.setattr(neighbours, "POINT_BYTES", 8 * 6 * 60)
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 8 * 6 * 25)
+    points = np.random.RandomState(9).randn(200, 6)
+    points[::10] = points[3]
+    points[1::8] = np.round(points[1::8])
+    graph = neighbours.knn_graph(vectors_frame(points), 6, block_rows=block_rows)
+    assert found(graph) == brute(points, list(range(200)), 6)
