@@ -148,3 +148,15 @@ def test_many_pieces_and_buckets(documents, corpus, monkeypatch):
     monkeypatch.setattr(brown, "WORDS_PER_BUCKET", 700)
     docs = documents(corpus[:60] + corpus[180:]).repartition(5)
     assert base_of(brown.score_report(docs, **SMALL).collect()) == brute_base(corpus[:60] + corpus[180:])
+
+
+def test_context_is_counted_over_all_pieces(spark):
+    """A word that is rare in some pieces, or in all of them, counts as often as it occurs."""
+    fill = [[f"{side}{i}" for i in range(20_000)] for side in "xy"]
+    first, second = fill[0] + ["a"] * 5 + ["b"] * 4 + ["c"] * 6 + ["d"], fill[1] + ["a"] * 2 + ["b"] * 4 + ["d"]
+    ids = [i for i in range(50) if not is_held(i)][:2]
+    docs = spark.createDataFrame(list(zip(ids, [" ".join(first), " ".join(second)], strict=True)), "doc_id long, text string").repartition(2, "doc_id")
+    words, total = brown.context_words(brown.training_rows(docs), 5)
+    names = brown.find_words(brown.pa.array(["b a c d"])).hashes()
+    assert words.tolist() == [int(brown.END), *names.tolist()]
+    assert total >= 40_006

@@ -34,8 +34,8 @@ from vectorlens.session import fresh_path
 CONTEXT = 4096
 CLASSES = 64
 ROUNDS = 16
-# A word is a candidate for the context if it makes up this share of the words of some piece.
-CANDIDATE_SHARE = 1 / 8192
+# Different words whose counts a task holds before it passes them on.
+WORDS_HELD = 1_000_000
 # Words of pieces that meet in one bucket, on average.
 WORDS_PER_BUCKET = 500_000
 # Tokens of documents in one row of the encoded pieces; a longer document has a row of its own.
@@ -89,21 +89,35 @@ def _learned(piece: pa.RecordBatch, counts: np.ndarray) -> np.ndarray:
     return np.repeat(~piece.column("held").to_numpy(zero_copy_only=False), counts)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frequent words of each piece, and under a null word how many different words the piece holds."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every word with its count, summed over the pieces of a task, and under a null word how many different words each piece holds."""
+
+    def batch_of(words: np.ndarray, n: np.ndarray, different: int) -> pa.RecordBatch:
+        names = pa.array(np.append(words.view(np.int64), 0), mask=np.append(np.zeros(len(words), bool), True))
+        return pa.RecordBatch.from_arrays([names, pa.array(np.append(n, different))], ["word", "n"])
+
+    words, counts, different = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), 0
     for batch in batches:
         for piece in pieces(batch):
-            tokens, counts = tokens_of(piece)
-            learned = tokens[_learned(piece, counts)]
-            words, n = np.unique(learned[learned != END], return_counts=True)
-            chosen = n >= CANDIDATE_SHARE * len(learned)
-            names = pa.array(np.append(words[chosen].view(np.int64), 0), mask=np.append(np.zeros(int(chosen.sum()), bool), True))
-            yield pa.RecordBatch.from_arrays([names, pa.array(np.append(n[chosen], len(np.unique(tokens))))], ["word", "n"])
+            tokens, lengths = tokens_of(piece)
+            learned = tokens[_learned(piece, lengths)]
+            found, n = np.unique(learned[learned != END], return_counts=True)
+            different += len(np.unique(tokens))
+            words, where = np.unique(np.concatenate((words, found)), return_inverse=True)
+            counts = np.bincount(where, weights=np.concatenate((counts, n)), minlength=len(words)).astype(np.int64)
+            if len(words) > WORDS_HELD:
+                yield batch_of(words, counts, different)
+                words, counts, different = words[:0], counts[:0], 0
+    yield batch_of(words, counts, different)
 
 
 def context_words(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """Hashes of the context, the end of a text first and the others by falling count; and all words of all pieces."""
-    found = kept(rows.mapInArrow(_candidates, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-candidates")
+    """Hashes of the context, the end of a text first and the others by falling count; and all words of all pieces.
+
+    Every word of the training texts is counted, so these are the most frequent ones. The others are not left out: their
+    counts meet in buckets, and each enters the class that gains most from it (:func:`_classify`).
+    """
+    found = kept(rows.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     total = found.filter("word IS NULL").agg(F.sum("n")).first()[0] or 0
     words = found.filter("word IS NOT NULL").orderBy(F.col("n").desc(), "word").limit(size - 1).collect()
     return np.array([END, *[np.int64(r["word"]).view(np.uint64) for r in words]], dtype=np.uint64), total
