@@ -100,3 +100,27 @@ def test_trigrams_do_not_cross_texts():
     row, code, has = language.trigrams(pa.array(["ab", None, "", "c", "-", "𝒳é"]))
     assert has.tolist() == [True, False, False, True, False, True]
     assert np.bincount(row, minlength=6).tolist() == [2, 0, 0, 1, 0, 2]
+
+
+def test_quantiles_are_exact(spark):
+    draw = np.random.RandomState(4)
+    rows = [("whole", 5, float(x)) for x in draw.beta(5, 2, 3000)] + [("noise", 5, float(x)) for x in draw.randint(0, 4, 500) / 3]
+    rows += [("whole", 6, 0.25)] * 30 + [("whole", 7, 0.5)] * (language.FEWEST - 1)
+    wanted = {"whole": 0.001, "noise": 0.99}
+    found = language._quantiles(spark.createDataFrame(rows, "kind string, c int, score double"), wanted)
+    expected = {key: np.quantile([s for k, c, s in rows if (k, c) == key], wanted[key[0]]) for key in [("whole", 5), ("noise", 5), ("whole", 6)]}
+    assert found.keys() == expected.keys()
+    assert all(abs(found[key] - expected[key]) < 1e-12 for key in expected)
+
+
+def test_least_cosines_hear_every_labelled_text(spark, monkeypatch):
+    """More texts than any sample once held: the lowest scores of all of them set the bound, repeats counted."""
+    scores = []
+    plain = language._quantiles
+    monkeypatch.setattr(language, "_quantiles", lambda rows, wanted: scores.append(rows.groupBy("kind").count().collect()) or plain(rows, wanted))
+    random.seed(6)
+    texts = [(text("aabbcc"[2 * (i % 3) :][:2], 4), "aa") for i in range(2500)] + [(text("aa", 30), "aa")] * 40
+    labelled = spark.createDataFrame(texts, "text string, lang string")
+    model = language.prototypes(spark.createDataFrame([(t, lang) for _, t, lang in made(30)], "text string, lang string"))
+    assert language.least_cosines(labelled, model)
+    assert {r["kind"]: r["count"] for r in scores[0]}["whole"] == 2540

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorlens.llm.tables import first_by_hash, kept
+from vectorlens.llm.tables import kept
 from vectorlens.llm.words import pieces
 
 WIDTH = 512
@@ -28,10 +28,12 @@ LETTERS = 64
 UNKNOWN = "und"
 # Texts whose trigram counts stand in one dense matrix.
 TEXTS_AT_ONCE = 128
-# The filtering stage compares texts of a like number of different trigrams, in classes that double. Bounds of the samples that
-# set the least cosine of a class: labelled texts of the held-out fold, pieces cut from each, and random texts.
+# The filtering stage compares texts of a like number of different trigrams, in classes that double. What sets the least
+# cosine of a class: all labelled texts of the held-out fold, pieces cut from each, and made random texts.
 CLASSES = range(3, 13)
-SAMPLE_TEXTS, CUTS, NOISE_TEXTS = 2_000, 2, 200
+CUTS, NOISE_TEXTS = 2, 200
+# Steps of a score in which a quantile is looked for; the values of one step are then told apart.
+STEPS = 1 << 14
 # Quantiles of whole texts, of pieces, and of random texts; fewest texts that stand for a class.
 LOW, LOW_OF_PIECES, HIGH, FEWEST = 0.001, 0.01, 0.99, 20
 # A class tells languages from noise if the low quantile is so many times the high one of noise.
@@ -177,30 +179,63 @@ def _noise(random: np.random.RandomState, size: int) -> str:
     return " ".join(letters[a:b] for a, b in zip(np.concatenate(([0], ends)), ends, strict=False) if a < size)
 
 
+def _quantiles(scores: DataFrame, wanted: dict[str, float]) -> dict[tuple[str, int], float]:
+    """The quantile of ``score`` in each ``(kind, c)`` of at least ``FEWEST`` rows, exactly, between neighbours in proportion.
+
+    Counts of ``STEPS`` steps show where the two neighbours lie; of these steps alone all values are counted.
+    """
+    step = F.least(F.floor(F.col("score") * STEPS), F.lit(STEPS - 1)).cast("int").alias("step")
+    counts = {}
+    # At most STEPS rows for each kind and class.
+    for r in scores.groupBy("kind", "c", step).count().collect():
+        counts.setdefault((r["kind"], r["c"]), []).append((r["step"], r["count"]))
+    places, looked = {}, []
+    for key, held in counts.items():
+        steps, n = np.array(sorted(held)).T
+        ends = np.cumsum(n)
+        if ends[-1] >= FEWEST:
+            exact = wanted[key[0]] * (ends[-1] - 1)
+            sides = [int(np.floor(exact)), int(np.ceil(exact))]
+            at = np.searchsorted(ends, sides, side="right")
+            places[key] = (exact - sides[0], sides, [int(ends[i] - n[i]) for i in at], [int(steps[i]) for i in at])
+            looked += [(*key, s) for s in set(places[key][3])]
+    if not looked:
+        return {}
+    chosen = F.broadcast(scores.sparkSession.createDataFrame(looked, "kind string, c int, step int"))
+    values = {}
+    for r in scores.select("kind", "c", step, "score").join(chosen, ["kind", "c", "step"]).groupBy("kind", "c", "step", "score").count().collect():
+        values.setdefault((r["kind"], r["c"], r["step"]), []).append((r["score"], r["count"]))
+    out = {}
+    for key, (share, sides, before, steps) in places.items():
+        ends = []
+        for place, first, s in zip(sides, before, steps, strict=True):
+            score, n = zip(*sorted(values[(*key, s)]), strict=True)
+            ends.append(score[int(np.searchsorted(np.cumsum(n), place - first, side="right"))])
+        out[key] = ends[0] + share * (ends[1] - ends[0])
+    return out
+
+
 def least_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray]) -> list[tuple[int, float]]:
     """``(trigrams, cosine)``: what texts of at least so many different trigrams must reach to count as a known language.
 
-    Labelled texts that the model has not seen score with their own likes; pieces of them stand in for a class with
-    few texts. Texts of random letters score as noise. The bound lies halfway between the low quantile of the former
-    and the high quantile of noise; a class in which these are not apart says too little to reject a text. Both samples
-    are bounded.
+    Labelled texts that the model has not seen score with their own likes, all of them; pieces of all that are long enough
+    stand in for a class with few texts. Made texts of random letters score as noise. The bound lies halfway between the low
+    quantile of the former and the high quantile of noise; a class in which these are not apart says too little to reject a
+    text.
     """
-    chosen = kept(first_by_hash(labelled, "text", SAMPLE_TEXTS), "labelled")
-    longs = F.explode(F.sequence(F.lit(CLASSES[0]), F.lit(CLASSES[-1])))
-    cuts = chosen.select("text", F.length("text").alias("l"), longs.alias("c")).withColumn("z", F.pow(F.lit(2), F.col("c")).cast("int"))
-    cuts = cuts.filter("l >= z").select("l", "z", "text", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))).alias("i"))
-    start = F.pmod(F.xxhash64("text", "z", "i"), F.col("l") - F.col("z") + 1).cast("int") + 1
-    pieces_of = cuts.select(F.substring("text", start, (F.col("z") * 1.4).cast("int")).alias("text")).withColumn("kind", F.lit("piece")).unionByName(chosen.withColumn("kind", F.lit("whole")))
+    texts = labelled.select("text")
+    wholes = _class_scores(texts.withColumn("kind", F.lit("whole")), model)
     random = np.random.RandomState(21)
-    noise = [(_noise(random, int(1.1 * 2**c)),) for c in CLASSES for _ in range(NOISE_TEXTS)]
-    noise = labelled.sparkSession.createDataFrame(noise, "text string")
-    both = pieces_of.unionByName(noise.withColumn("kind", F.lit("noise")))
-    level = F.least(F.floor(F.log2("trigrams")), F.lit(CLASSES[-1])).cast("int").alias("c")
-    scores = _scored(both, model).filter("trigrams > 0").select("kind", level, "score")
-    quantiles = {"whole": LOW, "piece": LOW_OF_PIECES, "noise": HIGH}
-    measures = [F.percentile("score", F.lit(q)).alias(kind) for kind, q in quantiles.items()]
-    rows = scores.groupBy("kind", "c").agg(F.count(F.lit(1)).alias("n"), *measures).filter(F.col("n") >= FEWEST).collect()
-    at = {(r["kind"], r["c"]): r[r["kind"]] for r in rows}
+    noise = [(_noise(random, int(1.1 * 2**c)), "noise") for c in CLASSES for _ in range(NOISE_TEXTS)]
+    noise = _class_scores(labelled.sparkSession.createDataFrame(noise, "text string, kind string"), model)
+    at = _quantiles(kept(wholes.unionByName(noise), "language-scores"), {"whole": LOW, "noise": HIGH})
+    few = [c for c in CLASSES if ("whole", c) not in at]
+    if few:
+        cuts = texts.select("text", F.length("text").alias("l"), F.explode(F.array(*[F.lit(2**c) for c in few])).alias("z"))
+        cuts = cuts.filter("l >= z").select("l", "z", "text", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))).alias("i"))
+        start = F.pmod(F.xxhash64("text", "z", "i"), F.col("l") - F.col("z") + 1).cast("int") + 1
+        cut = cuts.select(F.substring("text", start, (F.col("z") * 1.4).cast("int")).alias("text"), F.lit("piece").alias("kind"))
+        at |= _quantiles(kept(_class_scores(cut, model), "language-pieces"), {"piece": LOW_OF_PIECES})
     out = []
     for c in CLASSES:
         own, noisy = at.get(("whole", c), at.get(("piece", c))), at.get(("noise", c))
@@ -209,6 +244,11 @@ def least_cosines(labelled: DataFrame, model: tuple[list[str], np.ndarray]) -> l
     return out
 
 
+def _class_scores(texts: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    level = F.least(F.floor(F.log2("trigrams")), F.lit(CLASSES[-1])).cast("int").alias("c")
+    return _scored(texts, model).filter("trigrams > 0").select("kind", level, "score")
+
+
 def known_language(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` in a known language, all columns kept; others are rejected.
 
