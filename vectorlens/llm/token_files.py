@@ -42,6 +42,8 @@ CHECKSUM_FLAG = 0x80
 LEVEL = 3
 # Text bytes of one file, about; the number of files grows with the input.
 BYTES_PER_FILE = 64 << 20
+# Text bytes encoded at once: words and their parts are Python strings for a moment, many times as large.
+ENCODED_BYTES = 2 << 20
 # Words, and ids of words and of their parts, that a task remembers; the memory is emptied when one of them is full.
 REMEMBERED_WORDS, REMEMBERED_IDS = 300_000, 4_000_000
 LARGEST_ID = (1 << 63) - 1
@@ -319,7 +321,7 @@ def write_token_files(docs: DataFrame, folder: str, path: Callable[[], str], end
         writer = sink = None
         n_tokens = 0
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=ENCODED_BYTES):
                 if writer is None:
                     name = f"{folder}/tokens-{uuid.uuid4().hex}.zst"
                     sink = _open(name, "w")
