@@ -232,3 +232,43 @@ def test_exact_graph_in_several_regions_and_parts(vectors_frame, monkeypatch, bl
     points[1::8] = np.round(points[1::8])
     graph = neighbours.knn_graph(vectors_frame(points), 6, block_rows=block_rows)
     assert found(graph) == brute(points, list(range(200)), 6)
+
+
+def test_points_of_a_cell_share_their_list_of_cells(monkeypatch):
+    """What is looked up for a layout grows with the cells that hold points, not with the points."""
+    points = np.random.RandomState(3).uniform(0.1, 0.11, (3000, 2))
+    levels = layout.levels_for(2)
+    cells = np.ravel_multi_index(tuple(layout.finest_cells(points, 2, 4.0, levels).T), (1 << levels,) * 2)
+    mass, sums = np.zeros(1 << 2 * levels), np.zeros((1 << 2 * levels, 2))
+    np.add.at(mass, cells, 1.0)
+    np.add.at(sums, cells, points)
+    looked, clip = [], np.clip
+    monkeypatch.setattr(np, "clip", lambda a, *rest: looked.append(np.size(a)) or clip(a, *rest))
+    met = sum(m.sum() for _, _, m in layout.Pyramid(mass, sums, 4.0, levels).near_and_far(points))
+    assert met == 3000 * 2999 and max(looked) <= points.size
+
+
+def test_rows_that_have_met_their_target_are_not_halved_again():
+    asked = []
+
+    def level(scale, rows):
+        asked.append(len(rows))
+        return scale
+
+    found = neighbours._bisect(level, 0.75, 40)
+    np.testing.assert_allclose(found, 0.75)
+    assert len(asked) < 100
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-3, 500.0), (1e-15, 0.0), (1e13, 0.0)])
+def test_search_in_single_precision_finds_the_exact_neighbours(scale, offset):
+    random = np.random.RandomState(12)
+    points = (random.randn(900, 6) * scale + offset).astype(np.float32).astype(np.float64)
+    points[::30] = points[4]
+    rough = neighbours._Rough(points[:50], points)
+    assert rough.points.dtype == (np.float32 if 1e-9 < scale < 1e9 else np.float64)
+    where, dist = neighbours.vectors.closest(points[:50], points, 4)
+    row, col, d2 = neighbours._within_reach(points[:50], np.sqrt(dist[:, -1]), points, 4, (rough.queries, rough.norms, rough.points, rough.room))
+    nearest = neighbours._Nearest(50, 4)
+    nearest.add(row, col, d2)
+    assert (nearest.where == where).all() and (nearest.dist == dist).all()
