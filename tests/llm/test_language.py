@@ -124,3 +124,28 @@ def test_least_cosines_hear_every_labelled_text(spark, monkeypatch):
     model = language.prototypes(spark.createDataFrame([(t, lang) for _, t, lang in made(30)], "text string, lang string"))
     assert language.least_cosines(labelled, model)
     assert {r["kind"]: r["count"] for r in scores[0]}["whole"] == 2540
+
+
+def test_little_text_is_turned_into_letters_at_once(monkeypatch):
+    """A worker holds the letters of a small piece, however large its batch is, and the bundles stay the same."""
+    texts = ["aa " + "ab cde " * 20_000, "bb " + "fgh i " * 1_000] * 12
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y"] * 12), pa.array(texts)], ["lang", "text"])
+    sizes, trigrams = [], language.trigrams
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            parts = {}
+            for out in run(iter([batch])):
+                for lang, bundle in zip(out.column("lang").to_pylist(), out.column("bundle").to_pylist(), strict=True):
+                    parts[lang] = parts.get(lang, 0) + np.array(bundle)
+            return parts
+
+    monkeypatch.setattr(language, "trigrams", lambda t: sizes.append(sum(len(x) for x in t.to_pylist())) or trigrams(t))
+    found = language._training(Docs())
+    assert sum(sizes) == sum(map(len, texts)) and max(sizes) <= 1 << 20
+    monkeypatch.setattr(language, "LETTER_BYTES", 1 << 30)
+    whole = language._training(Docs())
+    assert set(found) == {"x", "y"} and all((found[x] == whole[x]).all() for x in found)

@@ -26,6 +26,8 @@ WIDTH = 512
 # Letter codes: 0 for everything that is not a letter, 1 to 26 for a to z, the others share the rest.
 LETTERS = 64
 UNKNOWN = "und"
+# Text bytes taken at once: every letter has some fifty bytes of codes, rows and places on its way to a count.
+LETTER_BYTES = 1 << 20
 # Texts whose trigram counts stand in one dense matrix.
 TEXTS_AT_ONCE = 128
 # The filtering stage compares texts of a like number of different trigrams, in classes that double. What sets the least
@@ -89,7 +91,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _training(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=LETTER_BYTES):
                 row, code, _ = trigrams(piece.column("text"))
                 names = piece.column("lang").dictionary_encode()
                 lang = names.indices.to_numpy()[row]
@@ -131,7 +133,7 @@ def _scored(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     def best(texts: pa.Array) -> pa.Array:
         names, protos = shared.value
         langs, scores, counted = [], [], []
-        for piece in pieces(pa.RecordBatch.from_arrays([texts], ["text"])):
+        for piece in pieces(pa.RecordBatch.from_arrays([texts], ["text"]), limit=LETTER_BYTES):
             row, code, has_letter = trigrams(piece.column("text"))
             distinct, at = np.unique(code, return_inverse=True)
             vectors = trigram_vectors(distinct).astype(np.float32)
