@@ -105,3 +105,21 @@ def test_words_are_those_of_the_pattern():
     flat = [w for row in expected for w in row]
     assert [found.text(i).decode() for i in range(len(flat))] == flat
     assert len(set(found.hashes().tolist())) == len(set(flat))
+
+
+def test_few_edges_are_joined_without_an_exchange(spark, monkeypatch):
+    """A chain over many batches takes no star rounds while a task can hold its edges; beyond, both ways agree."""
+    from vectorlens.llm import components
+
+    edges = spark.range(1, 400, numPartitions=16).selectExpr("id AS a", "id % 130 AS b").filter("a <> 131")
+    stars, large_star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda e: stars.append(1) or large_star(e))
+
+    def labels():
+        return sorted(map(tuple, components.connected_components(edges).collect()))
+
+    found = labels()
+    assert not stars and {n for n, _ in found} == set(range(400)) - {131}
+    assert all(c == n % 130 for n, c in found if n >= 130)
+    monkeypatch.setattr(components, "EDGES_PER_TASK", 3)
+    assert labels() == found and stars

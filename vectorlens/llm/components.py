@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,23 +11,38 @@ from pyspark.sql import functions as F
 from vectorlens.session import cut_lineage
 
 
-def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over the edges of one batch: each of its nodes with the least node it reaches there."""
-    for frame in frames:
-        parent: dict = {}
+# Edges that one task joins in memory: up to so many there is nothing left to exchange between tasks.
+EDGES_PER_TASK = 200_000
+
 
-        def root(x, parent=parent):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+def _roots(frames: Iterable[pd.DataFrame]) -> pd.DataFrame:
+    """Union-find over the edges of some batches: each of their nodes with the least node it reaches there."""
+    parent: dict = {}
 
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for frame in frames:
         for a, b in zip(frame["u"], frame["v"], strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        pairs = [(x, root(x)) for x in parent]
-        yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["u", "v"])
+    pairs = [(x, root(x)) for x in parent]
+    return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["u", "v"])
+
+
+def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each batch of edges by itself."""
+    for frame in frames:
+        yield _roots([frame])
+
+
+def _contract_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All batches of a task together."""
+    yield _roots(frames)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -55,13 +70,18 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, comp)`` for every node of an edge; ``comp`` is the least node it reaches.
 
-    Nodes are longs or binaries without nulls. Edges are first contracted batch by batch, then two star steps
-    alternate until nothing changes; every round is cut by a reliable checkpoint. Only counts reach the driver.
+    Nodes are longs or binaries without nulls. Edges are first contracted batch by batch. If at most ``EDGES_PER_TASK``
+    are left, one task joins them, without an exchange. Otherwise two star steps alternate until nothing changes; every
+    round is cut by a reliable checkpoint, and goes on by that task once few enough edges are left. Only counts reach the
+    driver.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
     current = cut_lineage(pairs.mapInPandas(_contract, pairs.schema))
     state = _state(current)
     while state[0]:
+        if state[0] <= EDGES_PER_TASK:
+            current = cut_lineage(current.coalesce(1).mapInPandas(_contract_all, pairs.schema))
+            break
         current = cut_lineage(_small_star(_large_star(current)))
         before, state = state, _state(current)
         if state == before:
