@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +150,24 @@ def test_little_text_is_turned_into_letters_at_once(monkeypatch):
     monkeypatch.setattr(language, "LETTER_BYTES", 1 << 30)
     whole = language._training(Docs())
     assert set(found) == {"x", "y"} and all((found[x] == whole[x]).all() for x in found)
+
+
+def test_vectors_of_many_trigrams_are_not_held_in_double_at_once(monkeypatch):
+    """A worker's memory does not grow with the trigrams of a piece times the width in double precision."""
+    random.seed(3)
+    texts = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y"] * 30), pa.array(texts)], ["lang", "text"])
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            tracemalloc.start()
+            out = [row for part in run(iter([batch])) for row in part.to_pylist()]
+            return out, tracemalloc.get_traced_memory()[1], tracemalloc.stop()
+
+    out, peak, _ = language._training(Docs())
+    assert {r["lang"] for r in out} == {"x", "y"} and peak < 80 << 20
+    monkeypatch.setattr(language, "TRIGRAMS_AT_ONCE", 1 << 30)
+    assert language._training(Docs())[0] == out

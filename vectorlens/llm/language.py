@@ -27,9 +27,9 @@ WIDTH = 512
 LETTERS = 64
 UNKNOWN = "und"
 # Text bytes taken at once: every letter has some fifty bytes of codes, rows and places on its way to a count.
-LETTER_BYTES = 1 << 20
-# Texts whose trigram counts stand in one dense matrix.
-TEXTS_AT_ONCE = 128
+LETTER_BYTES = 1 << 18
+# Texts whose trigram counts stand in one dense matrix, and trigrams whose vectors do.
+TEXTS_AT_ONCE, TRIGRAMS_AT_ONCE = 128, 4096
 # The filtering stage compares texts of a like number of different trigrams, in classes that double. What sets the least
 # cosine of a class: all labelled texts of the held-out fold, pieces cut from each, and made random texts.
 CLASSES = range(3, 13)
@@ -45,7 +45,7 @@ TELLING = 1.2
 @lru_cache
 def _letter_codes() -> np.ndarray:
     """Code of every code point of the basic plane, after lower-casing."""
-    codes = np.array([27 + i % (LETTERS - 27) if chr(i).isalpha() else 0 for i in range(1 << 16)], dtype=np.int64)
+    codes = np.array([27 + i % (LETTERS - 27) if chr(i).isalpha() else 0 for i in range(1 << 16)], dtype=np.int32)
     codes[ord("a") : ord("z") + 1] = np.arange(1, 27)
     return codes
 
@@ -63,6 +63,18 @@ def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     return np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]
 
 
+def _bundled(counts: np.ndarray, vectors: np.ndarray, kind: type) -> np.ndarray:
+    """Sums of the vectors of trigrams, each as often as counted in a row; ``kind`` is that of the products.
+
+    Vectors stay single bytes but for a slice of them.
+    """
+    sums = np.zeros((len(counts), WIDTH))
+    for first in range(0, len(vectors), TRIGRAMS_AT_ONCE):
+        part = slice(first, first + TRIGRAMS_AT_ONCE)
+        sums += counts[:, part].astype(kind) @ vectors[part].astype(kind)
+    return sums
+
+
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, code, has_letter)``: the trigrams of every text, and whether a text has a letter.
 
@@ -76,7 +88,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     beyond = np.flatnonzero(points >= 1 << 16)
     letter[beyond] = [27 + p % (LETTERS - 27) if chr(p).isalpha() else 0 for p in points[beyond].tolist()]
     sizes = np.array([len(t) + 1 for t in lower], dtype=np.int64)
-    row = np.repeat(np.arange(-1, len(lower)), np.concatenate(([1], sizes)))
+    row = np.repeat(np.arange(-1, len(lower), dtype=np.int32), np.concatenate(([1], sizes)))
     keep = np.concatenate(([True], (letter[1:] != 0) | (letter[:-1] != 0)))
     letter, row = letter[keep], row[keep]
     has_letter = np.bincount(row[letter != 0], minlength=len(lower)).astype(bool) if len(lower) else np.empty(0, bool)
@@ -96,10 +108,9 @@ def _training(docs: DataFrame) -> DataFrame:
                 names = piece.column("lang").dictionary_encode()
                 lang = names.indices.to_numpy()[row]
                 distinct, at = np.unique(code, return_inverse=True)
-                vectors = trigram_vectors(distinct).astype(np.float64)
                 size = len(names.dictionary)
                 counts = np.bincount(lang * len(distinct) + at, minlength=size * len(distinct)).reshape(size, -1)
-                sums = np.rint(counts @ vectors).astype(np.int64)
+                sums = np.rint(_bundled(counts, trigram_vectors(distinct), np.float64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([names.dictionary, pa.array(list(sums), pa.list_(pa.int64()))], ["lang", "bundle"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, bundle array<long>")
@@ -136,14 +147,14 @@ def _scored(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         for piece in pieces(pa.RecordBatch.from_arrays([texts], ["text"]), limit=LETTER_BYTES):
             row, code, has_letter = trigrams(piece.column("text"))
             distinct, at = np.unique(code, return_inverse=True)
-            vectors = trigram_vectors(distinct).astype(np.float32)
+            vectors = trigram_vectors(distinct)
             edges = np.searchsorted(row, np.arange(0, len(has_letter) + TEXTS_AT_ONCE, TEXTS_AT_ONCE))
             for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 rows = min(TEXTS_AT_ONCE, len(has_letter) - i * TEXTS_AT_ONCE)
                 spot = (row[a:b] - i * TEXTS_AT_ONCE) * len(distinct) + at[a:b]
-                counts = np.bincount(spot, minlength=rows * len(distinct)).reshape(rows, -1).astype(np.float32)
+                counts = np.bincount(spot, minlength=rows * len(distinct)).reshape(rows, -1)
                 counted += np.count_nonzero(counts, axis=1).tolist()
-                bundle = (counts @ vectors).astype(np.float64)
+                bundle = _bundled(counts, vectors, np.float32)
                 norm = np.linalg.norm(bundle, axis=1)
                 if names:
                     cosine = (bundle @ protos.astype(np.float64)) / np.where(norm > 0, norm, 1.0)[:, None]
