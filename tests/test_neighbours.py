@@ -205,6 +205,42 @@ def test_refined_graph_of_copies_odd_ids_and_small_tables(spark):
     assert len(descent.knn_descent(df.limit(2), 3).collect()) == 2
 
 
+def test_refined_graph_over_many_tiles(spark, vectors_frame, monkeypatch):
+    """Pairs of one list meet in the tile of their regions, copies and members of one region included."""
+    monkeypatch.setattr(descent, "LEAST_ROWS", 40)
+    monkeypatch.setattr(descent, "PAIRS", 500)
+    random = np.random.RandomState(14)
+    points = (random.randn(10, 6)[random.randint(10, size=400)] * 3 + random.randn(400, 6)).astype(np.float32)
+    points[::25] = points[3]
+    refined = descent.refine(vectors_frame(points), 6, block_rows=40, normalize=False)
+    found = {}
+    for r in refined.graph.collect():
+        found.setdefault(r["src"], {})[r["rank"]] = r["dist"]
+    whole = np.sqrt(((points[:, None, :].astype(np.float64) - points[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(whole, np.inf)
+    whole.sort(axis=1)
+    assert all(sorted(found[i]) == list(range(1, 7)) for i in range(400))
+    near = [found[i][r] <= whole[i, r - 1] + 1e-9 for i in range(400) for r in range(1, 7)]
+    assert np.mean(near) > 0.95 and all(found[i][r] >= whole[i, r - 1] - 1e-9 for i in range(400) for r in range(1, 7))
+
+
+def test_vectors_of_refined_graph_travel_once_to_a_tile(vectors_frame, monkeypatch):
+    """However many blocks and lists there are, a round deals each vector to the tiles of its region and no further."""
+    dealt = []
+
+    def spy(df, number, *columns):
+        if "v" in df.columns:
+            dealt.append(df.count())
+        return repartition(df, number, *columns)
+
+    points = np.random.RandomState(15).randn(1200, 6).astype(np.float32)
+    df = vectors_frame(points)
+    repartition = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", spy)
+    descent.refine(df, 10, block_rows=15, rounds=1)
+    assert dealt and max(dealt) <= 2 * descent.REGIONS * 1200
+
+
 def test_layout_rejects_other_methods(vectors_frame, few_points):
     with pytest.raises(ValueError):
         layout.neighbour_layout(vectors_frame(few_points), "ISOMAP")
