@@ -238,7 +238,7 @@ def test_vectors_of_refined_graph_travel_once_to_a_tile(vectors_frame, monkeypat
     repartition = type(df).repartition
     monkeypatch.setattr(type(df), "repartition", spy)
     descent.refine(df, 10, block_rows=15, rounds=1)
-    assert dealt and max(dealt) <= 2 * descent.REGIONS * 1200
+    assert dealt and max(dealt) <= 4 * 1200
 
 
 def test_layout_rejects_other_methods(vectors_frame, few_points):
