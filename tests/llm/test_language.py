@@ -171,3 +171,10 @@ def test_vectors_of_many_trigrams_are_not_held_in_double_at_once(monkeypatch):
     assert {r["lang"] for r in out} == {"x", "y"} and peak < 80 << 20
     monkeypatch.setattr(language, "TRIGRAMS_AT_ONCE", 1 << 30)
     assert language._training(Docs())[0] == out
+
+
+def test_a_filter_on_a_score_does_not_score_texts_again(documents):
+    docs = documents([(i, t, lang, None) for i, t, lang in made(30)])
+    found = language._class_scores(docs.select("text", "lang").withColumn("kind", docs["lang"]), language.prototypes(docs))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and found.count() == 30

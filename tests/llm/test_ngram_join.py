@@ -1,9 +1,12 @@
+import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from vectorlens.llm import ngram_join
-from vectorlens.llm.words import WORD, find_words
+from vectorlens.llm.words import WORD, find_words, folded_shingles, shingle_sets
 
 
 def fold(text):
@@ -123,3 +126,25 @@ def test_few_edges_are_joined_without_an_exchange(spark, monkeypatch):
     assert all(c == n % 130 for n, c in found if n >= 130)
     monkeypatch.setattr(components, "EDGES_PER_TASK", 3)
     assert labels() == found and stars
+
+
+def test_words_of_a_piece_are_not_found_at_once():
+    """A worker holds the sets of a piece and the words of a part of it, not all its words."""
+    random.seed(8)
+    some = [" ".join(str(random.random())[2:8] for _ in range(3000)) for _ in range(20)]
+    texts = pa.array([some[i % 20] + f" {i}" for i in range(360)] + [None, "", "One"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(363)), pa.array(range(363)), texts], ["doc_id", "text_key", "text"])
+    sets = folded_shingles(texts, 5)
+    assert [s.tolist() for s in sets] == [s.tolist() for s in shingle_sets(find_words(texts, fold=True), 5)]
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            tracemalloc.start()
+            sizes = [n for part in run(iter([batch])) for n in part.column("n").to_pylist()]
+            return sizes, tracemalloc.get_traced_memory()[1], tracemalloc.stop()
+
+    sizes, peak, _ = ngram_join._members(Docs(), 5)
+    assert sizes == [len(s) for s in sets] and peak < 40 << 20

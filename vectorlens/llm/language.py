@@ -166,7 +166,8 @@ def _scored(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     scores.append(float(value[j]) if known else 0.0)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(counted, pa.int64())], names=["lang_pred", "score", "trigrams"])
 
-    hit = best("text")
+    # Said to be nondeterministic so that a filter on a score stays above: moved below, it scores every text once more.
+    hit = best.asNondeterministic()("text")
     return docs.select("*", hit.alias("__hit")).select(*[F.col(f"`{c}`") for c in docs.columns], "__hit.lang_pred", "__hit.score", "__hit.trigrams")
 
 

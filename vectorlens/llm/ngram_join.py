@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from vectorlens.llm.components import connected_components
 from vectorlens.llm.tables import kept, with_text_key, without
-from vectorlens.llm.words import find_words, mixed, pieces, ranges, shingle_sets
+from vectorlens.llm.words import folded_shingles, mixed, pieces, ranges
 
 # Posting lists up to this length emit all their pairs.
 SMALL_LIST = 64
@@ -91,10 +91,12 @@ def _heavy_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                sets = shingle_sets(find_words(piece.column("text"), fold=True), width)
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= HEAVY_IN_PIECE
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], ["token", "n"])
+                tokens = np.concatenate(folded_shingles(piece.column("text"), width))
+                tokens.sort()
+                last = tokens[HEAVY_IN_PIECE - 1 :]
+                often = np.unique(last[last == tokens[: len(last)]])
+                counts = np.searchsorted(tokens, often, side="right") - np.searchsorted(tokens, often)
+                yield pa.RecordBatch.from_arrays([pa.array(often.view(np.int64)), pa.array(counts)], ["token", "n"])
 
     seen = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = seen.filter(F.col("n") >= HEAVY_IN_ALL).orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).collect()
@@ -141,7 +143,7 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                sets = shingle_sets(find_words(piece.column("text"), fold=True), width)
+                sets = folded_shingles(piece.column("text"), width)
                 nodes = pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 sketches = pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
@@ -175,7 +177,7 @@ def _shared_postings(docs: DataFrame, width: int, percent: int, heavy: tuple[np.
         for batch in batches:
             for piece in pieces(batch):
                 seen, out, sizes, needs, lengths = set(), [], [], [], []
-                for found in shingle_sets(find_words(piece.column("text"), fold=True), width):
+                for found in folded_shingles(piece.column("text"), width):
                     n = len(found)
                     node = signature(found) if n else None
                     if node is None or node in seen:
@@ -245,8 +247,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         sets: dict[int, np.ndarray] = {}
         for batch in texts.to_batches():
-            for piece in pieces(batch):
-                sets.update(zip(piece.column("node").to_pylist(), shingle_sets(find_words(piece.column("text"), fold=True), width), strict=True))
+            sets.update(zip(batch.column("node").to_pylist(), folded_shingles(batch.column("text"), width), strict=True))
         pairs = pairs.select(["a", "b"]).combine_chunks()
         keep = []
         for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
@@ -483,10 +484,9 @@ def link_counts(found: Join, docs: DataFrame, width: int, percent: int) -> DataF
         i, j = key[1].as_py(), key[2].as_py()
         sides: dict[int, dict[int, np.ndarray]] = {i: {}, j: {}}
         for batch in rows.to_batches():
-            for piece in pieces(batch):
-                sets = shingle_sets(find_words(piece.column("text"), fold=True), width)
-                for node, block, tokens in zip(piece.column("node").to_pylist(), piece.column("block").to_pylist(), sets, strict=True):
-                    sides[block][node] = tokens
+            sets = folded_shingles(batch.column("text"), width)
+            for node, block, tokens in zip(batch.column("node").to_pylist(), batch.column("block").to_pylist(), sets, strict=True):
+                sides[block][node] = tokens
         left, right = list(sides[i].values()), list(sides[j].values())
         sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] if left and right else np.empty((len(left), len(right)))
         linked = overlaps(left, right) * (100 + percent) >= sizes * percent
