@@ -57,8 +57,8 @@ COUNT_BLOCK, COUNT_WORDS, COUNT_CELLS = 512, 1_000_000, 4_000_000
 HEAVY_TOKENS = 65_536
 # A token is offered as heavy where this many texts of a piece hold it, and is heavy from this many texts in all.
 HEAVY_IN_PIECE, HEAVY_IN_ALL = 4, 32
-# Shingles whose prefixes, or whose texts, one task takes.
-WORDS_PER_TASK = 4_000_000
+# Shingles whose prefixes, or whose texts, one task takes; a task for two blocks of a component takes twice as many.
+WORDS_PER_TASK = 2_000_000
 # Texts to verify are found by broadcast up to so many keys (about 40 bytes each), by a shuffle join beyond.
 BROADCAST_TEXT_KEYS = 500_000
 
