@@ -143,3 +143,94 @@ def test_words_of_few_texts_are_held_at_once():
 
     out, peak, _ = decontaminate._short_leaks(Docs(), {5: (grams, [1, 2])}, "")
     assert [d for d, _ in out] == [0, 1] and {i for _, i in out} == {1, 2} and peak < 30 << 20
+
+
+def normal(text):
+    return "".join(c if c.isalnum() else " " for c in text).lower().split()
+
+
+def passages_of(text, size):
+    found = normal(text)
+    return [found[i : i + 2 * size] for i in range(0, len(found), size)]
+
+
+def item_class(item):
+    size = decontaminate.BLOCK_WORDS
+    while size < len(normal(item)):
+        size *= 2
+    return size
+
+
+def test_a_leak_without_most_of_the_rarest_words_is_found(spark, documents):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(600)]
+    item = rng.sample(vocabulary, 52)
+    for i in range(8):
+        item.insert(7 * i, f"rare{i}")
+    leak = ["other" if w in {f"rare{i}" for i in range(6)} else w for w in item]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=100))) for i in range(200)]
+    rows += [(500, " ".join([*rng.choices(vocabulary, k=25), *leak, *rng.choices(vocabulary, k=25)]))]
+    rows += [(501, " ".join([*rng.choices(vocabulary, k=25), *rng.sample(leak, len(leak))]))]
+    found = decontaminate.leak_report(documents(rows), bench(spark, [(1, " ".join(item), "x", "y")])).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(500, 1)] and 0.7 < found[0]["matched"] < 0.95
+
+
+def test_leaks_are_those_of_all_passages_and_items(spark, documents):
+    """Every pair of a passage and an item of its class compared, without answer words."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([6, 9, 20, 40]))), "x", "y") for i in range(12)]
+    rows = []
+    for i in range(60):
+        kept = [w for w in items[i % 12][1].split() if rng.random() < rng.choice([0.6, 0.7, 0.8])]
+        rows.append((i, " ".join([*rng.choices(vocabulary, k=rng.randint(0, 50)), *kept, *rng.choices(vocabulary, k=rng.randint(0, 50))])))
+    docs = documents(rows)
+    part = next(decontaminate._parts(bench(spark, items)))
+    weighted = decontaminate._weighted(docs, part)
+    from vectorlens.llm.tables import with_text_key
+
+    idf = dict(zip(part.vocabulary.tolist(), weighted.idf.tolist(), strict=True))
+    hashed = lambda found: decontaminate.normalized_words(pa.array([" ".join(found)])).hashes()
+    wanted = {}
+    for i, text in rows:
+        for item, words, _, _ in items:
+            own = hashed(normal(words))
+            weight = np.array([idf[w] for w in own.tolist()])
+            best = max(decontaminate.weighted_lcs(own, hashed(p), weight) / weight.sum() for p in passages_of(text, item_class(words)))
+            if best >= decontaminate.MATCH_SHARE:
+                wanted[i, item] = min(best, 1.0)
+    found = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontaminate.leak_report(docs, bench(spark, items)).collect()}
+    assert found.keys() == wanted.keys() and len(wanted) > 40
+    assert all(found[k] == pytest.approx(wanted[k], abs=1e-6) for k in wanted)
+    # The decomposition takes all passages with a benchmark word: here, all there are.
+    sizes = {item_class(words) for _, words, _, _ in items}
+    all_passages = sorted((i, size, len(p)) for i, text in rows for size in sizes for p in passages_of(text, size))
+    assert sorted((r["doc_id"], r["size"], len(r["words"])) for r in decontaminate._passages(with_text_key(docs), weighted).collect()) == all_passages
+
+
+def test_products_and_meetings_by_slices(monkeypatch):
+    rng = np.random.RandomState(2)
+    idf = rng.rand(500) + 0.1
+    words = [np.where(rng.rand(n) < 0.5, rng.randint(0, 8, n), rng.randint(0, 500, n)) for n in rng.randint(0, 30, 700)]
+    row, feature, value = decontaminate.tfidf(words, idf)
+    dense = np.zeros((len(words), decontaminate.FEATURES))
+    np.add.at(dense, (row, feature), value)
+    flat, lengths = np.concatenate(words), np.array([len(w) for w in words])
+    right = rng.rand(decontaminate.FEATURES, 3)
+    items = [np.sort(rng.choice(500, n, replace=False)) for n in rng.randint(5, 20, 50)]
+    asked = decontaminate._asked(decontaminate.Items(list(range(50)), [i.astype(np.uint64) for i in items], np.arange(500, dtype=np.uint64), {}), idf, list(range(0, 50, 2)))
+    row, word, _ = decontaminate._different(np.repeat(np.arange(len(words)), lengths), flat, 500)
+    expected = {
+        (p, m) for p, own in enumerate(words) for m, i in enumerate(range(0, 50, 2))
+        if idf[np.intersect1d(own, items[i])].sum() >= decontaminate.MATCH_SHARE * idf[items[i]].sum()
+    }
+    for rows, of_words, meetings in ((2000, 1 << 17, 1 << 20), (64, 1 << 17, 100), (700, 200, 1)):
+        monkeypatch.setattr(decontaminate, "SLICE_ROWS", rows)
+        monkeypatch.setattr(decontaminate, "SLICE_WORDS", of_words)
+        monkeypatch.setattr(decontaminate, "SLICE_MEETINGS", meetings)
+        total = np.zeros_like(right)
+        decontaminate._add_products(flat, np.cumsum(lengths) - lengths, lengths, idf, right, total)
+        assert np.allclose(total, dense.T @ (dense @ right))
+        assert np.allclose(decontaminate._latent(flat, np.cumsum(lengths) - lengths, lengths, idf, right), decontaminate._unit(dense @ right))
+        found = [(p, m) for p, m in zip(*(side.tolist() for side in decontaminate._meetings(asked, row, word)), strict=True)]
+        assert len(found) == len(set(found)) and expected <= set(found)
