@@ -1,9 +1,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vectorlens.catalog import graphs
 from vectorlens.operators import descent, layout, neighbours
 
 
@@ -308,3 +310,65 @@ def test_search_in_single_precision_finds_the_exact_neighbours(scale, offset):
     nearest = neighbours._Nearest(50, 4)
     nearest.add(row, col, d2)
     assert (nearest.where == where).all() and (nearest.dist == dist).all()
+
+
+def test_layout_facts_compares_all_pairs_of_vectors_once(spark, tmp_path, blobs, monkeypatch):
+    points, _ = blobs
+    ids = [None, 7, 7, *range(100, 157)]
+    rows = [(i, [float(v) for v in p]) for i, p in zip(ids, points, strict=True)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    calls, plans = [], []
+    knn_graph, kept = neighbours.knn_graph, graphs._kept
+
+    def spy(df, k=None, id_col="uuid", vec_col="emb", block_rows=neighbours.BLOCK_ROWS, seed=0, normalize=True):
+        calls.append(normalize)
+        return knn_graph(df, k, id_col, vec_col, block_rows, seed, normalize)
+
+    def kept_spy(placed, axes, exact):
+        plans.append(exact._jdf.queryExecution().analyzed().toString())
+        return kept(placed, axes, exact)
+
+    monkeypatch.setattr(neighbours, "knn_graph", spy)
+    monkeypatch.setattr(graphs, "_kept", kept_spy)
+    found = {r["method"]: r["placed"] for r in graphs.layout_facts(spark, str(tmp_path)).collect()}
+    assert found == {"UMAP": 59, "TSNE": 59}
+    # Pictures are compared without normalizing. The graph of the vectors is made once and then read.
+    assert calls.count(True) == 1 and calls.count(False) == 3
+    assert len(plans) == 3 and not any("CoGroup" in plan for plan in plans)
+
+
+@pytest.mark.parametrize("method", ["UMAP", "TSNE"])
+def test_layout_of_a_given_graph(vectors_frame, blobs, method):
+    points, _ = blobs
+    df = vectors_frame(points)
+    graph = neighbours.knn_graph(df, 59)
+    given, own = (
+        layout.neighbour_layout(df, method, iterations=2, graph=g, key_col="uuid").sort("uuid").collect() for g in (graph, "exact")
+    )
+    np.testing.assert_allclose([(r["x"], r["y"]) for r in given], [(r["x"], r["y"]) for r in own], rtol=1e-6, atol=1e-9)
+    with pytest.raises(ValueError):
+        layout.neighbour_layout(df, method, graph=graph)
+
+
+@pytest.mark.parametrize("few, size", [(1, 16), (6, 16), (1000, 16), (1000, 4096)])
+def test_cells_are_met_alone_or_several_at_once(monkeypatch, few, size):
+    monkeypatch.setattr(neighbours, "FEW", few)
+    monkeypatch.setattr(neighbours, "SLICE", size)
+    random = np.random.RandomState(21)
+    points = random.randn(300, 5).astype(np.float32)
+    points[::7] = points[2]
+    ids = random.permutation(300) + 10
+    centers = points[random.choice(300, 12, replace=False)].astype(np.float64)
+    far = ((points[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+    cell, radii = far.argmin(axis=1).astype(np.int32), np.full(12, -np.inf)
+    np.maximum.at(radii, cell, np.sqrt(far.min(axis=1)))
+    lists = pa.array(list(points), pa.list_(pa.float32()))
+    asked = pa.table({"id": pa.array(ids), "v": lists, "home": pa.array(cell), "reach": pa.array(np.full(300, np.inf))})
+    out = neighbours._search_region(centers, radii, 9)(asked, pa.table({"id": pa.array(ids), "v": lists, "cell": pa.array(cell)}))
+    lists_of = {}
+    for row in out.to_pylist():
+        lists_of.setdefault(row["src"], []).append((row["d2"], row["dst"]))
+    d2 = ((points.astype(np.float64)[:, None, :] - points.astype(np.float64)[None, :, :]) ** 2).sum(axis=2)
+    for i in range(300):
+        order = np.lexsort((ids, d2[i]))[:9]
+        assert [dst for _, dst in sorted(lists_of[ids[i]])] == ids[order].tolist()

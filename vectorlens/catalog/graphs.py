@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from vectorlens.catalog import table
 from vectorlens.operators import descent, layout, neighbours, projection
+from vectorlens.operators.ordering import with_row_key
+from vectorlens.session import cut_lineage
 
 
 def _embeddings(spark, sf):
@@ -73,20 +75,26 @@ def knn_descent_recall(spark, sf):
 
 def _kept(rows, axes, exact):
     """Share of the exact neighbours that are among the nearest in a picture."""
-    picture = neighbours.knn_graph(rows.select("vec_id", F.array(*[F.col(c).cast("float") for c in axes]).alias("v")), 15, "vec_id", "v", normalize=False)
+    picture = neighbours.knn_graph(rows.select("key", F.array(*[F.col(c).cast("float") for c in axes]).alias("v")), 15, "key", "v", normalize=False)
     return exact.join(picture.select("src", "dst", F.lit(1).alias("found")), ["src", "dst"], "left").agg(F.avg(F.coalesce("found", F.lit(0)))).first()[0]
 
 
 def layout_facts(spark, sf):
-    """Each layout places every row, and keeps more neighbours than principal components do."""
-    rows = _embeddings(spark, sf)
-    exact = neighbours.knn_graph(rows, 15, "vec_id", "embedding").select("src", "dst")
+    """Each layout places every row, and keeps more neighbours than principal components do.
+
+    All pairs of vectors are compared once: both layouts and the comparison of pictures take their neighbours from one graph.
+    """
+    rows = with_row_key(_embeddings(spark, sf), "key")
+    n = rows.count()
+    wanted = max(15, *(layout.graph_neighbours(method, n) for method in ("UMAP", "TSNE")))
+    near = cut_lineage(neighbours.knn_graph(rows, wanted, "key", "embedding"))
+    exact = near.filter(F.col("rank") <= 15).select("src", "dst")
     scores = projection.pca(rows, 2, "embedding").project(rows, ["x", "y"])
     linear = _kept(scores, ("x", "y"), exact)
     facts = []
     for method in ("UMAP", "TSNE"):
-        placed = layout.neighbour_layout(rows, method, "vec_id", "embedding")
-        finite = placed.filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+        placed = layout.neighbour_layout(rows, method, "vec_id", "embedding", graph=near, key_col="key")
+        finite = placed.filter((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).join(rows.select("key", "vec_id"), "key")
         facts.append((method, finite.select("vec_id").distinct().count(), _kept(placed, ("x", "y"), exact) > linear))
     return spark.createDataFrame(facts, "method string, placed long, closer boolean")
 
